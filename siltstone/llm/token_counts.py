@@ -82,11 +82,11 @@ def token_counts(docs: DataFrame, vocabulary: str, cache: str | None = None) ->
         return each
 
     known = read_cache(spark, cache, version)
-    missing = docs.select("content", "text")
+    # dealt out by content once, thinned before that; the cache is then dealt out to the same places
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    missing = mapped(docs.select("content", "text"), first_of_batches, "content string, text string").repartition(parts, "content")
     if cache:
         missing = missing.join(known, "content", "left_anti")
-    parts = spark.conf.get("spark.sql.shuffle.partitions")
-    missing = mapped(missing, first_of_batches, "content string, text string").repartition(int(parts), "content")
     fresh = stage(mapped(missing, encode_misses, "content string, n_tokens long"), "counts")
     if cache:
         fresh.select("content", F.lit(version).alias("tokenizer"), "n_tokens").write.mode("append").parquet(cache)
