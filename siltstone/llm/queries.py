@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm import common, decontamination, jaccard_join, packing, quality, suffix_dedup, token_counts, warc
+from siltstone.llm import common, decontamination, jaccard_join, licenses, packing, quality, suffix_dedup, token_counts, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -92,6 +92,10 @@ def op9_token_matrices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.join(read, ["shard", "sequence"])
 
 
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_best_fit": op2_best_fit,
@@ -101,5 +105,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_decontamination": op7_decontamination,
     "op8_warc": op8_warc,
     "op9_token_matrices": op9_token_matrices,
+    "op10_license_scan": op10_license_scan,
 }
 ORACLE_SQL: dict[str, str] = {"op3_quality_rules": OP3_SQL, "op8_warc": OP8_SQL}
