@@ -62,7 +62,7 @@ def blended_strength(n: Column, ebbinghaus: Column, survival: Column) -> Column:
 
 def promotion_threshold(median_days: Column) -> Column:
     clipped = F.least(F.lit(28.0), F.greatest(F.lit(1.0), median_days))
-    return F.least(F.lit(8), F.greatest(F.lit(2), F.ceil(clipped / 7) + 1)).cast("int")
+    return F.when(median_days.isNotNull(), F.least(F.lit(8), F.greatest(F.lit(2), F.ceil(clipped / 7) + 1))).cast("int")
 
 
 def support_signal(n: Column) -> Column:

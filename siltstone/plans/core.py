@@ -198,10 +198,10 @@ def recency_boost(spark, d):
     return memories_at(spark, d).select("id", F.round(scoring.recency_boost(scoring.whole_hours(F.lit(AS_OF), F.col("created_at"))), 6).alias("boost"))
 
 
-@register("weighted_score", WITH + "select id, round(0.5 * strength * (1 + 0.2 * access_count) * case when age_hours <= 24 then 1.5 when age_hours <= 168 then 1.5 - 0.5 * (age_hours - 24) / 144.0 else 1.0 end, 5) as score from memories")
+@register("weighted_score", WITH + "select id, round(0.5 * strength * (1 + 0.2 * access_count) * case when age_hours <= 24 then 1.5 when age_hours <= 168 then 1.5 - 0.5 * (age_hours - 24) / 144.0 else 1.0 end, 8) as score from memories")
 def weighted_score(spark, d):
     boost = scoring.recency_boost(F.col("age_hours"))
-    return memories(spark, d).select("id", F.round(scoring.weighted(F.lit(0.5), F.col("strength"), F.col("access_count"), boost), 5).alias("score"))
+    return memories(spark, d).select("id", F.round(scoring.weighted(F.lit(0.5), F.col("strength"), F.col("access_count"), boost), 8).alias("score"))
 
 
 @register("tier_assign", WITH + """, r as (select id, access_count / greatest(floor(age_hours / 24.0), 1) as rate from memories), q as (select quantile_cont(rate, 0.25) as c, quantile_cont(rate, 0.75) as h from r)

@@ -25,13 +25,20 @@ def register(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return put
 
 
+def _load() -> None:
+    from siltstone.plans import core, more  # noqa: F401  they register their queries
+
+
 def queries() -> dict[str, Query]:
+    _load()
     return dict(_queries)
 
 
 def oracle_sql() -> dict[str, str]:
+    _load()
     return dict(_sql)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _load()
     return _queries["rrf_fusion"](spark, sf_dir)
