@@ -193,22 +193,22 @@ def permuted(scored: DataFrame, order: DataFrame) -> DataFrame:
     return judged.join(slots, ["query_id", "new_rank"]).select("query_id", "id", F.col("new_score").alias("score"), F.col("new_rank").alias("rank"))
 
 
-def tips(df: DataFrame, rounds: int = 32) -> DataFrame:
-    """(id, tip): the end of each row's chain of successors, by pointer jumping: chains halve in each round.  A chain that
-    leaves the table ends at its last row; a cycle ends at its least id."""
+def tips(df: DataFrame) -> DataFrame:
+    """(id, tip): the end of each row's chain of successors, by pointer jumping: each round halves what is left of a chain.
+    A chain that leaves the table ends at its last row; one that hasn't ended after log2(n) + 1 rounds runs in a cycle, and
+    its tip is the cycle's least id."""
     from siltstone.sources.shared import checkpoint_dir
 
     checkpoint_dir(df.sparkSession)
     here = df.select(F.col("id").alias("tip"), F.lit(True).alias("_there"))
-    at = df.select("id", F.col("superseded_by").alias("tip")).join(here, "tip", "left")
-    at = at.select("id", F.when(F.col("_there"), F.col("tip")).otherwise(F.col("id")).alias("tip"))
-    at = at.withColumns({"least": F.least("id", "tip"), "done": F.col("id") == F.col("tip")}).checkpoint()
-    for _ in range(rounds):
+    at = df.select("id", F.col("superseded_by").alias("tip")).join(here, "tip", "left").withColumn("done", F.col("_there").isNull())
+    at = at.select("id", F.when(F.col("done"), F.col("id")).otherwise(F.col("tip")).alias("tip"), "done")
+    at = at.withColumn("least", F.least("id", "tip")).checkpoint()
+    for _ in range(at.count().bit_length() + 1):
         if at.filter("not done").isEmpty():
             break
-        to = at.select(F.col("id").alias("tip"), F.col("tip").alias("next"), F.col("least").alias("next_least"))
-        moved = at.join(to, "tip")
-        at = moved.select("id", F.col("next").alias("tip"), F.least("least", "next_least").alias("least"), (F.col("next") == F.col("tip")).alias("done")).checkpoint()
+        to = at.select(F.col("id").alias("tip"), F.col("tip").alias("_next"), F.col("done").alias("_done"), F.col("least").alias("_least"))
+        at = at.join(to, "tip").select("id", F.col("_next").alias("tip"), F.col("_done").alias("done"), F.least("least", "_least").alias("least")).checkpoint()
     return at.select("id", F.when(F.col("done"), F.col("tip")).otherwise(F.col("least")).alias("tip"))
 
 

@@ -1,23 +1,22 @@
-"""Record types, enumerations and defaults of the memory model."""
+"""Record types (as DDL), enumerations and defaults of the memory model."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-MEMORY = T.StructType.fromDDL(
+MEMORY = (
     "id string, topic string, summary string, content string, keywords array<string>, importance string, layer string, "
     "source string, status string, tier string, strength double, decay_lambda double, access_count int, created_at timestamp, "
     "updated_at timestamp, last_accessed timestamp, related_ids array<string>, concept_ids array<string>, superseded_by string, "
     "canonical_id string, support_count int, merge_count int, source_diversity int, contradiction_score double, cluster_id int"
 )
-CONCEPT = T.StructType.fromDDL("id string, memoir string, name string, definition string, labels array<string>, confidence double, revision int, source_memory_ids array<string>, created_at timestamp")
-LINK = T.StructType.fromDDL("source string, target string, relation string, weight double, valid_from timestamp, valid_until timestamp")
-EPISODE = T.StructType.fromDDL("id string, title string, outcome string, topics array<string>, decisions array<string>, paths array<string>, tags array<string>, agents array<string>, temporal array<string>, memory_ids array<string>, concept_ids array<string>, created_at timestamp")
-EVENT = T.StructType.fromDDL("id long, ts timestamp, type string, payload string")
-SESSION = T.StructType.fromDDL("session_id string, project string, started_at timestamp, turns array<struct<role string, content string>>")
-DECISION = T.StructType.fromDDL("winner_id string, loser_id string, relation string, lexical double, vector double, action string, reversible boolean, payload string, created_at timestamp")
+CONCEPT = "id string, memoir string, name string, definition string, labels array<string>, confidence double, revision int, source_memory_ids array<string>, created_at timestamp"
+LINK = "source string, target string, relation string, weight double, valid_from timestamp, valid_until timestamp"
+EPISODE = "id string, title string, outcome string, topics array<string>, decisions array<string>, paths array<string>, tags array<string>, agents array<string>, temporal array<string>, memory_ids array<string>, concept_ids array<string>, created_at timestamp"
+EVENT = "id long, ts timestamp, type string, payload string"
+SESSION = "session_id string, project string, started_at timestamp, turns array<struct<role string, content string>>"
+DECISION = "winner_id string, loser_id string, relation string, lexical double, vector double, action string, reversible boolean, payload string, created_at timestamp"
 
 # fixed values: enumerations and defaults of the model
 IMPORTANCE = ("low", "medium", "high", "critical")
