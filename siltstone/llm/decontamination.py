@@ -7,8 +7,8 @@ is cut to the passages around them, and each passage is aligned with the item lo
 or a gap costs 1 / 2.  An item is found if its best alignment reaches `threshold` of the item's length in words.
 
 The benchmark is a stated query set: it is broadcast, and is checked to have at most `MOST_WORDS` words.
-Texts may be null or empty (nothing is found), and of any length.  An item with fewer words than a seed has one seed, all
-of its words.  An item without words is never found.  Equal items are found each.  Extra columns are ignored.
+Texts may be null or empty (nothing is found), and of any length.  An item with fewer words than a seed is
+never found: so few words stand in clean documents, too.  Equal items are found each.  Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -110,7 +110,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
     spark = docs.sparkSession
     docs = pick(docs, doc_id="long", text="string").filter("text is not null")
     words = Words()
-    items = [(i, w) for i, texts in read_items(benchmark).items() for t in texts if len(w := words.of(t))]
+    items = [(i, w) for i, texts in read_items(benchmark).items() for t in texts if len(w := words.of(t)) >= SEED]
     if not items:
         return spark.createDataFrame([], FOUND)
     every = np.unique(np.concatenate([seeds_of(w) for _, w in items]))
