@@ -293,6 +293,22 @@ def query_classes(spark, d):
     return q.select("id", extract.classify(F.col("q")).alias("c")).select("id", "c.type", "c.alpha")
 
 
+@register("recall")
+def recall(spark, d):
+    from siltstone.operators import recall as r
+    from siltstone.plans.core import QUERIES_SQL
+
+    return r.recall(spark.sql(QUERIES_SQL), memories_at(spark, d), _lists(spark, d), AS_OF)
+
+
+@register("recall_diverse")
+def recall_diverse(spark, d):
+    from siltstone.operators import recall as r
+    from siltstone.plans.core import QUERIES_SQL
+
+    return r.recall(spark.sql(QUERIES_SQL), memories_at(spark, d), _lists(spark, d), AS_OF, r.Recall(limit=5, mode="cc", mmr_lambda=0.7))
+
+
 @register("sentence_facts")
 def sentence_facts(spark, d):
     return extract.facts(table(spark, d, "conversations").select(F.concat(F.col("conv_id") * 1000, F.col("turn")).cast("long").alias("id"), F.col("text").alias("content")), least=0)
