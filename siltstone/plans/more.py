@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from siltstone.functions import scoring, text
-from siltstone.operators import cluster, dedup, extract, graph, learn, lifecycle, retrieval
+from siltstone.operators import cluster, dedup, extract, graph, learn, lifecycle, maintain, retrieval
 from siltstone.plans.core import LISTS_SQL, _lists
 from siltstone.plans.model import AS_OF, WITH, memories, memories_at, table
 from siltstone.plans.registry import register
@@ -336,3 +336,46 @@ def event_counters(spark, d):
     fold = st.counter_fold(f"{root}/state", ["user_id"], {"views": "event_type = 'view'", "clicks": "event_type = 'click'"})
     st.consume(stream, fold, f"{root}/checkpoint").awaitTermination()
     return st.versioned(f"{root}/state")(spark)
+
+
+# maintenance
+
+
+@register("topic_groups", "with t as (select p_brand || case when p_partkey % 3 = 0 then ' x' when p_partkey % 3 = 1 then '-x' else '_X' end as topic from part), n as (select trim(regexp_replace(lower(trim(topic)), '[^\\p{L}\\p{N}]+', '-', 'g'), '-') as topic_key, topic, count(*) as n from t group by all) select topic_key, count(*) as variants, sum(n)::bigint as n from n group by topic_key")
+def topic_groups(spark, d):
+    x = F.when(F.col("p_partkey") % 3 == 0, " x").when(F.col("p_partkey") % 3 == 1, "-x").otherwise("_X")
+    return maintain.topic_groups(table(spark, d, "part").select(F.concat("p_brand", x).alias("topic"))).select("topic_key", "variants", "n")
+
+
+@register("index_consistency", WITH + ", a as (select count(*) as missing from memories where status in ('active', 'updated') and id not in (select vec_id from embeddings)), b as (select count(*) as orphaned from embeddings where vec_id not in (select id from memories)) select missing, orphaned, case when missing = 0 and orphaned = 0 then 'ok' else 'attention' end as status from a, b")
+def index_consistency(spark, d):
+    return maintain.index_consistency(memories(spark, d), table(spark, d, "embeddings").select(F.col("vec_id").alias("id")))
+
+
+@register("consolidation", WITH + "select topic, count(*) as n, array_to_string(list_sort(list(id)), chr(44)) as ids from memories where status in ('active', 'updated') group by topic having count(*) >= 3")
+def consolidation(spark, d):
+    c = maintain.consolidated(memories_at(spark, d), AS_OF)
+    return c.select("topic", "n", F.array_join(F.transform(F.array_sort("ids"), lambda x: x.cast("string")), ",").alias("ids"))
+
+
+@register("context_windows", "with s as (select l_orderkey as doc, greatest(l_linenumber - 2, 0) as a, l_linenumber + 2 as z from lineitem where l_returnflag = 'R'), m as (select *, max(z) over (partition by doc order by a, z rows between unbounded preceding and 1 preceding) as p from s), g as (select *, sum(case when p is null or a > p + 1 then 1 else 0 end) over (partition by doc order by a, z rows unbounded preceding) as g from m) select doc, min(a) as start, max(z) as end from g group by doc, g")
+def context_windows(spark, d):
+    x = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("doc"), F.col("l_linenumber").alias("line"), (F.col("l_returnflag") == "R").alias("signal"))
+    return maintain.context_windows(x)
+
+
+@register("concept_candidates")
+def concept_candidates(spark, d):
+    return maintain.auto_concepts(memories(spark, d))
+
+
+@register("auto_links")
+def auto_links(spark, d):
+    b = table(spark, d, "benchmark").select(F.col("item_id").alias("id"), text.tokens(F.col("text")).alias("tokens"))
+    return maintain.auto_links(b)
+
+
+@register("synthesis_prompts")
+def synthesis_prompts(spark, d):
+    ranked = retrieval.ranked(_lists(spark, d).filter("channel = 'fts'")).join(memories(spark, d).select("id", "summary"), "id")
+    return maintain.synthesis_prompts(ranked)
