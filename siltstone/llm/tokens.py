@@ -12,7 +12,7 @@ import struct
 from collections.abc import Callable
 
 #: Entries of each of the two generations of a worker's memory.
-MEMORY = 250_000
+MEMORY = 400_000
 #: A chunk of Latin letters and then common marks: its pieces are known, so the library's model is asked for each piece
 #: at once, without the library's normaliser and piece pattern.  Every other chunk goes through the whole library.
 _PLAIN = re.compile(r"( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?|*#%&$]*)")
@@ -59,8 +59,16 @@ def _library(path: str):
 
 
 def _pieces(t) -> Callable[[str], list[int]]:
-    model = t.model
-    return lambda piece: [x.id for x in model.tokenize(piece.encode().decode("latin-1").translate(_LETTERS))]
+    tokenize, blank = t.model.tokenize, _LETTERS[32]
+
+    def ids(piece: str) -> list[int]:
+        if piece.isascii():  # without control characters: only the blank in front has another letter
+            letters = blank + piece[1:] if piece[0] == " " else piece
+        else:
+            letters = piece.encode().decode("latin-1").translate(_LETTERS)
+        return [x.id for x in tokenize(letters)]
+
+    return ids
 
 
 def counter(path: str) -> Callable[[list[bytes]], list[int]]:
