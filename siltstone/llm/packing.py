@@ -231,14 +231,16 @@ def resets(segment_lengths: np.ndarray) -> np.ndarray:
     return np.arange(int(segment_lengths.sum()), dtype=np.int64) - starts
 
 
+#: Bytes of 32-bit ids from which on a shard is closed.
+SHARD_BYTES = 16 << 20
 SHARD = "doc_id long, piece int, start long, length long, shard string, sequence long, offset long"
 
 
 def pack_shards(docs: DataFrame, vocabulary: str, capacity: int, end: int | None, folder: str, fill: int = 0) -> DataFrame:
     """Tokenise, split losslessly, pack by best-fit-decreasing and write; a row for each piece says where it lies.
 
-    Each Arrow batch of documents is a shard of its own, packed in memory that the batch's size bounds, so no token is
-    shuffled.  A shard is three files in `folder`: `<shard>.ids.npy`, the id matrix (sequences x capacity, unsigned 16-bit
+    Neighbouring documents of a task, up to `SHARD_BYTES` of ids and one document more, are a shard, packed in memory, so
+    no token is shuffled.  A shard is three files in `folder`: `<shard>.ids.npy`, the id matrix (sequences x capacity, unsigned 16-bit
     if the vocabulary allows, filled up with `fill`), `<shard>.cu.npy`, the cumulative segment lengths of all sequences
     (each sequence's run from 0 to its length), and `<shard>.at.npy`, where each sequence's run begins in them.  Position
     resets follow from the segment lengths (`resets`).  A task that is run again writes the same shards under new names;
@@ -256,30 +258,37 @@ def pack_shards(docs: DataFrame, vocabulary: str, capacity: int, end: int | None
 
         encode = encoder(vocabulary)
 
-        def each(b: pa.RecordBatch) -> pa.RecordBatch | None:
-            rows = [(d, k, a, x) for d, ids in zip(b.column(0).to_pylist(), encode(utf8(b.column(1))), strict=True) for k, (a, x) in enumerate(pieces_of(ids + tail, capacity))]
-            if not rows:
-                return None
+        def write(rows: list[tuple[int, int, int, bytes]]) -> pa.RecordBatch:
             length = np.array([len(r[3]) // 4 for r in rows], np.int64)
             sequence, offset, n = best_fit_decreasing(length, capacity)
-            ids = np.frombuffer(b"".join(r[3] for r in rows), "<u4")
-            kind = np.uint16 if max(int(ids.max()), fill) < 65536 else np.uint32
-            matrix = np.full(n * capacity, fill, kind)
-            begin = np.cumsum(length) - length
-            matrix[np.repeat(sequence * capacity + offset - begin, length) + np.arange(len(ids))] = ids
+            most = max(fill, *(int(np.frombuffer(r[3], "<u4").max()) for r in rows))
+            matrix = np.full((n, capacity), fill, np.uint16 if most < 65536 else np.uint32)
+            for r, s, o, k in zip(rows, sequence.tolist(), offset.tolist(), length.tolist(), strict=True):
+                matrix[s, o : o + k] = np.frombuffer(r[3], "<u4")
             order = np.lexsort((offset, sequence))
-            used = np.bincount(sequence, length, n).astype(np.int64)
-            segments = np.bincount(sequence, minlength=n)
-            at = np.concatenate([[0], np.cumsum(segments + 1)])
+            at = np.concatenate([[0], np.cumsum(np.bincount(sequence, minlength=n) + 1)])
             cu = np.empty(at[-1], np.int32)
             cu[np.arange(len(order)) + sequence[order]] = offset[order]
-            cu[at[1:] - 1] = used
+            cu[at[1:] - 1] = np.bincount(sequence, length, n)
             shard = uuid.uuid4().hex
-            for part, what in (("ids", matrix.reshape(n, capacity)), ("cu", cu), ("at", at)):
+            for part, what in (("ids", matrix), ("cu", cu), ("at", at)):
                 save(f"{folder}/{shard}.{part}.npy", what)
             out = [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.int64()), pa.array(length), pa.array([shard] * len(rows)), pa.array(sequence), pa.array(offset)]
             return pa.record_batch(out, ["doc_id", "piece", "start", "length", "shard", "sequence", "offset"])
 
+        def each(b: pa.RecordBatch) -> pa.RecordBatch | None:
+            done, rows, held = [], [], 0
+            for d, text in zip(b.column(0).to_pylist(), utf8(b.column(1)), strict=True):
+                for k, (a, x) in enumerate(pieces_of(encode([text])[0] + tail, capacity)):
+                    rows.append((d, k, a, x))
+                    held += len(x)
+                if held >= SHARD_BYTES:
+                    done.append(write(rows))
+                    rows, held = [], 0
+            if rows:
+                done.append(write(rows))
+            return pa.Table.from_batches(done).combine_chunks().to_batches()[0] if done else None
+
         return each
 
     return mapped(pick(docs, doc_id="long", text="string"), make, SHARD)
@@ -292,20 +301,19 @@ def read_shards(shards: DataFrame, folder: str) -> DataFrame:
     """The sequences of the written shards named in column `shard`: ids without fill, segments and position resets."""
     from siltstone.llm.files import load
 
-    def make():
-        def each(b: pa.RecordBatch) -> pa.RecordBatch:
-            rows = []
+    names = [x.split()[0] for x in READ.split(", ")]
+    kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.binary(), pa.binary())
+
+    def run(batches):
+        for b in batches:
             for shard in b.column(0).to_pylist():
                 matrix, cu, at = (load(f"{folder}/{shard}.{part}.npy") for part in ("ids", "cu", "at"))
+                rows = []
                 for s in range(len(matrix)):
-                    run = cu[at[s] : at[s + 1]]
-                    lengths = np.diff(run)
-                    ids = matrix[s, : run[-1]].astype("<u4")
+                    part = cu[at[s] : at[s + 1]]
+                    lengths = np.diff(part)
+                    ids = matrix[s, : part[-1]].astype("<u4")
                     rows.append((shard, s, len(ids), len(lengths), lengths.tolist(), ids.tobytes(), resets(lengths).astype("<u4").tobytes()))
-            columns = list(zip(*rows, strict=True))
-            kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.binary(), pa.binary())
-            return pa.record_batch([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], [x.split()[0] for x in READ.split(", ")])
-
-        return each
+                yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
-    return mapped(shards.select("shard").distinct(), make, READ)
+    return shards.select("shard").distinct().mapInArrow(run, READ)
