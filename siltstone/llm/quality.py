@@ -114,9 +114,10 @@ def repeated_words(words: Column) -> Column:
     return F.when(n < 4, F.lit(0).cast("long")).otherwise(some)
 
 
-def measures(text: Column) -> dict[str, Column]:
-    """The measures of a text; words are the parts between runs of ASCII white space, lines those between newlines."""
-    text = F.coalesce(text, F.lit(""))
+def measures(text: Column) -> Column:
+    """An array of one struct with the measures of a text, in parts; words are the parts between runs of ASCII white
+    space, lines those between newlines.  It is made to be exploded: no filter is pushed below that, so nothing is
+    computed twice."""
 
     def of(words: Column) -> Column:
         return F.struct(
@@ -129,9 +130,14 @@ def measures(text: Column) -> dict[str, Column]:
     def lines(x: Column) -> Column:
         return F.struct(F.size(x).cast("long").alias("n_lines"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"))
 
-    words = let(F.filter(F.split(text, WORD_SPLIT), lambda w: w != ""), of)
-    by_line = let(F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")), lines)
-    return {"_words": words, "_lines": by_line, "n_symbols": removed(text, SYMBOLS), "n_marks": removed(text, MARKS)}
+    def every(t: Column) -> Column:
+        return F.struct(
+            let(F.filter(F.split(t, WORD_SPLIT), lambda w: w != ""), of).alias("words"),
+            let(F.filter(F.split(t, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")), lines).alias("lines"),
+            F.struct(removed(t, SYMBOLS).alias("n_symbols"), removed(t, MARKS).alias("n_marks")).alias("marks"),
+        )
+
+    return F.transform(F.array(F.coalesce(text, F.lit(""))), every)
 
 
 def passes(rule: Rule) -> Column:
@@ -147,8 +153,8 @@ def passes(rule: Rule) -> Column:
 
 def judged(docs: DataFrame, rules: tuple[Rule, ...], base: tuple[Rule, ...], row: Column) -> DataFrame:
     """The measures and verdicts of each document, and `row` as column _row."""
-    found = docs.select(F.col("`doc_id`").cast("long").alias("doc_id"), row.alias("_row"), *[c.alias(n) for n, c in measures(F.col("`text`").cast("string")).items()])
-    flat = found.select("doc_id", "_row", "n_symbols", "n_marks", "_words.*", "_lines.*")
+    found = docs.select(F.col("`doc_id`").cast("long").alias("doc_id"), row.alias("_row"), F.explode(measures(F.col("`text`").cast("string"))).alias("_m"))
+    flat = found.select("doc_id", "_row", "_m.words.*", "_m.lines.*", "_m.marks.*")
     failed = F.array_compact(F.array(*[F.when(~passes(r), F.lit(r.name)) for r in (*base, *rules)]))
     base_failed = F.lit(False)
     for r in base:
