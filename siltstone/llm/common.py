@@ -68,6 +68,19 @@ def drop(*tables: DataFrame) -> None:
                 break
 
 
+def mark() -> int:
+    return len(_scratch)
+
+
+def drop_since(when: int, *keep: DataFrame) -> None:
+    """Delete the scratch tables made since mark() but for those in `keep`: what was derived from them has been written."""
+    kept = {getattr(t, "_siltstone_path", None) for t in keep}
+    for spark, p in _scratch[when:]:
+        if p not in kept:
+            drop_path(spark, p)
+            _scratch.remove((spark, p))
+
+
 def drop_all() -> None:
     """Delete every scratch table that is left."""
     while _scratch:

@@ -4,16 +4,20 @@ A document's set has the 64-bit hashes of its distinct shingles.  Documents with
 on classes.
 
 Order: tokens (shingles) are ordered by frequency class, the rare ones first, and within a class by hash.  A set of n
-tokens shares at least o = ceil(0.8 n) of them with each partner, so two partners share at least k tokens among the first
-n - o + k of either, for each k.  If the first token that they share is rare, both have it among the first n - o + 1: rare
-tokens there are indexed singly.  If it is frequent, all tokens that they share are, and at least k of these are among the
-first n - o + k: such prefixes are extended to k = 2 and combinations of two frequent tokens are indexed.  Combinations of
-sets of over `SMALL` tokens would be too many, so frequent tokens are indexed singly there; sets near that size do both.
-
-Verification: the sets of one index key are compared with a leader, the set with the fewest rare tokens.  Links are merged
-to components, and keys whose sets are all in one component are done; the others go on with other leaders, and what is
-then left over is compared pair by pair, in blocks, but only across components.  So no link between components is lost,
-and a group of thousands of similar texts costs a comparison for each text rather than for each pair.
+tokens shares at least o = ceil(0.8 n) of them with each partner, so two partners share at least 4 tokens among the first
+n - o + 4 of either: the extended prefix.  Rare tokens there are indexed singly.  Of the frequent ones, combinations of two
+are indexed.  Partners that share at most one frequent token there share at least 3 rare ones; all others share a
+combination.  Sets of over `SMALL` tokens would have too many combinations, so frequent tokens are indexed singly there;
+sets near that size do both.
+
+Candidates: a key of a few sets gives its pairs, and a pair needs three such keys.  The sets of a key of many are compared
+with a leader, the set with the fewest rare tokens.  Links are merged to components, and keys whose sets are all in one
+component are done; the others go on with other leaders, and what is then left over is compared pair by pair, in blocks,
+but only across components.  So no link between components is lost, and a group of thousands of similar texts costs a
+comparison for each text rather than for each pair.
+
+Verification: a fifth of each set, by hash, bounds the intersection from above; pairs within the bound are then compared
+in full.
 """
 
 from __future__ import annotations
@@ -26,13 +30,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import bounded, mapped, pick, stage, utf8
+from siltstone.llm.common import bounded, drop_since, mapped, mark, pick, stage, utf8
 
 WORDS = 5
 #: Sets of more tokens index frequent tokens singly, not in twos.
 SMALL = 120
-#: The least count of a frequent token; it grows until no more than MOST tokens are frequent, which bounds what is broadcast.
-FREQUENT, MOST = 16, 1 << 19
+#: The least count of a frequent token (a power of 2); it grows until no more than MOST tokens are frequent, which bounds
+#: what is broadcast.
+FREQUENT, MOST = 4, 3 << 19
+#: Tokens that partners share in the extended prefix, and those of them that are rare if no frequent key is shared.
+SHARED, RARE_SHARED = 4, 3
+#: Sets under one key from which on it has a leader instead of all pairs.
+FEW = 8
+#: Hashes below this are in the part of a set that is compared first.
+PART = (1 << 64) // 5
 LEADER_ROUNDS = 2
 #: Members of an index key that are compared pair by pair in one place.
 BLOCK = 256
@@ -110,14 +121,14 @@ def _frequent(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     the first ones by hash, up to half as many again as a prefix has."""
 
     def what(rows):
-        first = [t[: 3 * prefix(len(t)) // 2 + 8] for _, t, _, again in rows if not again and len(t) > 3]
+        first = [t[: 3 * prefix(len(t), SHARED) // 2 + 8] for _, t, _, again in rows if not again and len(t) > 3]
         token, count = np.unique(np.concatenate(first) if first else np.empty(0, np.uint64), return_counts=True)
         return [pa.array(token.view(np.int64)), pa.array(count.astype(np.int32))]
 
     counts = _sets(docs, what, "token long, n int").groupBy("token").agg(F.sum("n").alias("n")).filter(F.col("n") >= FREQUENT)
     counts = stage(counts.withColumn("level", F.floor(F.log2("n")).cast("int")), "frequent")
     levels = {r["level"]: r["count"] for r in counts.groupBy("level").count().collect()}
-    least = next((k for k in range(4, 65) if sum(n for level, n in levels.items() if level >= k) <= MOST), 65)
+    least = next((k for k in range(FREQUENT.bit_length() - 1, 65) if sum(n for level, n in levels.items() if level >= k) <= MOST), 65)
     found = counts.filter(F.col("level") >= least).select("token", "level").toArrow()
     token, level = found["token"].to_numpy().view(np.uint64), found["level"].to_numpy().astype(np.int8)
     order = np.argsort(token)
@@ -131,7 +142,7 @@ def _index(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray]) -> DataFram
     def keys_of(tokens: np.ndarray) -> tuple[int, np.ndarray]:
         token, level = shared.value
         n = len(tokens)
-        p = prefix(n)
+        p = prefix(n, SHARED)
         at = np.minimum(np.searchsorted(token, tokens), max(len(token) - 1, 0))
         often = token[at] == tokens if len(token) else np.zeros(n, bool)
         rare = tokens[~often][:p]
@@ -143,7 +154,7 @@ def _index(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray]) -> DataFram
         if n > 4 * SMALL // 5:
             parts.append(mix(others[: p - len(rare)], _B))
         if n <= SMALL:
-            some = others[: p + 1 - len(rare)]
+            some = others[: p - len(rare)]
             i, j = np.triu_indices(len(some), 1)
             parts.append(mix(some[i], some[j]))
         return len(rare), np.concatenate(parts)
@@ -178,13 +189,21 @@ def connected(links: DataFrame) -> DataFrame:
         last = now
 
 
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Those of the pairs (a, b) with 100 * intersection >= 80 * union."""
-    left, right = (sets.select(F.col("class").alias(x), F.col("tokens").alias(f"s{x}")) for x in "ab")
-    both = pairs.join(left, "a").join(right, "b")
-    near = F.least(F.size("sa"), F.size("sb")) * 100 >= 80 * F.greatest(F.size("sa"), F.size("sb"))
-    shared = F.size(F.array_intersect("sa", "sb"))
-    return both.filter(near & (100 * shared >= 80 * (F.size("sa") + F.size("sb") - shared))).select("a", "b")
+def _verified(pairs: DataFrame, sets: DataFrame, parts: DataFrame) -> DataFrame:
+    """Those of the pairs (a, b) with 100 * intersection >= 80 * union.  `parts` has the sizes and first parts of sets."""
+
+    def both(pairs: DataFrame, table: DataFrame) -> DataFrame:
+        columns = [c for c in table.columns if c != "class"]
+        for x in "ab":
+            pairs = pairs.join(table.select(F.col("class").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in columns]), x)
+        return pairs
+
+    near = both(pairs, parts)
+    small = F.least("n_a", "n_b") * 100 >= 80 * F.greatest("n_a", "n_b")
+    most = F.size(F.array_intersect("part_a", "part_b")) + F.least(F.col("n_a") - F.size("part_a"), F.col("n_b") - F.size("part_b"))
+    near = stage(near.filter(small & (100 * most >= 80 * (F.col("n_a") + F.col("n_b") - most))).select("a", "b"), "near")
+    shared = F.size(F.array_intersect("tokens_a", "tokens_b"))
+    return both(near, sets).filter(100 * shared >= 80 * (F.size("tokens_a") + F.size("tokens_b") - shared)).select("a", "b")
 
 
 def _pairs(rows: DataFrame, other: str) -> DataFrame:
@@ -197,17 +216,28 @@ def links(docs: DataFrame, table: DataFrame) -> DataFrame:
     rows = table.select(F.explode("keys").alias("key"), "class", "rare").repartition("key")
     key = W.partitionBy("key")
     rows = rows.withColumn("differ", F.min("class").over(key) != F.max("class").over(key)).filter("differ")
-    rows = stage(rows.select("key", "class", "rare").dropDuplicates(["key", "class"]), "members")
+    rows = rows.select("key", "class", "rare").dropDuplicates(["key", "class"])
+    rows = stage(rows.withColumn("many", F.count("*").over(key) > FEW), "members")
+    few = rows.filter("not many").groupBy("key").agg(F.array_sort(F.collect_list("class")).alias("c"))
+    few = few.select(F.explode(F.flatten(F.transform("c", lambda x, i: F.transform(F.slice("c", i + 2, FEW), lambda y: F.struct(x.alias("a"), y.alias("b")))))).alias("p"))
+    few = stage(few.groupBy("p.a", "p.b").agg(F.count("*").alias("keys")).filter(F.col("keys") >= RARE_SHARED).select("a", "b"), "few")
+    rows = rows.filter("many").drop("many")
 
     # sets of the classes that share a key with another one, from one document each
-    wanted = table.select("class", "doc_id").join(rows.select("class").distinct(), "class", "left_semi").groupBy("class").agg(F.min("doc_id").alias("doc_id"))
+    wanted = table.select("class", "doc_id").join(rows.select("class").unionByName(few.select(F.col("a").alias("class"))).unionByName(few.select(F.col("b").alias("class"))).distinct(), "class", "left_semi").groupBy("class").agg(F.min("doc_id").alias("doc_id"))
     wanted = stage(wanted.select("doc_id"), "wanted")
 
     def what(found):
-        offsets = np.concatenate([[0], np.cumsum([len(t) for _, t, _, _ in found])]).astype(np.int32)
-        return [pa.array([c for _, _, c, _ in found], pa.int64()), pa.ListArray.from_arrays(offsets, np.concatenate([t for _, t, _, _ in found]).view(np.int64))]
+        def arrays(values):
+            offsets = np.concatenate([[0], np.cumsum([len(t) for t in values])]).astype(np.int32)
+            return pa.ListArray.from_arrays(offsets, np.concatenate(values).view(np.int64))
+
+        tokens = [t for _, t, _, _ in found]
+        part = [t[: np.searchsorted(t, np.uint64(PART))] for t in tokens]
+        return [pa.array([c for _, _, c, _ in found], pa.int64()), pa.array([len(t) for t in tokens], pa.int32()), arrays(part), arrays(tokens)]
 
-    sets = stage(_sets(docs.join(bounded(wanted), "doc_id", "left_semi").select("doc_id", "text"), what, "class long, tokens array<long>"), "sets")
+    sets = stage(_sets(docs.join(bounded(wanted), "doc_id", "left_semi").select("doc_id", "text"), what, "class long, n int, part array<long>, tokens array<long>"), "sets")
+    parts, sets = sets.select("class", "n", "part"), sets.select("class", "tokens")
 
     roots = spark.createDataFrame([], "class long, root long")
     compared = None  # pairs that were verified before
@@ -216,12 +246,14 @@ def links(docs: DataFrame, table: DataFrame) -> DataFrame:
         if turn < LEADER_ROUNDS:
             rows = stage(rows.withColumn("leader", leader), "led")
             pairs = _pairs(rows, "leader")
+            if turn == 0:
+                pairs = pairs.unionByName(few).distinct()
         else:
             pairs = _across(rows)
         if compared is not None:
             pairs = pairs.join(compared, ["a", "b"], "left_anti")
         pairs = stage(pairs, "pairs")
-        linked = stage(_verified(pairs, sets), "links")
+        linked = stage(_verified(pairs, sets, parts), "links")
         if not linked.isEmpty():
             # links join components found before: contract to these, then connect
             a, b = (roots.select(F.col("class").alias(x), F.col("root").alias(f"r{x}")) for x in "ab")
@@ -259,6 +291,7 @@ def components(docs: DataFrame) -> DataFrame:
     has the empty set, and is a component of its own; so is each document that has no link.  doc_id is a key; extra
     columns are ignored.
     """
+    began = mark()
     docs = pick(docs, doc_id="long", text="string")
     table = stage(_index(docs, _frequent(docs)), "index")
     roots = links(docs, table)
@@ -266,5 +299,6 @@ def components(docs: DataFrame) -> DataFrame:
     grouped = classes.join(roots, "class", "left").withColumn("root", F.coalesce("root", "class"))
     least = grouped.groupBy("root").agg(F.min("first").alias("component"))
     found = stage(grouped.join(least, "root").select("class", "component"), "components")
+    drop_since(began, table, found)
     out = table.select("doc_id", "class", "n").join(found, "class", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
