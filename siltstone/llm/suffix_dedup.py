@@ -25,12 +25,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import mapped, pick, stage, utf8
+from siltstone.llm.common import drop_since, mapped, mark, pick, stage, utf8
 
 SEED = 32  # bytes of the buckets that windows are put under
-#: Spans are broadcast only if they are known to have no more bytes than this, and joined by a shuffle beyond it.
-BROADCAST_BYTES = 16 << 20
-ROWS = "kind byte, bucket long, name long, doc_id long, lo int, hi int"
+#: span: the first and last window of a run, 32 bits each.  A name of 0 marks a run that its batch has found removed.
+ROWS = "bucket long, name long, doc_id long, span long"
+SINGLE = "bucket long, doc_id long, span long"
 
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 _BYTES = np.array([int.from_bytes(hashlib.blake2b(bytes([b]), digest_size=8).digest(), "little") for b in range(256)], np.uint64)
@@ -124,33 +124,25 @@ def first_of(names: np.ndarray) -> np.ndarray:
     return first
 
 
-def _rows(kind, bucket, name, doc, lo, hi):
-    cols = (np.asarray(kind, np.int8), bucket.view(np.int64), name.view(np.int64), doc, lo.astype(np.int32), hi.astype(np.int32))
-    return pa.record_batch([pa.array(c) for c in cols], [x.split()[0] for x in ROWS.split(", ")])
+def _columns(doc, lo, hi):
+    return [pa.array(doc), pa.array((lo.astype(np.int64) << 32) | hi.astype(np.int64))]
 
 
 def _with_removed(bucket, name, doc, lo, hi, keep, length):
-    """Rows of kind 1 (kept for sorting), and of kind 0: windows of this batch that stand earlier in it."""
+    """bucket, name, doc, lo, hi of the runs to be sorted (`keep`), and, under the name 0, of the windows that stand
+    earlier in this batch."""
     d, a, b = joined(doc[~keep], lo[~keep], hi[~keep], length)
     spread = pair(d.view(np.uint64), a.astype(np.uint64))
-    kind = np.repeat(np.array([1, 0], np.int8), [int(keep.sum()), len(d)])
-    return _rows(kind, np.append(bucket[keep], spread), np.append(name[keep], np.zeros(len(d), np.uint64)), np.append(doc[keep], d), np.append(lo[keep], a), np.append(hi[keep], b))
+    return np.append(bucket[keep], spread).view(np.int64), np.append(name[keep] | np.uint64(1), np.zeros(len(d), np.uint64)).view(np.int64), np.append(doc[keep], d), np.append(lo[keep], a), np.append(hi[keep], b)
 
 
 def _spans(rows: DataFrame) -> DataFrame:
-    """doc_id, spans: the runs (lo, hi) of each document, two 32-bit numbers in one."""
-    packed = F.shiftleft(F.col("lo").cast("long"), 32).bitwiseOR(F.col("hi").cast("long"))
-    return rows.groupBy("doc_id").agg(F.collect_list(packed).alias("spans"))
-
-
-def _lookup(docs: DataFrame, spans: DataFrame, how: str) -> DataFrame:
-    """Join documents to their spans: broadcast if the spans are few, else by a shuffle."""
-    total = spans.agg(F.sum(8 * F.size("spans") + 24)).first()[0] or 0
-    return docs.join(F.broadcast(spans) if total <= BROADCAST_BYTES else spans, "doc_id", how)
+    """doc_id, spans: the runs of each document."""
+    return rows.groupBy("doc_id").agg(F.collect_list("span").alias("spans"))
 
 
 def removed_windows(docs: DataFrame, length: int) -> DataFrame:
-    """doc_id, lo, hi: runs of positions where a string of `length` bytes begins that begins earlier, too."""
+    """doc_id, span: runs of positions where a string of `length` bytes begins that begins earlier, too."""
     if not 2 * SEED <= length <= 4 * SEED:
         raise ValueError(f"length must be between {2 * SEED} and {4 * SEED}")
     docs = pick(docs, doc_id="long", text="string").filter(F.octet_length("text") >= length)
@@ -164,16 +156,17 @@ def removed_windows(docs: DataFrame, length: int) -> DataFrame:
                 bucket, name, lo, hi = runs_of(texts[i], length)
                 parts.append((bucket, name, np.full(len(lo), ids[i], np.int64), lo, hi))
             bucket, name, doc, lo, hi = (np.concatenate(x) for x in zip(*parts, strict=True))
-            return _with_removed(bucket, name, doc, lo, hi, first_of(pair(bucket, name)), length)
+            bucket, name, doc, lo, hi = _with_removed(bucket, name, doc, lo, hi, first_of(pair(bucket, name)), length)
+            return pa.record_batch([pa.array(bucket), pa.array(name), *_columns(doc, lo, hi)], ["bucket", "name", "doc_id", "span"])
 
         return each
 
-    rows = mapped(docs, seeds, ROWS).repartition("bucket").sortWithinPartitions("bucket", "name", "doc_id", "lo")
+    rows = mapped(docs, seeds, ROWS).repartition("bucket").sortWithinPartitions("bucket", "name", "doc_id", "span")
     one = W.partitionBy("bucket")
     rows = rows.withColumn("differ", F.min("name").over(one) != F.max("name").over(one))
-    rows = rows.withColumn("nth", F.row_number().over(W.partitionBy("bucket", "name").orderBy("doc_id", "lo")))
-    rows = rows.withColumn("removed", (F.col("kind") == 0) | (F.col("nth") > 1)).filter("removed or differ")
-    rows = stage(rows.select("removed", "doc_id", "lo", "hi"), "runs")
+    rows = rows.withColumn("nth", F.row_number().over(W.partitionBy("bucket", "name").orderBy("doc_id", "span")))
+    rows = rows.withColumn("removed", (F.col("name") == 0) | (F.col("nth") > 1)).filter("removed or differ")
+    rows = stage(rows.select("removed", "doc_id", "span"), "runs")
 
     def windows():
         def each(b: pa.RecordBatch) -> pa.RecordBatch | None:
@@ -196,15 +189,18 @@ def removed_windows(docs: DataFrame, length: int) -> DataFrame:
             name = name[np.repeat(begin, count) + within]
             at = np.repeat(first, count) + within
             doc = np.repeat(np.array(doc, np.int64), count)
-            return _with_removed(name, name, doc, at, at, first_of(name), length)
+            bucket, name, doc, lo, hi = _with_removed(name, name, doc, at, at, first_of(name), length)
+            # single windows that go on have an even bucket, removed ones an odd one
+            bucket = (bucket & ~np.int64(1)) | (name == 0)
+            return pa.record_batch([pa.array(bucket), *_columns(doc, lo, hi)], ["bucket", "doc_id", "span"])
 
         return each
 
-    pending = stage(_spans(rows.filter("not removed")), "pending")
-    single = mapped(_lookup(docs, pending, "inner").select("doc_id", "text", "spans"), windows, ROWS)
-    nth = F.row_number().over(W.partitionBy("bucket").orderBy("doc_id", "lo"))
-    single = single.withColumn("nth", nth).filter("kind = 0 or nth > 1")
-    return rows.filter("removed").select("doc_id", "lo", "hi").unionByName(single.select("doc_id", "lo", "hi"))
+    pending = _spans(rows.filter("not removed"))
+    single = mapped(docs.join(pending, "doc_id").select("doc_id", "text", "spans"), windows, SINGLE)
+    nth = F.row_number().over(W.partitionBy("bucket").orderBy("doc_id", "span"))
+    single = single.withColumn("nth", nth).filter("bucket % 2 <> 0 or nth > 1")
+    return rows.filter("removed").select("doc_id", "span").unionByName(single.select("doc_id", "span"))
 
 
 def _removed_spans(spans: list[int] | None, length: int) -> list[tuple[int, int]]:
@@ -221,7 +217,10 @@ def _removed_spans(spans: list[int] | None, length: int) -> list[tuple[int, int]
 
 def repeated_spans(docs: DataFrame, length: int = 100) -> DataFrame:
     """doc_id, spans: the runs of each document that has any, for `remaining`."""
-    return stage(_spans(removed_windows(docs, length)), "spans")
+    began = mark()
+    spans = stage(_spans(removed_windows(docs, length)), "spans")
+    drop_since(began, spans)
+    return spans
 
 
 def dedup(docs: DataFrame, length: int = 100) -> DataFrame:
@@ -246,7 +245,7 @@ def dedup(docs: DataFrame, length: int = 100) -> DataFrame:
 
         return each
 
-    found = _lookup(whole, repeated_spans(docs, length), "left").select("doc_id", "text", "spans")
+    found = whole.join(repeated_spans(docs, length), "doc_id", "left").select("doc_id", "text", "spans")
     return mapped(found, cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
@@ -254,7 +253,7 @@ def without_repeats(docs: DataFrame, length: int = 100) -> DataFrame:
     """docs with text (and n_chars, if there) after removal; a character of which some byte stays in front or behind
     goes with the removed span.  All columns stay."""
     names = docs.columns
-    found = _lookup(docs.withColumn("doc_id", F.col("doc_id").cast("long")), repeated_spans(docs, length), "left")
+    found = docs.withColumn("doc_id", F.col("doc_id").cast("long")).join(repeated_spans(docs, length), "doc_id", "left")
     at, kind = names.index("text"), ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
 
     def cut():
