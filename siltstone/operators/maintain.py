@@ -90,7 +90,7 @@ def recall_events(events: DataFrame) -> DataFrame:
 
 def context_windows(lines: DataFrame, around: int = 2) -> DataFrame:
     """doc, start, end: stretches of lines (doc, line, signal) around signals, merged where they touch."""
-    s = lines.filter("signal").select("doc", F.greatest(F.col("line") - around, F.lit(0)).alias("a"), (F.col("line") + around).alias("z"))
+    s = lines.filter("signal").select("doc", F.greatest(F.col("line") - around, F.lit(0)).alias("a"), (F.col("line") + around).alias("z")).distinct()
     one = W.partitionBy("doc").orderBy("a", "z")
     new = F.coalesce(F.col("a") > F.max("z").over(one.rowsBetween(W.unboundedPreceding, -1)) + 1, F.lit(True))
     return s.withColumn("_g", F.sum(new.cast("int")).over(one.rowsBetween(W.unboundedPreceding, 0))).groupBy("doc", "_g").agg(F.min("a").alias("start"), F.max("z").alias("end")).drop("_g")

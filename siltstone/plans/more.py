@@ -358,7 +358,7 @@ def consolidation(spark, d):
     return c.select("topic", "n", F.array_join(F.transform(F.array_sort("ids"), lambda x: x.cast("string")), ",").alias("ids"))
 
 
-@register("context_windows", "with s as (select l_orderkey as doc, greatest(l_linenumber - 2, 0) as a, l_linenumber + 2 as z from lineitem where l_returnflag = 'R'), m as (select *, max(z) over (partition by doc order by a, z rows between unbounded preceding and 1 preceding) as p from s), g as (select *, sum(case when p is null or a > p + 1 then 1 else 0 end) over (partition by doc order by a, z rows unbounded preceding) as g from m) select doc, min(a) as start, max(z) as end from g group by doc, g")
+@register("context_windows", "with s as (select distinct l_orderkey as doc, greatest(l_linenumber - 2, 0) as a, l_linenumber + 2 as z from lineitem where l_returnflag = 'R'), m as (select *, max(z) over (partition by doc order by a, z rows between unbounded preceding and 1 preceding) as p from s), g as (select *, sum(case when p is null or a > p + 1 then 1 else 0 end) over (partition by doc order by a, z rows unbounded preceding) as g from m) select doc, min(a) as start, max(z) as end from g group by doc, g")
 def context_windows(spark, d):
     x = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("doc"), F.col("l_linenumber").alias("line"), (F.col("l_returnflag") == "R").alias("signal"))
     return maintain.context_windows(x)
