@@ -223,7 +223,9 @@ def test_suffix_dedup(spark, docs, rows, empty):
     assert suffix_dedup.without_repeats(docs).columns == docs.columns
 
 
-def test_suffix_tree(docs, rows, empty):
+@pytest.mark.parametrize("portion", [300, 2_000_000])
+def test_suffix_tree(docs, rows, empty, monkeypatch, portion):
+    monkeypatch.setattr(suffix_tree_lm, "PORTION", portion)
     count, all_ = Counter(), {i: [*(x or "").encode().lower().split(), b"\n"] for i, x in rows}
     for i, w in all_.items():
         if zlib.crc32(str(i).encode()) % 5 != 1:
