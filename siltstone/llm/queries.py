@@ -93,7 +93,7 @@ def op9_token_matrices(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = common.scratch_path(spark, "matrices")
     pieces = common.stage(packing.pack_shards(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), 2048, end=50256, folder=folder, fill=50256), "shards")
     read = packing.read_shards(pieces, folder).select("shard", "sequence", "n_tokens", "n_segments", F.crc32("ids").alias("ids_crc32"), F.crc32("position_ids").alias("positions_crc32"))
-    return pieces.join(read, ["shard", "sequence"])
+    return pieces.hint("merge").join(read, ["shard", "sequence"])
 
 
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
