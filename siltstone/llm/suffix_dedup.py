@@ -93,14 +93,17 @@ def smallest(seed: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray | Non
 
 
 def runs_of(text: bytes, length: int) -> tuple[np.ndarray, ...]:
-    """bucket, name, lo, hi: runs of windows [lo, hi] under one bucket, and the identifier of the run's whole string.
+    """bucket, name, lo, hi: runs of windows [lo, hi] under one occurrence of a bucket, and the identifier of the run's
+    whole string.
 
-    A run with ties (text of a period shorter than the window) is cut into single windows, so that all windows of a run
-    are certain to differ.
+    A run ends where the least bucket changes or its place leaves the window, so it has at most `length` - SEED + 1
+    windows, and its first and last ones hold the whole string.  A run with ties (text of a period shorter than the
+    range of places) is cut into single windows.  So all windows of a run are certain to differ.
     """
     seed, name = buckets(np.frombuffer(text, np.uint8), length)
     least, tie = smallest(seed, length - SEED + 1)
-    lo = np.concatenate([[0], np.flatnonzero(least[1:] != least[:-1]) + 1])
+    left = seed[: len(least) - 1] == least[:-1]
+    lo = np.concatenate([[0], np.flatnonzero((least[1:] != least[:-1]) | left) + 1])
     if tie is not None:
         single = np.flatnonzero(np.repeat(np.logical_or.reduceat(tie, lo), np.diff(np.append(lo, len(least)))))
         lo = np.union1d(lo, np.union1d(single, single[single + 1 < len(least)] + 1))
