@@ -1,8 +1,8 @@
-"""Benchmark decontamination: rare n-gram seeds join passages to benchmark items, Smith-Waterman alignment scores them.
+"""Benchmark decontamination: n-gram seeds join passages to benchmark items, Smith-Waterman alignment scores them.
 
-Words are the runs of letters and digits, in lower case; the n-grams of the items' words are the seeds.  A seed's weight
-falls with the number of documents that hold it (all documents are counted), so common phrases open no alignment.  Each
-item has at least its `KEEP` rarest seeds, however many documents have copied it.  A document that holds seeds of an item
+Words are the runs of letters and digits, in lower case; the n-grams of the items' words are the seeds, all of them, however
+many documents hold one.  An item of which a document doesn't have enough words can't be in it, which is seen before any
+passage is looked at, so common phrases open few alignments.  A document that holds seeds of an item
 is cut to the passages around them, and each passage is aligned with the item locally: a match scores 1, a substitution
 or a gap costs 1 / 2.  An item is found if its best alignment reaches `threshold` of the item's length in words.
 
@@ -25,9 +25,6 @@ from pyspark.sql import functions as F
 from siltstone.llm.common import mapped, pick, utf8
 
 SEED = 3
-KEEP = 12
-#: A seed in more than this share of the documents, and in more than RARE_LEAST, is common.
-RARE_SHARE, RARE_LEAST = 0.001, 20
 THRESHOLD = 0.5
 #: The bound on the benchmark's size.
 MOST_WORDS = 2_000_000
@@ -113,8 +110,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
     items = [(i, w) for i, texts in read_items(benchmark).items() for t in texts if len(w := words.of(t)) >= SEED]
     if not items:
         return spark.createDataFrame([], FOUND)
-    every = np.unique(np.concatenate([seeds_of(w) for _, w in items]))
-    shared = spark.sparkContext.broadcast(every)
+    own = [np.unique(seeds_of(w)) for _, w in items]
+    order = np.argsort(np.concatenate(own), kind="stable")
+    known, first = np.unique(np.concatenate(own)[order], return_index=True)
+    # the items of known seed s, by their number: having[first[s] : first[s + 1]]
+    having = np.repeat(np.arange(len(own)), [len(x) for x in own])[order]
+    vocabulary, place = np.unique(np.concatenate([w for _, w in items]), return_inverse=True)
+    plan = spark.sparkContext.broadcast((items, known, np.append(first, len(having)), having, vocabulary, np.split(place, np.cumsum([len(w) for _, w in items])[:-1])))
 
     def held(seeds: np.ndarray, known: np.ndarray) -> np.ndarray:
         """Positions whose seed is known: a bitmap of the high bits first, then an exact look-up."""
@@ -133,41 +135,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
             bitmaps[id(known)] = b
         return bitmaps[id(known)]
 
-    def count():
-        words, known = Words(), shared.value
-
-        def each(b: pa.RecordBatch) -> pa.RecordBatch:
-            n = np.zeros(len(known), np.int64)
-            for text in utf8(b.column(1)):
-                seeds = seeds_of(words.of(text))
-                if len(seeds):
-                    found = seeds[held(seeds, known)]
-                    if len(found):
-                        n[np.searchsorted(known, np.unique(found))] += 1
-            at = np.flatnonzero(n)
-            return pa.record_batch([pa.array(np.append(known[at].view(np.int64), 0)), pa.array(np.append(n[at], b.num_rows)), pa.array(np.append(np.zeros(len(at), bool), True))], ["seed", "n", "total"])
-
-        return each
-
-    # a row for each seed of the benchmark at most, and the number of documents
-    counted = mapped(docs, count, "seed long, n long, total boolean").groupBy("total", "seed").agg(F.sum("n").alias("n")).collect()
-    total = sum(r["n"] for r in counted if r["total"])
-    number = {r["seed"]: r["n"] for r in counted if not r["total"]}
-    df = np.array([number.get(int(s), 0) for s in every.view(np.int64)])
-    limit = max(RARE_LEAST, RARE_SHARE * total)
-    chosen: dict[int, set[int]] = defaultdict(set)  # seed -> items, by their number
-    for k, (_, w) in enumerate(items):
-        own = np.unique(seeds_of(w))
-        n = df[np.searchsorted(every, own)]
-        keep = n <= limit
-        keep[np.argsort(n, kind="stable")[:KEEP]] = True
-        for s in own[keep]:
-            chosen[int(s)].add(k)
-    plan = spark.sparkContext.broadcast((items, dict(chosen), np.array(sorted(chosen), np.uint64)))
-
     def find():
         words = Words()
-        items, chosen, known = plan.value
+        items, known, first, having, vocabulary, place = plan.value
+        present = np.zeros(len(vocabulary), bool)
 
         def each(b: pa.RecordBatch) -> pa.RecordBatch | None:
             rows = []
@@ -176,14 +147,28 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
                 seeds = seeds_of(w)
                 if not len(seeds):
                     continue
-                places: dict[int, list[int]] = defaultdict(list)
-                for p in held(seeds, known):
-                    for k in chosen[int(seeds[p])]:
-                        places[k].append(int(p))
-                for k, at in places.items():
-                    item, own = items[k]
-                    if best := best_passage(own, w, at, threshold):
+                hits = held(seeds, known)
+                if not len(hits):
+                    continue
+                s = np.searchsorted(known, seeds[hits])
+                n = first[s + 1] - first[s]
+                at = np.repeat(hits, n)
+                k = having[np.repeat(first[s] - (np.cumsum(n) - n), n) + np.arange(len(at))]
+                order = np.argsort(k, kind="stable")
+                at, k = at[order], k[order]
+                begin = np.append(np.flatnonzero(np.append(True, k[1:] != k[:-1])), len(k))
+                v = np.searchsorted(vocabulary, w)
+                v[v == len(vocabulary)] = 0
+                v = v[vocabulary[v] == w]
+                present[v] = True
+                for a, z in zip(begin[:-1], begin[1:], strict=True):
+                    item, own = items[k[a]]
+                    # words of the item in the document bound the score from above
+                    if np.count_nonzero(present[place[k[a]]]) < threshold * len(own):
+                        continue
+                    if best := best_passage(own, w, at[a:z].tolist(), threshold):
                         rows.append((d, item, best[0], best[0] / len(own), best[1], len(own), best[2], best[3]))
+                present[v] = False
             if not rows:
                 return None
             kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int32(), pa.int32(), pa.int32(), pa.int32())
@@ -206,8 +191,7 @@ def best_passage(item: np.ndarray, words: np.ndarray, at: list[int], threshold:
         else:
             passages.append([p - reach, p + reach])
     best = None
-    for lo, hi in passages:
-        lo, hi = max(0, lo), min(len(words), hi)
+    for lo, hi in blocks(passages, 3 * len(item) + SEED, len(words)):
         part = words[lo:hi]
         # words of the item in the passage bound the score from above
         if np.isin(item, part).sum() < threshold * len(item):
@@ -216,3 +200,14 @@ def best_passage(item: np.ndarray, words: np.ndarray, at: list[int], threshold:
         if score >= threshold * len(item) and (best is None or score > best[0]):
             best = score, matched, lo + a, lo + z
     return best
+
+
+def blocks(passages: list[list[int]], span: int, end: int):
+    """Passages within a text of `end` words, long ones in blocks that overlap by `span`: no alignment whose score is
+    positive covers more, as each word beyond the item's own is a gap, and gaps cost half of what matches give."""
+    for lo, hi in passages:
+        lo, hi = max(0, lo), min(end, hi)
+        while hi - lo > 5 * span:
+            yield lo, lo + 5 * span
+            lo += 4 * span
+        yield lo, hi
