@@ -3,10 +3,15 @@
 The model is trained on the driver, from the templates below and seeded variations of them, and from paragraphs of other
 words for the class `unknown`; its size doesn't depend on the documents.  An n-gram of which all words are common is no
 feature.  The threshold is calibrated on variations held out from training, so that at most `FALSE_RATE` of the unknown ones
-pass.  Scanning is DataFrame operations only: paragraphs (lines) without a word of the features can only be unknown and
+pass.  Scanning is DataFrame operations only: paragraphs without a word of the features can only be unknown and
 go first; the others' n-grams meet the weights, a table that the model bounds, and each paragraph's sums give its class.
 A prediction stands if the share of a template's words in the paragraph, and of its word pairs, confirms it.
 
+A paragraph is a line, or a group of neighbouring lines, since notices are wrapped.  Lines without a word (blank ones and
+bare comment marks) part groups.  A group has so many lines that a notice of twice the longest template's words can be
+spread over it, however narrow the lines are; of its first line only the last words count, and of its last one the first.
+Of groups that overlap each other or a line that is a licence by itself, the most similar and then the shortest is found.
+
 Null and empty texts have no paragraphs.  Equal paragraphs of one document are found each.  Extra columns are ignored.
 """
 
@@ -15,10 +20,12 @@ from __future__ import annotations
 import math
 import random
 from dataclasses import dataclass
-from functools import lru_cache
+from functools import lru_cache, reduce
+from operator import or_
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from siltstone.llm.common import pick
@@ -203,15 +210,81 @@ def _strings(values) -> Column:
     return F.array(*[F.lit(v) for v in values])
 
 
+def _pairs(words: Column) -> Column:
+    return F.when(F.size(words) > 1, F.transform(F.sequence(F.lit(1), F.size(words) - 1), lambda i: F.array_join(F.slice(words, i, 2), " "))).otherwise(words)
+
+
+def _both(text: str) -> list[str]:
+    """The distinct words and word pairs of a template."""
+    w = words_of(text)
+    return sorted({*w, *[" ".join(w[i : i + 2]) for i in range(len(w) - 1)]})
+
+
+def _likeness(text: str) -> Column:
+    """The share of a template's distinct words and word pairs that the paragraph has, too."""
+    both = _both(text)
+    return F.size(F.array_intersect(F.concat(F.col("words"), _pairs(F.col("words"))), _strings(both))) / F.lit(len(both))
+
+
+def _once(df: DataFrame, *names: str, **columns: Column) -> DataFrame:
+    """Some columns of df and new ones behind a generator, since filters would be pushed below and compute them again."""
+    return df.select(*names, F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
+
+
+def _groups(docs: DataFrame, telling: list[str]) -> DataFrame:
+    """doc_id, paragraph, lines, words: groups of two and more neighbouring lines that a template confirms."""
+    most = 2 * max(len(words_of(t)) for texts in TEMPLATES.values() for t in texts)
+    split = F.transform(F.split("text", "\n"), lambda x: F.regexp_extract_all(F.lower(x), F.lit(f"({WORD})"), F.lit(1)))
+    ends = lambda w: F.struct(F.slice(w, 1, most - 1).alias("head"), F.when(F.size(w) < most, w).otherwise(F.slice(w, 1 - most, most - 1)).alias("tail"), F.size(w).alias("n"), F.exists(w, lambda x: x.isin(telling)).alias("telling"))
+    cut = _once(docs.filter(F.col("text").contains("\n")), "doc_id", line=split)
+    cut = _once(cut, "doc_id", line=F.transform("line", ends))
+    cut = cut.filter(F.exists("line", lambda x: x.telling))
+    following = lambda i: F.sequence(i, F.least(i + (most - 1), F.size("line") - 1))
+    begins = F.filter(F.sequence(F.lit(0), F.size("line") - 2), lambda i: (F.col("line")[i].n > 0) & (F.col("line")[i + 1].n > 0) & F.exists(following(i), lambda k: F.col("line")[k].telling))
+    cut = cut.select("doc_id", F.inline(F.transform(begins, lambda i: F.struct(i.alias("paragraph"), F.transform(following(i), lambda k: F.col("line")[k]).alias("near")))))
+    # first and last line have a word of the notice each, the lines between them have no others
+    none = F.struct(F.lit(0).alias("lines"), F.lit(0).alias("inner"), F.lit(True).alias("open"))
+    fits = lambda a, x: a.open & (x.n > 0) & (a.inner <= most - 2)
+    reach = F.aggregate("near", none, lambda a, x: F.struct((a.lines + fits(a, x).cast("int")).alias("lines"), F.when(a.lines > 0, a.inner + x.n).otherwise(0).alias("inner"), fits(a, x).alias("open"))).lines
+    cut = cut.select("doc_id", "paragraph", "near", F.explode(F.sequence(F.lit(2), reach)).alias("lines"))
+    cut = cut.filter(F.exists(F.slice("near", 1, F.col("lines")), lambda x: x.telling))
+    inner = F.flatten(F.transform(F.slice("near", 2, F.col("lines") - 2), lambda x: x.head))
+    words = F.concat(F.col("near")[0].tail, inner, F.col("near")[F.col("lines") - 1].head)
+    cut = _once(cut, "doc_id", "paragraph", "lines", words=words)
+    templates = [_both(t) for texts in TEMPLATES.values() for t in texts]
+    known = sorted({x for t in templates for x in t})
+    held = F.array_distinct(F.filter(F.concat("words", _pairs(F.col("words"))), lambda x: x.isin(known)))
+    cut = _once(cut, "doc_id", "paragraph", "lines", "words", held=held)
+    # what a template has in common with the group is among `held`
+    enough = lambda t: (F.size("held") >= CONFIRM * len(t)) & (F.size(F.array_intersect("held", _strings(t))) / F.lit(len(t)) >= CONFIRM)
+    return cut.filter(reduce(or_, map(enough, templates))).drop("held")
+
+
+def _apart(found: DataFrame) -> DataFrame:
+    """Found lines, and of the groups that overlap those or each other, the most similar and then the shortest."""
+    order = W.partitionBy("doc_id").orderBy("paragraph", "lines")
+    reached = F.max(F.col("paragraph") + F.col("lines")).over(order.rowsBetween(W.unboundedPreceding, -1))
+    found = found.withColumn("new", (F.coalesce(reached, F.lit(0)) <= F.col("paragraph")).cast("int"))
+    found = found.withColumn("island", F.sum("new").over(order.rowsBetween(W.unboundedPreceding, 0)))
+    one = F.struct((F.col("lines") > 1).alias("group"), (-F.col("similarity")).alias("unlike"), "lines", "paragraph", "family", "probability", "similarity")
+    every = found.groupBy("doc_id", "island").agg(F.array_sort(F.collect_list(one)).alias("found"))
+    meets = lambda x, y: (x.paragraph < y.paragraph + y.lines) & (y.paragraph < x.paragraph + x.lines)
+    kept = F.aggregate("found", F.slice("found", 1, 0), lambda a, x: F.when(F.exists(a, lambda y: meets(x, y)), a).otherwise(F.concat(a, F.array(x))))
+    return every.select("doc_id", F.inline(kept))
+
+
 def scan(docs: DataFrame, model: Model | None = None) -> DataFrame:
-    """doc_id, paragraph (line number from 0), family, probability, similarity: each licence paragraph of each document."""
+    """doc_id, paragraph (number of its first line, from 0), family, probability, similarity: each licence paragraph of each
+    document."""
     spark = docs.sparkSession
     model = model or train()
     docs = pick(docs, doc_id="long", text="string")
     lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("paragraph", "line"))
     lines = lines.select("doc_id", "paragraph", F.regexp_extract_all(F.lower("line"), F.lit(f"({WORD})"), F.lit(1)).alias("words"))
     telling = sorted({w for g in model.weights for w in g.split() if w not in COMMON and not w.isdigit()})
-    lines = lines.filter(F.arrays_overlap("words", _strings(telling)))
+    lines = lines.filter(F.arrays_overlap("words", _strings(telling))).select("doc_id", "paragraph", F.lit(1).alias("lines"), "words")
+    likeness = {name: F.greatest(*[_likeness(t) for t in texts], F.lit(0.0)) for name, texts in TEMPLATES.items()}
+    lines = lines.unionByName(_groups(docs, telling))
 
     def grams(n: int) -> Column:
         if n == 1:
@@ -219,33 +292,24 @@ def scan(docs: DataFrame, model: Model | None = None) -> DataFrame:
         return F.when(F.size("words") >= n, F.transform(F.sequence(F.lit(1), F.size("words") - (n - 1)), lambda i: F.array_join(F.slice("words", i, n), " "))).otherwise(F.array().cast("array<string>"))
 
     every = F.array_distinct(F.concat(*[grams(n) for n in ORDERS]))
-    rows = lines.select("doc_id", "paragraph", "words", F.explode(every).alias("gram"))
+    rows = lines.select("doc_id", "paragraph", "lines", "words", F.explode(every).alias("gram"))
     values = ", ".join(f"('{g}', array({', '.join(f'{x}D' for x in w)}))" for g, w in model.weights.items())
     weights = spark.sql(f"select col1 as gram, col2 as w from values {values}")
     sums = [F.sum(F.col("w")[k]).alias(f"s{k}") for k in range(len(model.classes))]
-    scored = rows.join(F.broadcast(weights), "gram").groupBy("doc_id", "paragraph").agg(F.first("words").alias("words"), *sums)
+    scored = rows.join(F.broadcast(weights), "gram").groupBy("doc_id", "paragraph", "lines").agg(F.first("words").alias("words"), *sums)
 
     def let(value: Column, body) -> Column:
         return F.transform(F.array(value), body)[0]
 
     logits = F.array(*[F.col(f"s{k}") + F.lit(b) for k, b in enumerate(model.bias)])
     chances = let(logits, lambda s: let(F.array_max(s), lambda top: let(F.transform(s, lambda x: F.exp(x - top)), lambda e: let(F.aggregate(e, F.lit(0.0), lambda a, x: a + x), lambda total: F.transform(e, lambda x: x / total)))))
-    scored = scored.select("doc_id", "paragraph", "words", chances.alias("p"))
+    scored = scored.select("doc_id", "paragraph", "lines", "words", chances.alias("p"))
     scored = scored.withColumn("best", F.array_position("p", F.array_max("p")).cast("int")).withColumn("probability", F.array_max("p"))
     scored = scored.filter((F.col("best") < len(model.classes)) & (F.col("probability") >= model.threshold))
     family = _strings(model.classes)[F.col("best") - 1]
 
-    def pairs(words: Column) -> Column:
-        return F.when(F.size(words) > 1, F.transform(F.sequence(F.lit(1), F.size(words) - 1), lambda i: F.array_join(F.slice(words, i, 2), " "))).otherwise(words)
-
-    def likeness(text: str) -> Column:
-        """The share of a template's distinct words and word pairs that the paragraph has, too."""
-        w = words_of(text)
-        both = sorted({*w, *[" ".join(w[i : i + 2]) for i in range(len(w) - 1)]})
-        return F.size(F.array_intersect(F.concat(F.col("words"), pairs(F.col("words"))), _strings(both))) / F.lit(len(both))
-
     similarity = F.lit(0.0)
-    for name, texts in TEMPLATES.items():
-        similarity = F.when(F.col("family") == name, F.greatest(*[likeness(t) for t in texts], F.lit(0.0))).otherwise(similarity)
+    for name, like in likeness.items():
+        similarity = F.when(F.col("family") == name, like).otherwise(similarity)
     out = scored.withColumn("family", family).withColumn("similarity", similarity).filter(F.col("similarity") >= CONFIRM)
-    return out.select("doc_id", "paragraph", "family", F.round("probability", 6).alias("probability"), F.round("similarity", 6).alias("similarity"))
+    return _apart(out).select("doc_id", "paragraph", "family", F.round("probability", 6).alias("probability"), F.round("similarity", 6).alias("similarity"))
