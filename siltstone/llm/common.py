@@ -57,32 +57,39 @@ def drop_path(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def drop(*tables: DataFrame) -> None:
-    """Delete scratch tables that nothing will read again."""
-    for t in tables:
-        path = getattr(t, "_siltstone_path", None)
-        for i, (spark, p) in enumerate(_scratch):
-            if p == path:
-                drop_path(spark, p)
-                del _scratch[i]
-                break
-
-
-def mark() -> int:
-    return len(_scratch)
-
-
-def drop_since(when: int, *keep: DataFrame) -> None:
-    """Delete the scratch tables made since mark() but for those in `keep`: what was derived from them has been written."""
-    kept = {getattr(t, "_siltstone_path", None) for t in keep}
-    for spark, p in _scratch[when:]:
-        if p not in kept:
-            drop_path(spark, p)
-            _scratch.remove((spark, p))
+class Scratch:
+    """The scratch tables of one call.  Only what the call has made is ever deleted, and not what its result reads."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.made = spark, []
+
+    def stage(self, df: DataFrame, name: str) -> DataFrame:
+        out = stage(df, name)
+        self.made.append(out._siltstone_path)
+        return out
+
+    def drop(self, *tables: DataFrame) -> None:
+        """Delete tables that nothing will read again."""
+        for t in tables:
+            self.made.remove(t._siltstone_path)
+            _forget(self.spark, t._siltstone_path)
+
+    def result(self, df: DataFrame, name: str) -> DataFrame:
+        """df, written; all other tables of the call go."""
+        out = stage(df, name)
+        for path in self.made:
+            _forget(self.spark, path)
+        self.made = []
+        return out
+
+
+def _forget(spark: SparkSession, path: str) -> None:
+    drop_path(spark, path)
+    _scratch.remove((spark, path))
 
 
-def drop_all() -> None:
-    """Delete every scratch table that is left."""
+def _drop_all() -> None:
+    """At exit: delete every scratch table that is left."""
     while _scratch:
         spark, p = _scratch.pop()
         try:
@@ -91,7 +98,7 @@ def drop_all() -> None:
             pass
 
 
-atexit.register(drop_all)
+atexit.register(_drop_all)
 
 
 def bounded(small: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:

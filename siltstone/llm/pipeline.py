@@ -13,7 +13,6 @@ CAPACITY = 1024
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that every quality rule passes."""
-    common.drop_all()
     return quality.good(docs)
 
 
@@ -21,7 +20,6 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """Of each group of documents that links of at least 0.8 connect, the one with the smallest doc_id."""
     from siltstone.llm import jaccard_join
 
-    common.drop_all()
     groups = jaccard_join.components(docs)
     first = groups.filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
     return docs.join(first, "doc_id", "left_semi")
@@ -31,7 +29,6 @@ def repeats_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """Documents without the passages that stand in an earlier one; those with no word left go."""
     from siltstone.llm import suffix_dedup
 
-    common.drop_all()
     kept = suffix_dedup.without_repeats(docs)
     return kept.filter(F.col("text").rlike(r"[^\x20\x09-\x0D]"))
 
@@ -40,14 +37,12 @@ def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """Documents in which no benchmark item was found."""
     from siltstone.llm import decontamination
 
-    common.drop_all()
     found = decontamination.contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     return docs.join(common.stage(found.select("doc_id").distinct(), "leaks"), "doc_id", "left_anti")
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents, packed into sequences."""
-    common.drop_all()
     pieces = packing.tokenize_pieces(docs, public_tokenizers.path("byte_bpe_50k.json"), CAPACITY, end=2)
     pieces = common.stage(pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")), "pieces")
     return packing.best_fit(pieces, CAPACITY)

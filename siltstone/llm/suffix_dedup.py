@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import drop_since, mapped, mark, pick, stage, utf8
+from siltstone.llm.common import Scratch, mapped, pick, utf8
 
 SEED = 32  # bytes of the buckets that windows are put under
 #: span: the first and last window of a run, 32 bits each.  A name of 0 marks a run that its batch has found removed.
@@ -144,7 +144,7 @@ def _spans(rows: DataFrame) -> DataFrame:
     return rows.groupBy("doc_id").agg(F.collect_list("span").alias("spans"))
 
 
-def removed_windows(docs: DataFrame, length: int) -> DataFrame:
+def removed_windows(scratch: Scratch, docs: DataFrame, length: int) -> DataFrame:
     """doc_id, span: runs of positions where a string of `length` bytes begins that begins earlier, too."""
     if not 2 * SEED <= length <= 4 * SEED:
         raise ValueError(f"length must be between {2 * SEED} and {4 * SEED}")
@@ -169,7 +169,7 @@ def removed_windows(docs: DataFrame, length: int) -> DataFrame:
     rows = rows.withColumn("differ", F.min("name").over(one) != F.max("name").over(one))
     rows = rows.withColumn("nth", F.row_number().over(W.partitionBy("bucket", "name").orderBy("doc_id", "span")))
     rows = rows.withColumn("removed", (F.col("name") == 0) | (F.col("nth") > 1)).filter("removed or differ")
-    rows = stage(rows.select("removed", "doc_id", "span"), "runs")
+    rows = scratch.stage(rows.select("removed", "doc_id", "span"), "runs")
 
     def windows():
         def each(b: pa.RecordBatch) -> pa.RecordBatch | None:
@@ -220,10 +220,8 @@ def _removed_spans(spans: list[int] | None, length: int) -> list[tuple[int, int]
 
 def repeated_spans(docs: DataFrame, length: int = 100) -> DataFrame:
     """doc_id, spans: the runs of each document that has any, for `remaining`."""
-    began = mark()
-    spans = stage(_spans(removed_windows(docs, length)), "spans")
-    drop_since(began, spans)
-    return spans
+    scratch = Scratch(docs.sparkSession)
+    return scratch.result(_spans(removed_windows(scratch, docs, length)), "spans")
 
 
 def dedup(docs: DataFrame, length: int = 100) -> DataFrame:

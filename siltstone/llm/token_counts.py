@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import WORD_SPLIT, drop, mapped, pick, stage, utf8
+from siltstone.llm.common import WORD_SPLIT, mapped, pick, stage, utf8
 
 CACHE_SCHEMA = "content string, tokenizer string, n_tokens long"
 
@@ -89,9 +89,7 @@ def token_counts(docs: DataFrame, vocabulary: str, cache: str | None = None) ->
         missing = missing.join(known, "content", "left_anti")
     fresh = stage(mapped(missing, encode_misses, "content string, n_tokens long"), "counts")
     if cache:
+        # `known` keeps to the files that were there when it was made, so what is appended now isn't in it
         fresh.select("content", F.lit(version).alias("tokenizer"), "n_tokens").write.mode("append").parquet(cache)
-        known = stage(known.unionByName(fresh).dropDuplicates(["content"]), "known")
-        drop(fresh)
-    else:
-        known = fresh
+    known = known.unionByName(fresh)
     return docs.select("doc_id", "n_bytes", "content").join(known, "content").select("doc_id", "n_bytes", "n_tokens")

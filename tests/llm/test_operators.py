@@ -191,11 +191,55 @@ def brute_components(rows):
     return {i: (len(sets[i]), find(i)) for i in sets}
 
 
-@pytest.mark.parametrize(("frequent", "few", "small", "block"), [(4, 8, 120, 256), (2, 2, 1000, 2), (2, 2, 4, 3)])
-def test_jaccard_join(docs, rows, monkeypatch, frequent, few, small, block):
-    for name, value in (("FREQUENT", frequent), ("FEW", few), ("SMALL", small), ("BLOCK", block)):
-        monkeypatch.setattr(jaccard_join, name, value)
-    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.components(docs).collect()} == brute_components(rows)
+SETTINGS = [
+    jaccard_join.Settings(),
+    jaccard_join.Settings(block=2000, range=3000, local=2, frequent=1, per_bin=12, tile=2),
+    jaccard_join.Settings(block=500, range=500, local=4, frequent=2, per_bin=4, tile=3, leader_rounds=1),
+    jaccard_join.Settings(block=5000, frequent=1, per_bin=10**6, tile=5),
+]
+
+
+def near_texts(seed):
+    """Chains of edits, groups of near copies about the threshold, copies in other letters, short texts, shared passages."""
+    rng = random.Random(seed)
+    out = [None, "", "a", "A", "a b", "a  b\n", "a b c d", "A B c d e", "a b c d e", "a b c d e f", "x" * 50] + ["same text of six words here"] * 5
+    for size in (6, 9, 14, 25, 60, 150, 400):
+        base = words(rng, size, 10**6).split()
+        for _ in range(12):
+            w = list(base)
+            for _ in range(rng.randint(0, max(1, size // 40))):
+                w[rng.randrange(len(w))] = f"e{rng.randrange(10**6)}"
+            out.append(" ".join(w))
+        w = list(base)
+        for _ in range(8):  # each the neighbour of the one before
+            w[rng.randrange(len(w))] = f"c{rng.randrange(10**6)}"
+            out.append(" ".join(w).upper() if rng.random() < 0.3 else " ".join(w))
+        out += [" ".join(base[: len(base) - k]) for k in range(min(6, size))]
+    passage = words(rng, 80)
+    out += [f"{words(rng, rng.randint(1, 30), 10**6)} {passage} {words(rng, rng.randint(1, 30), 10**6)}" for _ in range(40)]
+    rng.shuffle(out)
+    return out
+
+
+@pytest.mark.parametrize("how", SETTINGS)
+def test_jaccard_join(docs, rows, how):
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.components(docs, how).collect()} == brute_components(rows)
+
+
+@pytest.mark.parametrize("how", SETTINGS)
+@pytest.mark.parametrize("seed", [1, 2])
+def test_jaccard_join_near_the_threshold(spark, how, seed):
+    rows = list(enumerate(near_texts(seed)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.components(docs, how).collect()} == brute_components(rows)
+
+
+def test_jaccard_join_of_repeated_rows(spark):
+    """Rows of one doc_id count by their own texts; a null doc_id gets the component of what it is linked with."""
+    a, b = "one two three four five six seven", "other words in this text of nine or so"
+    docs = spark.createDataFrame([(3, a), (3, a), (3, b), (1, b), (None, a), (None, "alone in the world"), (5, None)], "doc_id long, text string")
+    got = sorted(map(tuple, jaccard_join.components(docs).collect()), key=str)
+    assert got == sorted([(3, 3, 3), (3, 3, 3), (3, 5, 1), (1, 5, 1), (None, 3, 3), (None, 1, None), (5, 0, 5)], key=str)
 
 
 def test_jaccard_join_of_nothing(empty):
