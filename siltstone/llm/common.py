@@ -106,11 +106,40 @@ def bounded(small: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(small) if small.limit(limit + 1).count() <= limit else small
 
 
+def spread(files: DataFrame, column: str, most: int = 50_000) -> DataFrame:
+    """A staged table of files, dealt out by a number of partitions that follows the number of files: a partition of a few
+    bytes of names is hours of reading, so adaptive execution must not merge them."""
+    return files.repartition(max(1, min(files.count(), most)), column)
+
+
 def pick(df: DataFrame, **columns: str) -> DataFrame:
     """Only the named columns, cast: extra columns and their names never matter afterwards."""
     return df.select(*[F.col(f"`{c}`").cast(kind).alias(c) for c, kind in columns.items()])
 
 
+def fresh_name(df: DataFrame, name: str) -> str:
+    """name, or the first of name_, name__ ... that is no column of df."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def numbered(scratch: Scratch, docs: DataFrame, row: str) -> DataFrame:
+    """docs with a column `row`, a key in the order of doc_id: doc_id itself if it is one, and else numbers.
+
+    Rows of one doc_id are in the order of their texts, and a null doc_id comes last; only then is the table sorted and
+    written once more.
+    """
+    ids = docs.groupBy("doc_id").agg(F.count("*").alias("n"))
+    if ids.filter("n > 1 or doc_id is null").isEmpty():
+        return docs.withColumn(row, F.col("doc_id").cast("long"))
+    order = [F.col("doc_id").asc_nulls_last(), F.xxhash64("text"), F.col("text")]
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = docs.repartitionByRange(parts, *order[:2]).sortWithinPartitions(*order)
+    return scratch.stage(ordered.withColumn(row, F.monotonically_increasing_id()), "numbered")
+
+
 def mapped(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | None]], schema: str) -> DataFrame:
     """df through Arrow batches; make() is called once a task and returns the function of a batch."""
 

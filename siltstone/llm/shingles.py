@@ -26,7 +26,8 @@ def mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return x
 
 
-def _powers(base: int, n: int) -> np.ndarray:
+def powers(base: int, n: int) -> np.ndarray:
+    """base to the powers 0 to n - 1, mod 2^64."""
     out, k = np.ones(n, np.uint64), 1
     while k < n:
         m = min(k, n - k)
@@ -42,7 +43,7 @@ class Words:
         self._grow(WINDOW + 1)
 
     def _grow(self, n: int) -> None:
-        self.power, self.inverse = _powers(_BASE, n), _powers(pow(_BASE, -1, 1 << 64), n)
+        self.power, self.inverse = powers(_BASE, n), powers(pow(_BASE, -1, 1 << 64), n)
 
     def of(self, text: bytes) -> tuple[np.ndarray, np.ndarray]:
         """Hash and place of each word."""

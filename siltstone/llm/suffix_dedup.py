@@ -11,13 +11,16 @@ of windows is one row.  Rows are sorted by bucket, and a bucket is refined by th
 a run whose string stands earlier is removed whole.  Only where runs of one bucket differ (at the ends of repeated
 passages) are the single windows sorted, by their own identifiers.
 
-Each batch of documents resolves its own repeats first, so a passage that very many documents share sends a row for each
-batch, not one for each document.
+Each portion of a few megabytes of text resolves its own repeats first, so a passage that very many documents share sends
+a row for each portion, not one for each document.  Where runs of one bucket differ within a portion, all of them go on
+to their single windows at once and one row tells the bucket so; so a bucket gets a row or two for each portion, however
+common its 32 bytes are.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -25,12 +28,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import Scratch, mapped, pick, utf8
+from siltstone.llm.common import Scratch, fresh_name, mapped, numbered, pick, utf8
 
 SEED = 32  # bytes of the buckets that windows are put under
-#: span: the first and last window of a run, 32 bits each.  A name of 0 marks a run that its batch has found removed.
-ROWS = "bucket long, name long, doc_id long, span long"
-SINGLE = "bucket long, doc_id long, span long"
+#: Bytes of text that are worked on at once; longer texts are cut between windows.
+PORTION = 4 << 20
+#: Windows of one text that are worked on at once.
+STRETCH = 1 << 20
+#: What a row of a run says: it is to be compared; its portion has found it removed; its portion has found other runs of
+#: its bucket, so its windows are to be compared; its bucket has runs that differ.
+COMPARE, REMOVED, DIFFERS, TOLD = range(4)
+ROWS = "bucket long, name long, kind int, row long, lo long, hi long"
+SINGLE = "bucket long, removed boolean, row long, lo long, hi long"
 
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 _BYTES = np.array([int.from_bytes(hashlib.blake2b(bytes([b]), digest_size=8).digest(), "little") for b in range(256)], np.uint64)
@@ -127,90 +136,120 @@ def first_of(names: np.ndarray) -> np.ndarray:
     return first
 
 
-def _columns(doc, lo, hi):
-    return [pa.array(doc), pa.array((lo.astype(np.int64) << 32) | hi.astype(np.int64))]
+def _spread(doc: np.ndarray, lo: np.ndarray) -> np.ndarray:
+    """Buckets for rows that may go anywhere."""
+    return pair(doc.view(np.uint64), lo.astype(np.uint64))
+
+
+def _batch(schema: str, *columns: np.ndarray) -> pa.RecordBatch:
+    return pa.record_batch([pa.array(c.view(np.int64) if c.dtype == np.uint64 else c) for c in columns], [x.split()[0] for x in schema.split(", ")])
+
+
+def _portions(rows: Iterator[tuple], most: int) -> Iterator[list[tuple]]:
+    """Lists of rows that begin with a byte string, of about `most` bytes together."""
+    held, size = [], 0
+    for r in rows:
+        held.append(r)
+        size += len(r[0])
+        if size >= most:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
+def _cut(text: bytes, first: int, last: int, most: int, length: int) -> Iterator[tuple[bytes, int]]:
+    """Windows `first` to `last` of a text, in stretches of at most `most` windows: the bytes, and their first window."""
+    for at in range(first, last + 1, most):
+        yield text[at : min(at + most - 1, last) + length], at
+
+
+def _runs(portion: list[tuple[bytes, int, int]], length: int) -> pa.RecordBatch:
+    parts = []
+    for text, row, at in portion:
+        bucket, name, lo, hi = runs_of(text, length)
+        parts.append((bucket, name, np.full(len(lo), row, np.int64), lo + at, hi + at))
+    bucket, name, row, lo, hi = (np.concatenate(x) for x in zip(*parts, strict=True))
+    keep = first_of(pair(bucket, name))
+    gone = joined(row[~keep], lo[~keep], hi[~keep], length)
+    bucket, name, row, lo, hi = (x[keep] for x in (bucket, name, row, lo, hi))
+    value, of, count = np.unique(bucket, return_inverse=True, return_counts=True)
+    differs = count[of] > 1
+    told = value[count > 1]
+    kind = np.concatenate([np.where(differs, DIFFERS, COMPARE), np.full(len(gone[0]), REMOVED), np.full(len(told), TOLD)]).astype(np.int32)
+    none = np.zeros(len(told), np.int64)
+    bucket = np.concatenate([np.where(differs, _spread(row, lo), bucket), _spread(gone[0], gone[1]), told])
+    name = np.concatenate([name, np.zeros(len(gone[0]) + len(told), np.uint64)])
+    return _batch(ROWS, bucket, name, kind, *(np.concatenate([x, y, none]) for x, y in zip((row, lo, hi), gone, strict=True)))
+
+
+def _windows(portion: list[tuple[bytes, int, int]], length: int) -> pa.RecordBatch:
+    """The single windows of stretches of text by their own identifiers; those that the portion has met go as removed."""
+    _, name = buckets(np.frombuffer(b"".join(x[0] for x in portion), np.uint8), length)
+    count = np.array([len(x[0]) - length + 1 for x in portion])
+    begin = np.cumsum(count + length - 1) - (count + length - 1)
+    within = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+    name = name[np.repeat(begin, count) + within]
+    row = np.repeat(np.array([x[1] for x in portion], np.int64), count)
+    at = np.repeat(np.array([x[2] for x in portion], np.int64), count) + within
+    keep = first_of(name)
+    gone = joined(row[~keep], at[~keep], at[~keep], length)
+    bucket = np.append(name[keep], _spread(gone[0], gone[1]))
+    return _batch(SINGLE, bucket, np.append(np.zeros(keep.sum(), bool), np.ones(len(gone[0]), bool)), *(np.append(x[keep], y) for x, y in zip((row, at, at), gone, strict=True)))
 
 
-def _with_removed(bucket, name, doc, lo, hi, keep, length):
-    """bucket, name, doc, lo, hi of the runs to be sorted (`keep`), and, under the name 0, of the windows that stand
-    earlier in this batch."""
-    d, a, b = joined(doc[~keep], lo[~keep], hi[~keep], length)
-    spread = pair(d.view(np.uint64), a.astype(np.uint64))
-    return np.append(bucket[keep], spread).view(np.int64), np.append(name[keep] | np.uint64(1), np.zeros(len(d), np.uint64)).view(np.int64), np.append(doc[keep], d), np.append(lo[keep], a), np.append(hi[keep], b)
+def _spans(rows: DataFrame) -> DataFrame:
+    """row, spans: the runs of each document, in order."""
+    return rows.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("lo", "hi"))).alias("spans"))
 
 
-def _spans(rows: DataFrame) -> DataFrame:
-    """doc_id, spans: the runs of each document."""
-    return rows.groupBy("doc_id").agg(F.collect_list("span").alias("spans"))
+def _ordered(b: pa.RecordBatch) -> Iterator[tuple]:
+    """Rows of a batch in the order of their first column, the others as Python values; texts as bytes."""
+    row = b.column("row").to_numpy()
+    texts = utf8(b.column("text"))
+    spans = b.column("spans") if "spans" in b.schema.names else None
+    for i in np.argsort(row, kind="stable"):
+        yield int(row[i]), texts[i], spans[int(i)].as_py() if spans is not None else None
 
 
-def removed_windows(scratch: Scratch, docs: DataFrame, length: int) -> DataFrame:
-    """doc_id, span: runs of positions where a string of `length` bytes begins that begins earlier, too."""
+def removed_windows(scratch: Scratch, docs: DataFrame, length: int, portion: int = PORTION) -> DataFrame:
+    """row, lo, hi: runs of positions where a string of `length` bytes begins that begins earlier, too.  docs: row, text."""
     if not 2 * SEED <= length <= 4 * SEED:
         raise ValueError(f"length must be between {2 * SEED} and {4 * SEED}")
-    docs = pick(docs, doc_id="long", text="string").filter(F.octet_length("text") >= length)
-
-    def seeds():
-        def each(b: pa.RecordBatch) -> pa.RecordBatch | None:
-            texts = utf8(b.column(1))
-            ids = b.column(0).to_numpy()
-            parts = []
-            for i in np.argsort(ids, kind="stable"):
-                bucket, name, lo, hi = runs_of(texts[i], length)
-                parts.append((bucket, name, np.full(len(lo), ids[i], np.int64), lo, hi))
-            bucket, name, doc, lo, hi = (np.concatenate(x) for x in zip(*parts, strict=True))
-            bucket, name, doc, lo, hi = _with_removed(bucket, name, doc, lo, hi, first_of(pair(bucket, name)), length)
-            return pa.record_batch([pa.array(bucket), pa.array(name), *_columns(doc, lo, hi)], ["bucket", "name", "doc_id", "span"])
+    docs = docs.filter(F.octet_length("text") >= length)
 
-        return each
+    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            stretches = ((x, row, at) for row, text, _ in _ordered(b) for x, at in _cut(text, 0, len(text) - length, min(portion, STRETCH), length))
+            for p in _portions(stretches, portion):
+                yield _runs(p, length)
 
-    rows = mapped(docs, seeds, ROWS).repartition("bucket").sortWithinPartitions("bucket", "name", "doc_id", "span")
-    one = W.partitionBy("bucket")
-    rows = rows.withColumn("differ", F.min("name").over(one) != F.max("name").over(one))
-    rows = rows.withColumn("nth", F.row_number().over(W.partitionBy("bucket", "name").orderBy("doc_id", "span")))
-    rows = rows.withColumn("removed", (F.col("name") == 0) | (F.col("nth") > 1)).filter("removed or differ")
-    rows = scratch.stage(rows.select("removed", "doc_id", "span"), "runs")
-
-    def windows():
-        def each(b: pa.RecordBatch) -> pa.RecordBatch | None:
-            """The identifiers of the single windows of the runs that differ."""
-            texts, ids, spans = utf8(b.column("text")), b.column("doc_id").to_numpy(), b.column("spans").to_pylist()
-            cut, doc, first, count = [], [], [], []
-            for i in np.argsort(ids, kind="stable"):
-                for s in sorted(spans[i]):
-                    lo, hi = s >> 32, s & 0xFFFFFFFF
-                    cut.append(texts[i][lo : hi + length])
-                    doc.append(ids[i])
-                    first.append(lo)
-                    count.append(hi - lo + 1)
-            if not cut:
-                return None
-            _, name = buckets(np.frombuffer(b"".join(cut), np.uint8), length)
-            count, first = np.array(count), np.array(first)
-            begin = np.cumsum(count + length - 1) - (count + length - 1)
-            within = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-            name = name[np.repeat(begin, count) + within]
-            at = np.repeat(first, count) + within
-            doc = np.repeat(np.array(doc, np.int64), count)
-            bucket, name, doc, lo, hi = _with_removed(name, name, doc, at, at, first_of(name), length)
-            # single windows that go on have an even bucket, removed ones an odd one
-            bucket = (bucket & ~np.int64(1)) | (name == 0)
-            return pa.record_batch([pa.array(bucket), *_columns(doc, lo, hi)], ["bucket", "doc_id", "span"])
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            stretches = ((x, row, at) for row, text, spans in _ordered(b) for s in spans for x, at in _cut(text, s["lo"], s["hi"], min(portion, STRETCH), length))
+            for p in _portions(stretches, portion):
+                yield _windows(p, length)
 
-        return each
+    rows = docs.mapInArrow(runs, ROWS).repartition("bucket").sortWithinPartitions("bucket", "name", "kind", "row", "lo")
+    one = W.partitionBy("bucket")
+    rows = rows.withColumn("differ", (F.min("name").over(one) != F.max("name").over(one)) | (F.max("kind").over(one) == TOLD))
+    rows = rows.withColumn("nth", F.row_number().over(W.partitionBy("bucket", "name", "kind").orderBy("row", "lo")))
+    removed = (F.col("kind") == REMOVED) | (F.col("kind") == COMPARE) & (F.col("nth") > 1)
+    rows = rows.withColumn("removed", removed).filter(f"kind <> {TOLD} and (removed or differ or kind = {DIFFERS})")
+    rows = scratch.stage(rows.select("removed", "row", "lo", "hi"), "runs")
 
     pending = _spans(rows.filter("not removed"))
-    single = mapped(docs.join(pending, "doc_id").select("doc_id", "text", "spans"), windows, SINGLE)
-    nth = F.row_number().over(W.partitionBy("bucket").orderBy("doc_id", "span"))
-    single = single.withColumn("nth", nth).filter("bucket % 2 <> 0 or nth > 1")
-    return rows.filter("removed").select("doc_id", "span").unionByName(single.select("doc_id", "span"))
+    single = docs.join(pending, "row").select("row", "text", "spans").mapInArrow(windows, SINGLE)
+    nth = F.row_number().over(W.partitionBy("bucket", "removed").orderBy("row", "lo"))
+    single = single.withColumn("nth", nth).filter("removed or nth > 1")
+    return rows.filter("removed").select("row", "lo", "hi").unionByName(single.select("row", "lo", "hi"))
 
 
-def _removed_spans(spans: list[int] | None, length: int) -> list[tuple[int, int]]:
-    """Maximal removed byte ranges of a document from its runs."""
+def _removed(spans: list[dict] | None, length: int) -> list[tuple[int, int]]:
+    """Maximal removed byte ranges of a document from its runs, which come in order."""
     out: list[tuple[int, int]] = []
-    for s in sorted(spans or ()):
-        lo, end = s >> 32, (s & 0xFFFFFFFF) + length
+    for s in spans or ():
+        lo, end = s["lo"], s["hi"] + length
         if out and lo <= out[-1][1]:
             out[-1] = out[-1][0], max(out[-1][1], end)
         else:
@@ -218,62 +257,67 @@ def _removed_spans(spans: list[int] | None, length: int) -> list[tuple[int, int]
     return out
 
 
-def repeated_spans(docs: DataFrame, length: int = 100) -> DataFrame:
-    """doc_id, spans: the runs of each document that has any, for `remaining`."""
-    scratch = Scratch(docs.sparkSession)
-    return scratch.result(_spans(removed_windows(scratch, docs, length)), "spans")
+def _kept(raw: bytes, removed: list[tuple[int, int]]) -> list[bytes]:
+    ends = [0, *[x for s in removed for x in s], len(raw)]
+    return [raw[a:z] for a, z in zip(ends[::2], ends[1::2], strict=True)]
 
 
-def dedup(docs: DataFrame, length: int = 100) -> DataFrame:
+def dedup(docs: DataFrame, length: int = 100, portion: int = PORTION) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept (the remaining bytes) of every document.
 
     Each byte goes that a string of `length` bytes covers which begins earlier, too: in a document of smaller doc_id, or
-    further in front in the same one.  Null texts are empty.  doc_id is a key; extra columns are ignored.  Texts shorter
-    than `length` stay as they are.
+    further in front in the same one.  Null and empty texts, and those shorter than `length`, stay as they are.  Texts may
+    have any length; they are worked on in portions.  Of rows with one doc_id, which stand in the order of their texts,
+    the first keeps what they share; rows with a null doc_id stand last.  An empty table gives an empty result.  Columns
+    but doc_id and text are ignored.
     """
-    whole = pick(docs, doc_id="long", text="string")
+    scratch = Scratch(docs.sparkSession)
+    whole = numbered(scratch, pick(docs, doc_id="long", text="string"), "row")
 
     def cut():
         def each(b: pa.RecordBatch) -> pa.RecordBatch:
             rows = []
             for d, text, spans in zip(b.column("doc_id").to_pylist(), utf8(b.column("text")), b.column("spans").to_pylist(), strict=True):
-                removed = _removed_spans(spans, length)
-                ends = [0, *[x for s in removed for x in s], len(text)]
-                kept = b"".join(text[a:z] for a, z in zip(ends[::2], ends[1::2], strict=True))
+                removed = _removed(spans, length)
+                kept = b"".join(_kept(text, removed))
                 rows.append((d, len(text), len(text) - len(kept), len(removed), kept))
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
             return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
         return each
 
-    found = whole.join(repeated_spans(docs, length), "doc_id", "left").select("doc_id", "text", "spans")
+    spans = scratch.stage(_spans(removed_windows(scratch, whole.select("row", "text"), length, portion)), "spans")
+    found = whole.join(spans, "row", "left").select("doc_id", "text", "spans")
     return mapped(found, cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
-def without_repeats(docs: DataFrame, length: int = 100) -> DataFrame:
-    """docs with text (and n_chars, if there) after removal; a character of which some byte stays in front or behind
-    goes with the removed span.  All columns stay."""
+def without_repeats(docs: DataFrame, length: int = 100, portion: int = PORTION) -> DataFrame:
+    """docs with text (and n_chars, if there) after removal, as `dedup` does it; a character of which some byte stays in
+    front or behind goes with the removed span.  All other columns stay, whatever their names."""
+    scratch = Scratch(docs.sparkSession)
+    row, spans = fresh_name(docs, "row"), fresh_name(docs, "spans")
+    whole = numbered(scratch, docs, row)
     names = docs.columns
-    found = docs.withColumn("doc_id", F.col("doc_id").cast("long")).join(repeated_spans(docs, length), "doc_id", "left")
     at, kind = names.index("text"), ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
 
     def cut():
         def each(b: pa.RecordBatch) -> pa.RecordBatch:
             texts = []
-            for text, spans in zip(b.column("text").to_pylist(), b.column("_spans").to_pylist(), strict=True):
-                if spans:
+            for text, found in zip(b.column(at).to_pylist(), b.column(len(names)).to_pylist(), strict=True):
+                if found:
                     raw = text.encode()
-                    removed = _removed_spans(spans, length)
-                    ends = [0, *[x for s in removed for x in s], len(raw)]
-                    text = "".join(raw[a:z].decode("utf-8", "ignore") for a, z in zip(ends[::2], ends[1::2], strict=True))
+                    text = "".join(x.decode("utf-8", "ignore") for x in _kept(raw, _removed(found, length)))
                 texts.append(text)
-            columns = [b.column(c) for c in names]
+            columns = [b.column(i) for i in range(len(names))]
             columns[at] = pa.array(texts, columns[at].type)
             return pa.record_batch(columns, names)
 
         return each
 
-    out = mapped(found.select(*[F.col(f"`{c}`") for c in names], F.col("spans").alias("_spans")), cut, kind)
+    texts = whole.select(F.col(f"`{row}`").alias("row"), F.col("text").cast("string").alias("text"))
+    found = scratch.stage(_spans(removed_windows(scratch, texts, length, portion)), "spans")
+    found = whole.join(found.select(F.col("row").alias(row), F.col("spans").alias(spans)), row, "left")
+    out = mapped(found.select(*[F.col(f"`{c}`") for c in names], F.col(f"`{spans}`")), cut, kind)
     if "n_chars" in names:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out.select(*[F.col(f"`{c}`") for c in names])
