@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import mapped, pick, stage, utf8
+from siltstone.llm.common import mapped, pick, spread, stage, utf8
 
 PIECES = "doc_id long, piece int, start long, length long, ids binary"
 
@@ -225,10 +225,10 @@ def best_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray,
     return sequence, offset, n_sequences
 
 
-def resets(segment_lengths: np.ndarray) -> np.ndarray:
-    """Position ids of a packed sequence: they begin at 0 again with each segment."""
-    starts = np.repeat(np.cumsum(segment_lengths) - segment_lengths, segment_lengths)
-    return np.arange(int(segment_lengths.sum()), dtype=np.int64) - starts
+def positions(reset: np.ndarray) -> np.ndarray:
+    """Position ids of a packed sequence: they begin at 0 again where `reset` is set."""
+    at = np.arange(len(reset))
+    return at - np.maximum.accumulate(np.where(reset, at, 0))
 
 
 #: Bytes of 32-bit ids from which on a shard is closed.
@@ -240,10 +240,10 @@ def pack_shards(docs: DataFrame, vocabulary: str, capacity: int, end: int | None
     """Tokenise, split losslessly, pack by best-fit-decreasing and write; a row for each piece says where it lies.
 
     Neighbouring documents of a task, up to `SHARD_BYTES` of ids and one document more, are a shard, packed in memory, so
-    no token is shuffled.  A shard is three files in `folder`: `<shard>.ids.npy`, the id matrix (sequences x capacity, unsigned 16-bit
+    no token is shuffled.  A shard is four files in `folder`: `<shard>.ids.npy`, the id matrix (sequences x capacity, unsigned 16-bit
     if the vocabulary allows, filled up with `fill`), `<shard>.cu.npy`, the cumulative segment lengths of all sequences
-    (each sequence's run from 0 to its length), and `<shard>.at.npy`, where each sequence's run begins in them.  Position
-    resets follow from the segment lengths (`resets`).  A task that is run again writes the same shards under new names;
+    (each sequence's run from 0 to its length), `<shard>.at.npy`, where each sequence's run begins in them, and
+    `<shard>.resets.npy`, the position resets: a matrix of bits, set where position ids begin at 0 again.  A task that is run again writes the same shards under new names;
     only shards named in the rows count.
     Null text is empty; an empty document without an `end` has no piece; an empty table writes nothing.
     """
@@ -270,8 +270,10 @@ def pack_shards(docs: DataFrame, vocabulary: str, capacity: int, end: int | None
             cu = np.empty(at[-1], np.int32)
             cu[np.arange(len(order)) + sequence[order]] = offset[order]
             cu[at[1:] - 1] = np.bincount(sequence, length, n)
+            reset = np.zeros((n, capacity), bool)
+            reset[sequence, offset] = True
             shard = uuid.uuid4().hex
-            for part, what in (("ids", matrix), ("cu", cu), ("at", at)):
+            for part, what in (("ids", matrix), ("cu", cu), ("at", at), ("resets", np.packbits(reset, axis=1))):
                 save(f"{folder}/{shard}.{part}.npy", what)
             out = [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.int64()), pa.array(length), pa.array([shard] * len(rows)), pa.array(sequence), pa.array(offset)]
             return pa.record_batch(out, ["doc_id", "piece", "start", "length", "shard", "sequence", "offset"])
@@ -298,7 +300,8 @@ READ = "shard string, sequence long, n_tokens long, n_segments long, segment_len
 
 
 def read_shards(shards: DataFrame, folder: str) -> DataFrame:
-    """The sequences of the written shards named in column `shard`: ids without fill, segments and position resets."""
+    """The sequences of the written shards named in column `shard`: ids without fill, segments, and position ids from the
+    stored resets, which must agree with the segments."""
     from siltstone.llm.files import load
 
     names = [x.split()[0] for x in READ.split(", ")]
@@ -307,13 +310,16 @@ def read_shards(shards: DataFrame, folder: str) -> DataFrame:
     def run(batches):
         for b in batches:
             for shard in b.column(0).to_pylist():
-                matrix, cu, at = (load(f"{folder}/{shard}.{part}.npy") for part in ("ids", "cu", "at"))
+                matrix, cu, at, bits = (load(f"{folder}/{shard}.{part}.npy") for part in ("ids", "cu", "at", "resets"))
                 rows = []
                 for s in range(len(matrix)):
                     part = cu[at[s] : at[s + 1]]
                     lengths = np.diff(part)
+                    reset = np.unpackbits(bits[s], count=part[-1]).astype(bool)
+                    if not np.array_equal(np.flatnonzero(reset), part[:-1]):
+                        raise ValueError(f"shard {shard}, sequence {s}: position resets and segment lengths differ")
                     ids = matrix[s, : part[-1]].astype("<u4")
-                    rows.append((shard, s, len(ids), len(lengths), lengths.tolist(), ids.tobytes(), resets(lengths).astype("<u4").tobytes()))
+                    rows.append((shard, s, len(ids), len(lengths), lengths.tolist(), ids.tobytes(), positions(reset).astype("<u4").tobytes()))
                 yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
-    return shards.select("shard").distinct().mapInArrow(run, READ)
+    return spread(stage(shards.select("shard").distinct(), "shards"), "shard").mapInArrow(run, READ)

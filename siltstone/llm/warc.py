@@ -15,7 +15,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import mapped, pick, stage
+from siltstone.llm.common import mapped, pick, spread, stage
 from siltstone.llm.files import opened, write_bytes
 
 # fixed values: the frame that holds a dictionary, and the beginning of a Zstandard frame
@@ -129,6 +129,8 @@ def parse(record: bytes, where: str) -> tuple[dict[str, str], bytes]:
         raise BadArchive(f"{where}: a revisit that refers to nothing")
     if kind == "response" and digest.startswith("sha256:") and hashlib.sha256(block).hexdigest() != digest[7:]:
         raise BadArchive(f"{where}: the payload is not that of its digest")
+    if (length := headers.get("warc-payload-length")) is not None and (not length.isdigit() or kind == "response" and int(length) != n):
+        raise BadArchive(f"{where}: warc-payload-length {length!r}, but {n} bytes")
     return headers, block
 
 
@@ -200,10 +202,27 @@ def read_archives(archives: DataFrame, payloads: bool = True) -> DataFrame:
                 if rows:
                     yield batch(rows)
 
-    return archives.select("archive").repartition("archive").mapInArrow(run, RECORD)
+    return spread(archives.select("archive"), "archive").mapInArrow(run, RECORD)
+
+
+def checked(records: DataFrame) -> DataFrame:
+    """records; reading fails if a revisit refers to no response, or to one of another payload digest or length.
+
+    The sides are plain exchanges, so a response to which very many records refer is split by adaptive execution.
+    """
+    found = records.filter("record_type = 'response'").select(F.col("record_id").alias("refers_to"), F.col("payload_digest").alias("_digest"), F.col("payload_length").alias("_length")).dropDuplicates(["refers_to"])
+    same = F.coalesce((F.col("_digest") == F.col("payload_digest")) & (F.col("_length") == F.col("payload_length")), F.lit(False))
+    bad = F.raise_error(F.concat(F.lit("BadArchive: the revisit "), "record_id", F.lit(" doesn't agree with "), F.coalesce("refers_to", F.lit("any record"))))
+    revisits = records.filter("record_type = 'revisit'").join(found, "refers_to", "left").withColumn("record_type", F.when(same, F.col("record_type")).otherwise(bad.cast("string")))
+    return records.filter("record_type <> 'revisit'").unionByName(revisits.select(records.columns))
 
 
 def round_trip(pages: DataFrame, folder: str) -> DataFrame:
-    """Write the pages' archives, read them back: page_id, payload_bytes, payload_digest, record_type, refers_to."""
+    """Write the pages' archives, read them back: page_id, payload_bytes, payload_digest, record_type, refers_to.
+
+    A null html is empty; pages of any length are stored, each in the memory of one task; an empty table gives no archive
+    and no row; of equal payloads the smallest page_id is the response; repeated rows are all responses.
+    """
     records = read_archives(stage(write_archives(pages, folder), "archives"), payloads=False)
+    records = checked(stage(records.drop("payload", "target_uri"), "records"))
     return records.select("page_id", F.col("payload_length").alias("payload_bytes"), "payload_digest", "record_type", F.col("refers_to_page").alias("refers_to"))
