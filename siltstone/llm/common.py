@@ -40,12 +40,24 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+#: Spark's setting by which the shuffle files of a finished execution are deleted.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet into the shared folder and read it back: lineage is cut, a lost executor costs nothing."""
+    """Write df as Parquet into the shared folder and read it back: lineage is cut, a lost executor costs nothing.
+
+    Nothing reads the shuffle files of the writing afterwards, so Spark may delete them at its end.
+    """
     spark = df.sparkSession
     path = scratch_path(spark, name)
     schema = df.schema
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
     out = spark.read.schema(schema).parquet(path)
     out._siltstone_path = path
     return out

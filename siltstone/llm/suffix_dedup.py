@@ -38,8 +38,10 @@ STRETCH = 1 << 20
 #: What a row of a run says: it is to be compared; its portion has found it removed; its portion has found other runs of
 #: its bucket, so its windows are to be compared; its bucket has runs that differ.
 COMPARE, REMOVED, DIFFERS, TOLD = range(4)
-ROWS = "bucket long, name long, kind int, row long, lo long, hi long"
-SINGLE = "bucket long, removed boolean, row long, lo long, hi long"
+#: `name` has that in its lowest two bits, and `bucket` of a single window whether it is removed in its lowest one; `span`
+#: has the first and last window of a run, 32 bits each.
+ROWS = "bucket long, name long, row long, span long"
+SINGLE = "bucket long, row long, span long"
 
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 _BYTES = np.array([int.from_bytes(hashlib.blake2b(bytes([b]), digest_size=8).digest(), "little") for b in range(256)], np.uint64)
@@ -141,6 +143,10 @@ def _spread(doc: np.ndarray, lo: np.ndarray) -> np.ndarray:
     return pair(doc.view(np.uint64), lo.astype(np.uint64))
 
 
+def _span(lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    return (lo.astype(np.int64) << 32) | hi.astype(np.int64)
+
+
 def _batch(schema: str, *columns: np.ndarray) -> pa.RecordBatch:
     return pa.record_batch([pa.array(c.view(np.int64) if c.dtype == np.uint64 else c) for c in columns], [x.split()[0] for x in schema.split(", ")])
 
@@ -176,11 +182,11 @@ def _runs(portion: list[tuple[bytes, int, int]], length: int) -> pa.RecordBatch:
     value, of, count = np.unique(bucket, return_inverse=True, return_counts=True)
     differs = count[of] > 1
     told = value[count > 1]
-    kind = np.concatenate([np.where(differs, DIFFERS, COMPARE), np.full(len(gone[0]), REMOVED), np.full(len(told), TOLD)]).astype(np.int32)
+    kind = np.concatenate([np.where(differs, DIFFERS, COMPARE), np.full(len(gone[0]), REMOVED), np.full(len(told), TOLD)]).astype(np.uint64)
     none = np.zeros(len(told), np.int64)
     bucket = np.concatenate([np.where(differs, _spread(row, lo), bucket), _spread(gone[0], gone[1]), told])
-    name = np.concatenate([name, np.zeros(len(gone[0]) + len(told), np.uint64)])
-    return _batch(ROWS, bucket, name, kind, *(np.concatenate([x, y, none]) for x, y in zip((row, lo, hi), gone, strict=True)))
+    name = np.concatenate([name & ~np.uint64(3), np.zeros(len(gone[0]) + len(told), np.uint64)]) | kind
+    return _batch(ROWS, bucket, name, np.concatenate([row, gone[0], none]), np.concatenate([_span(lo, hi), _span(*gone[1:]), none]))
 
 
 def _windows(portion: list[tuple[bytes, int, int]], length: int) -> pa.RecordBatch:
@@ -194,13 +200,13 @@ def _windows(portion: list[tuple[bytes, int, int]], length: int) -> pa.RecordBat
     at = np.repeat(np.array([x[2] for x in portion], np.int64), count) + within
     keep = first_of(name)
     gone = joined(row[~keep], at[~keep], at[~keep], length)
-    bucket = np.append(name[keep], _spread(gone[0], gone[1]))
-    return _batch(SINGLE, bucket, np.append(np.zeros(keep.sum(), bool), np.ones(len(gone[0]), bool)), *(np.append(x[keep], y) for x, y in zip((row, at, at), gone, strict=True)))
+    bucket = np.append(name[keep] & ~np.uint64(1), _spread(gone[0], gone[1]) | np.uint64(1))
+    return _batch(SINGLE, bucket, np.append(row[keep], gone[0]), np.append(_span(at[keep], at[keep]), _span(*gone[1:])))
 
 
 def _spans(rows: DataFrame) -> DataFrame:
     """row, spans: the runs of each document, in order."""
-    return rows.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("lo", "hi"))).alias("spans"))
+    return rows.groupBy("row").agg(F.array_sort(F.collect_list("span")).alias("spans"))
 
 
 def _ordered(b: pa.RecordBatch) -> Iterator[tuple]:
@@ -213,7 +219,7 @@ def _ordered(b: pa.RecordBatch) -> Iterator[tuple]:
 
 
 def removed_windows(scratch: Scratch, docs: DataFrame, length: int, portion: int = PORTION) -> DataFrame:
-    """row, lo, hi: runs of positions where a string of `length` bytes begins that begins earlier, too.  docs: row, text."""
+    """row, span: runs of positions where a string of `length` bytes begins that begins earlier, too.  docs: row, text."""
     if not 2 * SEED <= length <= 4 * SEED:
         raise ValueError(f"length must be between {2 * SEED} and {4 * SEED}")
     docs = docs.filter(F.octet_length("text") >= length)
@@ -226,30 +232,30 @@ def removed_windows(scratch: Scratch, docs: DataFrame, length: int, portion: int
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            stretches = ((x, row, at) for row, text, spans in _ordered(b) for s in spans for x, at in _cut(text, s["lo"], s["hi"], min(portion, STRETCH), length))
+            stretches = ((x, row, at) for row, text, spans in _ordered(b) for s in spans for x, at in _cut(text, s >> 32, s & 0xFFFFFFFF, min(portion, STRETCH), length))
             for p in _portions(stretches, portion):
                 yield _windows(p, length)
 
-    rows = docs.mapInArrow(runs, ROWS).repartition("bucket").sortWithinPartitions("bucket", "name", "kind", "row", "lo")
+    rows = docs.mapInArrow(runs, ROWS).repartition("bucket").sortWithinPartitions("bucket", "name", "row", "span")
     one = W.partitionBy("bucket")
-    rows = rows.withColumn("differ", (F.min("name").over(one) != F.max("name").over(one)) | (F.max("kind").over(one) == TOLD))
-    rows = rows.withColumn("nth", F.row_number().over(W.partitionBy("bucket", "name", "kind").orderBy("row", "lo")))
-    removed = (F.col("kind") == REMOVED) | (F.col("kind") == COMPARE) & (F.col("nth") > 1)
-    rows = rows.withColumn("removed", removed).filter(f"kind <> {TOLD} and (removed or differ or kind = {DIFFERS})")
-    rows = scratch.stage(rows.select("removed", "row", "lo", "hi"), "runs")
+    kind = F.col("name").bitwiseAND(F.lit(3))
+    rows = rows.withColumn("differ", F.min("name").over(one) != F.max("name").over(one))
+    rows = rows.withColumn("nth", F.row_number().over(W.partitionBy("bucket", "name").orderBy("row", "span")))
+    rows = rows.withColumn("removed", (kind == REMOVED) | (kind == COMPARE) & (F.col("nth") > 1)).filter((kind != TOLD) & (F.col("removed") | F.col("differ") | (kind == DIFFERS)))
+    rows = scratch.stage(rows.select("removed", "row", "span"), "runs")
 
     pending = _spans(rows.filter("not removed"))
     single = docs.join(pending, "row").select("row", "text", "spans").mapInArrow(windows, SINGLE)
-    nth = F.row_number().over(W.partitionBy("bucket", "removed").orderBy("row", "lo"))
-    single = single.withColumn("nth", nth).filter("removed or nth > 1")
-    return rows.filter("removed").select("row", "lo", "hi").unionByName(single.select("row", "lo", "hi"))
+    nth = F.row_number().over(W.partitionBy("bucket").orderBy("row", "span"))
+    single = single.withColumn("nth", nth).filter("bucket % 2 <> 0 or nth > 1")
+    return rows.filter("removed").select("row", "span").unionByName(single.select("row", "span"))
 
 
-def _removed(spans: list[dict] | None, length: int) -> list[tuple[int, int]]:
+def _removed(spans: list[int] | None, length: int) -> list[tuple[int, int]]:
     """Maximal removed byte ranges of a document from its runs, which come in order."""
     out: list[tuple[int, int]] = []
     for s in spans or ():
-        lo, end = s["lo"], s["hi"] + length
+        lo, end = s >> 32, (s & 0xFFFFFFFF) + length
         if out and lo <= out[-1][1]:
             out[-1] = out[-1][0], max(out[-1][1], end)
         else:
