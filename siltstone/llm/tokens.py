@@ -1,25 +1,40 @@
 """Token ids and token counts by the tokenizers library, remembered per chunk of text.
 
 Both vocabularies cut a text at white space before anything else, so the tokens of a text are those of its chunks, one
-after the other.  Each worker keeps what the library returned for the chunks it has met (two generations of bounded
-size) and asks the library for the others.  Texts for which cutting isn't safe go to the library whole.
+after the other.  A portion of texts is cut and its chunks are told apart by two 64-bit hashes in arrays; each worker keeps
+what the library returned for the chunks it has met (a bounded number, of bounded length) and asks the library only for
+the others.  Texts for which cutting isn't safe go to the library whole.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
-import struct
 from collections.abc import Callable
 
-#: Entries of each of the two generations of a worker's memory.
-MEMORY = 400_000
-#: A chunk of Latin letters and then common marks: its pieces are known, so the library's model is asked for each piece
-#: at once, without the library's normaliser and piece pattern.  Every other chunk goes through the whole library.
-_PLAIN = re.compile(r"( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?|*#%&$]*)")
+import numpy as np
+
+from siltstone.llm.shingles import powers
+
+#: Chunks that a worker remembers, and the bytes of the longest of them.
+MEMORY, LONGEST = 2_500_000, 200
+#: Pieces that a worker remembers (twice, at most).
+PIECES = 300_000
+#: Bytes of text that are cut at once.
+PORTION = 1 << 20
+#: Marks of which any number behind a word is one piece.  A chunk of letters and then such marks has known pieces, so the
+#: library's model is asked for each piece, without its normaliser and piece pattern; other chunks go through all of it.
+MARKS = ".,;:!?|*#%&$"
+#: Words for whose counts the normaliser matters no further than lower case.
+_LATIN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+")
+_BASES = (0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
+_LETTER = [np.array([int.from_bytes(hashlib.blake2b(bytes([b, k]), digest_size=8).digest(), "little") for b in range(256)], np.uint64) for k in range(2)]
+#: Added to the hashes of chunks that begin a text.
+_FIRST = np.uint64(0x9E3779B97F4A7C15)
 
 
 class Remembered(dict):
-    """chunk -> value, made by `compute` when it is first asked for; holds at most 2 * size values."""
+    """word -> value, made by `compute` when it is first asked for; holds at most 2 * size values."""
 
     def __init__(self, compute: Callable, size: int = MEMORY):
         super().__init__()
@@ -38,6 +53,135 @@ class Remembered(dict):
             self.clear()
 
 
+class Cutter:
+    """Chunks between separators, with two hashes of each."""
+
+    def __init__(self, separators: bytes):
+        self.apart = np.zeros(256, bool)
+        self.apart[list(separators)] = True
+        self._grow(1 << 16)
+
+    def _grow(self, n: int) -> None:
+        self.power = [powers(b, n) for b in _BASES]
+        self.inverse = [powers(pow(b, -1, 1 << 64), n) for b in _BASES]
+
+    def of(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+        """Begin, end and hashes of the chunks of a byte array."""
+        if len(data) > len(self.power[0]):
+            self._grow(len(data))
+        apart = np.concatenate([[True], self.apart[data], [True]])
+        edge = np.flatnonzero(apart[1:] != apart[:-1])
+        begin, end = edge[::2], edge[1::2]
+        hashes = []
+        for letter, power, inverse in zip(_LETTER, self.power, self.inverse, strict=True):
+            value = letter[data]
+            value *= power[: len(data)]
+            total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(value, dtype=np.uint64)])
+            hashes.append((total[end] - total[begin]) * inverse[begin])
+        return begin, end, hashes
+
+
+class Collision(Exception):
+    """Two chunks with one first hash but different second ones."""
+
+
+class Memory:
+    """What `compute` gives for chunks (arrays of unsigned 32-bit numbers, or None), by their hashes.
+
+    Two sorted tables: a large one, and a recent one that is merged into it from time to time.  With more than `most` chunks
+    the worker learns anew.
+    """
+
+    def __init__(self, compute: Callable, most: int = MEMORY):
+        self.compute, self.most = compute, most
+        self._clear()
+
+    def _clear(self) -> None:
+        none = np.empty(0, np.uint64), np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int32)
+        self.old, self.recent = none, none  # key, check, start, count (-1 for None)
+        self.flat, self.used = np.empty(1 << 16, np.uint32), 0
+
+    def _put(self, values: list) -> tuple[np.ndarray, np.ndarray]:
+        count = np.array([-1 if v is None else len(v) for v in values], np.int32)
+        n = np.maximum(count, 0).astype(np.int64)
+        start, total = self.used + np.cumsum(n) - n, int(n.sum())
+        if self.used + total > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.empty(max(total, len(self.flat)), np.uint32)])
+        self.flat[self.used : self.used + total] = [x for v in values if v is not None for x in v]
+        self.used += total
+        return start, count
+
+    def look(self, key: np.ndarray, check: np.ndarray, chunk: Callable, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Values of different chunks: a flat array, and where in it each one's begins and how long it is (-1 for None)."""
+        order = np.argsort(key)
+        key, check = key[order], check[order]
+        start, count, known = np.zeros(len(key), np.int64), np.zeros(len(key), np.int32), np.zeros(len(key), bool)
+        for k, c, s, n in (self.old, self.recent):
+            if len(k):
+                at = np.minimum(np.searchsorted(k, key), len(k) - 1)
+                here = np.flatnonzero(k[at] == key)
+                at = at[here]
+                if (c[at] != check[here]).any():
+                    self._clear()
+                    raise Collision
+                start[here], count[here], known[here] = s[at], n[at], True
+        new, long, mark = np.flatnonzero(~known), [], 0
+        if len(new):
+            if len(self.old[0]) + len(self.recent[0]) > self.most:
+                flat, begin = self.flat, start[known]
+                self._clear()  # but for what this portion needs
+                n = np.maximum(count[known], 0).astype(np.int64)
+                end = np.cumsum(n)
+                self.flat = np.append(flat[np.repeat(begin - end + n, n) + np.arange(n.sum())], np.empty(1 << 16, np.uint32))
+                self.used, start[known] = int(n.sum()), end - n
+                self.old = key[known], check[known], start[known], count[known]
+            new = new[np.argsort(size[order[new]] > LONGEST, kind="stable")]
+            keep = new[size[order[new]] <= LONGEST]
+            start[keep], count[keep] = self._put([self.compute(*chunk(i)) for i in order[keep].tolist()])
+            mark, long = self.used, new[len(keep) :]
+            if len(long):
+                start[long], count[long] = self._put([self.compute(*chunk(i)) for i in order[long].tolist()])
+            fresh = tuple(np.append(x, y) for x, y in zip(self.recent, (key[keep], check[keep], start[keep], count[keep]), strict=True))
+            by = np.argsort(fresh[0], kind="stable")
+            self.recent = tuple(x[by] for x in fresh)
+            if len(by) > max(50_000, len(self.old[0]) // 4):
+                both = tuple(np.append(x, y) for x, y in zip(self.old, self.recent, strict=True))
+                by = np.argsort(both[0], kind="stable")
+                self.old = tuple(x[by] for x in both)
+                self.recent = tuple(x[:0] for x in self.old)
+        back = np.empty(len(order), np.int64)
+        back[order] = np.arange(len(order))
+        flat = self.flat
+        if len(long):  # their values came last and aren't kept
+            flat, self.flat, self.used = flat, flat[:mark].copy(), mark
+        return flat, start[back], count[back]
+
+
+def portions(texts: list[bytes], most: int = PORTION):
+    """Neighbouring texts of about `most` bytes together; a longer text is a portion by itself."""
+    held, size = [], 0
+    for t in texts:
+        if held and size + len(t) > most:
+            yield held
+            held, size = [], 0
+        held.append(t)
+        size += len(t) + 1
+    if held:
+        yield held
+
+
+def told_apart(key: np.ndarray, check: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Number of each chunk's kind, and a chunk of each kind."""
+    import pandas as pd
+
+    of, kinds = pd.factorize(key)
+    first = np.empty(len(kinds), np.int64)
+    first[of[::-1]] = np.arange(len(key) - 1, -1, -1)
+    if (check[first][of] != check).any():
+        raise Collision
+    return of, first
+
+
 def _byte_letters() -> dict[int, str]:
     """The byte-level alphabet: printable Latin-1 stands for itself, the other bytes for the letters from 256 on."""
     own = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -62,7 +206,7 @@ def _pieces(t) -> Callable[[str], list[int]]:
     tokenize, blank = t.model.tokenize, _LETTERS[32]
 
     def ids(piece: str) -> list[int]:
-        if piece.isascii():  # without control characters: only the blank in front has another letter
+        if piece.isascii() and piece.isprintable():  # only the blank in front has another letter
             letters = blank + piece[1:] if piece[0] == " " else piece
         else:
             letters = piece.encode().decode("latin-1").translate(_LETTERS)
@@ -78,32 +222,39 @@ def counter(path: str) -> Callable[[list[bytes]], list[int]]:
     """
     if ("count", path) not in _made:
         t = _library(path)
-        ids, plain = _pieces(t), _PLAIN.fullmatch
+        ids, latin = _pieces(t), _LATIN.fullmatch
+        pieces = Remembered(lambda piece: len(ids(piece)), PIECES)
 
-        def compute(word: bytes) -> int:
+        def count(word: bytes) -> int:
             s = word.decode()
-            if m := plain(s):
-                return len(ids(m[1].lower())) + (len(ids(m[2])) if m[2] else 0)
+            core = s.rstrip(MARKS)
+            if latin(core):
+                return pieces[core.lower()] + (pieces[s[len(core) :]] if len(core) < len(s) else 0)
             return len(t.encode(s, add_special_tokens=False).ids)
 
-        _made["count", path] = Remembered(compute)
-    memory = _made["count", path]
-    get = memory.__getitem__
+        _made["count", path] = Memory(lambda word: (count(word),)), Cutter(b" \t\n\x0b\x0c\r"), count, pieces
+    memory, cutter, count, pieces = _made["count", path]
 
     def counts(texts: list[bytes]) -> list[int]:
-        out = []
-        for x in texts:
-            out.append(sum(map(get, x.split())))
-            memory.trim()
+        out: list[int] = []
+        for some in portions(texts):
+            joined = b" ".join(some)
+            begin, end, (key, check) = cutter.of(np.frombuffer(joined, np.uint8))
+            try:
+                of, first = told_apart(key, check)
+                flat, start, _ = memory.look(key[first], check[first], lambda i: (joined[begin[first[i]] : end[first[i]]],), (end - begin)[first])  # noqa: B023
+            except Collision:
+                out += [sum(map(count, x.split())) for x in some]
+                continue
+            pieces.trim()
+            total = np.concatenate([[0], np.cumsum(flat[start].astype(np.int64)[of])])
+            cut = np.searchsorted(begin, np.concatenate([[0], np.cumsum([len(x) + 1 for x in some])]))
+            out += (total[cut[1:]] - total[cut[:-1]]).tolist()
         return out
 
     return counts
 
 
-class _Irregular(Exception):
-    """A chunk with white space at an end: there the byte-level pattern looks beyond the chunk."""
-
-
 def encoder(path: str) -> Callable[[list[bytes]], list[bytes]]:
     """Ids of UTF-8 texts under a byte-level vocabulary, as little-endian unsigned 32-bit numbers.
 
@@ -112,37 +263,63 @@ def encoder(path: str) -> Callable[[list[bytes]], list[bytes]]:
     """
     if ("ids", path) not in _made:
         t = _library(path)
-        ids, plain = _pieces(t), _PLAIN.fullmatch
-
-        def whole(s: str) -> bytes:
-            got = t.encode(s, add_special_tokens=False).ids
-            return struct.pack(f"<{len(got)}I", *got)
-
-        def compute(chunk: str) -> bytes:
-            """Of a chunk after a blank."""
-            if m := plain(chunk):
-                got = ids(" " + m[1]) + (ids(m[2]) if m[2] else [])
-                return struct.pack(f"<{len(got)}I", *got)
-            if not chunk or chunk[0].isspace() or chunk[-1].isspace():
-                raise _Irregular
-            return whole(" " + chunk)
-
-        _made["ids", path] = Remembered(compute), whole
-    memory, whole = _made["ids", path]
-    get = memory.__getitem__
+        pieces = Remembered(_pieces(t), PIECES)
+
+        def whole(s: str) -> list[int]:
+            return t.encode(s, add_special_tokens=False).ids
+
+        def compute(chunk: bytes, first: bool) -> list[int] | None:
+            """Of a chunk behind a blank, or at a text's beginning; None if white space stands at an end of it: there the
+            piece pattern looks beyond the chunk."""
+            s = chunk.decode()
+            if s[0].isspace() or s[-1].isspace():
+                return None
+            out, blank = [], "" if first else " "
+            for line in s.split("\n"):  # a single line break between two words is a piece
+                core = line.rstrip(MARKS)
+                if not core.isalpha():
+                    return whole(s if first else " " + s)
+                out += pieces[blank + core]
+                if len(core) < len(line):
+                    out += pieces[line[len(core) :]]
+                out += pieces["\n"]
+                blank = ""
+            return out[: -len(pieces["\n"])]
+
+        _made["ids", path] = Memory(compute), Cutter(b" "), whole, pieces
+    memory, cutter, whole, pieces = _made["ids", path]
+
+    def packed(ids: list[int]) -> bytes:
+        return np.array(ids, "<u4").tobytes()
 
     def ids_of(texts: list[bytes]) -> list[bytes]:
-        out = []
-        for x in texts:
-            s = x.decode()
-            first, *rest = s.split(" ")
+        out: list[bytes] = []
+        for some in portions(texts):
+            joined = b" ".join(some)
+            begin, end, (key, check) = cutter.of(np.frombuffer(joined, np.uint8))
+            at = np.concatenate([[0], np.cumsum([len(x) + 1 for x in some])])
+            cut = np.searchsorted(begin, at)
+            # a text of n chunks with n - 1 blanks between them has none at its ends and no two together
+            n = np.diff(cut)
+            regular = np.diff(at) - 1 - np.add.reduceat(np.append(end - begin, 0), cut[:-1]) * (n > 0) == np.maximum(n - 1, 0)
+            leading = np.zeros(len(begin), bool)
+            leading[cut[:-1][n > 0]] = True
+            key = np.where(leading, key + _FIRST, key)
             try:
-                if rest and (not first or first[-1].isspace()):
-                    raise _Irregular
-                out.append((whole(first) if first else b"") + b"".join(map(get, rest)))
-            except _Irregular:
-                out.append(whole(s))
-            memory.trim()
+                of, first = told_apart(key, check)
+                flat, start, count = memory.look(key[first], check[first], lambda i: (joined[begin[first[i]] : end[first[i]]], bool(leading[first[i]])), (end - begin)[first])  # noqa: B023
+            except Collision:
+                out += [packed(whole(x.decode())) for x in some]
+                continue
+            start, count = start[of], count[of]
+            bad = np.concatenate([[0], np.cumsum(count < 0)])
+            regular &= bad[cut[1:]] == bad[cut[:-1]]
+            count = np.maximum(count, 0)
+            place = np.concatenate([[0], np.cumsum(count)])
+            pieces.trim()
+            ids = flat[np.repeat(start - place[:-1], count) + np.arange(place[-1])].astype("<u4").tobytes()
+            for x, a, z, ok in zip(some, place[cut[:-1]].tolist(), place[cut[1:]].tolist(), regular.tolist(), strict=True):
+                out.append(ids[4 * a : 4 * z] if ok else packed(whole(x.decode())))
         return out
 
     return ids_of
