@@ -70,7 +70,7 @@ def support_signal(n: Column) -> Column:
 
 
 def confidence(sources: Column, support: Column, diversity: Column) -> Column:
-    base = F.when(sources >= 3, 0.95).when(sources == 2, 0.85).otherwise(0.62)
+    base = F.when(sources >= 3, 0.95).when(sources == 2, 0.85).when(sources == 1, 0.62).otherwise(0.0)
     return F.least(F.lit(0.99), base + 0.01 * F.least(F.greatest(support - 1, F.lit(0)), F.lit(4)) + 0.01 * F.least(F.greatest(diversity - 1, F.lit(0)), F.lit(3)))
 
 

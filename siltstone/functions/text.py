@@ -93,10 +93,12 @@ def date_keywords(text: Column) -> Column:
 
 
 def contains_phrase(text: Column, phrase: str) -> Column:
-    """phrase in text, not inside a longer word."""
+    """phrase in text, not inside a longer word or identifier; a phrase of other letters than ASCII anywhere."""
     import re
 
-    return F.lower(text).rlike(rf"(^|[^\p{{L}}\p{{N}}]){re.escape(phrase.lower())}($|[^\p{{L}}\p{{N}}])")
+    if not phrase.isascii():
+        return F.contains(F.lower(text), F.lit(phrase.lower()))
+    return F.lower(text).rlike(rf"(^|[^\p{{L}}\p{{N}}_]){re.escape(phrase.lower())}($|[^\p{{L}}\p{{N}}_])")
 
 
 def keyword_overlap(query_words: Column, row_keywords: Column, content: Column) -> Column:
@@ -134,20 +136,49 @@ def sentences(text: Column) -> Column:
     return F.filter(F.transform(F.split(text, r"[.!?。！？\n]+"), F.trim), lambda x: x != "")
 
 
-# fixed values: what looks like a secret
-SECRETS = (r"(?i)(api[_-]?key|secret|passwd|password|token)\s*[:=]\s*\S+", r"AKIA[0-9A-Z]{16}", r"gh[pousr]_[A-Za-z0-9]{20,}", r"sk-[A-Za-z0-9_-]{16,}", r"-----BEGIN [A-Z ]*PRIVATE KEY-----")
+def statements(text: Column) -> Column:
+    """Sentences of prose: they end at . ! ? before white space, at CJK marks with the closing ones behind them, and at
+    blank lines; a single line break doesn't end one."""
+    cut = F.regexp_replace(text, r"[.!?](?=\s|$)|[。｡．！？][。｡．！？”’」』）】》〉)\]]*|\n(?=[ \t\r]*\n)", "$0\u0001")
+    return F.filter(F.transform(F.split(cut, "\u0001"), lambda x: F.regexp_replace(x, r"(?U)^\s+|\s+$", "")), lambda x: x != "")
+
+
+# fixed values: phrases that mark a line as secret (without those that name one product's variables)
+SECRET_PHRASES = (
+    "api_key=", "api-key=", "apikey=", "token=", "access_token=", "client_secret=", "secret=", "password=", "authorization:", "bearer ",
+    "export gemini_api_key", "export openai_api_key", "sk-", "gho_", "ghp_", "sm_", "-----begin", "-----end",
+)
+# fixed values: patterns of secrets, and what stands in their place
+SECRETS = (
+    (r"(?is)-----BEGIN [^-]+-----.*?-----END [^-]+-----", "[REDACTED_PEM_BLOCK]"),
+    (r"(?i)\b(authorization\s*:\s*bearer)\s+[^\s]+", "$1 [REDACTED]"),
+    (r"""(?i)(["'](?:api[_-]?key|access[_-]?token|client[_-]?secret|token|secret|password)["']\s*:\s*")([^"]*)(")""", "$1[REDACTED]$3"),
+    (r"""(?i)(["'](?:api[_-]?key|access[_-]?token|client[_-]?secret|token|secret|password)["']\s*:\s*')([^']*)(')""", "$1[REDACTED]$3"),
+    (r"""(?i)\b((?:api[_-]?key|access[_-]?token|client[_-]?secret|token|secret|password)\s*[:=]\s*)("[^"]*"|'[^']*'|[^\s]+)""", "$1[REDACTED]"),
+    (r"(?i)\b(export\s+(?:gemini_api_key|openai_api_key)\s*=\s*)[^\s]+", "$1[REDACTED]"),
+    (r"\bsk-[A-Za-z0-9_-]{20,}\b", "[REDACTED_API_KEY]"),
+    (r"\bgh[pousr]_[A-Za-z0-9]{20,}\b", "[REDACTED_GITHUB_TOKEN]"),
+    (r"\bgithub_pat_[A-Za-z0-9_]{20,}\b", "[REDACTED_GITHUB_TOKEN]"),
+    (r"\bhf_[A-Za-z]{20,}\b", "[REDACTED_HF_TOKEN]"),
+    (r"\bAKIA[0-9A-Z]{16}\b", "[REDACTED_AWS_KEY]"),
+    (r"\bAIza[0-9A-Za-z\-_]{20,}\b", "[REDACTED_GCP_KEY]"),
+    (r"\bxox[baprs]-[A-Za-z0-9-]{10,}\b", "[REDACTED_SLACK_TOKEN]"),
+    (r"\bsm_[A-Za-z0-9_-]{20,}\b", "[REDACTED_SM_TOKEN]"),
+)
 
 
 def is_secret(line: Column) -> Column:
-    out = F.lit(False)
-    for p in SECRETS:
+    low, out = F.lower(line), F.lit(False)
+    for p in SECRET_PHRASES:
+        out = out | F.contains(low, F.lit(p))
+    for p, _ in SECRETS:
         out = out | line.rlike(p)
     return out
 
 
 def redact(text: Column) -> Column:
-    for p in SECRETS:
-        text = F.regexp_replace(text, p, "[redacted]")
+    for p, instead in SECRETS:
+        text = F.regexp_replace(text, p, instead)
     return text
 
 

@@ -12,24 +12,74 @@ from siltstone.functions import text
 def pairs(rows: DataFrame, block: list[str], bound: float) -> DataFrame:
     """Pairs a < b of one block with max(Jaccard, containment) over the bound: a, b, jaccard, containment, sim.
 
-    rows: id, tokens and the block's columns.  Postings of a block's tokens meet, so only rows that share a token are
-    compared, and the counts of shared tokens give both measures exactly.
+    rows: id, tokens (distinct) and the block's columns.  Containment, which is never less than Jaccard, is a share of the
+    smaller set; so of its n tokens some one among the n - floor(bound * n) rarest of the block stands in the larger set
+    as well.  Only these are looked up in the postings, so words that most rows have are hardly ever met; the pairs found
+    are then verified on their whole sets.
     """
     p = rows.select(*block, "id", F.size("tokens").alias("n"), F.explode("tokens").alias("t"))
-    q = p.select(*block, F.col("id").alias("b"), F.col("n").alias("m"), "t")
-    both = p.join(q, [*block, "t"]).filter("id < b").groupBy(*block, F.col("id").alias("a"), "b").agg(F.count("*").alias("both"), F.first("n").alias("n"), F.first("m").alias("m"))
-    j = F.col("both") / (F.col("n") + F.col("m") - F.col("both"))
-    c = F.col("both") / F.least("n", "m")
-    return both.select(*block, "a", "b", j.alias("jaccard"), c.alias("containment"), F.greatest(j, c).alias("sim")).filter(F.col("sim") > bound)
-
-
-def band(lexical: Column, vector: Column, threshold: float = 0.7) -> Column:
+    rare = p.join(p.groupBy(*block, "t").agg(F.count("*").alias("df")).filter("df > 1"), [*block, "t"])
+    first = rare.groupBy(*block, "id", "n").agg(F.array_sort(F.collect_list(F.struct("df", "t"))).alias("x"))
+    # tokens of one row alone come first in the order, and match nothing
+    most = F.col("n") - F.floor(F.lit(bound) * F.col("n") + 1e-9) - (F.col("n") - F.size("x"))
+    probes = first.select(*block, F.col("id").alias("s"), F.col("n").alias("sn"), F.explode(F.slice("x", F.lit(1), F.greatest(most.cast("int"), F.lit(0)))["t"]).alias("t"))
+    post = rare.select(*block, F.col("id").alias("l"), F.col("n").alias("ln"), "t")
+    met = probes.join(post, [*block, "t"]).filter("sn < ln or (sn = ln and s < l)")
+    met = met.select(*block, F.least("s", "l").alias("a"), F.greatest("s", "l").alias("b")).distinct()
+    for x in "ab":
+        met = met.join(rows.select(*block, F.col("id").alias(x), F.col("tokens").alias(f"_{x}")), [*block, x])
+    both, n, m = F.size(F.array_intersect("_a", "_b")), F.size("_a"), F.size("_b")
+    j, c = both / (n + m - both), both / F.least(n, m)
+    return met.select(*block, "a", "b", j.alias("jaccard"), c.alias("containment"), F.greatest(j, c).alias("sim")).filter(F.col("sim") > bound)
+
+
+#: Stored rows, and tokens of them all, up to which they are sent to every task.
+STORED_ROWS, STORED_TOKENS = 50_000, 5_000_000
+
+
+def against(rows: DataFrame, stored: DataFrame, schema: str, fold) -> DataFrame | None:
+    """fold(id, n, shared, sizes) of each row (id, tokens): the tokens that it shares with each stored row (other, tokens)
+    and their sizes.  One pass over the rows with the stored ones' postings in every task; None if they are too many."""
+    import numpy as np
+    import pyarrow as pa
+
+    size = stored.agg(F.count("*"), F.sum(F.size("tokens"))).first()
+    if size[0] > STORED_ROWS or (size[1] or 0) > STORED_TOKENS:
+        return None
+    held = stored.select("other", "tokens").orderBy("other").collect()
+    post: dict[str, list[int]] = {}
+    for i, r in enumerate(held):
+        for t in r["tokens"]:
+            post.setdefault(t, []).append(i)
+    index = {t: np.array(v, np.int32) for t, v in post.items()}
+    shared = rows.sparkSession.sparkContext.broadcast((index, np.array([len(r["tokens"]) for r in held], np.int64), [r["other"] for r in held]))
+    names = [x.split()[0] for x in schema.split(", ")]
+
+    def run(batches):
+        index, sizes, others = shared.value
+        for b in batches:
+            out = []
+            for i, tokens in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                hits = [index[t] for t in tokens or () if t in index]
+                counts = np.bincount(np.concatenate(hits), minlength=len(sizes)) if hits else np.zeros(len(sizes), np.int64)
+                out.append((i, fold(len(tokens or ()), counts, sizes, others)))
+            yield pa.record_batch([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out])], names)
+
+    return rows.select(F.col("id").cast("long").alias("id"), "tokens").mapInArrow(run, schema)
+
+
+def gray_bound(lexical: Column, judged: bool = True) -> Column:
+    """From which lexical similarity on a judge is asked: lower while calls of the judge are left."""
+    return F.when((lexical >= 0.35) & (lexical < 0.50) & F.lit(judged), 0.35).otherwise(0.50)
+
+
+def band(lexical: Column, vector: Column, threshold: float = 0.7, judged: bool = True) -> Column:
     """What a candidate's two similarities ask for: merge, gray zone or new."""
-    lower = F.lit(max(round(threshold - 0.2, 6), 0.35))
-    return F.when((vector > 0.85) | (lexical > threshold), "merge").when(((vector > 0.60) & (vector <= 0.85)) | (lexical > lower), "gray_zone").otherwise("create_new")
+    gray = (vector > 0.60) | (lexical >= gray_bound(lexical, judged))
+    return F.when((vector > 0.85) | (lexical > threshold), "merge").when(gray, "gray_zone").otherwise("create_new")
 
 
-def decide(candidates: DataFrame, threshold: float, window_days: float = 7, cap: int = 5) -> DataFrame:
+def decide(candidates: DataFrame, threshold: float, window_days: float = 7, cap: int = 5, judged: bool = True) -> DataFrame:
     """new_id, action, targets: what inserting each new row does, by its candidates.
 
     candidates: new_id, old_id, lexical, vector, age_days, contains (the new row strongly contains the old one).  Rows
@@ -43,14 +93,13 @@ def decide(candidates: DataFrame, threshold: float, window_days: float = 7, cap:
     hits = c.groupBy("new_id").agg(F.slice(F.transform(F.array_sort(F.collect_list(F.when(F.col("lexical") > threshold, F.struct("_r", "old_id")))), lambda x: x["old_id"]), 1, cap).alias("_many"))
     best = c.filter("_r = 1").join(hits, "new_id")
     supersede = (F.col("age_days") >= window_days) | F.col("contains")
-    lower = max(round(threshold - 0.2, 6), 0.35)
     action = (
         F.when(F.col("old_id").isNull(), "create_new")
         .when(by_vector & (F.col("_hits") < 2), F.when(supersede, "supersede").otherwise("merge_into"))
-        .when((F.col("_best_v") > 0.60) & (F.col("_best_l") <= threshold), "gray_zone")
+        .when((F.col("_best_v") > 0.60) & (F.col("_best_l") < threshold), "gray_zone")
         .when(F.col("_hits") >= 2, F.when(supersede, "supersede").otherwise("merge_into_many"))
         .when(F.col("_hits") == 1, F.when(supersede, "supersede").otherwise("merge_into"))
-        .when(F.col("_best_l") > lower, F.when(F.col("_best_v") < 0.50, "create_new").otherwise("gray_zone"))
+        .when(F.col("_best_l") >= gray_bound(F.col("_best_l"), judged), F.when(F.col("_best_v") < 0.50, "create_new").otherwise("gray_zone"))
         .otherwise("create_new")
     )
     targets = F.when(F.col("action") == "create_new", F.array().cast("array<bigint>")).when(F.col("action") == "merge_into_many", F.col("_many")).otherwise(F.array("old_id"))
@@ -58,14 +107,15 @@ def decide(candidates: DataFrame, threshold: float, window_days: float = 7, cap:
 
 
 def greedy(found: DataFrame, sizes: DataFrame, block: list[str]) -> DataFrame:
-    """winner, loser: pairs in order (a, b); a pair counts if neither row has lost; the longer text wins, ties the later row.
-
-    The order matters only inside groups that pairs connect, which are small; so each block is folded on its own.
-    """
+    """winner, loser: pairs resolved in their order; a row that has lost takes no further part.  The longer row wins, of
+    equal ones the second.  Only pairs that chains of pairs connect matter to each other, so each component is folded by
+    itself, wherever it lies."""
     import pandas as pd
 
     s = sizes.select(F.col("id").alias("a"), F.col("size").alias("sa")), sizes.select(F.col("id").alias("b"), F.col("size").alias("sb"))
-    rows = found.select(*block, "a", "b").join(s[0], "a").join(s[1], "b")
+    found = found.select("a", "b").distinct()
+    root = components(found).select(F.col("id").alias("a"), "root")
+    rows = found.join(root, "a").join(s[0], "a").join(s[1], "b")
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         lost, out = set(), []
@@ -77,7 +127,7 @@ def greedy(found: DataFrame, sizes: DataFrame, block: list[str]) -> DataFrame:
             out.append((w, l))
         return pd.DataFrame(out, columns=["winner", "loser"])
 
-    return rows.groupBy(*block).applyInPandas(fold, "winner long, loser long")
+    return rows.groupBy("root").applyInPandas(fold, "winner long, loser long")
 
 
 def merged(winner: Column, loser: Column, note: str) -> dict[str, Column]:
@@ -98,9 +148,25 @@ def merged(winner: Column, loser: Column, note: str) -> dict[str, Column]:
 
 
 def novelty(rows: DataFrame, stored: DataFrame) -> DataFrame:
-    """id, novelty: 1 less the greatest similarity to any stored row (tokens), by postings."""
+    """id, novelty: 1 less the greatest similarity to any stored row (tokens).
+
+    In one pass if the stored rows are few enough to be sent to every task, else by postings.
+    """
+    stored = stored.select(F.col("id").alias("other"), "tokens")
+
+    def nearest(n, shared, sizes, others):
+        import numpy as np
+
+        hit = np.flatnonzero(shared)
+        if not len(hit):
+            return 1.0
+        c, m = shared[hit], sizes[hit]
+        return 1.0 - float(np.maximum(c / (n + m - c), c / np.minimum(n, m)).max())
+
+    if (out := against(rows, stored, "id long, novelty double", nearest)) is not None:
+        return out
     a = rows.select("id", F.size("tokens").alias("n"), F.explode("tokens").alias("t"))
-    b = stored.select(F.col("id").alias("other"), F.size("tokens").alias("m"), F.explode("tokens").alias("t"))
+    b = stored.select("other", F.size("tokens").alias("m"), F.explode("tokens").alias("t"))
     both = a.join(b, "t").groupBy("id", "other").agg(F.count("*").alias("c"), F.first("n").alias("n"), F.first("m").alias("m"))
     sim = F.greatest(F.col("c") / (F.col("n") + F.col("m") - F.col("c")), F.col("c") / F.least("n", "m"))
     return rows.select("id").join(both.groupBy("id").agg(F.max(sim).alias("s")), "id", "left").select("id", (1 - F.coalesce("s", F.lit(0.0))).alias("novelty"))

@@ -36,23 +36,40 @@ def tie_averaged_rr(scored: DataFrame, by: list[str]) -> DataFrame:
     return scored.withColumn("_rr", 1 / rank).withColumn("rr", F.avg("_rr").over(W.partitionBy(*by, "score"))).drop("_rr")
 
 
+def _by_event(candidates: DataFrame) -> DataFrame:
+    """event, c: the candidates of each event; a recall returns few, so an event fits into a row."""
+    return candidates.groupBy("event").agg(F.collect_list(F.struct("id", "bm25", "vec", "rest", "label")).alias("c"))
+
+
+def _reward(c: Column, alpha: Column) -> Column:
+    """The sum of label / rank of an event's candidates under a mixture of the two channels."""
+    score = lambda x: F.round(alpha * x["bm25"] + (1 - alpha) * x["vec"] + x["rest"], 12)
+    ranked = F.array_sort(F.transform(c, lambda x: F.struct((-score(x)).alias("k"), x["id"].alias("id"), x["label"].alias("label"))))
+    return F.aggregate(F.transform(ranked, lambda x, i: x["label"] / (i + 1)), F.lit(0.0), lambda a, x: a + x)
+
+
 def alpha_rewards(candidates: DataFrame, alphas: list[float]) -> DataFrame:
     """event, alpha, reward: the sum of label / rank under each mixture of the two channels.
 
     candidates: event, id, bm25, vec, rest, label (1 used, -1 unhelpful, 0 else).
     """
-    at = candidates.withColumn("alpha", F.explode(F.array(*[F.lit(a) for a in alphas])))
-    score = F.round(F.col("alpha") * F.col("bm25") + (1 - F.col("alpha")) * F.col("vec") + F.col("rest"), 12)
-    rank = F.row_number().over(W.partitionBy("event", "alpha").orderBy(F.desc("score"), "id"))
-    return at.withColumn("score", score).withColumn("rank", rank).groupBy("event", "alpha").agg(F.sum(F.col("label") / F.col("rank")).alias("reward"))
+    grid = F.array(*[F.lit(a) for a in alphas])
+    at = _by_event(candidates).select("event", F.explode(F.transform(grid, lambda a: F.struct(a.alias("alpha"), _reward(F.col("c"), a).alias("reward")))).alias("x"))
+    return at.select("event", "x.alpha", "x.reward")
 
 
-def best_alpha(candidates: DataFrame, coarse: int = 20) -> DataFrame:
-    """event, alpha, reward: the first best of a coarse grid, refined around it; flat events have no signal and go."""
-    grid = alpha_rewards(candidates, [i / coarse for i in range(coarse + 1)])
-    grid = grid.withColumn("reward", F.round("reward", 12))
-    top = grid.groupBy("event").agg(F.max("reward").alias("reward"), F.min("reward").alias("_low"), F.max_by("alpha", F.struct("reward", -F.col("alpha"))).alias("alpha"))
-    return top.filter("reward > _low").drop("_low")
+def best_alpha(candidates: DataFrame, coarse: int = 20, fine: int = 10, reach: float = 0.05) -> DataFrame:
+    """event, alpha, reward: the first best of a coarse grid, then of a fine one within `reach` of it, if that is better.
+    Events without a label, and those whose coarse grid is flat, have no signal and go."""
+    at = lambda a: F.struct(F.round(_reward(F.col("c"), a), 12).alias("reward"), (-a).alias("minus"))
+    events = _by_event(candidates).filter(F.exists("c", lambda x: x["label"] != 0))
+    events = events.withColumn("grid", F.transform(F.array(*[F.lit(i / coarse) for i in range(coarse + 1)]), at))
+    events = events.select("event", "c", F.array_max("grid").alias("top"), F.array_min("grid")["reward"].alias("low")).filter("top.reward > low")
+    middle = -F.col("top.minus")
+    lo, hi = F.greatest(middle - reach, F.lit(0.0)), F.least(middle + reach, F.lit(1.0))
+    events = events.withColumn("near", F.array_max(F.transform(F.sequence(F.lit(0), F.lit(fine)), lambda i: at(lo + (hi - lo) * i / fine))))
+    best = F.when(F.col("near.reward") > F.col("top.reward"), F.col("near")).otherwise(F.col("top"))
+    return events.select("event", (-best["minus"]).alias("alpha"), best["reward"].alias("reward"))
 
 
 def weighted_mean(value: Column, weight: Column) -> Column:
@@ -73,10 +90,8 @@ def shrunk(n: Column, value: Column, prior: Column, strength: float = 5.0) -> Co
 
 def buckets(events: DataFrame, prior: float = 0.5, strength: float = 5.0) -> DataFrame:
     """Means over all, by type, and by type and cluster, each drawn towards the level above (events: type, cluster, alpha, weight)."""
-    mean = weighted_mean(F.col("alpha"), F.col("weight")).alias("raw")
     by = events.groupBy("type", "cluster").agg(F.count("*").alias("n"), F.sum("weight").alias("w"), F.sum(F.col("alpha") * F.col("weight")).alias("s"))
     level = lambda *g: by.groupBy(*g).agg(F.sum("n").alias("n"), (F.sum("s") / F.sum("w")).alias("raw"))
-    del mean
     top = level().select(F.lit(None).cast("string").alias("type"), F.lit(None).cast("int").alias("cluster"), "n", shrunk(F.col("n"), F.col("raw"), F.lit(prior), strength).alias("alpha"))
     one = top.select(F.col("alpha").alias("_p"))
     mid = level("type").crossJoin(F.broadcast(one)).select("type", F.lit(None).cast("int").alias("cluster"), "n", shrunk(F.col("n"), F.col("raw"), F.col("_p"), strength).alias("alpha"))
@@ -114,36 +129,6 @@ def exploration(counts: dict[str, int], theta: float) -> float:
     return min(0.90, max(0.40, theta + step))
 
 
-def simplex_proposals(best: list[float], parts: int = 10) -> list[list[float]]:
-    """Corners, midpoints of corners, the best so far, and every step of a tenth from it towards a corner."""
-    n = len(best)
-    corner = [[1.0 if i == k else 0.0 for i in range(n)] for k in range(n)]
-    middle = [[(a + b) / 2 for a, b in zip(corner[i], corner[j], strict=True)] for i in range(n) for j in range(i)]
-    toward = [[(1 - s / parts) * b + s / parts * c for b, c in zip(best, k, strict=True)] for k in corner for s in range(1, parts)]
-    return [best, *corner, *middle, *toward]
-
-
-def best_simplex(candidates: DataFrame, start: list[float]) -> DataFrame:
-    """event, weights, reward: the best of the proposals for six features; candidates: event, id, features, label."""
-    import numpy as np
-    import pandas as pd
-
-    proposals = simplex_proposals(start)
-
-    def search(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("id")
-        x, y = np.array(pdf.features.tolist()), pdf.label.to_numpy()
-        best, value = None, -math.inf
-        for w in proposals:
-            order = np.argsort(-np.round(x @ np.array(w), 12), kind="stable")
-            reward = float((y[order] / np.arange(1, len(y) + 1)).sum())
-            if reward > value + 1e-12:
-                best, value = w, reward
-        return pd.DataFrame([(int(pdf.event.iloc[0]), best, value)], columns=["event", "weights", "reward"])
-
-    return candidates.groupBy("event").applyInPandas(search, "event long, weights array<double>, reward double")
-
-
 def rerank_step(weights: dict[str, float], events: list[tuple[dict[str, float], float]], rate: float = 0.005) -> dict[str, float]:
     """Rerank weights after a fold of (features, signal) in their order: gradient steps that keep the learnable weights'
     subtotal, none below 0."""

@@ -66,8 +66,8 @@ def prunable(df: DataFrame, below: float = 0.05) -> DataFrame:
 
 
 def decayed(df: DataFrame, as_of) -> DataFrame:
-    """Strengths as of a time; critical rows stay at 1."""
-    age = scoring.days(F.lit(as_of), F.col("created_at"))
+    """Strengths as of a time, by the days since each row's last access; critical rows stay at 1."""
+    age = scoring.days(F.lit(as_of), F.col("last_accessed"))
     return df.withColumn("strength", scoring.decay(F.col("decay_lambda"), F.col("access_count"), age, F.col("layer"), F.col("importance")))
 
 

@@ -17,22 +17,22 @@ def topic_groups(df: DataFrame) -> DataFrame:
     return n.groupBy("topic_key").agg(best, F.count("*").alias("variants"), F.sum("n").alias("n"))
 
 
-def consolidated(df: DataFrame, as_of, least: int = 3, most_lines: int = 50) -> DataFrame:
+def consolidated(df: DataFrame, as_of, least: int = 3, most_lines: int | None = None) -> DataFrame:
     """One row for each topic of at least `least` live rows: their distinct summaries and lines, joined; keywords together."""
     live = df.filter(F.col("status").isin(*LIVE))
     first = live.groupBy("topic").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct("created_at", "id", "summary", "content"))).alias("_r")).filter(F.col("n") >= least)
     lines = F.array_distinct(F.filter(F.flatten(F.transform("_r", lambda r: F.transform(F.split(r["content"], "\n"), F.trim))), lambda x: (x != "") & ~F.lower(x).startswith("[merged")))
-    body = F.concat_ws("\n", F.array_join(F.transform(F.array_distinct(F.transform("_r", lambda r: r["summary"])), lambda s: F.concat(F.lit("- "), s)), "\n"), F.array_join(F.slice(lines, 1, most_lines), "\n"))
+    body = F.concat_ws("\n", F.array_join(F.transform(F.array_distinct(F.transform("_r", lambda r: r["summary"])), lambda s: F.concat(F.lit("- "), s)), "\n"), F.array_join(lines if most_lines is None else F.slice(lines, 1, most_lines), "\n"))
     return first.select("topic", "n", F.transform("_r", lambda r: r["id"]).alias("ids"), body.alias("content"), F.lit(as_of).cast("timestamp").alias("created_at"))
 
 
-def auto_links(df: DataFrame, above: float = 0.2, cap: int = 5) -> DataFrame:
-    """source, target, weight in both directions: the most similar rows (id, tokens), at most `cap` for each."""
+def auto_links(df: DataFrame, block: list[str], above: float = 0.2, cap: int = 5) -> DataFrame:
+    """source, target, weight in both directions: the most similar rows (id, tokens) of a block, at most `cap` for each."""
     from siltstone.operators.dedup import pairs
 
-    p = pairs(df.withColumn("_one", F.lit(0)), ["_one"], above)
+    p = pairs(df, block, above)
     both = p.select(F.col("a").alias("source"), F.col("b").alias("target"), F.col("sim").alias("weight")).unionByName(p.select(F.col("b").alias("source"), F.col("a").alias("target"), F.col("sim").alias("weight")))
-    return both.withColumn("_r", F.row_number().over(W.partitionBy("source").orderBy(F.desc("weight"), "target"))).filter(F.col("_r") <= cap).drop("_r")
+    return both.withColumn("_r", F.row_number().over(W.partitionBy("source").orderBy(F.desc(F.round("weight", 12)), "target"))).filter(F.col("_r") <= cap).drop("_r")
 
 
 def evolved(similar: DataFrame) -> DataFrame:

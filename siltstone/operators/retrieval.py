@@ -57,12 +57,31 @@ def top_k(scored: DataFrame, k: int, by: tuple[str, ...] = ("query_id",), order:
     return scored.withColumn("rank", F.row_number().over(W.partitionBy(*by).orderBy(order, "id"))).filter(F.col("rank") <= k)
 
 
-def like(docs: DataFrame, queries: DataFrame, fields: tuple[str, ...]) -> DataFrame:
-    """Rows in which a query stands literally in one of the fields, in any case; score is the strength."""
-    hit = F.lit(False)
-    for f in fields:
-        hit = hit | F.contains(F.lower(f), F.lower("query"))
-    return docs.join(F.broadcast(queries), hit).select("query_id", "id", F.col("strength").alias("score"))
+def like(docs: DataFrame, queries: DataFrame, fields: tuple[str, ...], most: int = 10_000) -> DataFrame:
+    """Rows in which a query stands literally in one of the fields, in any case; score is the strength.  A null or empty
+    query finds nothing.
+
+    Up to `most` queries are looked for in one pass over the rows.  More of them go in several passes.
+    """
+    queries = queries.filter("query <> ''").select("query_id", F.lower("query").alias("_q"))
+    blocks = max(1, -(-queries.count() // most))
+    out = None
+    for i in range(blocks):
+        some = queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i).collect() if blocks > 1 else queries.collect()
+        if not some:
+            continue
+        stated = F.array(*[F.struct(F.lit(r["query_id"]).alias("query_id"), F.lit(r["_q"]).alias("q")) for r in some]) if len(some) <= 50 else None
+        if stated is not None:
+            hit = lambda x: F.exists(F.array(*[F.lower(f) for f in fields]), lambda t: F.contains(t, x["q"]))
+            part = docs.select("id", "strength", F.explode(F.filter(stated, hit)).alias("x")).select("x.query_id", "id", F.col("strength").alias("score"))
+        else:
+            hit = F.lit(False)
+            for f in fields:
+                hit = hit | F.contains(F.lower(f), F.col("_q"))
+            table = docs.sparkSession.createDataFrame([(r["query_id"], r["_q"]) for r in some], queries.schema)
+            part = docs.join(F.broadcast(table), hit).select("query_id", "id", F.col("strength").alias("score"))
+        out = part if out is None else out.unionByName(part)
+    return out if out is not None else docs.select(F.lit(None).cast("int").alias("query_id"), "id", F.col("strength").alias("score")).limit(0)
 
 
 def with_fallback(channels: list[DataFrame]) -> DataFrame:
@@ -84,20 +103,28 @@ def cosine(a: Column, b: Column, zero: float = 0.0) -> Column:
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int, block: int = 4096) -> DataFrame:
-    """Exact k nearest by cosine: (query_id, id, score, rank).
+    """Exact k nearest by cosine: (query_id, id, score, rank).  Null vectors are left out.
 
-    The stated queries are broadcast in one Arrow pass over the vectors; each batch keeps its k best of each query, so at
-    most k rows for each query and batch are shuffled.
+    The stated queries are broadcast, `block` at a time, each in one Arrow pass over the vectors; each batch keeps its k
+    best of each query, so at most k rows for each query and batch are shuffled.
     """
+    queries = queries.filter("embedding is not null").select(F.col("query_id").cast("long").alias("query_id"), "embedding")
+    blocks = max(1, -(-queries.count() // block))
+    found = None
+    for i in range(blocks):
+        some = queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i) if blocks > 1 else queries
+        part = _near(vectors, some.collect(), k)
+        found = part if found is None else found.unionByName(part)
+    return top_k(found.withColumn("score", F.round("score", 12)), k)
+
+
+def _near(vectors: DataFrame, stated: list, k: int) -> DataFrame:
     import numpy as np
     import pyarrow as pa
 
-    stated = queries.select("query_id", "embedding").orderBy("query_id").limit(block + 1).collect()
-    if len(stated) > block:
-        raise ValueError(f"more than {block} queries; search in blocks")
     if not stated:
-        return vectors.sparkSession.createDataFrame([], "query_id long, id long, score double, rank int")
-    ids = [r["query_id"] for r in stated]
+        return vectors.sparkSession.createDataFrame([], "query_id long, id long, score double")
+    ids = np.array([r["query_id"] for r in stated], np.int64)
     q = np.array([r["embedding"] for r in stated], float)
     q /= np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
     shared = vectors.sparkSession.sparkContext.broadcast((ids, q))
@@ -107,17 +134,16 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int, block: int = 4096) -
         for b in batches:
             if not b.num_rows:
                 continue
-            v = np.array(b.column("embedding").to_pylist(), float)
+            v = np.asarray(b.column("embedding").flatten(), float).reshape(b.num_rows, -1)
             norm = np.linalg.norm(v, axis=1)
             s = np.where(norm > 0, (q @ v.T) / np.where(norm > 0, norm, 1), 0.0)
             n = min(k, s.shape[1])
             key = b.column("id").to_numpy()
-            rows = [(i, int(key[j]), float(s[r, j])) for r, i in enumerate(ids) for j in np.lexsort((key, -np.round(s[r], 12)))[:n]]
-            a, c, d = zip(*rows, strict=True)
-            yield pa.record_batch([pa.array(a, pa.int64()), pa.array(c, pa.int64()), pa.array(d)], ["query_id", "id", "score"])
+            by_id = np.argsort(key, kind="stable")
+            top = by_id[np.argsort(-np.round(s[:, by_id], 12), axis=1, kind="stable")[:, :n]]
+            yield pa.record_batch([pa.array(np.repeat(ids, n)), pa.array(key[top].ravel()), pa.array(np.take_along_axis(s, top, 1).ravel())], ["query_id", "id", "score"])
 
-    found = vectors.select(F.col("id").cast("long").alias("id"), "embedding").mapInArrow(best, "query_id long, id long, score double")
-    return top_k(found.withColumn("score", F.round("score", 12)), k)
+    return vectors.filter("embedding is not null").select(F.col("id").cast("long").alias("id"), "embedding").mapInArrow(best, "query_id long, id long, score double")
 
 
 def centroids(vectors: DataFrame, cluster: str) -> DataFrame:
@@ -263,9 +289,19 @@ def evidence_bonus(scored: DataFrame, evidence: DataFrame, query_tokens: DataFra
 def corroborated(docs: DataFrame, external: DataFrame, above: float = 0.3) -> DataFrame:
     """id, sources: in how many external sources a row has a text of word Jaccard over `above`, and 1 for itself.
 
-    Tokens join by their postings, so only texts that share one are compared; `docs` is (id, tokens), `external` is
-    (source, key, tokens).
+    `docs` is (id, tokens), `external` is (source, key, tokens).  In one pass if the external texts are few enough to be sent
+    to every task, else by postings.
     """
+    from siltstone.operators.dedup import against
+
+    def sources(n, shared, sizes, others):
+        import numpy as np
+
+        hit = np.flatnonzero(shared / np.maximum(n + sizes - shared, 1) > above)
+        return 1 + len({others[i]["source"] for i in hit.tolist()})
+
+    if (out := against(docs, external.select(F.struct("source", "key").alias("other"), "tokens"), "id long, sources long", sources)) is not None:
+        return out
     a = docs.select("id", F.size("tokens").alias("n"), F.explode("tokens").alias("t"))
     b = external.select("source", "key", F.size("tokens").alias("m"), F.explode("tokens").alias("t"))
     both = a.join(b, "t").groupBy("id", "source", "key").agg(F.count("*").alias("both"), F.first("n").alias("n"), F.first("m").alias("m"))

@@ -186,9 +186,9 @@ def failure_streaks(spark, d):
 # scores
 
 
-@register("decay_strength", WITH + "select id, round(case when importance = 'critical' or age_hours <= 0 then 1.0 else exp(-decay_lambda / (1 + 0.2 * access_count) * power(age_hours / 24.0, case layer when 'ltm' then 0.8 else 1.2 end)) end, 6) as strength from memories")
+@register("decay_strength", WITH + "select id, round(case when importance = 'critical' or age_hours < 3 then 1.0 else exp(-decay_lambda / (1 + 0.2 * access_count) * power(floor(age_hours / 3.0) / 24.0, case layer when 'ltm' then 0.8 else 1.2 end)) end, 6) as strength from memories")
 def decay_strength(spark, d):
-    age = scoring.days(F.lit(AS_OF), F.col("created_at"))
+    age = scoring.days(F.lit(AS_OF), F.col("last_accessed"))
     c = scoring.decay(F.col("decay_lambda"), F.col("access_count"), age, F.col("layer"), F.col("importance"))
     return memories_at(spark, d).select("id", F.round(c, 6).alias("strength"))
 
@@ -218,7 +218,7 @@ def promotion_threshold(spark, d):
     return table(spark, d, "part").select(F.col("p_partkey").alias("id"), scoring.promotion_threshold(F.col("p_size") * 0.7).alias("threshold"))
 
 
-@register("confidence", WITH + "select id, round(least(0.99, case when cluster_id % 4 >= 3 then 0.95 when cluster_id % 4 = 2 then 0.85 else 0.62 end + 0.01 * least(greatest(support - 1, 0), 4) + 0.01 * least(greatest(diversity - 1, 0), 3)), 6) as confidence from memories")
+@register("confidence", WITH + "select id, round(least(0.99, case when cluster_id % 4 >= 3 then 0.95 when cluster_id % 4 = 2 then 0.85 when cluster_id % 4 = 1 then 0.62 else 0.0 end + 0.01 * least(greatest(support - 1, 0), 4) + 0.01 * least(greatest(diversity - 1, 0), 3)), 6) as confidence from memories")
 def confidence(spark, d):
     return memories(spark, d).select("id", F.round(scoring.confidence(F.col("cluster_id") % 4, F.col("support"), F.col("diversity")), 6).alias("confidence"))
 
@@ -259,7 +259,12 @@ def deterministic_folds(spark, d):
     return table(spark, d, "customer").select(F.col("c_custkey").alias("id"), text.fold_of(F.col("c_name"), "family:").alias("fold"))
 
 
-@register("secret_lines", r"select doc_id as id, regexp_matches(coalesce(text, ''), '(?i)(api[_-]?key|secret|passwd|password|token)\s*[:=]\s*\S+') or regexp_matches(coalesce(text, ''), 'AKIA[0-9A-Z]{16}') or regexp_matches(coalesce(text, ''), 'gh[pousr]_[A-Za-z0-9]{20,}') or regexp_matches(coalesce(text, ''), 'sk-[A-Za-z0-9_-]{16,}') or regexp_matches(coalesce(text, ''), '-----BEGIN [A-Z ]*PRIVATE KEY-----') as secret from documents")
+def _secret_sql(c: str) -> str:
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    return " or ".join([f"contains(lower({c}), {quoted(p)})" for p in text.SECRET_PHRASES] + [f"regexp_matches({c}, {quoted(p)})" for p, _ in text.SECRETS])
+
+
+@register("secret_lines", f"select doc_id as id, {_secret_sql('x')} as secret from (select doc_id, coalesce(text, '') as x from documents)")
 def secret_lines(spark, d):
     return table(spark, d, "documents").select(F.col("doc_id").alias("id"), text.is_secret(F.coalesce("text", F.lit(""))).alias("secret"))
 
@@ -271,8 +276,9 @@ def json_payload(spark, d):
 
 # retrieval
 
-QUERIES_SQL = "select * from (values (1, 'the tion and'), (2, 'eau les'), (3, 'der und sch')) t(query_id, query)"
 WORDS_SQL = "regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{L}\\p{N}]+')"
+#: The stated queries: the first three words of every document whose id is divisible by 20.
+QUERIES_SQL = f"select doc_id as query_id, array_to_string(list_filter({WORDS_SQL}, lambda x: x <> '')[1:3], ' ') as query from documents where doc_id % 20 = 0"
 BM25_SQL = f"""
 with q as ({QUERIES_SQL}), terms as (select distinct query_id, unnest(string_split(query, ' ')) as term from q),
 w as (select doc_id as id, list_filter({WORDS_SQL}, lambda x: x <> '') as ws from documents), len as (select id, len(ws) as n from w), st as (select count(*) as n, avg(n) as a from len),
@@ -281,22 +287,28 @@ s as (select query_id, p.id, sum(ln(1 + (st.n - df + 0.5) / (df + 0.5)) * tf * 2
 """
 
 
+def asked(spark, d):
+    """query_id, query of the stated queries."""
+    words = F.filter(F.split(F.lower(F.coalesce(F.col("text"), F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    return table(spark, d, "documents").filter("doc_id % 20 = 0").select(F.col("doc_id").alias("query_id"), F.array_join(F.slice(words, 1, 3), " ").alias("query"))
+
+
 def _bm25(spark, d, all_terms=False):
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("content"))
-    q = spark.sql(QUERIES_SQL).select("query_id", text.sanitize_query(F.col("query")).alias("terms"))
+    q = asked(spark, d).select("query_id", text.sanitize_query(F.col("query")).alias("terms"))
     return retrieval.bm25(retrieval.postings(docs), retrieval.field_stats(docs), q, all_terms)
 
 
 def _lists(spark, d):
-    """Two channels of 20 rows for each query: BM25, and cosine to the vector of the query's number."""
-    lexical = retrieval.top_k(_bm25(spark, d).withColumn("score", F.round("score", 9)), 20).select("query_id", F.lit("fts").alias("channel"), F.col("id").cast("long"), "score")
+    """Two channels of 20 rows for each query: BM25, and cosine to the vector of the query's number, if there is one."""
+    lexical = retrieval.top_k(_bm25(spark, d).withColumn("score", F.round("score", 9)), 20).select(F.col("query_id").cast("int"), F.lit("fts").alias("channel"), F.col("id").cast("long"), "score")
     v = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
-    q = v.filter("id between 1 and 3").select(F.col("id").alias("query_id"), "embedding")
+    q = v.filter("id % 20 = 0").select(F.col("id").alias("query_id"), "embedding")
     near = retrieval.nearest(v, q, 20).select(F.col("query_id").cast("int"), F.lit("vec").alias("channel"), "id", F.round("score", 9).alias("score"))
     return lexical.unionByName(near)
 
 
-COSINE_SQL = "select q.vec_id as query_id, v.vec_id as id, round(list_dot_product(cast(q.embedding as double[]), cast(v.embedding as double[])) / sqrt(list_dot_product(cast(q.embedding as double[]), cast(q.embedding as double[]))) / sqrt(list_dot_product(cast(v.embedding as double[]), cast(v.embedding as double[]))), 9) as score from embeddings q, embeddings v where q.vec_id between 1 and 3"
+COSINE_SQL = "select q.vec_id as query_id, v.vec_id as id, round(list_dot_product(cast(q.embedding as double[]), cast(v.embedding as double[])) / sqrt(list_dot_product(cast(q.embedding as double[]), cast(q.embedding as double[]))) / sqrt(list_dot_product(cast(v.embedding as double[]), cast(v.embedding as double[]))), 9) as score from embeddings q, embeddings v where q.vec_id % 20 = 0"
 LISTS_SQL = BM25_SQL + f""", l as (select cast(query_id as int) as query_id, 'fts' as channel, id, score from (select *, row_number() over (partition by query_id order by score desc, id) as r from (select query_id, id, round(score, 9) as score from s)) where r <= 20
  union all select cast(query_id as int), 'vec', id, score from (select *, row_number() over (partition by query_id order by score desc, id) as r from ({COSINE_SQL})) where r <= 20)"""
 
@@ -314,7 +326,7 @@ def bm25_all_terms(spark, d):
 @register("cosine_topk", f"select query_id, id, round(score, 6) as score, rank from (select *, cast(row_number() over (partition by query_id order by score desc, id) as int) as rank from ({COSINE_SQL})) where rank <= 10")
 def cosine_topk(spark, d):
     v = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
-    q = v.filter("id between 1 and 3").select(F.col("id").alias("query_id"), "embedding")
+    q = v.filter("id % 20 = 0").select(F.col("id").alias("query_id"), "embedding")
     return retrieval.nearest(v, q, 10).withColumn("score", F.round("score", 6))
 
 

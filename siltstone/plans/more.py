@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from siltstone.functions import scoring, text
-from siltstone.operators import cluster, dedup, extract, graph, learn, lifecycle, maintain, retrieval
-from siltstone.plans.core import LISTS_SQL, _lists
+from siltstone.operators import cluster, dedup, extract, graph, learn, lifecycle, maintain, retrieval, weights
+from siltstone.plans.core import LISTS_SQL, _lists, asked
 from siltstone.plans.model import AS_OF, WITH, memories, memories_at, table
 from siltstone.plans.registry import register
 
@@ -31,7 +31,7 @@ def similar_pairs(spark, d):
     return p.select("a", "b", F.round("jaccard", 6).alias("jaccard"), F.round("containment", 6).alias("containment"))
 
 
-@register("dedup_bands", PAIRS_SQL + "select a, b, case when jaccard > 0.85 or containment > 0.7 then 'merge' when (jaccard > 0.6 and jaccard <= 0.85) or containment > 0.5 then 'gray_zone' else 'create_new' end as band from p where greatest(jaccard, containment) > 0.3")
+@register("dedup_bands", PAIRS_SQL + "select a, b, case when jaccard > 0.85 or containment > 0.7 then 'merge' when jaccard > 0.6 or containment >= 0.35 then 'gray_zone' else 'create_new' end as band from p where greatest(jaccard, containment) > 0.3")
 def dedup_bands(spark, d):
     p = dedup.pairs(_tokens(spark, d), ["topic", "lang"], 0.3)
     return p.select("a", "b", dedup.band(F.col("containment"), F.col("jaccard"), 0.7).alias("band"))
@@ -52,9 +52,9 @@ def insert_decisions(spark, d):
     return dedup.decide(c.unionByName(none, allowMissingColumns=True), 0.7)
 
 
-@register("threshold_sweep", PAIRS_SQL + ", l as (select greatest(jaccard, containment) as sim, jaccard > 0.7 as dup from p), th as (select unnest(range(30, 100, 5)) / 100 as theta), c as (select theta, count(*) filter (sim > theta and dup) as tp, count(*) filter (sim > theta and not dup) as fp, count(*) filter (sim <= theta and not dup) as tn, count(*) filter (sim <= theta and dup) as fn from l, th group by theta) select theta, tp, fp, tn, fn, round(case when tp + fp = 0 then 0 else tp / (tp + fp) end, 6) as precision, round(case when tp + fn = 0 then 0 else tp / (tp + fn) end, 6) as recall from c")
+@register("threshold_sweep", PAIRS_SQL + ", l as (select greatest(jaccard, containment) as sim, jaccard > 0.7 as dup from p where greatest(jaccard, containment) > 0.3), th as (select unnest(range(30, 100, 5)) / 100 as theta), c as (select theta, count(*) filter (sim > theta and dup) as tp, count(*) filter (sim > theta and not dup) as fp, count(*) filter (sim <= theta and not dup) as tn, count(*) filter (sim <= theta and dup) as fn from l, th group by theta) select theta, tp, fp, tn, fn, round(case when tp + fp = 0 then 0 else tp / (tp + fp) end, 6) as precision, round(case when tp + fn = 0 then 0 else tp / (tp + fn) end, 6) as recall from c")
 def threshold_sweep(spark, d):
-    p = dedup.pairs(_tokens(spark, d), ["topic", "lang"], 0.0)
+    p = dedup.pairs(_tokens(spark, d), ["topic", "lang"], 0.3)
     s = dedup.sweep(p.select("sim", (F.col("jaccard") > 0.7).alias("is_duplicate")))
     return s.select("theta", "tp", "fp", "tn", "fn", F.round("precision", 6).alias("precision"), F.round("recall", 6).alias("recall"))
 
@@ -121,7 +121,7 @@ def prune_rows(spark, d):
     return lifecycle.prunable(memories(spark, d), 0.3).select("id")
 
 
-@register("gc_preview", WITH + "select id from memories where layer = 'stm' and importance not in ('critical', 'high') and age_hours > 0 and exp(-decay_lambda / (1 + 0.2 * access_count) * power(age_hours / 24.0, 1.2)) < 0.05")
+@register("gc_preview", WITH + "select id from memories where layer = 'stm' and importance not in ('critical', 'high') and age_hours >= 3 and exp(-decay_lambda / (1 + 0.2 * access_count) * power(floor(age_hours / 3.0) / 24.0, 1.2)) < 0.05")
 def gc_preview(spark, d):
     return lifecycle.garbage(memories_at(spark, d), AS_OF).select("id")
 
@@ -237,12 +237,26 @@ def tie_averaged_rr(spark, d):
     return learn.tie_averaged_rr(p, ["g"]).select("g", "id", F.round("rr", 6).alias("rr"))
 
 
-@register("alpha_rewards", """with c as (select l_orderkey as event, (l_linenumber * 1000000 + l_partkey) * 10000 + l_suppkey as id, l_quantity / 50.0 as b, l_discount * 10 as v, case when l_returnflag = 'R' then 1 when l_returnflag = 'A' then -1 else 0 end as y from lineitem where l_orderkey % 50 = 1),
- a as (select unnest(range(0, 21)) / 20 as alpha), s as (select *, row_number() over (partition by event, alpha order by round(alpha * b + (1 - alpha) * v, 12) desc, id) as r from c, a) select event, alpha, round(sum(y / r), 6) as reward from s group by all""")
-def alpha_rewards(spark, d):
+#: Every order is an event, and its lines are the candidates.
+EVENTS_SQL = "with c as (select l_orderkey as event, (l_linenumber * 1000000 + l_partkey) * 10000 + l_suppkey as id, l_quantity / 50.0 as b, l_discount * 10 as v, case when l_returnflag = 'R' then 1 when l_returnflag = 'A' then -1 else 0 end as y from lineitem)"
+
+
+def _events(spark, d):
     y = F.when(F.col("l_returnflag") == "R", 1).when(F.col("l_returnflag") == "A", -1).otherwise(0)
-    c = table(spark, d, "lineitem").filter("l_orderkey % 50 = 1").select(F.col("l_orderkey").alias("event"), ((F.col("l_linenumber") * 1000000 + F.col("l_partkey")) * 10000 + F.col("l_suppkey")).alias("id"), (F.col("l_quantity") / 50).alias("bm25"), (F.col("l_discount") * 10).alias("vec"), F.lit(0.0).alias("rest"), y.alias("label"))
-    return learn.alpha_rewards(c, [i / 20 for i in range(21)]).withColumn("reward", F.round("reward", 6))
+    return table(spark, d, "lineitem").select(F.col("l_orderkey").alias("event"), ((F.col("l_linenumber") * 1000000 + F.col("l_partkey")) * 10000 + F.col("l_suppkey")).alias("id"), (F.col("l_quantity") / 50).alias("bm25"), (F.col("l_discount") * 10).alias("vec"), F.lit(0.0).alias("rest"), y.alias("label"))
+
+
+@register("alpha_rewards", EVENTS_SQL + """, a as (select unnest(range(0, 21)) / 20 as alpha), s as (select *, row_number() over (partition by event, alpha order by round(alpha * b + (1 - alpha) * v, 12) desc, id) as r from c, a) select event, alpha, round(sum(y / r), 6) as reward from s group by all""")
+def alpha_rewards(spark, d):
+    return learn.alpha_rewards(_events(spark, d), [i / 20 for i in range(21)]).withColumn("reward", F.round("reward", 6))
+
+
+@register("best_alpha", EVENTS_SQL + """, a as (select unnest(range(0, 21)) / 20 as alpha), s as (select *, row_number() over (partition by event, alpha order by round(alpha * b + (1 - alpha) * v, 12) desc, id) as r from c, a),
+ g as (select event, alpha, round(sum(y / r), 12) as reward from s group by all), t as (select event, max(reward) as top, min(reward) as low from g group by event), m as (select event, top, min(alpha) as alpha from t join g using (event) where reward = top and top > low group by all),
+ f as (select m.event, m.top, m.alpha as a0, greatest(m.alpha - 0.05, 0.0) + (least(m.alpha + 0.05, 1.0) - greatest(m.alpha - 0.05, 0.0)) * i / 10 as alpha from m, (select unnest(range(0, 11)) as i)), fs as (select f.*, id, y, row_number() over (partition by f.event, f.alpha order by round(f.alpha * b + (1 - f.alpha) * v, 12) desc, id) as r from f join c using (event)),
+ fg as (select event, top, a0, alpha, round(sum(y / r), 12) as reward from fs group by all), ft as (select event, max(reward) as best from fg group by event) select event, round(case when best > top then min(alpha) filter (reward = best) else any_value(a0) end, 6) as alpha, round(greatest(best, top), 6) as reward from fg join ft using (event) group by event, best, top""")
+def best_alpha(spark, d):
+    return learn.best_alpha(_events(spark, d)).select("event", F.round("alpha", 6).alias("alpha"), F.round("reward", 6).alias("reward"))
 
 
 @register("decayed_mean", "with e as (select event_type, value, exp(-0.06 * extract(epoch from (timestamp '2024-03-01' - ts)) / 86400.0) as w from events) select event_type as type, round(sum(value * w) / sum(w), 5) as mean from e group by event_type")
@@ -275,8 +289,9 @@ def settled_prefix(spark, d):
 @register("simplex_search")
 def simplex_search(spark, d):
     y = F.when(F.col("l_returnflag") == "R", 1.0).when(F.col("l_returnflag") == "A", -1.0).otherwise(0.0)
-    c = table(spark, d, "lineitem").filter("l_orderkey % 100 = 1").select(F.col("l_orderkey").alias("event"), F.col("l_linenumber").alias("id"), F.array(F.col("l_quantity") / 50, F.col("l_discount") * 10, F.col("l_tax") * 10).alias("features"), y.alias("label"))
-    return learn.best_simplex(c, [1 / 3, 1 / 3, 1 / 3])
+    features = F.array(F.col("l_quantity") / 50, F.col("l_discount") * 10, F.col("l_tax") * 10, F.col("l_extendedprice") / 100000, F.col("l_linenumber") / 7, F.col("l_suppkey") % 10 / 10)
+    c = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("event"), F.col("l_linenumber").alias("id"), features.alias("features"), y.alias("label"))
+    return weights.best_weights(c)
 
 
 # clustering, extraction, streams
@@ -287,31 +302,51 @@ def hdbscan(spark, d):
     return cluster.clusters(table(spark, d, "embeddings").select(F.col("vec_id").cast("long").alias("id"), "embedding"), 5, 5)
 
 
-@register("query_classes", "select id, type, cast(alpha as double) as alpha from (values (1, 'temporal', 0.7), (2, 'preference', 0.4), (3, 'episodic', 0.5), (4, 'exact_keyword', 0.85), (5, 'semantic', 0.3)) t(id, type, alpha)")
+ASKED = "('What changed last week?'), ('which editor do i prefer'), ('what did we decide in spring'), ('foo_bar.rs'), ('how does the cache work with threads'), ('recent work'), ('what happened in the session'), ('tell me about the storage layer'), ('redis cache'), ('timeline of 2024-01-05'), ('open \"the file\" that we wrote'), ('我喜欢的编辑器'), ('总结 the whole storage layer design'), ('数据库'), ('why rust'), ('this month in the parser')"
+
+
+def _phrases(column: str, phrases, words: bool = False) -> str:
+    if words:
+        return "(" + " or ".join(f"regexp_matches({column}, '(^|[^\\p{{L}}\\p{{N}}_]){p}($|[^\\p{{L}}\\p{{N}}_])')" if p.isascii() else f"contains({column}, '{p}')" for p in phrases) + ")"
+    return "(" + " or ".join(f"contains({column}, '{p}')" for p in phrases) + ")"
+
+
+def _classes_sql() -> str:
+    low, x = "low", extract
+    episodic = f"({_phrases(low, x.EPISODIC)} or contains(low, 'what happened') and (contains(low, 'meeting') or contains(low, 'session')))"
+    temporal = f"({_phrases(low, x.TEMPORAL, True)} or {_phrases(low, x.TEMPORAL_CJK)} or regexp_matches(low, '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}'))"
+    asks = " or ".join(f"starts_with(low, '{p}')" for p in x.NOT_KEYWORDS)
+    code = r"len(list_filter(ws, lambda w: contains(w, '_') or (strlen(w) > 2 and regexp_matches(w, '\p{Lu}') and regexp_matches(w, '\p{Ll}'))))"
+    exact = f"case when regexp_matches(q, '[{text.CJK}]') then ceil(length(regexp_replace(q, '[^{text.CJK}]', '', 'g')) / 2.0) <= 3 and not {_phrases(low, x.QUESTIONS_CJK)} else (n <= 3 and strlen(q) < n * 15 and not ({asks})) or contains(q, '::') or contains(q, '.rs') or starts_with(low, 'fn ') or starts_with(low, 'struct ') or (n <= 4 and {code} > 0 and {code} >= n // 2) or contains(q, chr(34)) or contains(q, chr(96)) end"
+    far = " or ".join(f"(contains(low, '{p}') and strlen(low) > {len(p.encode()) + 6})" for p in x.EXPLORATORY_CJK)
+    days = " ".join(f"when {_phrases(low, p, True)} then {k}" for p, k in x.RELATIVE_DAYS)
+    return f"""with t as (select *, lower(q) as low, list_filter(regexp_split_to_array(q, '\\s+'), lambda w: w <> '') as ws from asked), u as (select *, len(ws) as n from t),
+ k as (select *, case when {episodic} then 'episodic' when {temporal} then 'temporal' when {_phrases(low, x.PREFERENCE)} then 'preference' when {exact} then 'exact' when {_phrases(low, x.EXPLORATORY)} or {far} then 'exploratory' else 'semantic' end as type from u)
+ select q, count(*) as n, type, cast(case type when 'episodic' then 0.5 when 'temporal' then 0.7 when 'preference' then 0.4 when 'exact' then 0.85 when 'exploratory' then 0.5 else 0.3 end as double) as alpha,
+  cast(case when type = 'temporal' and {_phrases(low, x.RELATIVE, True)} then case {days} else 30 end end as int) as days_back from k group by all"""
+
+
+@register("query_classes", f"with asked as (select q from (values {ASKED}) t(q) union all select coalesce(text, '') from conversations) select * from ({_classes_sql()})")
 def query_classes(spark, d):
-    q = spark.sql("select * from values (1, 'What changed last week?'), (2, 'which editor do i prefer'), (3, 'what did we decide in spring'), (4, 'foo_bar.rs'), (5, 'how does the cache work with threads') as t(id, q)")
-    return q.select("id", extract.classify(F.col("q")).alias("c")).select("id", "c.type", "c.alpha")
+    q = spark.sql(f"select * from values {ASKED} as t(q)").unionByName(table(spark, d, "conversations").select(F.coalesce("text", F.lit("")).alias("q")))
+    return q.groupBy("q").agg(F.count("*").alias("n")).select("q", "n", extract.classify(F.col("q")).alias("c")).select("q", "n", "c.type", "c.alpha", "c.days_back")
 
 
 @register("recall")
 def recall(spark, d):
     from siltstone.operators import recall as r
-    from siltstone.plans.core import QUERIES_SQL
-
-    return r.recall(spark.sql(QUERIES_SQL), memories_at(spark, d), _lists(spark, d), AS_OF)
+    return r.recall(asked(spark, d), memories_at(spark, d), _lists(spark, d), AS_OF)
 
 
 @register("recall_diverse")
 def recall_diverse(spark, d):
     from siltstone.operators import recall as r
-    from siltstone.plans.core import QUERIES_SQL
-
-    return r.recall(spark.sql(QUERIES_SQL), memories_at(spark, d), _lists(spark, d), AS_OF, r.Recall(limit=5, mode="cc", mmr_lambda=0.7))
+    return r.recall(asked(spark, d), memories_at(spark, d), _lists(spark, d), AS_OF, r.Recall(limit=5, mode="cc", mmr_lambda=0.7))
 
 
 @register("sentence_facts")
 def sentence_facts(spark, d):
-    return extract.facts(table(spark, d, "conversations").select(F.concat(F.col("conv_id") * 1000, F.col("turn")).cast("long").alias("id"), F.col("text").alias("content")), least=0)
+    return extract.facts(table(spark, d, "conversations").select(F.concat(F.col("conv_id") * 1000, F.col("turn")).cast("long").alias("id"), F.col("text").alias("content")))
 
 
 @register("chunks")
@@ -369,10 +404,9 @@ def concept_candidates(spark, d):
     return maintain.auto_concepts(memories(spark, d))
 
 
-@register("auto_links")
+@register("auto_links", PAIRS_SQL + ", l as (select a as source, b as target, greatest(jaccard, containment) as weight from p where greatest(jaccard, containment) > 0.2 union all select b, a, greatest(jaccard, containment) from p where greatest(jaccard, containment) > 0.2) select source, target, round(weight, 6) as weight from (select *, row_number() over (partition by source order by round(weight, 12) desc, target) as r from l) where r <= 5")
 def auto_links(spark, d):
-    b = table(spark, d, "benchmark").select(F.col("item_id").alias("id"), text.tokens(F.col("text")).alias("tokens"))
-    return maintain.auto_links(b)
+    return maintain.auto_links(_tokens(spark, d), ["topic", "lang"]).withColumn("weight", F.round("weight", 6))
 
 
 @register("synthesis_prompts")

@@ -76,7 +76,7 @@ def test_clip_bytes(spark):
 
 def test_citations_and_redaction(spark):
     assert one(spark, text.citations(F.lit("as [2], [1] and [2] but [9]"), 3)) == [1, 2]
-    assert one(spark, text.redact(F.lit("password: hunter2 ok"))) == "[redacted] ok"
+    assert one(spark, text.redact(F.lit("password: hunter2 ok"))) == "password: [REDACTED] ok"
 
 
 def test_trigrams(spark):
@@ -117,16 +117,63 @@ def test_anchors():
 
 
 def test_chunks_fit_and_keep_the_text():
-    content = "# One\n\n" + "Sentence here. " * 40 + "\n\n# Two\n\n" + "é" * 300
-    out = extract.chunks(content, 200, 0)
+    content = "## One\n\n" + "Sentence here. " * 40 + "\n\n### Two\n\n" + "é" * 300
+    out = extract.chunks(content, 50, 0)
+    assert sum(c.startswith("#") for c in out) == 2
     assert all(len(c.encode()) <= 200 for c in out)
     assert "".join("".join(out).split()) == "".join(content.split())
 
 
+def test_chunks_by_hand():
+    """Sections, paragraphs, sentences and slices, and the overlap from a word's beginning."""
+    assert extract.chunks("", 10, 0) == [] and extract.chunks("short", 10, 0) == ["short"]
+    assert extract.chunks("## A\nx\n\n## B\ny\n# C\nz", 512, 0) == ["## A\nx", "## B\ny\n# C\nz"]
+    assert extract.chunks("aaaa aaaa\n\nbbbb\n\ncccc cccc cccc", 4, 0) == ["aaaa aaaa\n\nbbbb", "cccc cccc cccc"]
+    assert extract.chunks("One two. Three four. Five six.", 5, 0) == ["One two. Three four.", "Five six."]
+    assert extract.chunks("é" * 9, 1, 0) == ["éé", "éé", "éé", "éé", "é"]
+    assert extract.chunks("One two. Three four. Five six.", 5, 40) == ["One two. Three four.", "four. Five six."]
+
+
+def test_statements_and_facts(spark):
+    """Sentences end at marks before white space, at CJK marks and blank lines; facts like one before are left out."""
+    docs = spark.createDataFrame([(1, "We decided on v1.2 today. It uses\na queue! Nothing here\n\nfixed the bug。」我们prefer它。ok"), (2, "We decided to use the new cache. We decided to use the new cache now. Lunch was good.")], "id long, content string")
+    got = sorted((r["id"], r["position"], r["fact"], r["score"]) for r in extract.facts(docs).collect())
+    assert got == [(1, 0, "We decided on v1.2 today.", 4), (1, 1, "It uses\na queue!", 3), (1, 3, "fixed the bug。」", 3), (1, 4, "我们prefer它。", 4), (2, 0, "We decided to use the new cache.", 4)]
+
+
+CLASSES = [
+    ("What changed last week?", "temporal", 7), ("history of the cache since 2025-01-01", "temporal", None), ("recent changes in the parser", "temporal", 30), ("recently touched files", "temporal", 14),
+    ("最近的变化", "temporal", 14), ("which editor do i prefer", "preference", None), ("what did we decide in spring", "episodic", None), ("what happened in the meeting yesterday", "episodic", None),
+    ("foo_bar.rs", "exact", None), ("redis cache", "exact", None), ("open recent_files.rs and look for the bug", "exact", None), ('find "exact words" in all of the notes', "exact", None), ("数据库", "exact", None),
+    ("how does the cache work with threads", "semantic", None), ("tell me about the storage layer design", "exploratory", None), ("what do we know on the storage engine", "exploratory", None), ("why rust", "semantic", None), ("fn main of the server crate here", "exact", None),
+]
+
+
+def test_query_classes(spark):
+    q = spark.createDataFrame([(i, x[0]) for i, x in enumerate(CLASSES)], "i int, q string")
+    got = {r["i"]: (r["type"], r["days_back"]) for r in q.select("i", extract.classify(F.col("q")).alias("c")).select("i", "c.*").collect()}
+    assert {CLASSES[i][0]: v for i, v in got.items()} == {x[0]: (x[1], x[2]) for x in CLASSES}
+
+
+def test_secrets(spark):
+    lines = [("password = hunter2", True), ("Authorization: Bearer abc.def", True), ("a basket of fruit", False), ("ghp_" + "a" * 36, True), ("AKIA" + "A" * 16, True), ("nothing secretive", False), ("api_key=1", True)]
+    df = spark.createDataFrame([(x,) for x, _ in lines], "x string")
+    assert [r[0] for r in df.select(text.is_secret(F.col("x"))).collect()] == [y for _, y in lines]
+    pem = "a\n-----BEGIN RSA PRIVATE KEY-----\nMII\nxyz\n-----END RSA PRIVATE KEY-----\nb token: t0 \"secret\": \"s\""
+    got = spark.createDataFrame([(pem,)], "x string").select(text.redact(F.col("x"))).first()[0]
+    assert got == "a\n[REDACTED_PEM_BLOCK]\nb token: [REDACTED] \"secret\": \"[REDACTED]\""
+
+
+def test_gray_zone_bounds(spark):
+    df = spark.createDataFrame([(0.34, 0.1), (0.35, 0.1), (0.42, 0.1), (0.5, 0.1), (0.7, 0.1), (0.71, 0.1), (0.1, 0.61), (0.1, 0.86)], "l double, v double")
+    got = [tuple(r) for r in df.select(dedup.band(F.col("l"), F.col("v")), dedup.band(F.col("l"), F.col("v"), judged=False)).collect()]
+    assert got == [("create_new",) * 2, ("gray_zone", "create_new"), ("gray_zone", "create_new"), ("gray_zone",) * 2, ("gray_zone",) * 2, ("merge",) * 2, ("gray_zone",) * 2, ("merge",) * 2]
+
+
 def test_triples(spark):
     docs = spark.createDataFrame([(1, "I prefer dark mode. The team uses Spark on Linux servers in Rome.")], "id long, content string")
     got = {(r["subject"], r["predicate"], r["object"]) for r in extract.triples(docs).collect()}
-    assert ("user", "prefers", "dark mode") in got and ("team", "uses", "spark on linux servers") in got
+    assert ("user", "prefers", "dark mode") in got and ("team", "uses", "Spark on Linux servers") in got
 
 
 def test_bfs_takes_least_depth(spark):
@@ -171,6 +218,78 @@ def test_best_alpha(spark):
     assert [(r["event"], r["alpha"]) for r in learn.best_alpha(c).collect()] == [(1, 0.5)]
 
 
+def test_best_alpha_goes_on_with_a_fine_grid(spark):
+    """The used row is first from 0.43 on; the coarse grid says 0.45, the fine one the first of equals around it."""
+    c = spark.createDataFrame([(1, 1, 0.57, 0.0, 0.0, 1), (1, 2, 0.0, 0.43, 0.0, 0)], "event long, id long, bm25 double, vec double, rest double, label int")
+    assert [(r["event"], r["alpha"], r["reward"]) for r in learn.best_alpha(c).collect()] == [(1, 0.45, 1.0)]
+    c = spark.createDataFrame([(1, 1, 1.0, 0.0, 0.5, 1), (1, 2, 0.0, 1.0, 0.48, 0), (1, 3, 0.505, 0.505, 0.49, 0)], "event long, id long, bm25 double, vec double, rest double, label int")
+    got = learn.best_alpha(c).first()
+    assert got["reward"] == 1.0 and got["alpha"] == pytest.approx(0.5)
+
+
+def test_weights_by_brute_force():
+    """Rewards with ties, and the search never falls below its own candidates."""
+    from siltstone.operators import weights
+
+    rng = np.random.default_rng(4)
+    assert len(weights._fixed()[0]) == 52 and len(weights._fixed()[1]) == math.comb(15, 5) and np.allclose(weights._fixed()[1].sum(1), 1)
+    for _ in range(30):
+        x, label = rng.integers(0, 3, (5, 6)) / 2, rng.integers(-1, 2, 5).astype(float)
+        w = rng.dirichlet(np.ones(6), 4)
+        want = []
+        for row in w @ x.T:
+            order = sorted(range(5), key=lambda i: -row[i])
+            rr = {i: [] for i in range(5)}
+            for i in range(5):
+                tied = [r for r, j in enumerate(order) if abs(row[i] - row[j]) < 1e-12]
+                rr[i] = sum(1 / (r + 1) for r in tied) / len(tied)
+            want.append(sum(label[i] * rr[i] for i in range(5)))
+        assert np.allclose(weights.rewards(w @ x.T, label), want)
+        if (found := weights.search(x, label)) is not None:
+            start = weights.rewards(weights._fixed()[0] @ x.T, label)
+            assert found[0].sum() == pytest.approx(1) and found[1] >= start.max() - 1e-12
+    assert weights.search(np.ones((3, 6)), np.array([1.0, 0, 0])) is None
+    assert weights.search(np.eye(6)[:3], np.zeros(3)) is None
+
+
+def test_pairs_against_brute_force(spark):
+    """Prefixes lose no pair at any bound, with words that all rows have, empty rows and subsets."""
+    import random
+
+    rng = random.Random(3)
+    rows = [(i, i % 2, sorted({"the", "a", *(f"w{int(rng.paretovariate(0.7))}" for _ in range(rng.randint(0, 12)))})) for i in range(60)] + [(60, 0, []), (61, 0, ["the"]), (62, 1, ["only"])]
+    df = spark.createDataFrame(rows, "id long, g int, tokens array<string>")
+    for bound in (0.0, 0.3, 0.5, 0.7, 0.99):
+        want = {}
+        for i, g, x in rows:
+            for j, h, y in rows:
+                if i < j and g == h and x and y and (k := len(set(x) & set(y))):
+                    c = k / min(len(x), len(y))
+                    if c > bound:
+                        want[i, j] = (round(k / (len(x) + len(y) - k), 9), round(c, 9))
+        got = {(r["a"], r["b"]): (round(r["jaccard"], 9), round(r["containment"], 9)) for r in dedup.pairs(df, ["g"], bound).collect()}
+        assert got == want, bound
+
+
+def test_novelty_and_sources_both_ways(spark, monkeypatch):
+    rows = spark.createDataFrame([(1, ["a", "b", "c"]), (2, ["x"]), (3, [])], "id long, tokens array<string>")
+    stored = spark.createDataFrame([(7, ["a", "b", "d"]), (8, ["c"])], "id long, tokens array<string>")
+    outside = spark.createDataFrame([("s", 1, ["a", "b", "d"]), ("s", 2, ["a", "b", "c"]), ("t", 3, ["a", "c"])], "source string, key long, tokens array<string>")
+    for most in (10, 0):
+        monkeypatch.setattr(dedup, "STORED_ROWS", most)
+        assert {r["id"]: r["novelty"] for r in dedup.novelty(rows, stored).collect()} == {1: 0.0, 2: 1.0, 3: 1.0}
+        assert {r["id"]: r["sources"] for r in retrieval.corroborated(rows, outside, 0.4).collect()} == {1: 3, 2: 1, 3: 1}
+
+
+def test_nearest_in_blocks(spark):
+    rng = np.random.default_rng(1)
+    v = rng.normal(size=(50, 8)).astype("float32")
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)] + [(50, None)], "id long, embedding array<float>")
+    q = df.filter("id < 9").withColumnRenamed("id", "query_id")
+    one, many = ({(r["query_id"], r["rank"]): r["id"] for r in retrieval.nearest(df, q, 4, block).collect()} for block in (100, 2))
+    assert one == many and len(one) == 36 and all(one[i, 1] == i for i in range(9))
+
+
 def test_rerank_fold_keeps_the_subtotal():
     w = {"a": 0.5, "b": 0.3, "c": 0.2}
     out = learn.rerank_step(w, [({"a": 1.0, "b": 0.0}, 1.0), ({"a": 0.0, "b": 1.0}, -1.0)])
