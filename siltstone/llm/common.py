@@ -7,6 +7,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -164,6 +165,30 @@ def mapped(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.Recor
     return df.mapInArrow(run, schema)
 
 
+def groups(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[tuple[tuple, pa.Table]]:
+    """Rows of sorted batches with the same first n columns."""
+    held: list[pa.RecordBatch] = []
+    now = None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        keys = [b.column(i).to_numpy() for i in range(n)]
+        new = np.zeros(b.num_rows, bool)
+        new[0] = True
+        for k in keys:
+            new[1:] |= k[1:] != k[:-1]
+        at = np.append(np.flatnonzero(new), b.num_rows)
+        for a, z in zip(at, at[1:], strict=False):
+            key = tuple(k[a] for k in keys)
+            if key != now and held:
+                yield now, pa.Table.from_batches(held)
+                held = []
+            now = key
+            held.append(b.slice(a, z - a))
+    if held:
+        yield now, pa.Table.from_batches(held)
+
+
 def utf8(column: pa.Array) -> list[bytes]:
     """A string column as UTF-8 bytes; null is empty."""
     return [b or b"" for b in column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()).to_pylist()]

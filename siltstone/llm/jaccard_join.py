@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import Scratch, pick, utf8
+from siltstone.llm.common import Scratch, groups, pick, utf8
 from siltstone.llm.shingles import Words, mix, shingles
 
 
@@ -161,33 +161,9 @@ def _rows(rows: list[tuple], schema: str) -> pa.RecordBatch:
     return pa.record_batch([pa.array(c, kinds[k]) for c, (_, k) in zip(zip(*rows, strict=True), fields, strict=True)], [f for f, _ in fields])
 
 
-def _groups(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[tuple[tuple, pa.Table]]:
-    """Rows of sorted batches with the same first n columns."""
-    held: list[pa.RecordBatch] = []
-    now = None
-    for b in batches:
-        if not b.num_rows:
-            continue
-        keys = [b.column(i).to_numpy() for i in range(n)]
-        new = np.zeros(b.num_rows, bool)
-        new[0] = True
-        for k in keys:
-            new[1:] |= k[1:] != k[:-1]
-        at = np.append(np.flatnonzero(new), b.num_rows)
-        for a, z in zip(at, at[1:], strict=False):
-            key = tuple(k[a] for k in keys)
-            if key != now and held:
-                yield now, pa.Table.from_batches(held)
-                held = []
-            now = key
-            held.append(b.slice(a, z - a))
-    if held:
-        yield now, pa.Table.from_batches(held)
-
-
 def _count(batches: Iterator[pa.RecordBatch], local: int) -> Iterator[pa.RecordBatch]:
     """Of each range: the tokens that stand in several sets, back to their blocks; counts are frequency classes now."""
-    for (part,), rows in _groups(batches, 1):
+    for (part,), rows in groups(batches, 1):
         rows = rows.to_pylist()
         out = [tuple(r.values()) for r in rows if r["kind"]]
         rows = [r for r in rows if not r["kind"]]
@@ -247,7 +223,7 @@ def _sketch(tokens: np.ndarray) -> np.ndarray:
 
 def _assemble(batches: Iterator[pa.RecordBatch], how: Settings) -> Iterator[pa.RecordBatch]:
     """All documents of each block; those of which so many tokens are shared that they may have a partner, as sets."""
-    for _, rows in _groups(batches, 1):
+    for _, rows in groups(batches, 1):
         by: dict[int, list[dict]] = {0: [], 1: [], 2: []}
         for r in rows.to_pylist():
             by[r["kind"]].append(r)
@@ -326,7 +302,7 @@ def _tile(all_pairs: bool):
     all sets; either all such pairs, or only as many as would join the tile's components."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, rows in _groups(batches, 3):
+        for _, rows in groups(batches, 3):
             cls, root, n, u = (rows.column(c).to_numpy() for c in ("class", "root", "n", "u"))
             sketch = np.stack([rows.column(p).to_numpy() for p in _SKETCH], 1).view(np.uint64)
             left, right = np.flatnonzero(rows.column("outer").to_numpy()), np.flatnonzero(~rows.column("outer").to_numpy())

@@ -6,14 +6,12 @@ segment tree inside each shard, and writes the sequences as files.
 
 from __future__ import annotations
 
-from collections import defaultdict
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import mapped, pick, spread, stage, utf8
+from siltstone.llm.common import Scratch, fresh_name, groups, mapped, pick, spread, stage, utf8
 
 PIECES = "doc_id long, piece int, start long, length long, ids binary"
 
@@ -46,133 +44,185 @@ def tokenize_pieces(docs: DataFrame, vocabulary: str, capacity: int, end: int |
     return mapped(pick(docs, doc_id="long", text="string"), make, PIECES)
 
 
-def supersteps(sizes: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int]]:
-    """The plan of bulk-synchronous best fit for sorted documents: (length, first rank, number, first sequence, offset).
+#: What a row of the state of `best_fit` is: a piece without a place, a sequence with a gap, a piece that has its place now.
+PIECE, GAP, PLACED = range(3)
+_STATE = "kind int, id long, size int, sequence long, at int"
+_SWEPT = "kind int, id long, size int, sequence long, gap int, part long, nth long"
 
-    Documents sorted by length are at most `capacity` runs of equal lengths, and gaps sorted by size are runs of
-    sequences with equal gaps and consecutive numbers, so a superstep works on runs, whose number doesn't depend on that
-    of the documents.  One superstep sweeps the runs of gaps from the smallest on: the successor of a document is the
-    smallest gap that holds it, and where several documents have the same successor, the longest, and then the one with
-    the lower rank, gets it.  Each gap takes at most one document in a superstep; then all gaps are updated.  Documents
-    that no gap holds open sequences, the longest first, and only as many as the volume of the documents left over needs.
-    """
-    left = {n: k for n, k in sizes.items() if k}
-    rank: dict[int, int] = defaultdict(int)
-    gaps: dict[int, list[tuple[int, int]]] = {}  # size -> runs (first sequence, number)
-    plan, sequences = [], 0
-    while left:
-        lengths = sorted(left)
-        placed: list[tuple[int, int, int]] = []  # gap left, first sequence, number
-        stack: list[int] = []
-        at = 0
-        for g in sorted(gaps):
-            while at < len(lengths) and lengths[at] <= g:
-                stack.append(lengths[at])
-                at += 1
-            runs = gaps[g]
-            while runs and stack:
-                n = stack[-1]
-                s, k = runs.pop()
-                take = min(k, left[n])
-                plan.append((n, rank[n], take, s, capacity - g))
-                rank[n] += take
-                left[n] -= take
-                placed.append((g - n, s, take))
-                if take < k:
-                    runs.append((s + take, k - take))
-                if not left[n]:
-                    del left[n]
-                    stack.pop()
-        for g, s, k in placed:
-            if g:
-                gaps.setdefault(g, []).append((s, k))
-        gaps = {g: runs for g, runs in gaps.items() if runs}
-        if not placed and left:
-            need = max(1, -(-sum(n * k for n, k in left.items()) // capacity))
-            for n in sorted(left, reverse=True):
-                # those over half of a sequence never share one, so each opens its own
-                take = left[n] if 2 * n > capacity else min(left[n], need)
-                if take <= 0:
-                    break
-                plan.append((n, rank[n], take, sequences, 0))
-                rank[n] += take
-                left[n] -= take
-                if not left[n]:
-                    del left[n]
-                if n < capacity:
-                    gaps.setdefault(capacity - n, []).append((sequences, take))
-                sequences += take
-                need -= take
-    return plan
-
-
-def best_fit(pieces: DataFrame, capacity: int) -> DataFrame:
-    """pieces with sequence_id and offset: each sequence holds its pieces gapless from 0 and at most `capacity` tokens.
-
-    `pieces` has doc_id, piece and length (1 to capacity), and keeps its other columns.  The pieces are range-sorted by
-    length, ties by a hash, which deals out a length that many share; each partition then looks up its own sorted rows
-    among the runs of the supersteps' plan.  The driver gets a row for each run of equal lengths in a partition.
-    """
-    spark = pieces.sparkSession
-    if {"sequence_id", "offset", "_part", "_rank"} & set(pieces.columns):
-        raise ValueError("pieces may not have the columns sequence_id, offset, _part or _rank")
-    names = pieces.columns
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema)
-    tie = F.xxhash64("doc_id", "piece")
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = pieces.repartitionByRange(parts, F.col("length").desc(), tie).sortWithinPartitions(F.col("length").desc(), tie, "doc_id", "piece")
 
-    def number():
-        """Adds the partition and each row's rank among the rows of its length there."""
-        from pyspark import TaskContext
+def _sweep(batches):
+    """Of each range of the sorted pieces and gaps: the matches within it, and what it leaves over.
 
-        part, met = TaskContext.get().partitionId(), defaultdict(int)
-
-        def each(b: pa.RecordBatch) -> pa.RecordBatch:
-            length = b.column("length").to_numpy()
-            rank = np.empty(len(length), np.int64)
-            cut = [0, *(np.flatnonzero(np.diff(length)) + 1), len(length)]
-            for lo, hi in zip(cut, cut[1:], strict=False):
-                n = int(length[lo])
-                rank[lo:hi] = met[n] + np.arange(hi - lo)
-                met[n] += hi - lo
-            return pa.record_batch([*b.columns, pa.array(np.full(len(length), part, np.int32)), pa.array(rank)], [*names, "_part", "_rank"])
-
-        return each
-
-    ordered = stage(mapped(ordered, number, f"{fields}, _part int, _rank long"), "sorted")
-    runs = ordered.groupBy("_part", "length").count().collect()  # at most one for each length and one more for each partition
-    sizes: dict[int, int] = defaultdict(int)
-    before: dict[tuple[int, int], int] = {}
-    for r in sorted(runs, key=lambda r: (r["_part"], -r["length"])):
-        if not 0 < r["length"] <= capacity:
-            raise ValueError(f"a piece of {r['length']} tokens does not fit in {capacity}")
-        before[r["_part"], r["length"]] = sizes[r["length"]]
-        sizes[r["length"]] += r["count"]
-    by_length: dict[int, list[tuple[int, int, int]]] = defaultdict(list)
-    for n, first, _, s, offset in supersteps(sizes, capacity):
-        by_length[n].append((first, s, offset))
-    table = {n: tuple(np.array(x, dtype=np.int64) for x in zip(*sorted(v), strict=True)) for n, v in by_length.items()}
-    shared = spark.sparkContext.broadcast((table, before))
-
-    def place():
-        table, before = shared.value
+    From the smallest size on, a gap takes the longest piece that it holds and that no smaller gap has taken; of equally
+    long ones the last in the order of their ranks.  So gaps are left over only before all pieces that are, and each keeps
+    its rank among them.
+    """
+    kinds = (pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int64())
+    for (part,), rows in groups(batches, 1):
+        waiting, out, gaps = [], [], 0
+        for kind, i, size in zip(*(rows.column(c).to_pylist() for c in ("kind", "id", "size")), strict=True):
+            if kind == PIECE:
+                waiting.append((i, size))
+            elif waiting:
+                piece, length = waiting.pop()
+                out.append((PLACED, piece, length, i, size, None, None))
+            else:
+                out.append((GAP, None, None, i, size, int(part), gaps))
+                gaps += 1
+        out += [(PIECE, i, size, None, None, int(part), k) for k, (i, size) in enumerate(waiting)]
+        yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], [x.split()[0] for x in _SWEPT.split(", ")])
+
+
+def carried(left: dict[tuple[int, int], int], parts: int) -> list[tuple[int, int, int, int, int]]:
+    """(part, first, last, other part, rank of the piece for `first`): gaps left over in a part take the pieces left over in
+    those before it, the longest first; `left` counts both by (part, kind)."""
+    out, stack = [], []
+    for p in range(parts):
+        at, gaps = 0, left.get((p, GAP), 0)
+        while at < gaps and stack:
+            q, n = stack.pop()
+            take = min(n, gaps - at)
+            out.append((p, at, at + take - 1, q, n - 1))
+            if take < n:
+                stack.append((q, n - take))
+            at += take
+        if n := left.get((p, PIECE), 0):
+            stack.append((p, n))
+    return out
+
+
+def _bundles(capacity: int):
+    """Pieces of at most a sixteenth of a sequence, of one size and one task, as bundles of about an eighth of a sequence;
+    every tenth of them stays single, to fill small gaps.  Without bundles, each superstep would put one of them into a gap."""
 
-        def each(b: pa.RecordBatch) -> pa.RecordBatch:
-            length, part, rank = (b.column(c).to_numpy() for c in ("length", "_part", "_rank"))
-            sequence, offset = np.empty(len(length), np.int64), np.empty(len(length), np.int64)
-            cut = [0, *(np.flatnonzero((np.diff(length) != 0) | (np.diff(part) != 0)) + 1), len(length)]
-            for lo, hi in zip(cut, cut[1:], strict=False):
-                k = int(part[lo]), int(length[lo])
-                first, s, o = table[k[1]]
-                r = before[k] + rank[lo:hi]
-                at = np.searchsorted(first, r, side="right") - 1
-                sequence[lo:hi], offset[lo:hi] = s[at] + r - first[at], o[at]
-            return pa.record_batch([*[b.column(c) for c in names], pa.array(sequence), pa.array(offset)], [*names, "sequence_id", "offset"])
+    def run(batches):
+        held: dict[int, list[int]] = {}
+        met: dict[int, int] = {}
+        for b in batches:
+            out = []
+            for i, n in zip(b.column("id").to_pylist(), b.column("size").to_pylist(), strict=True):
+                met[n] = met.get(n, 0) + 1
+                if 16 * n > capacity or met[n] % 10 == 0:
+                    out.append(([i], n))
+                    continue
+                held.setdefault(n, []).append(i)
+                if n * len(held[n]) >= capacity // 8:
+                    out.append((held.pop(n), n))
+            if out:
+                yield rows(out)
+        if rest := [([i], n) for n, ids in held.items() for i in ids]:
+            yield rows(rest)
+
+    def rows(out):
+        ids, each = zip(*out, strict=True)
+        columns = [pa.array([x[0] for x in ids], pa.int64()), pa.array([n * len(x) for x, n in out], pa.int32()), pa.array(each, pa.int32()), pa.array(ids, pa.list_(pa.int64()))]
+        return pa.record_batch(columns, ["id", "size", "each", "members"])
+
+    return run
+
+
+def best_fit(pieces: DataFrame, capacity: int, per_part: int = 250_000, few: int = 5_000) -> DataFrame:
+    """pieces with sequence_id and offset: each sequence holds its pieces gapless from 0 and at most `capacity` tokens.
 
-        return each
+    Bulk-synchronous best fit.  A superstep sorts pieces without a place and gaps together by size into ranges of about
+    `per_part` rows; ties go by a hash, which deals out a size that very many share.  Each range is swept: a piece's
+    successor is the smallest gap that holds it, and of the pieces with one successor the longest gets it.  What ranges leave
+    over is matched across them by rank, so the driver sees two counts for each range and one for each size.  All gaps are
+    then updated, and the next superstep follows.  When no gap holds a piece, the longest pieces open sequences, as many as
+    the volume of the pieces needs; the last `few` pieces are packed in memory.  Very small pieces go in bundles.
 
-    return mapped(ordered, place, f"{fields}, sequence_id long, offset long")
+    `pieces` has doc_id, piece and length (1 to capacity, else an error), and keeps its other columns; it may not have
+    sequence_id or offset (an error).  Equal rows are separate pieces.  No pieces give no rows.
+    """
+    if taken := {"sequence_id", "offset"} & {c.lower() for c in pieces.columns}:
+        raise ValueError(f"pieces may not have the columns {sorted(taken)}")
+    spark, scratch, item = pieces.sparkSession, Scratch(pieces.sparkSession), fresh_name(pieces, "item")
+    items = scratch.stage(pieces.withColumn(item, F.monotonically_increasing_id()), "pieces")
+    if (bad := items.filter(F.col("length").isNull() | ~F.col("length").between(1, capacity)).select("length").first()) is not None:
+        raise ValueError(f"a piece of {bad[0]} tokens does not fit in {capacity}")
+    none = [F.lit(None).cast("long").alias("sequence"), F.lit(None).cast("int").alias("at")]
+    bundles = items.select(F.col(item).alias("id"), F.col("length").cast("int").alias("size"))
+    bundles = scratch.stage(bundles.mapInArrow(_bundles(capacity), "id long, size int, each int, members array<long>"), "bundles")
+    state = bundles.select(F.lit(PIECE).alias("kind"), "id", "size", *none)
+    placed, step, opened = [], 0, False
+    while True:
+        sizes = {(r["kind"], r["size"]): r["count"] for r in state.filter(F.col("kind") != PLACED).groupBy("kind", "size").count().collect()}
+        waiting = {n: c for (kind, n), c in sizes.items() if kind == PIECE}
+        if not waiting:
+            break
+        if max((n for kind, n in sizes if kind == GAP), default=0) >= min(waiting):
+            state = _superstep(scratch, state, sizes, capacity, per_part, step)
+        elif opened and sum(waiting.values()) <= few:
+            rows = state.filter(F.col("kind") == PIECE).select("id", "size").orderBy("id").collect()
+            sequence, at, _ = best_fit_decreasing(np.array([r["size"] for r in rows], np.int64), capacity)
+            first = {int(s): r["id"] for r, s, a in zip(rows, sequence, at, strict=True) if a == 0}
+            rest = [(PLACED, r["id"], r["size"], first[int(s)], int(a)) for r, s, a in zip(rows, sequence, at, strict=True)]
+            placed.append(spark.createDataFrame(rest, _STATE))
+            break
+        else:
+            state = _opened(scratch, state, waiting, capacity, step)
+            opened = True
+        placed.append(state.filter(F.col("kind") == PLACED))
+        step += 1
+    places = spark.createDataFrame([], _STATE)
+    for p in placed:
+        places = places.unionByName(p)
+    places = bundles.select("id", "each", F.posexplode("members").alias("nth", item)).join(places, "id")
+    places = places.select(item, F.col("sequence").alias("sequence_id"), (F.col("at") + F.col("nth") * F.col("each")).cast("long").alias("offset"))
+    out = items.join(places, item).select(*[F.col(f"`{c}`") for c in pieces.columns], "sequence_id", "offset")
+    return scratch.result(out, "packed")
+
+
+def _opened(scratch: Scratch, state: DataFrame, waiting: dict[int, int], capacity: int, step: int) -> DataFrame:
+    """The longest pieces open sequences, named by them: as many as the volume left over needs, and all over half of one,
+    which never share one.  Of the last size a part goes, chosen by hash: about the number wanted, and about four at least."""
+    need, share = -(-sum(n * c for n, c in waiting.items()) // capacity), {}
+    for n in sorted(waiting, reverse=True):
+        share[n] = 1.0 if 2 * n > capacity else min(1.0, max(need, 4 if not share else 0) / waiting[n])
+        need -= waiting[n]
+        if need <= 0 and 2 * n <= capacity:
+            break
+    table = state.sparkSession.createDataFrame([(n, s) for n, s in share.items() if s > 0], "size int, share double")
+    dice = F.pmod(F.xxhash64("id", F.lit(step)), F.lit(1 << 30)) / (1 << 30)
+    now = state.filter(F.col("kind") != PLACED).join(F.broadcast(table), "size", "left")  # a row for each size
+    opens = (F.col("kind") == PIECE) & F.coalesce(dice < F.col("share"), F.lit(False))
+    gap = F.struct(F.lit(GAP).alias("kind"), F.col("id"), (capacity - F.col("size")).alias("size"), F.lit(None).cast("long").alias("sequence"), F.lit(None).cast("int").alias("at"))
+    own = F.struct(F.lit(PLACED).alias("kind"), F.col("id"), F.col("size"), F.col("id").alias("sequence"), F.lit(0).alias("at"))
+    as_is = F.struct("kind", "id", "size", "sequence", "at")
+    rows = F.when(opens, F.when(F.col("size") < capacity, F.array(own, gap)).otherwise(F.array(own))).otherwise(F.array(as_is))
+    return scratch.stage(now.select(F.explode(rows).alias("r")).select("r.*"), "opened")
+
+
+def _superstep(scratch: Scratch, state: DataFrame, sizes: dict[tuple[int, int], int], capacity: int, per_part: int, step: int) -> DataFrame:
+    spark = state.sparkSession
+    order, total = [], 0
+    for kind, n in sorted(sizes, key=lambda x: (x[1], x[0])):  # pieces before the gaps that just hold them
+        order.append((kind, n, total, sizes[kind, n]))
+        total += sizes[kind, n]
+    parts = -(-total // per_part)
+    table = spark.createDataFrame(order, "kind int, size int, before long, number long")
+    tie = F.xxhash64("id", F.lit(step))
+    rank = F.col("before") + F.floor(F.pmod(tie, F.lit(1 << 30)) / (1 << 30) * F.col("number"))
+    rows = state.filter(F.col("kind") != PLACED).join(F.broadcast(table), ["kind", "size"])  # a row for each size
+    rows = rows.select(F.floor(rank * parts / total).alias("part"), "size", "kind", F.pmod(tie, F.lit(1 << 30)).alias("tie"), "id")
+    rows = rows.repartition(parts, "part").sortWithinPartitions("part", "size", "kind", "tie", "id")
+    swept = scratch.stage(rows.mapInArrow(_sweep, _SWEPT), "swept")
+    if parts > 1:
+        left = {(r["part"], r["kind"]): r["count"] for r in swept.filter(F.col("kind") != PLACED).groupBy("part", "kind").count().collect()}
+        links = spark.createDataFrame(carried(left, parts), "part long, first long, last long, other long, top long")
+        gaps, pieces = swept.filter(F.col("kind") == GAP), swept.filter(F.col("kind") == PIECE)
+        # two counts for each range make at most twice as many links
+        taken = gaps.join(F.broadcast(links), "part").filter("nth between first and last").select("sequence", "gap", F.col("other").alias("part"), (F.col("top") - F.col("nth") + F.col("first")).alias("nth"))
+        across = pieces.select("id", "size", "part", "nth").join(taken, ["part", "nth"])
+        across = scratch.stage(across.select(F.lit(PLACED).alias("kind"), "id", "size", "sequence", "gap"), "across")
+        kept = gaps.join(across.select("sequence"), "sequence", "left_anti").unionByName(pieces.join(across.select("id"), "id", "left_anti"))
+        swept = swept.filter(F.col("kind") == PLACED).select("kind", "id", "size", "sequence", "gap").unionByName(across).unionByName(kept.select("kind", "id", "size", "sequence", "gap"))
+    row = lambda kind, i, size, sequence, at: F.struct(F.lit(kind).alias("kind"), i.alias("id"), size.cast("int").alias("size"), sequence.cast("long").alias("sequence"), at.cast("int").alias("at"))
+    no, i, size, sequence, gap = F.lit(None), F.col("id"), F.col("size"), F.col("sequence"), F.col("gap")
+    fits, smaller = row(PLACED, i, size, sequence, capacity - gap), row(GAP, sequence, gap - size, no, no)
+    rows = F.when(F.col("kind") == PIECE, F.array(row(PIECE, i, size, no, no))).when(F.col("kind") == GAP, F.array(row(GAP, sequence, gap, no, no)))
+    rows = rows.when(gap > size, F.array(fits, smaller)).otherwise(F.array(fits))
+    return scratch.stage(swept.select(F.explode(rows).alias("r")).select("r.*"), "state")
 
 
 class Capacities:

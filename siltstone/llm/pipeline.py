@@ -44,7 +44,7 @@ def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents, packed into sequences."""
     pieces = packing.tokenize_pieces(docs, public_tokenizers.path("byte_bpe_50k.json"), CAPACITY, end=2)
-    pieces = common.stage(pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")), "pieces")
+    pieces = pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
     return packing.best_fit(pieces, CAPACITY)
 
 

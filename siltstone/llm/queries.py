@@ -23,7 +23,7 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.tokenize_pieces(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), 1024, end=2)
-    pieces = common.stage(pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")), "pieces")
+    pieces = pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
     return packing.best_fit(pieces, 1024)
 
 

@@ -74,11 +74,12 @@ def test_encoder_is_the_library(rows):
         assert list(struct.unpack(f"<{len(got) // 4}I", got)) == t.encode(x, add_special_tokens=False).ids
 
 
-def test_best_fit(spark, docs, rows, empty):
+@pytest.mark.parametrize(("per_part", "few"), [(250_000, 5000), (20, 0), (7, 10)])
+def test_best_fit(spark, docs, rows, empty, per_part, few):
     path, capacity = public_tokenizers.path("byte_bpe_50k.json"), 256
     t = Tokenizer.from_file(path)
     ids = {i: [*t.encode(x or "", add_special_tokens=False).ids, 2] for i, x in rows}
-    got = packing.best_fit(packing.tokenize_pieces(docs, path, capacity, end=2), capacity).collect()
+    got = packing.best_fit(packing.tokenize_pieces(docs, path, capacity, end=2), capacity, per_part, few).collect()
     filled = {}
     for i, want in ids.items():
         mine = sorted((r for r in got if r["doc_id"] == i), key=lambda r: r["piece"])
@@ -98,20 +99,61 @@ def test_best_fit(spark, docs, rows, empty):
     assert packing.best_fit(packing.tokenize_pieces(empty, path, capacity, end=2), capacity).count() == 0
 
 
-def test_supersteps_place_every_piece():
+def sweep_of_all(rows):
+    """(gap, piece) matches of one sweep over all rows (kind, id, size)."""
+    waiting, out = [], []
+    for kind, i, _ in sorted(rows, key=lambda r: (r[2], r[0], r[1])):
+        if kind == packing.PIECE:
+            waiting.append(i)
+        elif waiting:
+            out.append((i, waiting.pop()))
+    return out
+
+
+def test_sweeps_of_ranges_and_what_they_carry():
+    """Ranges swept by themselves, and their rests matched by rank, give the sweep of the whole."""
+    import pyarrow as pa
+
+    rng = random.Random(2)
+    for _ in range(40):
+        rows = [(rng.randint(0, 1), i, rng.randint(1, 20)) for i in range(rng.randint(0, 60))]
+        ordered = sorted(rows, key=lambda r: (r[2], r[0], r[1]))
+        cuts = sorted(rng.randint(0, len(rows)) for _ in range(4))
+        parts = [ordered[a:z] for a, z in zip([0, *cuts], [*cuts, len(rows)], strict=True)]
+        found, left = [], {}
+        for p, part in enumerate(parts):
+            if part:
+                b = pa.record_batch([pa.array([p] * len(part), pa.int64()), pa.array([r[2] for r in part], pa.int32()), pa.array([r[0] for r in part], pa.int32()), pa.array([r[1] for r in part], pa.int64())], ["part", "size", "kind", "id"])
+                for out in packing._sweep(iter([b.slice(0, 3), b.slice(3)])):
+                    found += out.to_pylist()
+        for r in found:
+            if r["kind"] != packing.PLACED:
+                left[r["part"], r["kind"]] = left.get((r["part"], r["kind"]), 0) + 1
+        got = [(r["sequence"], r["id"]) for r in found if r["kind"] == packing.PLACED]
+        at = {(r["kind"], r["part"], r["nth"]): r["sequence"] if r["kind"] == packing.GAP else r["id"] for r in found if r["kind"] != packing.PLACED}
+        for p, first, last, q, top in packing.carried(left, len(parts)):
+            got += [(at[packing.GAP, p, k], at[packing.PIECE, q, top - k + first]) for k in range(first, last + 1)]
+        assert sorted(got) == sorted(sweep_of_all(rows))
+
+
+def test_best_fit_of_sizes(spark):
+    """Hot sizes, pieces that fill a sequence, one size alone; extra columns stay, clashing ones are refused."""
     rng = random.Random(2)
-    for sizes in (Counter(rng.randint(1, 64) for _ in range(2000)), Counter({1: 5000, 40: 9}), Counter({64: 7}), Counter()):
-        plan = packing.supersteps(sizes, 64)
-        used, placed = Counter(), Counter()
-        for n, first, k, s, offset in plan:
-            assert first == placed[n]
-            placed[n] += k
-            for q in range(s, s + k):
-                assert used[q] == offset
-                used[q] += n
-        assert placed == sizes and max(used.values(), default=0) <= 64
-        least = max(-(-sum(n * k for n, k in sizes.items()) // 64), sum(k for n, k in sizes.items() if n > 32))
-        assert len(used) <= 1.02 * least + 1
+    for sizes in ([rng.randint(1, 64) for _ in range(900)], [1] * 500 + [40] * 9, [64] * 7, [33] * 20):
+        df = spark.createDataFrame([(i, 0, n, "x", 5) for i, n in enumerate(sizes)], "doc_id long, piece int, length long, item string, size int").repartition(3)
+        out = packing.best_fit(df, 64, 100, 3)
+        assert out.columns == [*df.columns, "sequence_id", "offset"]
+        used = {}
+        for r in sorted(out.collect(), key=lambda r: (r["sequence_id"], r["offset"])):
+            assert used.get(r["sequence_id"], 0) == r["offset"]
+            used[r["sequence_id"]] = r["offset"] + r["length"]
+        assert sum(used.values()) == sum(sizes) and max(used.values()) <= 64
+        least = max(-(-sum(sizes) // 64), sum(n > 32 for n in sizes))
+        assert len(used) <= 1.02 * least + 4
+    with pytest.raises(ValueError, match="offset"):
+        packing.best_fit(df.withColumnRenamed("item", "offset"), 64)
+    with pytest.raises(ValueError, match="65 tokens"):
+        packing.best_fit(spark.createDataFrame([(1, 0, 65)], "doc_id long, piece int, length long"), 64)
 
 
 def test_matrices(spark, docs, rows, empty, tmp_path, monkeypatch):
