@@ -6,7 +6,7 @@ passage is looked at, so common phrases open few alignments.  A document that ho
 is cut to the passages around them, and each passage is aligned with the item locally: a match scores 1, a substitution
 or a gap costs 1 / 2.  An item is found if its best alignment reaches `threshold` of the item's length in words.
 
-The benchmark is a stated query set: it is broadcast, and is checked to have at most `MOST_WORDS` words.
+The benchmark is a stated query set: it is broadcast, in parts of about `MOST_WORDS` words, each with a pass over the texts.
 Texts may be null or empty (nothing is found), and of any length.  An item with fewer words than a seed is
 never found: so few words stand in clean documents, too.  Equal items are found each.  Extra columns are ignored.
 """
@@ -26,7 +26,7 @@ from siltstone.llm.common import mapped, pick, utf8
 
 SEED = 3
 THRESHOLD = 0.5
-#: The bound on the benchmark's size.
+#: Words of the benchmark that are looked for in one pass.
 MOST_WORDS = 2_000_000
 FOUND = "doc_id long, item_id long, score double, coverage double, matched_words int, item_words int, start_word int, end_word int"
 
@@ -64,50 +64,67 @@ def seeds_of(words: np.ndarray) -> np.ndarray:
 
 
 def align(item: np.ndarray, passage: np.ndarray) -> tuple[float, int, int, int]:
-    """Best local alignment (Smith-Waterman, linear gaps): score, matched words, start and end in the passage."""
+    """Best local alignment (Smith-Waterman, linear gaps): score, matched words, start and end in the passage.
+
+    Each cell carries where its alignment began and how many words match in it, so only one row is held; of equal ways a
+    cell takes the diagonal, then the item's gap, then the passage's.
+    """
     m = len(passage)
-    score = np.zeros((len(item) + 1, m + 1))
-    steps = np.arange(m + 1) * 0.5
-    for i, w in enumerate(item, 1):
-        row = np.zeros(m + 1)
-        np.maximum(score[i - 1, :-1] + np.where(passage == w, 1.0, -0.5), 0.0, out=row[1:])
-        np.maximum(row, score[i - 1] - 0.5, out=row)
+    at, steps = np.arange(m + 1), np.arange(m + 1) * 0.5
+    score, start, matched = np.zeros(m + 1), at.copy(), np.zeros(m + 1, np.int64)
+    best = 0.0, 0, 0, 0
+    for w in item:
+        same = passage == w
+        row, began, count = score - 0.5, start, matched
+        diagonal = score[:-1] + np.where(same, 1.0, -0.5)
+        take = np.append(False, diagonal >= row[1:])
+        row = np.where(take, np.append(0.0, diagonal), row)
+        began = np.where(take, np.append(0, start[:-1]), began)
+        count = np.where(take, np.append(0, matched[:-1] + same), count)
+        none = row <= 0
+        row[none], began[none], count[none] = 0.0, at[none], 0
         # gaps along the row: the running maximum of row + 0.5 * position, less 0.5 * position
-        score[i] = np.maximum(np.maximum.accumulate(row + steps) - steps, row)
-    i, j = np.unravel_index(int(score.argmax()), score.shape)
-    best, end, matched = float(score[i, j]), int(j), 0
-    while i and j and score[i, j] > 0:
-        s = score[i, j]
-        same = passage[j - 1] == item[i - 1]
-        if s == score[i - 1, j - 1] + (1.0 if same else -0.5):
-            matched += bool(same)
-            i, j = i - 1, j - 1
-        elif s == score[i - 1, j] - 0.5:
-            i -= 1
-        else:
-            j -= 1
-    return best, matched, int(j), end
+        top = np.maximum.accumulate(row + steps)
+        from_ = np.maximum.accumulate(np.where(row + steps >= top, at, 0))
+        gap = top - steps > row
+        score, start, matched = np.where(gap, top - steps, row), np.where(gap, began[from_], began), np.where(gap, count[from_], count)
+        if (j := int(score.argmax())) and score[j] > best[0]:
+            best = float(score[j]), int(matched[j]), int(start[j]), j
+    return best
 
 
-def read_items(benchmark: DataFrame) -> dict[int, list[bytes]]:
-    """item_id -> texts, after a check of their size."""
-    items = pick(benchmark, item_id="long", text="string").filter("text is not null")
-    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    if size > 8 * MOST_WORDS:
-        raise ValueError(f"the benchmark has {size} bytes; align it in blocks of at most {8 * MOST_WORDS}")
+def read_items(items: DataFrame) -> dict[int, list[bytes]]:
+    """item_id -> texts of a part of the benchmark."""
     out: dict[int, list[bytes]] = defaultdict(list)
     for r in items.orderBy("item_id", "text").collect():
         out[r["item_id"]].append(r["text"].encode())
     return out
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, most_words: int = MOST_WORDS) -> DataFrame:
     """A row for each document and item found in it: doc_id, item_id, score, coverage (score / words of the item),
-    matched words, words of the item, and the place of the best alignment in the document (words, end exclusive)."""
-    spark = docs.sparkSession
+    matched words, words of the item, and the place of the best alignment in the document (words, end exclusive).
+
+    Of rows with one doc_id, or one item_id, the best alignment counts.  A null doc_id or item_id is one like any other.  Empty
+    tables give no rows.
+    """
     docs = pick(docs, doc_id="long", text="string").filter("text is not null")
-    words = Words()
-    items = [(i, w) for i, texts in read_items(benchmark).items() for t in texts if len(w := words.of(t)) >= SEED]
+    items = pick(benchmark, item_id="long", text="string").filter("text is not null")
+    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(1, -(-size // (8 * most_words)))
+    found = None
+    for i in range(parts):
+        some = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == i) if parts > 1 else items
+        part = _found(docs, read_items(some), threshold)
+        found = part if found is None else found.unionByName(part)
+    best = F.row_number().over(W.partitionBy("doc_id", "item_id").orderBy(F.desc("score"), "start_word"))
+    return found.withColumn("_nth", best).filter("_nth = 1").drop("_nth")
+
+
+def _found(docs: DataFrame, texts: dict[int, list[bytes]], threshold: float) -> DataFrame:
+    """Alignments over the threshold of documents with some items, of one item perhaps several."""
+    spark, words = docs.sparkSession, Words()
+    items = [(i, w) for i, some in texts.items() for t in some if len(w := words.of(t)) >= SEED]
     if not items:
         return spark.createDataFrame([], FOUND)
     own = [np.unique(seeds_of(w)) for _, w in items]
@@ -176,9 +193,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
 
         return each
 
-    found = mapped(docs, find, FOUND)
-    best = F.row_number().over(W.partitionBy("doc_id", "item_id").orderBy(F.desc("score"), "start_word"))
-    return found.withColumn("_nth", best).filter("_nth = 1").drop("_nth")
+    return mapped(docs, find, FOUND)
 
 
 def best_passage(item: np.ndarray, words: np.ndarray, at: list[int], threshold: float) -> tuple[float, int, int, int] | None:
