@@ -153,14 +153,17 @@ def numbered(scratch: Scratch, docs: DataFrame, row: str) -> DataFrame:
     return scratch.stage(ordered.withColumn(row, F.monotonically_increasing_id()), "numbered")
 
 
-def mapped(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | None]], schema: str) -> DataFrame:
-    """df through Arrow batches; make() is called once a task and returns the function of a batch."""
+def mapped(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | None]], schema: str, portion: int = 8 << 20) -> DataFrame:
+    """df through Arrow batches of about `portion` bytes at most; make() is called once a task and returns the function of a
+    batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         each = make()
         for b in batches:
-            if b.num_rows and (out := each(b)) is not None and out.num_rows:
-                yield out
+            step = max(1, b.num_rows // (1 + b.nbytes // portion))
+            for at in range(0, b.num_rows, step):
+                if (out := each(b.slice(at, step))) is not None and out.num_rows:
+                    yield out
 
     return df.mapInArrow(run, schema)
 

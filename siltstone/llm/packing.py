@@ -304,7 +304,7 @@ def pack_shards(docs: DataFrame, vocabulary: str, capacity: int, end: int | None
     def make():
         import uuid
 
-        from siltstone.llm.tokens import encoder
+        from siltstone.llm.tokens import encoder, portions
 
         encode = encoder(vocabulary)
 
@@ -330,20 +330,23 @@ def pack_shards(docs: DataFrame, vocabulary: str, capacity: int, end: int | None
 
         def each(b: pa.RecordBatch) -> pa.RecordBatch | None:
             done, rows, held = [], [], 0
-            for d, text in zip(b.column(0).to_pylist(), utf8(b.column(1)), strict=True):
-                for k, (a, x) in enumerate(pieces_of(encode([text])[0] + tail, capacity)):
-                    rows.append((d, k, a, x))
-                    held += len(x)
-                if held >= SHARD_BYTES:
-                    done.append(write(rows))
-                    rows, held = [], 0
+            docs = iter(b.column(0).to_pylist())
+            for some in portions(utf8(b.column(1))):
+                for ids in encode(some):
+                    d = next(docs)
+                    for k, (a, x) in enumerate(pieces_of(ids + tail, capacity)):
+                        rows.append((d, k, a, x))
+                        held += len(x)
+                    if held >= SHARD_BYTES:
+                        done.append(write(rows))
+                        rows, held = [], 0
             if rows:
                 done.append(write(rows))
             return pa.Table.from_batches(done).combine_chunks().to_batches()[0] if done else None
 
         return each
 
-    return mapped(pick(docs, doc_id="long", text="string"), make, SHARD)
+    return mapped(pick(docs, doc_id="long", text="string"), make, SHARD, 2 * SHARD_BYTES)
 
 
 READ = "shard string, sequence long, n_tokens long, n_segments long, segment_lengths array<int>, ids binary, position_ids binary"

@@ -17,9 +17,7 @@ import numpy as np
 from siltstone.llm.shingles import powers
 
 #: Chunks that a worker remembers, and the bytes of the longest of them.
-MEMORY, LONGEST = 2_500_000, 200
-#: Pieces that a worker remembers (twice, at most).
-PIECES = 300_000
+MEMORY, LONGEST = 1_000_000, 200
 #: Bytes of text that are cut at once.
 PORTION = 1 << 20
 #: Marks of which any number behind a word is one piece.  A chunk of letters and then such marks has known pieces, so the
@@ -86,7 +84,7 @@ class Collision(Exception):
 
 
 class Memory:
-    """What `compute` gives for chunks (arrays of unsigned 32-bit numbers, or None), by their hashes.
+    """What `compute` gives for lists of chunks (lists of unsigned 32-bit numbers, or None), by their hashes.
 
     Two sorted tables: a large one, and a recent one that is merged into it from time to time.  With more than `most` chunks
     the worker learns anew.
@@ -137,10 +135,10 @@ class Memory:
                 self.old = key[known], check[known], start[known], count[known]
             new = new[np.argsort(size[order[new]] > LONGEST, kind="stable")]
             keep = new[size[order[new]] <= LONGEST]
-            start[keep], count[keep] = self._put([self.compute(*chunk(i)) for i in order[keep].tolist()])
+            start[keep], count[keep] = self._put(self.compute(*chunk(order[keep])))
             mark, long = self.used, new[len(keep) :]
             if len(long):
-                start[long], count[long] = self._put([self.compute(*chunk(i)) for i in order[long].tolist()])
+                start[long], count[long] = self._put(self.compute(*chunk(order[long])))
             fresh = tuple(np.append(x, y) for x, y in zip(self.recent, (key[keep], check[keep], start[keep], count[keep]), strict=True))
             by = np.argsort(fresh[0], kind="stable")
             self.recent = tuple(x[by] for x in fresh)
@@ -202,17 +200,22 @@ def _library(path: str):
     return Tokenizer.from_file(path)
 
 
-def _pieces(t) -> Callable[[str], list[int]]:
-    tokenize, blank = t.model.tokenize, _LETTERS[32]
+def _lettered(piece: str) -> str:
+    """A piece in the byte-level alphabet."""
+    return piece.encode().decode("latin-1").translate(_LETTERS)
 
-    def ids(piece: str) -> list[int]:
-        if piece.isascii() and piece.isprintable():  # only the blank in front has another letter
-            letters = blank + piece[1:] if piece[0] == " " else piece
-        else:
-            letters = piece.encode().decode("latin-1").translate(_LETTERS)
-        return [x.id for x in tokenize(letters)]
 
-    return ids
+class Marks(dict):
+    """Ids of runs of marks; there are few."""
+
+    def __init__(self, tokenize: Callable):
+        self.tokenize = tokenize
+
+    def __missing__(self, run: str) -> list[int]:
+        out = [x.id for x in self.tokenize(_lettered(run))]
+        if len(self) < 10_000:
+            self[run] = out
+        return out
 
 
 def counter(path: str) -> Callable[[list[bytes]], list[int]]:
@@ -222,18 +225,24 @@ def counter(path: str) -> Callable[[list[bytes]], list[int]]:
     """
     if ("count", path) not in _made:
         t = _library(path)
-        ids, latin = _pieces(t), _LATIN.fullmatch
-        pieces = Remembered(lambda piece: len(ids(piece)), PIECES)
-
-        def count(word: bytes) -> int:
-            s = word.decode()
-            core = s.rstrip(MARKS)
-            if latin(core):
-                return pieces[core.lower()] + (pieces[s[len(core) :]] if len(core) < len(s) else 0)
-            return len(t.encode(s, add_special_tokens=False).ids)
-
-        _made["count", path] = Memory(lambda word: (count(word),)), Cutter(b" \t\n\x0b\x0c\r"), count, pieces
-    memory, cutter, count, pieces = _made["count", path]
+        latin, tokenize = _LATIN.fullmatch, t.model.tokenize
+        marks = Marks(tokenize)
+
+        def count(words: list[bytes]) -> list[tuple[int]]:
+            out = []
+            for word in words:
+                s = word.decode()
+                core = s.rstrip(MARKS)
+                if latin(core):
+                    low = core.lower()
+                    n = len(tokenize(low if low.isascii() else _lettered(low)))
+                    out.append((n + len(marks[s[len(core) :]]),) if len(core) < len(s) else (n,))
+                else:
+                    out.append((len(t.encode(s, add_special_tokens=False).ids),))
+            return out
+
+        _made["count", path] = Memory(count), Cutter(b" \t\n\x0b\x0c\r"), count
+    memory, cutter, count = _made["count", path]
 
     def counts(texts: list[bytes]) -> list[int]:
         out: list[int] = []
@@ -242,11 +251,10 @@ def counter(path: str) -> Callable[[list[bytes]], list[int]]:
             begin, end, (key, check) = cutter.of(np.frombuffer(joined, np.uint8))
             try:
                 of, first = told_apart(key, check)
-                flat, start, _ = memory.look(key[first], check[first], lambda i: (joined[begin[first[i]] : end[first[i]]],), (end - begin)[first])  # noqa: B023
+                flat, start, _ = memory.look(key[first], check[first], lambda i: ([joined[a:z] for a, z in zip(begin[first[i]].tolist(), end[first[i]].tolist(), strict=True)],), (end - begin)[first])  # noqa: B023
             except Collision:
-                out += [sum(map(count, x.split())) for x in some]
+                out += [sum(n for (n,) in count(x.split())) for x in some]
                 continue
-            pieces.trim()
             total = np.concatenate([[0], np.cumsum(flat[start].astype(np.int64)[of])])
             cut = np.searchsorted(begin, np.concatenate([[0], np.cumsum([len(x) + 1 for x in some])]))
             out += (total[cut[1:]] - total[cut[:-1]]).tolist()
@@ -263,31 +271,48 @@ def encoder(path: str) -> Callable[[list[bytes]], list[bytes]]:
     """
     if ("ids", path) not in _made:
         t = _library(path)
-        pieces = Remembered(_pieces(t), PIECES)
+        tokenize, blank = t.model.tokenize, _LETTERS[32]
+        marks = Marks(tokenize)
+        newline = marks["\n"]
 
         def whole(s: str) -> list[int]:
             return t.encode(s, add_special_tokens=False).ids
 
-        def compute(chunk: bytes, first: bool) -> list[int] | None:
-            """Of a chunk behind a blank, or at a text's beginning; None if white space stands at an end of it: there the
-            piece pattern looks beyond the chunk."""
-            s = chunk.decode()
-            if s[0].isspace() or s[-1].isspace():
-                return None
-            out, blank = [], "" if first else " "
-            for line in s.split("\n"):  # a single line break between two words is a piece
+        def lines(s: str, first: bool) -> list[int]:
+            """Of a chunk with line breaks: a single one between two words is a piece."""
+            out: list[int] = []
+            before = "" if first else blank
+            for line in s.split("\n"):
                 core = line.rstrip(MARKS)
                 if not core.isalpha():
                     return whole(s if first else " " + s)
-                out += pieces[blank + core]
+                if out:
+                    out += newline
+                out += [x.id for x in tokenize(before + (core if core.isascii() else _lettered(core)))]
                 if len(core) < len(line):
-                    out += pieces[line[len(core) :]]
-                out += pieces["\n"]
-                blank = ""
-            return out[: -len(pieces["\n"])]
+                    out += marks[line[len(core) :]]
+                before = ""
+            return out
 
-        _made["ids", path] = Memory(compute), Cutter(b" "), whole, pieces
-    memory, cutter, whole, pieces = _made["ids", path]
+        def compute(chunks: list[bytes], firsts: list[bool]) -> list[list[int] | None]:
+            """Of chunks behind a blank, or at a text's beginning; None if white space stands at an end of one: there the
+            piece pattern looks beyond the chunk."""
+            out: list[list[int] | None] = []
+            for chunk, first in zip(chunks, firsts, strict=True):
+                s = chunk.decode()
+                core = s.rstrip(MARKS)
+                if core.isalpha():  # the common case
+                    letters = core if core.isascii() else _lettered(core)
+                    ids = [x.id for x in tokenize(letters if first else blank + letters)]
+                    out.append(ids + marks[s[len(core) :]] if len(core) < len(s) else ids)
+                elif s[0].isspace() or s[-1].isspace():
+                    out.append(None)
+                else:
+                    out.append(lines(s, first))
+            return out
+
+        _made["ids", path] = Memory(compute), Cutter(b" "), whole
+    memory, cutter, whole = _made["ids", path]
 
     def packed(ids: list[int]) -> bytes:
         return np.array(ids, "<u4").tobytes()
@@ -307,7 +332,7 @@ def encoder(path: str) -> Callable[[list[bytes]], list[bytes]]:
             key = np.where(leading, key + _FIRST, key)
             try:
                 of, first = told_apart(key, check)
-                flat, start, count = memory.look(key[first], check[first], lambda i: (joined[begin[first[i]] : end[first[i]]], bool(leading[first[i]])), (end - begin)[first])  # noqa: B023
+                flat, start, count = memory.look(key[first], check[first], lambda i: ([joined[a:z] for a, z in zip(begin[first[i]].tolist(), end[first[i]].tolist(), strict=True)], leading[first[i]].tolist()), (end - begin)[first])  # noqa: B023
             except Collision:
                 out += [packed(whole(x.decode())) for x in some]
                 continue
@@ -316,7 +341,6 @@ def encoder(path: str) -> Callable[[list[bytes]], list[bytes]]:
             regular &= bad[cut[1:]] == bad[cut[:-1]]
             count = np.maximum(count, 0)
             place = np.concatenate([[0], np.cumsum(count)])
-            pieces.trim()
             ids = flat[np.repeat(start - place[:-1], count) + np.arange(place[-1])].astype("<u4").tobytes()
             for x, a, z, ok in zip(some, place[cut[:-1]].tolist(), place[cut[1:]].tolist(), regular.tolist(), strict=True):
                 out.append(ids[4 * a : 4 * z] if ok else packed(whole(x.decode())))
