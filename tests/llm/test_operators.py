@@ -309,43 +309,80 @@ def test_suffix_dedup(spark, docs, rows, empty):
     assert suffix_dedup.without_repeats(docs).columns == docs.columns
 
 
-@pytest.mark.parametrize("portion", [300, 2_000_000])
-def test_suffix_tree(docs, rows, empty, monkeypatch, portion):
-    monkeypatch.setattr(suffix_tree_lm, "PORTION", portion)
-    count, all_ = Counter(), {i: [*(x or "").encode().lower().split(), b"\n"] for i, x in rows}
-    for i, w in all_.items():
-        if zlib.crc32(str(i).encode()) % 5 != 1:
-            count.update(w)
-    total, distinct = sum(count.values()), len(count)
-    settings = suffix_tree_lm.Settings(least=1e-3, common=2e-3, deviations=0.0)
-    got = {r["doc_id"]: r for r in suffix_tree_lm.scores(docs, settings).collect()}
-    assert len(got) == len(rows)
-    for i, w in all_.items():
-        r = got[i]
-        assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (zlib.crc32(str(i).encode()) % 5 == 1, len(w), sum(count[x] > 0 for x in w), total)
-        assert r["base_score"] == pytest.approx(sum(math.log10((count[x] + 0.5) / (total + 0.5 * (distinct + 1))) for x in w))
-        assert math.isfinite(r["score"]) and r["score"] <= 0
-    out = [r for r in got.values() if r["held_out"]]
-    assert sum(r["score"] for r in out) > sum(r["base_score"] for r in out)
+class BruteTree:
+    """The suffix tree by dictionaries: contexts as tuples of words, the oldest first."""
+
+    def __init__(self, training, settings):
+        self.count = Counter(w for t in training for w in t)
+        self.total, self.settings = sum(self.count.values()), settings
+        self.weight = self.total + 0.5 * (len(self.count) + 1)
+        self.nodes = {}
+        often = {w for w, n in self.count.items() if n >= settings.least}
+        known = {(w,): self.count[w] for w in often if w != b"\n"}
+        for k in range(1, settings.depth + 1):
+            after = {}
+            for t in training:
+                for i in range(k, len(t)):
+                    c = tuple(t[i - k : i])
+                    if c in known and t[i] in often:
+                        after.setdefault(c, Counter())[t[i]] += 1
+            pairs = {c: {w: n for w, n in x.items() if n >= settings.least} for c, x in after.items()}
+            for c, next_ in pairs.items():
+                if next_ and (k == 1 or c[1:] in self.nodes):
+                    self.grow(c, known[c], next_)
+            known = {(*c, w): n for c, x in pairs.items() for w, n in x.items() if w != b"\n"}
+
+    def grow(self, c, n, next_):
+        q = {w: self.p(c[1:], w) for w in next_}
+        p = {w: x / n for w, x in next_.items()}
+        left, left_q = max(1 - sum(p.values()), 0), max(1 - sum(q.values()), 1e-12)
+        divergence = sum(p[w] * math.log(p[w] / q[w]) for w in p) + (left * math.log(left / left_q) if left > 1e-15 else 0)
+        if 2 * n * divergence > len(p) + self.settings.deviations * math.sqrt(2 * len(p)):
+            smooth = {w: (x + self.settings.strength * q[w]) / (n + self.settings.strength) for w, x in next_.items()}
+            self.nodes[c] = (smooth, max(1 - sum(smooth.values()), 1e-12) / left_q)
+
+    def p(self, c, w):
+        """Of a word behind a context, in the longest suffix that is a node."""
+        if not c:
+            return (self.count[w] + 0.5) / self.weight
+        if c not in self.nodes:
+            return self.p(c[1:], w)
+        smooth, factor = self.nodes[c]
+        return smooth[w] if w in smooth else factor * self.p(c[1:], w)
+
+    def score(self, t):
+        depth = self.settings.depth
+        return sum(math.log10(self.p(tuple(t[max(0, i - depth) : i]), w)) for i, w in enumerate(t))
+
+
+@pytest.mark.parametrize(("portion", "depth", "least"), [(1_000_000, 3, 4), (50, 2, 2), (300, 4, 8)])
+def test_suffix_tree(spark, rows, empty, portion, depth, least):
+    rng = random.Random(6)
+    phrase = [words(rng, 6, 30) for _ in range(8)]
+    rows = rows + [(1000 + i, " ".join(rng.choice(phrase) if rng.random() < 0.7 else words(rng, 3, 30) for _ in range(20))) for i in range(60)]
+    rows += [rows[20], rows[20], (rows[21][0], "another text of the same id"), (None, "a text without an id")]
+    docs = spark.createDataFrame([(i, t, 1.0) for i, t in rows], "doc_id long, text string, score double").repartition(3)
+    held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 5 == 1
+    all_ = [(i, [*(x or "").encode().lower().split(), b"\n"]) for i, x in rows]
+    settings = suffix_tree_lm.Settings(depth=depth, least=least, common=2e-3, deviations=0.0)
+    tree = BruteTree([w for i, w in all_ if not held(i)], settings)
+    assert {len(c) for c in tree.nodes} == set(range(1, depth + 1))
+    count, total, distinct = tree.count, tree.total, len(tree.count)
+    want = sorted(((i, held(i), len(w), sum(count[x] > 0 for x in w), total, round(sum(math.log10((count[x] + 0.5) / (total + 0.5 * (distinct + 1))) for x in w), 6), round(tree.score(w), 6)) for i, w in all_), key=str)
+    got = sorted(((*r[:5], round(r[5], 6), round(r[6], 6)) for r in map(tuple, suffix_tree_lm.scores(docs, settings, portion).collect())), key=str)
+    assert [r[:5] for r in got] == [r[:5] for r in want]
+    for g, w in zip(sorted(got, key=lambda r: (str(r[:5]), r[5])), sorted(want, key=lambda r: (str(r[:5]), r[5])), strict=True):
+        assert g[5:] == pytest.approx(w[5:], abs=1e-5), g
+    out = [r for r in got if r[1]]
+    assert sum(r[6] for r in out) > sum(r[5] for r in out)
     assert suffix_tree_lm.scores(empty).count() == 0
 
 
-def test_nodes_are_distributions(docs):
-    settings = suffix_tree_lm.Settings(least=1e-3, common=1e-3, deviations=0.0)
-    training = docs.select("doc_id", "text")
-    tree = suffix_tree_lm.fit(training, suffix_tree_lm.word_counts(training), settings)
-    assert any(len(level.nodes) for level in tree.levels)
-    rest = 1 - sum((tree.counts + 0.5) / tree.weight)  # of words that aren't frequent, at the root
-    for k, level in enumerate(tree.levels, 1):
-        for c in level.nodes[:20]:
-            p = sum(10 ** suffix_tree_lm.log_probability(tree, int(c), k, w) for w in range(len(tree.frequent)))
-            behind, code = 1.0, int(c)
-            for j in range(k, 0, -1):
-                part = code & ((1 << (suffix_tree_lm.BITS * j)) - 1)
-                at = tree.levels[j - 1].nodes.tolist()
-                if part in at:
-                    behind *= 10 ** float(tree.levels[j - 1].rest[at.index(part)])
-            assert p + behind * (rest + sum((n + 0.5) / tree.weight for w, n in zip(tree.words, tree.counts) if w not in set(tree.frequent.tolist()))) == pytest.approx(1)
+def test_pairs_are_bounded(spark, docs):
+    """With few pairs allowed, the least count rises, and the model stays one."""
+    settings = suffix_tree_lm.Settings(depth=2, least=2, most=40, deviations=0.0)
+    got = suffix_tree_lm.scores(docs, settings).collect()
+    assert all(math.isfinite(r["score"]) and r["score"] <= 0 for r in got)
 
 
 def test_decontamination(spark, rows, empty):
