@@ -1,4 +1,9 @@
-"""The stages of the corpus pipeline.  Each works on all that the one before it kept."""
+"""The stages of the corpus pipeline.  Each works on all that the one before it kept.
+
+All stages take documents with any extra columns, whatever their names, and all but the last return exactly those columns.  An
+empty table gives an empty one.  Texts may be null, empty, or of any length.  Rows that repeat, share a doc_id or have none are
+rows of their own, in the order of doc_id (nulls last) and then of their texts, where a stage needs an order.
+"""
 
 from __future__ import annotations
 
@@ -11,22 +16,33 @@ from siltstone.llm import common, packing, quality
 CAPACITY = 1024
 
 
+def _keyed(docs: DataFrame) -> tuple[DataFrame, DataFrame, str]:
+    """docs with a column that is a key, (that key as doc_id, text), and the column's name."""
+    row = common.fresh_name(docs, "row")
+    whole = common.numbered(common.Scratch(docs.sparkSession), docs, row)
+    return whole, whole.select(F.col(f"`{row}`").alias("doc_id"), "text"), row
+
+
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that every quality rule passes."""
+    """Documents that every quality rule passes.  Null and empty texts have too few words and go; repeated rows pass or go
+    together."""
     return quality.good(docs)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of documents that links of at least 0.8 connect, the one with the smallest doc_id."""
+    """Of each group of documents that links of at least 0.8 connect, the first.  Texts without words are linked with nothing
+    and stay; of repeated rows one stays."""
     from siltstone.llm import jaccard_join
 
-    groups = jaccard_join.components(docs)
-    first = groups.filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    return docs.join(first, "doc_id", "left_semi")
+    whole, texts, row = _keyed(docs)
+    groups = jaccard_join.components(texts)
+    first = groups.filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias(row))
+    return whole.join(first, row, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def repeats_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the passages that stand in an earlier one; those with no word left go."""
+    """Documents without the passages of 100 bytes and more that stand in an earlier one, or further in front; those with no
+    word left go, as do null and empty texts.  Of repeated rows of that length the first keeps its text."""
     from siltstone.llm import suffix_dedup
 
     kept = suffix_dedup.without_repeats(docs)
@@ -34,15 +50,18 @@ def repeats_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which no benchmark item was found."""
+    """Documents in which no benchmark item was found.  Null and empty texts stay; repeated rows stay or go together."""
     from siltstone.llm import decontamination
 
-    found = decontamination.contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return docs.join(common.stage(found.select("doc_id").distinct(), "leaks"), "doc_id", "left_anti")
+    whole, texts, row = _keyed(docs)
+    found = decontamination.contaminated(texts, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    leaks = common.stage(found.select(F.col("doc_id").alias(row)).distinct(), "leaks")
+    return whole.join(leaks, row, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents, packed into sequences."""
+    """The pieces of all documents, packed into sequences: doc_id, piece, start, length, ids_crc32, sequence_id, offset.  A null
+    or empty text is a piece of its end alone; each repeated row has its own pieces."""
     pieces = packing.tokenize_pieces(docs, public_tokenizers.path("byte_bpe_50k.json"), CAPACITY, end=2)
     pieces = pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
     return packing.best_fit(pieces, CAPACITY)
