@@ -138,14 +138,18 @@ def fresh_name(df: DataFrame, name: str) -> str:
     return name
 
 
+def is_key(docs: DataFrame) -> bool:
+    """Whether every row has a doc_id of its own."""
+    return docs.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1 or doc_id is null").isEmpty()
+
+
 def numbered(scratch: Scratch, docs: DataFrame, row: str) -> DataFrame:
     """docs with a column `row`, a key in the order of doc_id: doc_id itself if it is one, and else numbers.
 
     Rows of one doc_id are in the order of their texts, and a null doc_id comes last; only then is the table sorted and
     written once more.
     """
-    ids = docs.groupBy("doc_id").agg(F.count("*").alias("n"))
-    if ids.filter("n > 1 or doc_id is null").isEmpty():
+    if is_key(docs):
         return docs.withColumn(row, F.col("doc_id").cast("long"))
     order = [F.col("doc_id").asc_nulls_last(), F.xxhash64("text"), F.col("text")]
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import pick
+from siltstone.llm.common import Scratch, is_key, numbered, pick
 
 # fixed values: short notices and leading paragraphs of licence families
 TEMPLATES: dict[str, tuple[str, ...]] = {
@@ -275,10 +275,25 @@ def _apart(found: DataFrame) -> DataFrame:
 
 def scan(docs: DataFrame, model: Model | None = None) -> DataFrame:
     """doc_id, paragraph (number of its first line, from 0), family, probability, similarity: each licence paragraph of each
-    document."""
-    spark = docs.sparkSession
+    document.
+
+    Null and empty texts have none.  Texts may have any length; what is compared is never longer than twice the longest
+    template.  Repeated rows, and rows of one doc_id or without one, are scanned each by itself.  Of overlapping paragraphs
+    a line goes before a group of lines, then the more similar, the shorter and the first one.  An empty table gives no rows.
+    Columns but doc_id and text are ignored.
+    """
     model = model or train()
     docs = pick(docs, doc_id="long", text="string")
+    if is_key(docs):
+        return _scan(docs, model)
+    # as the rows of one doc_id would flow together below
+    rows = numbered(Scratch(docs.sparkSession), docs, "row")
+    found = _scan(rows.select(F.col("row").alias("doc_id"), "text"), model).withColumnRenamed("doc_id", "row")
+    return found.join(rows.select("row", "doc_id"), "row").select("doc_id", *[c for c in found.columns if c != "row"])
+
+
+def _scan(docs: DataFrame, model: Model) -> DataFrame:
+    spark = docs.sparkSession
     lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("paragraph", "line"))
     lines = lines.select("doc_id", "paragraph", F.regexp_extract_all(F.lower("line"), F.lit(f"({WORD})"), F.lit(1)).alias("words"))
     telling = sorted({w for g in model.weights for w in g.split() if w not in COMMON and not w.isdigit()})
