@@ -157,6 +157,25 @@ def numbered(scratch: Scratch, docs: DataFrame, row: str) -> DataFrame:
     return scratch.stage(ordered.withColumn(row, F.monotonically_increasing_id()), "numbered")
 
 
+def settle() -> None:
+    """At the end of a task: give memory that isn't used back to the system.  Python workers live on, beside the tasks that
+    follow."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def sliced(b: pa.RecordBatch, portion: int) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch of about `portion` bytes."""
+    step = max(1, b.num_rows // (1 + b.nbytes // portion))
+    for at in range(0, b.num_rows, step):
+        yield b.slice(at, step)
+
+
 def mapped(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | None]], schema: str, portion: int = 8 << 20) -> DataFrame:
     """df through Arrow batches of about `portion` bytes at most; make() is called once a task and returns the function of a
     batch."""
@@ -164,10 +183,10 @@ def mapped(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.Recor
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         each = make()
         for b in batches:
-            step = max(1, b.num_rows // (1 + b.nbytes // portion))
-            for at in range(0, b.num_rows, step):
-                if (out := each(b.slice(at, step))) is not None and out.num_rows:
+            for part in sliced(b, portion):
+                if (out := each(part)) is not None and out.num_rows:
                     yield out
+        settle()
 
     return df.mapInArrow(run, schema)
 

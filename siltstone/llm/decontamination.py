@@ -40,7 +40,7 @@ class Words:
 
         from siltstone.llm.tokens import Remembered
 
-        self.memory = Remembered(xxh64_intdigest, 300_000)
+        self.memory = Remembered(xxh64_intdigest, 100_000)
 
     def of(self, text: bytes) -> np.ndarray:
         """Hashes of the words.  Letters outside ASCII count as word bytes and are lower-cased with the text."""

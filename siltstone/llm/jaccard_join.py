@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import Scratch, groups, pick, utf8
+from siltstone.llm.common import Scratch, groups, pick, settle, sliced, utf8
 from siltstone.llm.shingles import Words, mix, shingles
 
 
@@ -45,8 +45,8 @@ class Settings(NamedTuple):
     """How the work is cut; results don't depend on it."""
 
     #: Bytes of text in one block, and of all texts for one range of hashes.
-    block: int = 4 << 20
-    range: int = 24 << 20
+    block: int = 2 << 20
+    range: int = 16 << 20
     #: Tokens found so often in a block are sent once for the block; they count as so many.
     local: int = 32
     #: Frequency classes are powers of two; tokens from this class on are frequent.
@@ -82,17 +82,11 @@ BANDS = _bands()
 
 
 def _blocks(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[np.ndarray, np.ndarray, list[bytes]]]:
-    """Ids, whether they are there, and texts of so many documents that a block has, in the order of their ids."""
+    """Ids, whether they are there, and texts of so many documents that a block has."""
     for b in batches:
-        column = b.column(0)
-        known = column.is_valid().to_numpy(zero_copy_only=False)
-        ids, texts = column.fill_null(0).to_numpy(), utf8(b.column(1))
-        order = np.lexsort((ids, ~known))
-        size = np.cumsum([len(texts[i]) + 1 for i in order])
-        cuts = np.flatnonzero(np.diff(size // most)) + 1
-        for part in np.split(order, cuts):
-            if len(part):
-                yield ids[part], known[part], [texts[i] for i in part]
+        for part in sliced(b, most):
+            column = part.column(0)
+            yield column.fill_null(0).to_numpy(), column.is_valid().to_numpy(zero_copy_only=False), utf8(part.column(1))
 
 
 def _short(tokens: np.ndarray, part: np.ndarray, bits: int) -> np.ndarray:
@@ -151,6 +145,7 @@ def _send(bits: int, how: Settings):
                 rows.append((int(part[a]), block, 0, d[at].tobytes(), counts.tobytes(), _packed(tokens[a:z])))
             yield _rows(rows, _SENT)
             block += 1
+        settle()
 
     return run
 
@@ -181,6 +176,7 @@ def _count(batches: Iterator[pa.RecordBatch], local: int) -> Iterator[pa.RecordB
                 at += len(t)
         if out:
             yield _rows(out, _SENT)
+    settle()
 
 
 _SETS = "doc_id long, name binary, n long, tokens array<long>, keys array<long>, u int, " + ", ".join(f"{p} long" for p in _SKETCH)

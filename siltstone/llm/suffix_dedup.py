@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import Scratch, fresh_name, mapped, numbered, pick, utf8
+from siltstone.llm.common import Scratch, fresh_name, mapped, numbered, pick, settle, sliced, utf8
 
 SEED = 32  # bytes of the buckets that windows are put under
 #: Bytes of text that are worked on at once; longer texts are cut between windows.
@@ -225,16 +225,18 @@ def removed_windows(scratch: Scratch, docs: DataFrame, length: int, portion: int
     docs = docs.filter(F.octet_length("text") >= length)
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (part for whole in batches for part in sliced(whole, 2 * portion)):
             stretches = ((x, row, at) for row, text, _ in _ordered(b) for x, at in _cut(text, 0, len(text) - length, min(portion, STRETCH), length))
             for p in _portions(stretches, portion):
                 yield _runs(p, length)
+        settle()
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (part for whole in batches for part in sliced(whole, 2 * portion)):
             stretches = ((x, row, at) for row, text, spans in _ordered(b) for s in spans for x, at in _cut(text, s >> 32, s & 0xFFFFFFFF, min(portion, STRETCH), length))
             for p in _portions(stretches, portion):
                 yield _windows(p, length)
+        settle()
 
     rows = docs.mapInArrow(runs, ROWS).repartition("bucket").sortWithinPartitions("bucket", "name", "row", "span")
     one = W.partitionBy("bucket")

@@ -17,7 +17,7 @@ import numpy as np
 from siltstone.llm.shingles import powers
 
 #: Chunks that a worker remembers, and the bytes of the longest of them.
-MEMORY, LONGEST = 1_000_000, 200
+MEMORY, LONGEST = 600_000, 200
 #: Bytes of text that are cut at once.
 PORTION = 1 << 20
 #: Marks of which any number behind a word is one piece.  A chunk of letters and then such marks has known pieces, so the
@@ -86,8 +86,8 @@ class Collision(Exception):
 class Memory:
     """What `compute` gives for lists of chunks (lists of unsigned 32-bit numbers, or None), by their hashes.
 
-    Two sorted tables: a large one, and a recent one that is merged into it from time to time.  With more than `most` chunks
-    the worker learns anew.
+    Two sorted tables: a large one, and a recent one that is merged into it from time to time.  Beyond `most` chunks those go
+    that weren't met again since the last time.
     """
 
     def __init__(self, compute: Callable, most: int = MEMORY):
@@ -95,10 +95,28 @@ class Memory:
         self._clear()
 
     def _clear(self) -> None:
-        none = np.empty(0, np.uint64), np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int32)
-        self.old, self.recent = none, none  # key, check, start, count (-1 for None)
+        none = np.empty(0, np.uint64), np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int32), np.empty(0, bool)
+        self.old, self.recent = none, none  # key, check, start, count (-1 for None), whether it was met again
         self.flat, self.used = np.empty(1 << 16, np.uint32), 0
 
+    def _merge(self) -> None:
+        both = tuple(np.append(x, y) for x, y in zip(self.old, self.recent, strict=True))
+        by = np.argsort(both[0], kind="stable")
+        self.old = tuple(x[by] for x in both)
+        self.recent = tuple(x[:0] for x in self.old)
+
+    def _shrink(self) -> None:
+        self._merge()
+        again = self.old[4]
+        if 2 * again.sum() > self.most:
+            return self._clear()
+        key, check, start, count, _ = (x[again] for x in self.old)
+        n = np.maximum(count, 0).astype(np.int64)
+        begin = np.cumsum(n) - n
+        flat = self.flat[np.repeat(start - begin, n) + np.arange(n.sum())]
+        self.flat, self.used = np.append(flat, np.empty(1 << 16, np.uint32)), len(flat)
+        self.old = key, check, begin, count, np.zeros(len(key), bool)
+
     def _put(self, values: list) -> tuple[np.ndarray, np.ndarray]:
         count = np.array([-1 if v is None else len(v) for v in values], np.int32)
         n = np.maximum(count, 0).astype(np.int64)
@@ -111,10 +129,12 @@ class Memory:
 
     def look(self, key: np.ndarray, check: np.ndarray, chunk: Callable, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Values of different chunks: a flat array, and where in it each one's begins and how long it is (-1 for None)."""
+        if len(self.old[0]) + len(self.recent[0]) + len(key) > self.most:
+            self._shrink()
         order = np.argsort(key)
         key, check = key[order], check[order]
         start, count, known = np.zeros(len(key), np.int64), np.zeros(len(key), np.int32), np.zeros(len(key), bool)
-        for k, c, s, n in (self.old, self.recent):
+        for k, c, s, n, again in (self.old, self.recent):
             if len(k):
                 at = np.minimum(np.searchsorted(k, key), len(k) - 1)
                 here = np.flatnonzero(k[at] == key)
@@ -122,31 +142,20 @@ class Memory:
                 if (c[at] != check[here]).any():
                     self._clear()
                     raise Collision
-                start[here], count[here], known[here] = s[at], n[at], True
+                start[here], count[here], known[here], again[at] = s[at], n[at], True, True
         new, long, mark = np.flatnonzero(~known), [], 0
         if len(new):
-            if len(self.old[0]) + len(self.recent[0]) > self.most:
-                flat, begin = self.flat, start[known]
-                self._clear()  # but for what this portion needs
-                n = np.maximum(count[known], 0).astype(np.int64)
-                end = np.cumsum(n)
-                self.flat = np.append(flat[np.repeat(begin - end + n, n) + np.arange(n.sum())], np.empty(1 << 16, np.uint32))
-                self.used, start[known] = int(n.sum()), end - n
-                self.old = key[known], check[known], start[known], count[known]
             new = new[np.argsort(size[order[new]] > LONGEST, kind="stable")]
             keep = new[size[order[new]] <= LONGEST]
             start[keep], count[keep] = self._put(self.compute(*chunk(order[keep])))
             mark, long = self.used, new[len(keep) :]
             if len(long):
                 start[long], count[long] = self._put(self.compute(*chunk(order[long])))
-            fresh = tuple(np.append(x, y) for x, y in zip(self.recent, (key[keep], check[keep], start[keep], count[keep]), strict=True))
+            fresh = tuple(np.append(x, y) for x, y in zip(self.recent, (key[keep], check[keep], start[keep], count[keep], np.zeros(len(keep), bool)), strict=True))
             by = np.argsort(fresh[0], kind="stable")
             self.recent = tuple(x[by] for x in fresh)
             if len(by) > max(50_000, len(self.old[0]) // 4):
-                both = tuple(np.append(x, y) for x, y in zip(self.old, self.recent, strict=True))
-                by = np.argsort(both[0], kind="stable")
-                self.old = tuple(x[by] for x in both)
-                self.recent = tuple(x[:0] for x in self.old)
+                self._merge()
         back = np.empty(len(order), np.int64)
         back[order] = np.arange(len(order))
         flat = self.flat
