@@ -136,6 +136,49 @@ def sentences(text: Column) -> Column:
     return F.filter(F.transform(F.split(text, r"[.!?。！？\n]+"), F.trim), lambda x: x != "")
 
 
+# fixed values: phrases by which a text states a preference, or that something has changed
+PREFERENCES = ("i prefer", "i like", "i love", "my favorite", "my favourite", "i usually", "i always", "i tend to", "i often", "prefer to", "rather than", "instead of using", "i enjoy", "i favor", "i favour")
+PREFERENCES_CJK = ("我喜欢", "我偏好", "我习惯", "我倾向", "我更喜欢", "我通常", "我总是", "比较喜欢", "更倾向于", "偏爱")
+UPDATES = ("changed to", "switched to", "moved to", "migrated to", "replaced with", "upgraded to", "downgraded to", "updated to", "no longer", "instead of", "now using", "now uses", "deprecated", "replaced by", "superseded by", "was renamed to", "renamed to")
+UPDATES_CJK = ("改为", "换成", "迁移到", "升级到", "不再使用", "替换为", "现在使用", "已弃用", "已废弃")
+
+
+def _any(text: Column, phrases: tuple[str, ...]) -> Column:
+    out = F.lit(False)
+    for p in phrases:
+        out = out | F.contains(text, F.lit(p))
+    return out
+
+
+def is_preference(text: Column) -> Column:
+    return _any(F.lower(text), PREFERENCES) | _any(text, PREFERENCES_CJK)
+
+
+def is_update(text: Column) -> Column:
+    return _any(F.lower(text), UPDATES) | _any(text, UPDATES_CJK)
+
+
+def word_jaccard(a: Column, b: Column) -> Column:
+    """Of the words of two queries, cut at white space, in lower case."""
+    words = lambda x: F.array_distinct(F.filter(F.split(F.lower(x), r"\s+"), lambda w: w != ""))
+    return jaccard(words(a), words(b))
+
+
+def kept_variants(query: Column, variants: Column, most: Column, alike: float = 0.8) -> Column:
+    """At most so many variants of a query, without those too like it or like one before."""
+    none = F.array().cast("array<string>")
+    near = lambda a, b: word_jaccard(a, b) > alike
+    kept = F.aggregate(variants, none, lambda have, x: F.when(near(query, x) | F.exists(have, lambda y: near(y, x)), have).otherwise(F.concat(have, F.array(x))))
+    return F.slice(kept, F.lit(1), most)
+
+
+def bound(value: Column, end: bool) -> Column:
+    """A user's time bound: a day means its beginning or its last second; null if it is no date."""
+    day = value.rlike(r"^\d{4}-\d{2}-\d{2}$")
+    at = F.try_to_timestamp(value)
+    return F.when(day & F.lit(end), at + F.expr("interval 86399 seconds")).otherwise(at)
+
+
 def statements(text: Column) -> Column:
     """Sentences of prose: they end at . ! ? before white space, at CJK marks with the closing ones behind them, and at
     blank lines; a single line break doesn't end one."""

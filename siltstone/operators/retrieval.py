@@ -307,3 +307,56 @@ def corroborated(docs: DataFrame, external: DataFrame, above: float = 0.3) -> Da
     both = a.join(b, "t").groupBy("id", "source", "key").agg(F.count("*").alias("both"), F.first("n").alias("n"), F.first("m").alias("m"))
     hit = both.filter(F.col("both") / (F.col("n") + F.col("m") - F.col("both")) > above).groupBy("id").agg(F.countDistinct("source").alias("hits"))
     return docs.select("id").join(hit, "id", "left").select("id", (1 + F.coalesce("hits", F.lit(0))).alias("sources"))
+
+
+def bypassed(lists: DataFrame, strong: DataFrame) -> DataFrame:
+    """The channels' rows after strong lexical signals: queries that have one (query_id, strong) keep their lexical rows
+    only."""
+    sure = strong.filter("strong").select("query_id").withColumn("_sure", F.lit(True))
+    return lists.join(sure, "query_id", "left").filter(F.col("_sure").isNull() | (F.col("channel") == "fts")).drop("_sure")
+
+
+def six_weights(fused: DataFrame, channels: DataFrame, rows: DataFrame, weights: dict[str, float], adoption: float) -> DataFrame:
+    """Fused scores (query_id, id, score) blended with the weighted sum of six features, as far as these weights have been
+    adopted: the reported scores of four channels (query_id, channel, id, score), and a row's support and diversity."""
+    from siltstone.functions.scoring import support_signal
+
+    share = min(1.0, max(0.0, adoption))
+    total = sum(max(w, 0.0) for w in weights.values())
+    w = {k: max(v, 0.0) / total for k, v in weights.items()}
+    wide = channels.groupBy("query_id", "id").pivot("channel", ["fts", "vec", "kg", "episode"]).agg(F.max("score"))
+    x = fused.join(wide, ["query_id", "id"], "left").join(rows.select("id", "support", "diversity"), "id", "left")
+    feature = lambda c: F.coalesce(F.col(c), F.lit(0.0))
+    score = w["bm25"] * feature("fts") + w["vec"] * feature("vec") + w["kg"] * feature("kg") + w["episode"] * feature("episode")
+    score = score + w["support"] * support_signal(F.col("support")) + w["diversity"] * support_signal(F.col("diversity").cast("double"))
+    return x.select("query_id", "id", F.when(F.col("support").isNull(), F.col("score")).otherwise(share * score + (1 - share) * F.col("score")).alias("score"))
+
+
+def evidence_preview(rows: DataFrame, evidence: DataFrame, most: int = 2) -> DataFrame:
+    """id, evidence_count (support but for the row itself) and preview: `[topic] summary` of its first pieces of evidence
+    (id, memory_id, topic, summary, position)."""
+    others = evidence.filter("memory_id <> id").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("position", F.concat(F.lit("["), "topic", F.lit("] "), "summary").alias("line")))).alias("e"))
+    n = F.greatest(F.col("support") - 1, F.lit(0))
+    preview = F.when(n > 0, F.slice(F.coalesce(F.transform("e", lambda x: x["line"]), F.array()), 1, most)).otherwise(F.array().cast("array<string>"))
+    return rows.join(others, "id", "left").select("id", n.alias("evidence_count"), preview.alias("preview"))
+
+
+def knn_pairs(vectors: DataFrame, k: int, least: float = -1.0) -> DataFrame:
+    """a, b, sim: each row with its k nearest others, every pair once."""
+    near = nearest(vectors, vectors.select(F.col("id").alias("query_id"), "embedding"), k + 1).filter("query_id <> id")
+    near = near.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "id"))).filter((F.col("rank") <= k) & (F.col("score") >= least))
+    return near.groupBy(F.least("query_id", "id").alias("a"), F.greatest("query_id", "id").alias("b")).agg(F.max("score").alias("sim"))
+
+
+def vector_dedup(vectors: DataFrame, pending: DataFrame, k: int = 5, strong: float = 0.80, weak: float = 0.70) -> DataFrame:
+    """new_id, old_id, sim, band of waiting rows (id) and their nearest others: strong ones merge, weak ones go to a judge."""
+    asked = vectors.join(pending.select("id"), "id", "left_semi").select(F.col("id").alias("query_id"), "embedding")
+    near = nearest(vectors, asked, k + 1).filter("query_id <> id")
+    near = near.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "id"))).filter((F.col("rank") <= k) & (F.col("score") >= weak))
+    return near.select(F.col("query_id").alias("new_id"), F.col("id").alias("old_id"), F.col("score").alias("sim"), F.when(F.col("score") >= strong, "strong").otherwise("weak").alias("band"))
+
+
+def top_hit_cluster(hits: DataFrame, assigned: DataFrame) -> DataFrame:
+    """event, cluster: where the best vector hit of each event (event, id, score) belongs now; null if nowhere."""
+    best = hits.groupBy("event").agg(F.max_by("id", F.struct("score", -F.col("id"))).alias("id"))
+    return best.join(assigned.select("id", "cluster"), "id", "left").select("event", "cluster")

@@ -26,7 +26,7 @@ def register(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def _load() -> None:
-    from siltstone.plans import core, more  # noqa: F401  they register their queries
+    from siltstone.plans import core, knowledge, more  # noqa: F401  they register their queries
 
 
 def queries() -> dict[str, Query]:

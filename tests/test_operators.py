@@ -351,3 +351,39 @@ def test_log_sum_survival_is_monotone(spark):
     i = spark.createDataFrame([(1, float(d % 7), d % 3 > 0) for d in range(50)], "g int, days double, event boolean")
     s = [r["survival"] for r in lifecycle.kaplan_meier(i, ["g"]).orderBy("t").collect()]
     assert s == sorted(s, reverse=True) and all(0 <= x <= 1 and math.isfinite(x) for x in s)
+
+
+def test_variants_are_unlike_each_other(spark):
+    v = F.array(*[F.lit(x) for x in ("fast cache store", "cache store fast", "slow disk", "slow disk", "other words here")])
+    got = one(spark, text.kept_variants(F.lit("Fast Cache  store"), v, F.lit(5)))
+    assert got == ["slow disk", "other words here"]
+    assert one(spark, text.kept_variants(F.lit("x"), v, F.lit(2))) == ["fast cache store", "slow disk"]
+
+
+def test_store_applies_decisions(spark):
+    """Merges fold new rows and further targets into the winner, superseded rows stay as history, gray pairs wait."""
+    from siltstone.operators import store
+
+    row = lambda i, content, n=1: (i, "t", f"s{i}", content, ["k"], "medium", n, 0.5, 0.1, "stm", "active", None)
+    schema = "id long, topic string, summary string, content string, keywords array<string>, importance string, access_count int, strength double, decay_lambda double, layer string, status string, superseded_by long"
+    rows = spark.createDataFrame([row(1, "a"), row(2, "b"), row(3, "c"), row(4, "d")], schema)
+    new = spark.createDataFrame([row(11, "a\nnew line", 5), row(12, "x"), row(13, "y"), row(14, "z"), row(15, "more")], schema)
+    decisions = spark.createDataFrame([(11, "merge_into_many", [1, 2]), (12, "create_new", []), (13, "supersede", [3]), (14, "gray_zone", [4]), (15, "merge_into", [1])], "new_id long, action string, targets array<long>")
+    out, ledger, outbox = store.store(rows, new, decisions, "2024-03-01")
+    got = {r["id"]: r for r in out.collect()}
+    assert set(got) == {1, 2, 3, 4, 12, 13, 14}
+    assert got[1]["content"] == "a\n[merged 2024-03-01]\nb\n[merged 2024-03-01]\nnew line\n[merged 2024-03-01]\nmore"
+    assert got[1]["access_count"] == 1 + (1 + 1) + (5 + 1) + (1 + 1)
+    assert (got[2]["status"], got[2]["superseded_by"]) == ("updated", 1) and (got[3]["status"], got[3]["superseded_by"]) == ("deprecated", 13)
+    assert ledger.count() == 5 and [tuple(r) for r in outbox.collect()] == [(14, 4, "pending")]
+    verdicts = spark.createDataFrame([(14, 4, "merge")], "new_id long, old_id long, verdict string")
+    assert [tuple(r) for r in store.resolved(outbox, verdicts).collect()] == [(14, "merge_into", [4])]
+    assert store.drained(outbox, verdicts).count() == 0
+
+
+def test_replaced_rows_leave_evidence(spark):
+    from siltstone.operators import store
+
+    rows = spark.createDataFrame([(1, "t", "a"), (2, "t", "b"), (3, "u", "c")], "id long, topic string, summary string")
+    out, evidence = store.replaced(rows, rows.filter("id < 3"), spark.createDataFrame([(9, "t", "ab")], "id long, topic string, summary string"))
+    assert sorted(r["id"] for r in out.collect()) == [3, 9] and sorted(r["memory_id"] for r in evidence.collect()) == [1, 2]
