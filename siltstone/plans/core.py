@@ -327,7 +327,7 @@ def bm25_all_terms(spark, d):
 def cosine_topk(spark, d):
     v = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
     q = v.filter("id % 20 = 0").select(F.col("id").alias("query_id"), "embedding")
-    return retrieval.nearest(v, q, 10).withColumn("score", F.round("score", 6))
+    return retrieval.nearest(v, q, 10).withColumn("score", F.round(F.round("score", 9), 6))
 
 
 @register("rrf_fusion", LISTS_SQL + "select query_id, id, round(sum(case channel when 'fts' then 0.3 else 0.7 end / (60 + r)), 9) as score from (select *, row_number() over (partition by query_id, channel order by score desc, id) as r from l) group by all")

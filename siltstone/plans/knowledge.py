@@ -116,12 +116,12 @@ def triple_cache(spark, d):
 
 # calibration
 
-KAPPA_SQL = """with p as (select user_id % 5 as g, event_id // 500 as win, value > 50 as a, value > 45 + event_id % 20 as b from events), s as (select g, win, count(*) as n, avg((a = b)::int) as o, avg(a::int) as pa, avg(b::int) as pb from p group by all),
+KAPPA_SQL = """with p as (select user_id % 5 as g, event_id // 500 as win, value > 50 as a, (value > 50) <> (event_id // 500 % 2 = 1 and event_id % 4 = 0) as b from events), s as (select g, win, count(*) as n, avg((a = b)::int) as o, avg(a::int) as pa, avg(b::int) as pb from p group by all),
  k as (select g, win, n, case when abs(1 - (pa * pb + (1 - pa) * (1 - pb))) < 1e-12 then o else (o - (pa * pb + (1 - pa) * (1 - pb))) / (1 - (pa * pb + (1 - pa) * (1 - pb))) end as kappa from s)"""
 
 
 def _agreement(spark, d):
-    e = table(spark, d, "events").select((F.col("user_id") % 5).alias("group"), F.floor(F.col("event_id") / 500).alias("window"), (F.col("value") > 50).alias("a"), (F.col("value") > 45 + F.col("event_id") % 20).alias("b"))
+    e = table(spark, d, "events").select((F.col("user_id") % 5).alias("group"), F.floor(F.col("event_id") / 500).alias("window"), (F.col("value") > 50).alias("a"), ((F.col("value") > 50) != ((F.floor(F.col("event_id") / 500) % 2 == 1) & (F.col("event_id") % 4 == 0))).alias("b"))
     return calibrate.agreement(e, ["group", "window"])
 
 
@@ -196,13 +196,13 @@ def evidence_preview(spark, d):
 @register("knn_pairs", f"with s as ({COSINE_SQL.replace('where q.vec_id % 20 = 0', 'where q.vec_id <> v.vec_id')}), r as (select *, row_number() over (partition by query_id order by score desc, id) as k from s) select least(query_id, id) as a, greatest(query_id, id) as b, round(max(score), 6) as sim from r where k <= 3 group by 1, 2")
 def knn_pairs(spark, d):
     v = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
-    return retrieval.knn_pairs(v, 3).withColumn("sim", F.round("sim", 6))
+    return retrieval.knn_pairs(v, 3).withColumn("sim", F.round(F.round("sim", 9), 6))
 
 
 @register("vector_dedup", f"with s as ({COSINE_SQL}), r as (select *, row_number() over (partition by query_id order by score desc, id) as k from s where query_id <> id) select query_id as new_id, id as old_id, round(score, 6) as sim, case when score >= 0.3 then 'strong' else 'weak' end as band from r where k <= 5 and score >= 0.2")
 def vector_dedup(spark, d):
     v = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
-    return retrieval.vector_dedup(v, v.filter("id % 20 = 0"), 5, 0.3, 0.2).withColumn("sim", F.round("sim", 6))
+    return retrieval.vector_dedup(v, v.filter("id % 20 = 0"), 5, 0.3, 0.2).withColumn("sim", F.round(F.round("sim", 9), 6))
 
 
 def _contains(column: str, phrases) -> str:

@@ -43,13 +43,19 @@ def batch_dedup(spark, d):
     return dedup.greedy(dedup.pairs(t, ["topic", "lang"], 0.7), t.select("id", "size"), ["topic", "lang"])
 
 
-@register("insert_decisions")
+@register("insert_decisions", PAIRS_SQL + """, c as (select b as new_id, a as old_id, greatest(jaccard, containment) as lex, jaccard as vec, (b - a) % 14 as age from p where greatest(jaccard, containment) > 0.3),
+ w as (select *, max(vec) over x as best_v, count(*) filter (lex > 0.7) over x as hits, max(lex) over x as best_l from c window x as (partition by new_id)), r as (select *, row_number() over (partition by new_id order by case when best_v > 0.85 and hits < 2 then vec else lex end desc, old_id) as r from w),
+ m as (select new_id, list(old_id order by r) filter (lex > 0.7) as many from r group by new_id), o as (select r.*, m.many from r join m using (new_id) where r = 1),
+ dec as (select *, case when best_v > 0.85 and hits < 2 then case when age >= 7 then 'supersede' else 'merge_into' end when best_v > 0.60 and best_l < 0.7 then 'gray_zone' when hits >= 2 then case when age >= 7 then 'supersede' else 'merge_into_many' end when hits = 1 then case when age >= 7 then 'supersede' else 'merge_into' end
+  when best_l >= case when best_l >= 0.35 and best_l < 0.5 then 0.35 else 0.5 end then case when best_v < 0.50 then 'create_new' else 'gray_zone' end else 'create_new' end as action from o)
+ select new_id, action, case action when 'create_new' then '' when 'merge_into_many' then array_to_string(many[1:5], ',') else cast(old_id as varchar) end as targets from dec union all select doc_id, 'create_new', '' from documents where doc_id not in (select new_id from c)""")
 def insert_decisions(spark, d):
     t = _tokens(spark, d)
     p = dedup.pairs(t, ["topic", "lang"], 0.3)
     c = p.select(F.col("b").alias("new_id"), F.col("a").alias("old_id"), F.col("sim").alias("lexical"), F.col("jaccard").alias("vector"), ((F.col("b") - F.col("a")) % 14).cast("double").alias("age_days"), F.lit(False).alias("contains"))
     none = t.select(F.col("id").alias("new_id")).join(c.select("new_id"), "new_id", "left_anti")
-    return dedup.decide(c.unionByName(none, allowMissingColumns=True), 0.7)
+    out = dedup.decide(c.unionByName(none, allowMissingColumns=True), 0.7)
+    return out.withColumn("targets", F.array_join(F.transform("targets", lambda x: x.cast("string")), ","))
 
 
 @register("threshold_sweep", PAIRS_SQL + ", l as (select greatest(jaccard, containment) as sim, jaccard > 0.7 as dup from p where greatest(jaccard, containment) > 0.3), th as (select unnest(range(30, 100, 5)) / 100 as theta), c as (select theta, count(*) filter (sim > theta and dup) as tp, count(*) filter (sim > theta and not dup) as fp, count(*) filter (sim <= theta and not dup) as tn, count(*) filter (sim <= theta and dup) as fn from l, th group by theta) select theta, tp, fp, tn, fn, round(case when tp + fp = 0 then 0 else tp / (tp + fp) end, 6) as precision, round(case when tp + fn = 0 then 0 else tp / (tp + fn) end, 6) as recall from c")
@@ -59,7 +65,7 @@ def threshold_sweep(spark, d):
     return s.select("theta", "tp", "fp", "tn", "fn", F.round("precision", 6).alias("precision"), F.round("recall", 6).alias("recall"))
 
 
-@register("duplicate_components")
+@register("duplicate_components", PAIRS_SQL.replace("with ", "with recursive ", 1) + ", l as (select a, b from p where greatest(jaccard, containment) > 0.7), u as (select a, b from l union select b, a from l), r(id, x) as (select a, a from u union select r.id, u.b from r join u on u.a = r.x) select id, min(x) as root from r group by id")
 def duplicate_components(spark, d):
     return dedup.components(dedup.pairs(_tokens(spark, d), ["topic", "lang"], 0.7).select("a", "b"))
 
@@ -121,9 +127,9 @@ def prune_rows(spark, d):
     return lifecycle.prunable(memories(spark, d), 0.3).select("id")
 
 
-@register("gc_preview", WITH + "select id from memories where layer = 'stm' and importance not in ('critical', 'high') and age_hours >= 3 and exp(-decay_lambda / (1 + 0.2 * access_count) * power(floor(age_hours / 3.0) / 24.0, 1.2)) < 0.05")
+@register("gc_preview", WITH + "select id from memories where layer = 'stm' and importance not in ('critical', 'high') and age_hours >= 3 and exp(-decay_lambda / (1 + 0.2 * access_count) * power(floor(age_hours / 3.0) / 24.0, 1.2)) < 0.4")
 def gc_preview(spark, d):
-    return lifecycle.garbage(memories_at(spark, d), AS_OF).select("id")
+    return lifecycle.garbage(memories_at(spark, d), AS_OF, 0.4).select("id")
 
 
 @register("promotion", WITH + ", h as (select user_id as id, count(*) as n from events group by user_id) select m.id, cast(access_count + coalesce(h.n, 0) as int) as access_count, case when layer = 'stm' and access_count + coalesce(h.n, 0) > 5 then 'ltm' else layer end as layer from memories m left join h using (id)")
@@ -209,7 +215,7 @@ def timeline_union(spark, d):
     return graph.timeline({"event": e, "order": o}, 200).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
 
 
-@register("graph_export")
+@register("graph_export", """select 'digraph {' || chr(10) || string_agg('  "' || n_regionkey || '" -> "' || n_nationkey || '" [label="holds"];', chr(10) order by '  "' || n_regionkey || '" -> "' || n_nationkey || '" [label="holds"];') || chr(10) || '}' as text from nation""")
 def graph_export(spark, d):
     n = table(spark, d, "nation")
     return graph.exported(n.select("n_nationkey", "n_name"), n.select(F.col("n_regionkey").alias("source"), F.col("n_nationkey").alias("target"), F.lit("holds").alias("relation")), "dot")
