@@ -26,6 +26,13 @@ class Recall:
     mmr_lambda: float = 1.0  # 1 is off
     kg_weight: float = 0.3
     episode_weight: float = 0.18
+    #: leave the other channels out where the lexical one is sure
+    bypass: bool = False
+    #: learned weights of six features (names and values), and how far they have been adopted
+    weights: tuple[tuple[str, float], ...] = ()
+    adoption: float = 0.0
+    #: pieces of evidence shown with each row
+    preview: int = 0
 
 
 def routed(queries: DataFrame) -> DataFrame:
@@ -66,7 +73,13 @@ def recall(queries: DataFrame, memories: DataFrame, lists: DataFrame, as_of: str
     last_accessed, support, diversity.  Cold rows come for exploratory queries only; a query's relative time bounds rows.
     """
     q = routed(queries)
-    found = fused(lists, q, p).join(memories.filter(F.col("status") != "deprecated"), "id").join(q.select("query_id", "query", "type", "terms", "multiplier", "days_back"), "query_id")
+    if p.bypass:
+        lists = retrieval.bypassed(lists, retrieval.strong_signal(lists.filter("channel = 'fts'").select("query_id", "id", "score")))
+    found = fused(lists, q, p)
+    if p.weights and p.adoption > 0:
+        blended = retrieval.six_weights(found.select("query_id", "id", "score"), retrieval.channel_scores(lists), memories, dict(p.weights), p.adoption)
+        found = found.drop("score").join(blended, ["query_id", "id"])
+    found = found.join(memories.filter(F.col("status") != "deprecated"), "id").join(q.select("query_id", "query", "type", "terms", "multiplier", "days_back"), "query_id")
     age = scoring.days(F.lit(as_of), F.col("created_at"))
     found = found.filter((F.col("tier") != "cold") | (F.col("type") == "exploratory")).filter(F.col("days_back").isNull() | (age <= F.col("days_back")))
     tips = retrieval.tips(memories)
@@ -91,4 +104,31 @@ def recall(queries: DataFrame, memories: DataFrame, lists: DataFrame, as_of: str
     if p.mmr_lambda < 1:
         with_tokens = final.join(memories.select("id", text.tokens(F.col("content")).alias("tokens")), "id")
         return retrieval.mmr(with_tokens.select(F.col("query_id").cast("long"), F.col("id").cast("long"), "score", "tokens"), p.limit, p.mmr_lambda, lambda a, b: len(a & b) / max(1, len(a | b)))
-    return retrieval.top_k(final, p.limit)
+    out = retrieval.top_k(final, p.limit)
+    if not p.preview:
+        return out
+    evidence = memories.filter("superseded_by is not null").select(F.col("superseded_by").alias("id"), F.col("id").alias("memory_id"), "topic", "summary", F.col("id").alias("position"))
+    return out.join(retrieval.evidence_preview(memories, evidence, p.preview), "id")
+
+
+def channels(queries: DataFrame, lexical: DataFrame, vector: DataFrame, concepts: DataFrame, links: DataFrame, episodes: DataFrame | None = None) -> DataFrame:
+    """query_id, channel, id, score of all four channels.  lexical, vector: (query_id, id, score).  The graph channel follows
+    concepts and links; episodes (query_id, id, score) count for queries that ask for them."""
+    from siltstone.operators.concepts import kg_channel, with_episodes
+
+    kg = kg_channel(queries, concepts, links)
+    asked = routed(queries).select("query_id", (F.col("type") == "episodic").alias("episodic"), F.col("days_back").isNotNull().alias("bounded"))
+    episodes = kg.limit(0) if episodes is None else episodes
+    out = with_episodes(kg, episodes, asked)
+    for name, df in (("fts", lexical), ("vec", vector)):
+        out = out.unionByName(df.select("query_id", F.lit(name).alias("channel"), "id", "score"))
+    return out
+
+
+def expanded(queries: DataFrame, variants: DataFrame) -> DataFrame:
+    """query_id, query, variant: the queries, and those of their variants (query_id, variants) that are unlike them and each
+    other: at most one for temporal queries, two for episodic ones, and three for others."""
+    q = routed(queries).select("query_id", "query", "type").join(variants, "query_id", "left")
+    most = F.when(F.col("type") == "temporal", 1).when(F.col("type") == "episodic", 2).otherwise(3)
+    kept = text.kept_variants(F.col("query"), F.coalesce("variants", F.array().cast("array<string>")), most)
+    return q.select("query_id", F.posexplode(F.concat(F.array("query"), kept)).alias("variant", "query"))

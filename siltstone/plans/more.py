@@ -338,16 +338,50 @@ def query_classes(spark, d):
     return q.groupBy("q").agg(F.count("*").alias("n")).select("q", "n", extract.classify(F.col("q")).alias("c")).select("q", "n", "c.type", "c.alpha", "c.days_back")
 
 
+def _channels(spark, d):
+    """All four channels: every tenth document is a concept, named by its first words and linked with the next one; turns
+    of conversations are episodes of the documents that have their number."""
+    from siltstone.operators import recall as r
+
+    lists = _lists(spark, d)
+    one = lambda name: lists.filter(F.col("channel") == name).select("query_id", "id", "score")
+    docs = table(spark, d, "documents").filter("doc_id % 10 = 0")
+    words = F.filter(F.split(F.lower(F.coalesce("text", F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    concepts = docs.select(F.col("doc_id").alias("id"), F.array_join(F.slice(words, 1, 4), " ").alias("name"), F.lit("").alias("definition"), F.col("source").alias("labels"), F.array("doc_id", F.col("doc_id") + 1).alias("source_memory_ids"))
+    links = docs.select(F.col("doc_id").alias("source"), (F.col("doc_id") + 10).alias("target"))
+    return r.channels(asked(spark, d).withColumn("query_id", F.col("query_id").cast("int")), one("fts"), one("vec"), concepts, links)
+
+
 @register("recall")
 def recall(spark, d):
     from siltstone.operators import recall as r
-    return r.recall(asked(spark, d), memories_at(spark, d), _lists(spark, d), AS_OF)
+
+    return r.recall(asked(spark, d), memories_at(spark, d), _channels(spark, d), AS_OF, r.Recall(bypass=True))
 
 
 @register("recall_diverse")
 def recall_diverse(spark, d):
     from siltstone.operators import recall as r
-    return r.recall(asked(spark, d), memories_at(spark, d), _lists(spark, d), AS_OF, r.Recall(limit=5, mode="cc", mmr_lambda=0.7))
+    from siltstone.operators.weights import DEFAULT
+
+    weights = tuple(zip(("bm25", "vec", "kg", "episode", "support", "diversity"), DEFAULT, strict=True))
+    return r.recall(asked(spark, d), memories_at(spark, d), _channels(spark, d), AS_OF, r.Recall(limit=5, mode="cc", mmr_lambda=0.7, weights=weights, adoption=0.2))
+
+
+@register("recall_preview")
+def recall_preview(spark, d):
+    from siltstone.operators import recall as r
+
+    return r.recall(asked(spark, d), memories_at(spark, d), _channels(spark, d), AS_OF, r.Recall(preview=2)).withColumn("preview", F.array_join("preview", "|"))
+
+
+@register("query_expansion")
+def query_expansion(spark, d):
+    from siltstone.operators import recall as r
+
+    q = asked(spark, d)
+    variants = q.select("query_id", F.array("query", F.concat("query", F.lit(" again")), F.concat(F.lit("what of "), "query"), F.lit("something else")).alias("variants"))
+    return r.expanded(q, variants)
 
 
 @register("sentence_facts")
