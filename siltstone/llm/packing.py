@@ -295,7 +295,10 @@ def pack_shards(docs: DataFrame, vocabulary: str, capacity: int, end: int | None
     (each sequence's run from 0 to its length), `<shard>.at.npy`, where each sequence's run begins in them, and
     `<shard>.resets.npy`, the position resets: a matrix of bits, set where position ids begin at 0 again.  A task that is run again writes the same shards under new names;
     only shards named in the rows count.
-    Null text is empty; an empty document without an `end` has no piece; an empty table writes nothing.
+    Null text is empty; an empty document without an `end` has no piece; an empty table writes nothing.  Texts may have any
+    length; a long one is cut like any other, and its shard is closed behind it.  Repeated rows, and rows that share a doc_id
+    or have none, have their own pieces.  Of equally long pieces the earlier one is placed first, and of equally full
+    sequences the last one that became so takes a piece.  Columns but doc_id and text are ignored.
     """
     from siltstone.llm.files import save
 

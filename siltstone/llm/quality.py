@@ -163,10 +163,15 @@ def judged(docs: DataFrame, rules: tuple[Rule, ...], base: tuple[Rule, ...], row
 
 
 def quality_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES, base: tuple[Rule, ...] = BASE) -> DataFrame:
-    """doc_id, the measures, base_failed, failed (names of the rules that fail) and kept of every row."""
+    """doc_id, the measures, base_failed, failed (names of the rules that fail) and kept of every row.
+
+    A null text has no words and fails the base, as an empty one does.  Texts may have any length; each is measured within its
+    row.  Repeated rows, and rows that share a doc_id or have none, are measured by themselves; measures have no ties.  An empty
+    table gives an empty result.  Columns but doc_id and text are ignored, whatever their names.
+    """
     return judged(docs, rules, base, F.lit(None).cast("int")).drop("_row")
 
 
 def good(docs: DataFrame, rules: tuple[Rule, ...] = RULES, base: tuple[Rule, ...] = BASE) -> DataFrame:
-    """The rows of docs that every rule passes, with all their columns."""
+    """The rows of docs that every rule passes, with all their columns, whatever their names; see `quality_rules`."""
     return judged(docs, rules, base, F.struct("*")).filter("kept").select("_row.*")

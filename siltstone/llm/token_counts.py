@@ -44,7 +44,12 @@ def read_cache(spark: SparkSession, cache: str | None, version: str) -> DataFram
 
 
 def token_counts(docs: DataFrame, vocabulary: str, cache: str | None = None) -> DataFrame:
-    """doc_id, n_bytes, n_tokens of every row of docs.  `cache`: a folder of counts to use and to append to, or None."""
+    """doc_id, n_bytes, n_tokens of every row of docs.  `cache`: a folder of counts to use and to append to, or None.
+
+    A null text is empty and has no tokens.  Texts may have any length.  Repeated rows, and rows that share a doc_id or have
+    none, are counted each; equal contents are encoded once.  An empty table gives an empty result.  Columns but doc_id and
+    text are ignored.
+    """
     spark = docs.sparkSession
     version = tokenizer_digest(vocabulary)
     docs = digested(docs)
