@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm import common, decontamination, jaccard_join, licenses, packing, quality, suffix_dedup, suffix_tree_lm, token_counts, warc
+from siltstone.llm import collocations, common, decontamination, jaccard_join, licenses, packing, quality, suffix_dedup, suffix_tree_lm, token_counts, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -100,6 +100,39 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents")).drop("cut")
+
+
+OP11_SQL = r"""
+with p as (
+  select lang, row_number() over () as piece, list_filter(regexp_split_to_array(t, '[\x20\x09]+'), lambda x: x <> '') as w
+  from (select coalesce(lang, 'und') as lang,
+               unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) as t from documents)),
+o as (select lang, w, unnest(range(1, len(w) + 1)) as i from p),
+g as (
+  select lang, 1 as k, w[i] as phrase from o
+  union all select lang, 2, w[i] || ' ' || w[i + 1] from o where i + 1 <= len(w)
+  union all select lang, 3, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] from o where i + 2 <= len(w)),
+c as (select lang, k, phrase, count(*) as f, string_split(phrase, ' ') as w from g group by all),
+n as (select lang, cast(sum(f) as bigint) as n from c where k = 1 group by lang),
+cuts as (
+  select lang, k, phrase, f as a, w[1] as x, array_to_string(w[2:], ' ') as y, 1 as cut from c where k > 1 and f >= 10
+  union all select lang, k, phrase, f, w[1] || ' ' || w[2], w[3], 2 from c where k = 3 and f >= 10),
+s as (
+  select cuts.lang, cuts.k, cuts.phrase, a, l.f as l, r.f as r, cut, cast(1000000::hugeint * a * a // (l.f::hugeint * r.f) as bigint) as score
+  from cuts join c l on l.lang = cuts.lang and l.phrase = x join c r on r.lang = cuts.lang and r.phrase = y),
+low as (select * from s qualify row_number() over (partition by lang, phrase order by score, cut) = 1),
+around as (
+  select lang, phrase, max(a) as f from (
+    select lang, f as a, w[1] || ' ' || w[2] as phrase from c where k = 3 and f >= 10
+    union all select lang, f, w[2] || ' ' || w[3] from c where k = 3 and f >= 10) group by all),
+kept as (select low.* from low left join around using (lang, phrase) where around.f is null or 100 * around.f < 50 * a),
+ranked as (select *, row_number() over (partition by lang order by score desc, a desc, encode(phrase)) as rank from kept)
+select lang, rank, phrase, a, l, r, n, score from ranked join n using (lang) where rank <= 2000
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_best_fit": op2_best_fit,
@@ -111,5 +144,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_warc": op8_warc,
     "op9_token_matrices": op9_token_matrices,
     "op10_license_scan": op10_license_scan,
+    "op11_collocations": op11_collocations,
 }
-ORACLE_SQL: dict[str, str] = {"op3_quality_rules": OP3_SQL, "op8_warc": OP8_SQL}
+ORACLE_SQL: dict[str, str] = {"op3_quality_rules": OP3_SQL, "op8_warc": OP8_SQL, "op11_collocations": OP11_SQL}
