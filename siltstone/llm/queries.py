@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm import collocations, common, decontamination, jaccard_join, licenses, packing, quality, suffix_dedup, suffix_tree_lm, token_counts, warc
+from siltstone.llm import collocations, common, decontamination, hash_search, jaccard_join, licenses, packing, quality, suffix_dedup, suffix_tree_lm, token_counts, warc, yinyang
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -133,6 +133,41 @@ select lang, rank, phrase, a, l, r, n, score from ranked join n using (lang) whe
 """
 
 
+def op12_hash_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    index = hash_search.build(vectors.withColumnRenamed("vec_id", "id"))
+    return hash_search.search(index, vectors.filter("vec_id % 20 = 0").withColumnRenamed("vec_id", "query_id"))
+
+
+def op13_yinyang(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return yinyang.clustered(table(spark, sf_dir, "embeddings"))
+
+
+def _op13_sql() -> str:
+    d = "list_sum(list_transform(list_zip(v.x, c.x), lambda p: (p[1] - p[2]) * (p[1] - p[2])))"
+    parts = ["""
+with v as (
+  select row_number() over () as row, vec_id, list_transform(embedding, lambda x: cast(floor(64 * cast(x as double)) as bigint)) as x
+  from embeddings where len(embedding) = 64 and len(list_filter(embedding, lambda x: x is not null and isfinite(x))) = 64),
+c0 as (select row_number() over (order by sha256('1:' || vec_id), vec_id, x) - 1 as c, x from v qualify c < 16)"""]
+    for i in range(4):
+        parts.append(f"a{i} as (select v.row, min(cast({d} as bigint) * 16 + c.c) as best from v, c{i} c group by v.row)")
+        if i < 3:
+            parts.append(f"""s{i} as (
+  select best % 16 as c, pos, cast(sum(val) as bigint) as s, count(*) as n
+  from (select best, unnest(x) as val, generate_subscripts(x, 1) as pos from v join a{i} using (row)) group by all),
+m{i} as (select c, list((s - (s % n + n) % n) // n order by pos) as x from s{i} group by c),
+c{i + 1} as (select c{i}.c, coalesce(m{i}.x, c{i}.x) as x from c{i} left join m{i} using (c))""")
+    return ",\n".join(parts) + """
+select vec_id, cast(best % 16 as int) as cluster, best // 16 as distance, cast(sum(best // 16) over (partition by best % 16) as bigint) as cluster_inertia,
+       cast(sum(best // 16) over () as bigint) as inertia, sha256(array_to_string(c.x, ',')) as centroid_sha256
+from v join a3 using (row) join c3 c on c.c = best % 16
+"""
+
+
+OP13_SQL = _op13_sql()
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_best_fit": op2_best_fit,
@@ -145,5 +180,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_token_matrices": op9_token_matrices,
     "op10_license_scan": op10_license_scan,
     "op11_collocations": op11_collocations,
+    "op12_hash_search": op12_hash_search,
+    "op13_yinyang": op13_yinyang,
 }
-ORACLE_SQL: dict[str, str] = {"op3_quality_rules": OP3_SQL, "op8_warc": OP8_SQL, "op11_collocations": OP11_SQL}
+ORACLE_SQL: dict[str, str] = {"op3_quality_rules": OP3_SQL, "op8_warc": OP8_SQL, "op11_collocations": OP11_SQL, "op13_yinyang": OP13_SQL}
