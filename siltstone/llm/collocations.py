@@ -203,7 +203,7 @@ def scored(levels: list[DataFrame], settings: Settings) -> DataFrame:
     return low.select("lang", "phrase", "a", "x.l", "x.r", "x.score", F.col("x.cut").cast("long").alias("cut"))
 
 
-def collocations(docs: DataFrame, settings: Settings = Settings(), portion: int = 8 << 20) -> DataFrame:
+def collocations(docs: DataFrame, settings: Settings = Settings(), portion: int = 4 << 20) -> DataFrame:
     """lang, rank (from 1), phrase, a, l, r, n, score, cut: the first phrases of each language by score.
 
     `docs` has lang and text.  a is the phrase's count, l and r those of the two parts at its lowest-scoring cut, which is
