@@ -7,9 +7,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from siltstone.functions import scoring, text
-from siltstone.operators import aggregate, retrieval, scan
+from siltstone.operators import aggregate, lexical, retrieval, scan
 from siltstone.plans.model import AS_OF, WITH, memories, memories_at, table
 from siltstone.plans.registry import register
+from siltstone.sources.shared import stored
 
 LIVE = "status in ('active', 'updated')"
 
@@ -293,15 +294,24 @@ def asked(spark, d):
     return table(spark, d, "documents").filter("doc_id % 20 = 0").select(F.col("doc_id").alias("query_id"), F.array_join(F.slice(words, 1, 3), " ").alias("query"))
 
 
-def _bm25(spark, d, all_terms=False):
+def asked_terms(spark, d):
+    return asked(spark, d).select("query_id", text.sanitize_query(F.col("query")).alias("terms"))
+
+
+def lexical_index(spark, d):
+    """The stored index of the documents' texts: written when it is first asked for, and read by all queries after that."""
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("content"))
-    q = asked(spark, d).select("query_id", text.sanitize_query(F.col("query")).alias("terms"))
-    return retrieval.bm25(retrieval.postings(docs), retrieval.field_stats(docs), q, all_terms)
+    return stored(spark, docs, "lexical", lambda root: lexical.LexicalIndex(spark, root).build(docs), lambda root: lexical.LexicalIndex(spark, root).reader())
+
+
+def best_lexical(spark, d, k):
+    """query_id, id, score, rank of the k best documents of each stated query."""
+    return lexical_index(spark, d).search(asked_terms(spark, d), k)
 
 
 def _lists(spark, d):
     """Two channels of 20 rows for each query: BM25, and cosine to the vector of the query's number, if there is one."""
-    lexical = retrieval.top_k(_bm25(spark, d).withColumn("score", F.round("score", 9)), 20).select(F.col("query_id").cast("int"), F.lit("fts").alias("channel"), F.col("id").cast("long"), "score")
+    lexical = best_lexical(spark, d, 20).select(F.col("query_id").cast("int"), F.lit("fts").alias("channel"), F.col("id").cast("long"), "score")
     v = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
     q = v.filter("id % 20 = 0").select(F.col("id").alias("query_id"), "embedding")
     near = retrieval.nearest(v, q, 20).select(F.col("query_id").cast("int"), F.lit("vec").alias("channel"), "id", F.round("score", 9).alias("score"))
@@ -315,12 +325,12 @@ LISTS_SQL = BM25_SQL + f""", l as (select cast(query_id as int) as query_id, 'ft
 
 @register("bm25_topk", BM25_SQL + "select query_id, id, score, rank from (select query_id, id, round(score, 6) as score, cast(row_number() over (partition by query_id order by round(score, 9) desc, id) as int) as rank from s) where rank <= 10")
 def bm25_topk(spark, d):
-    return retrieval.top_k(_bm25(spark, d).withColumn("score", F.round("score", 9)), 10).withColumn("score", F.round("score", 6))
+    return best_lexical(spark, d, 10).withColumn("score", F.round("score", 6))
 
 
 @register("bm25_all_terms", BM25_SQL + "select query_id, id, round(score, 6) as score from s where found = (select count(*) from terms t where t.query_id = s.query_id)")
 def bm25_all_terms(spark, d):
-    return _bm25(spark, d, True).withColumn("score", F.round("score", 6))
+    return lexical_index(spark, d).all(asked_terms(spark, d), all_terms=True).withColumn("score", F.round("score", 6))
 
 
 @register("cosine_topk", f"select query_id, id, round(score, 6) as score, rank from (select *, cast(row_number() over (partition by query_id order by score desc, id) as int) as rank from ({COSINE_SQL})) where rank <= 10")
@@ -383,7 +393,7 @@ def centroids(spark, d):
 @register("mmr_diversity")
 def mmr_diversity(spark, d):
     docs = table(spark, d, "documents").select(F.col("doc_id").cast("long").alias("id"), text.tokens(F.coalesce("text", F.lit(""))).alias("tokens"))
-    c = retrieval.top_k(_bm25(spark, d).withColumn("score", F.round("score", 9)), 20).drop("rank").join(docs, "id").select(F.col("query_id").cast("long"), "id", "score", "tokens")
+    c = best_lexical(spark, d, 20).drop("rank").join(docs, "id").select(F.col("query_id").cast("long"), "id", "score", "tokens")
     return retrieval.mmr(c, 8, 0.7, lambda a, b: len(a & b) / max(1, len(a | b)))
 
 

@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
+import atexit
+import hashlib
 import tempfile
+import uuid
+from collections.abc import Callable
+from typing import TypeVar
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+
+T = TypeVar("T")
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
@@ -19,3 +26,50 @@ def checkpoint_dir(spark: SparkSession) -> str:
     made = "file://" + tempfile.mkdtemp(prefix="siltstone-checkpoint-")
     context.setCheckpointDir(made)
     return made
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df as a table in the shared folder: lineage is cut, and what is read twice is made once.  It goes at exit."""
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark).rstrip('/')}/siltstone-{name}-{uuid.uuid4().hex}"
+    schema = df.schema
+    _stored[path, ""] = (spark, path)
+    df.write.parquet(path)
+    return spark.read.schema(schema).parquet(path)
+
+
+_stored: dict[tuple[str, str], tuple[SparkSession, str]] = {}
+
+
+def fingerprint(df: DataFrame) -> str:
+    """Of the files that df reads: their names, sizes and times."""
+    context = df.sparkSession.sparkContext
+    found = []
+    for name in sorted(df.inputFiles()):
+        p = context._jvm.org.apache.hadoop.fs.Path(name)
+        s = p.getFileSystem(context._jsc.hadoopConfiguration()).getFileStatus(p)
+        found.append(f"{name} {s.getLen()} {s.getModificationTime()}")
+    return hashlib.sha256("\n".join(found).encode()).hexdigest()
+
+
+def stored(spark: SparkSession, source: DataFrame, kind: str, write: Callable[[str], object], read: Callable[[str], T]) -> T:
+    """What is derived from the files of `source`: written into the shared folder when this application first asks for it,
+    and read from there afterwards, as long as the files stay as they are.  It goes at exit."""
+    key = (f"{spark.sparkContext.applicationId} {kind}", fingerprint(source))
+    if key not in _stored:
+        root = f"{checkpoint_dir(spark).rstrip('/')}/siltstone-{kind}-{uuid.uuid4().hex}"
+        write(root)
+        _stored[key] = (spark, root)
+    return read(_stored[key][1])
+
+
+def _drop_stored() -> None:
+    for spark, root in _stored.values():
+        try:
+            p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+        except Exception:  # noqa: BLE001  the session may be gone at exit
+            pass
+
+
+atexit.register(_drop_stored)
