@@ -311,7 +311,7 @@ def best_lexical(spark, d, k):
 
 def _lists(spark, d):
     """Two channels of 20 rows for each query: BM25, and cosine to the vector of the query's number, if there is one."""
-    lexical = best_lexical(spark, d, 20).select(F.col("query_id").cast("int"), F.lit("fts").alias("channel"), F.col("id").cast("long"), "score")
+    lexical = best_lexical(spark, d, 20).select(F.col("query_id").cast("int"), F.lit("fts").alias("channel"), F.col("id").cast("long"), F.round("score", 9).alias("score"))
     v = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
     q = v.filter("id % 20 = 0").select(F.col("id").alias("query_id"), "embedding")
     near = retrieval.nearest(v, q, 20).select(F.col("query_id").cast("int"), F.lit("vec").alias("channel"), "id", F.round("score", 9).alias("score"))
@@ -393,7 +393,7 @@ def centroids(spark, d):
 @register("mmr_diversity")
 def mmr_diversity(spark, d):
     docs = table(spark, d, "documents").select(F.col("doc_id").cast("long").alias("id"), text.tokens(F.coalesce("text", F.lit(""))).alias("tokens"))
-    c = best_lexical(spark, d, 20).drop("rank").join(docs, "id").select(F.col("query_id").cast("long"), "id", "score", "tokens")
+    c = best_lexical(spark, d, 20).drop("rank").withColumn("score", F.round("score", 9)).join(docs, "id").select(F.col("query_id").cast("long"), "id", "score", "tokens")
     return retrieval.mmr(c, 8, 0.7, lambda a, b: len(a & b) / max(1, len(a | b)))
 
 
