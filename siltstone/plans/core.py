@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from siltstone.functions import scoring, text
 from siltstone.operators import aggregate, lexical, retrieval, scan
+from siltstone.operators.vector_index import VectorIndex
 from siltstone.plans.model import AS_OF, WITH, memories, memories_at, table
 from siltstone.plans.registry import register
 from siltstone.sources.shared import stored
@@ -340,6 +341,31 @@ def cosine_topk(spark, d):
     return retrieval.nearest(v, q, 10).withColumn("score", F.round(F.round("score", 9), 6))
 
 
+def vector_index(spark, d):
+    """The stored neighbour index of the embeddings, written once like the lexical one."""
+    v = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    return stored(spark, v, "vectors", lambda root: VectorIndex(spark, root).build(v), lambda root: VectorIndex(spark, root).reader())
+
+
+def asked_vectors(spark, d):
+    return table(spark, d, "embeddings").filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+
+
+@register("ann_topk")
+def ann_topk(spark, d):
+    """The k nearest live rows, as the probed cells have them; tested by recall."""
+    live = scan.live(memories(spark, d)).select("id")
+    return vector_index(spark, d).search(asked_vectors(spark, d), 10, live=live).withColumn("score", F.round("score", 6))
+
+
+@register("live_vector_topk", WITH + f"select query_id, id, round(score, 6) as score, rank from (select query_id, id, score, cast(row_number() over (partition by query_id order by score desc, id) as int) as rank from ({COSINE_SQL}) join (select id from memories where {LIVE}) using (id)) where rank <= 10")
+def live_vector_topk(spark, d):
+    """All cells are probed, so it is exact; rows that aren't live go before the k are taken."""
+    index = vector_index(spark, d)
+    live = scan.live(memories(spark, d)).select("id")
+    return index.search(asked_vectors(spark, d), 10, probes=len(index.manifest["cells"]), live=live).withColumn("score", F.round(F.round("score", 9), 6))
+
+
 @register("rrf_fusion", LISTS_SQL + "select query_id, id, round(sum(case channel when 'fts' then 0.3 else 0.7 end / (60 + r)), 9) as score from (select *, row_number() over (partition by query_id, channel order by score desc, id) as r from l) group by all")
 def rrf_fusion(spark, d):
     return retrieval.rrf(_lists(spark, d), {"fts": 0.3, "vec": 0.7}).withColumn("score", F.round("score", 9))
