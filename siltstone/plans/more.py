@@ -308,6 +308,15 @@ def hdbscan(spark, d):
     return cluster.clusters(table(spark, d, "embeddings").select(F.col("vec_id").cast("long").alias("id"), "embedding"), 5, 5)
 
 
+@register("hdbscan_blocks")
+def hdbscan_blocks(spark, d):
+    """The same in blocks, as more vectors than fit one task are clustered."""
+    from siltstone.operators import density
+
+    found = density.clusters(table(spark, d, "embeddings").select(F.col("vec_id").cast("long").alias("id"), "embedding"), 5, 5)
+    return found.select("id", F.when(F.col("label") >= 0, F.col("label")).alias("cluster_id"))
+
+
 ASKED = "('What changed last week?'), ('which editor do i prefer'), ('what did we decide in spring'), ('foo_bar.rs'), ('how does the cache work with threads'), ('recent work'), ('what happened in the session'), ('tell me about the storage layer'), ('redis cache'), ('timeline of 2024-01-05'), ('open \"the file\" that we wrote'), ('我喜欢的编辑器'), ('总结 the whole storage layer design'), ('数据库'), ('why rust'), ('this month in the parser')"
 
 
