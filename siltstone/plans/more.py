@@ -408,20 +408,47 @@ def triples(spark, d):
     return extract.triples(table(spark, d, "conversations").select(F.col("conv_id").alias("id"), F.col("text").alias("content")))
 
 
+def _event_stream(spark, d):
+    return spark.readStream.schema(table(spark, d, "events").schema).option("pathGlobFilter", "*.parquet").parquet(f"{d}/events*.parquet")
+
+
+def _stream_root(spark):
+    """A folder for a stream's state and output; it goes at exit."""
+    from siltstone.sources.shared import scratch
+
+    return scratch(spark, "stream")
+
+
 @register("event_counters", "select user_id, count(*) filter (event_type = 'view') as views, count(*) filter (event_type = 'click') as clicks, max(event_id) as last_id from events group by user_id")
 def event_counters(spark, d):
-    from siltstone.sources.shared import checkpoint_dir
     from siltstone.streaming import events as st
-    import uuid
 
-    root = f"{checkpoint_dir(spark)}/siltstone-stream-{uuid.uuid4().hex}"
-    schema = table(spark, d, "events").schema
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{d}/events*.parquet")
+    root, stream = _stream_root(spark), _event_stream(spark, d)
     fold = st.counter_fold(f"{root}/state", ["user_id"], {"views": "event_type = 'view'", "clicks": "event_type = 'click'"})
     st.consume(stream, fold, f"{root}/checkpoint").awaitTermination()
     return st.versioned(f"{root}/state")(spark)
 
 
+@register("concept_buckets", """with e as (select cast(user_id % 16 as varchar) as owner, event_id, case event_type when 'purchase' then 'up' when 'error' then 'down' when 'signup' then 'requery' else event_type end as kind,
+  (user_id % 7) || case when value < 50 then ':exact' else ':semantic' end as bucket, case when event_id % 3 = 0 then (user_id % 5) || ':temporal' end as route, cast(floor(value * 100) as bigint) as dwell from events),
+ b as (select owner, bucket, false as shadow, event_id, kind, dwell from e union all select owner, route, true, event_id, kind, dwell from e where route is not null and route <> bucket),
+ d as (select owner, bucket, dwell, row_number() over (partition by owner, bucket order by event_id desc) as r from b where kind = 'view'),
+ p as (select owner, bucket, count(*) as dwells, avg(case when dwell > 3000 then 1.0 else 0.0 end) as far, cast(floor(quantile_cont(dwell, 0.5) + 0.5) as bigint) as dwell_p50 from d where r <= 500 group by all),
+ c as (select owner, bucket, bool_and(shadow) as shadow, max(event_id) as last, count(*) filter (kind = 'view') as views, count(*) filter (kind = 'click') as clicks, count(*) filter (kind = 'up') as up, count(*) filter (kind = 'down') as down, count(*) filter (kind = 'requery') as requeries from b group by all)
+ select owner, bucket, shadow, last, views, clicks, up, down, requeries, cast(coalesce(dwells, 0) as int) as dwells, dwell_p50,
+  round(least(1.0, greatest(0.0, (coalesce(far, 0) + 0.5 * clicks / greatest(views, 1) + 2.0 * up / (up + down + 1) - 2.0 * requeries / greatest(views, 1)) / 5.5)), 6) as useful_rate from c left join p using (owner, bucket)""")
+def concept_buckets(spark, d):
+    from siltstone.streaming import keyed
+
+    kind = F.when(F.col("event_type") == "purchase", "up").when(F.col("event_type") == "error", "down").when(F.col("event_type") == "signup", "requery").otherwise(F.col("event_type"))
+    bucket = F.concat((F.col("user_id") % 7).cast("string"), F.when(F.col("value") < 50, ":exact").otherwise(":semantic"))
+    route = F.when(F.col("event_id") % 3 == 0, F.concat((F.col("user_id") % 5).cast("string"), F.lit(":temporal")))
+    events = _event_stream(spark, d).select((F.col("user_id") % 16).cast("string").alias("owner"), "event_id", kind.alias("kind"), bucket.alias("bucket"), route.alias("route"), F.floor(F.col("value") * 100).alias("dwell"), F.lit(None).cast("boolean").alias("hit"))
+    root = _stream_root(spark)
+    found = keyed.rates(keyed.current(keyed.drained(keyed.bucket_counters(events), f"{root}/out", f"{root}/checkpoint")))
+    return found.select("owner", "bucket", "shadow", "last", "views", "clicks", "up", "down", "requeries", F.size("dwells").alias("dwells"), "dwell_p50", F.round("useful_rate", 6).alias("useful_rate"))
+
+
 # maintenance
 
 

@@ -28,12 +28,17 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return made
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the shared folder: lineage is cut, and what is read twice is made once.  It goes at exit."""
-    spark = df.sparkSession
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder; what is there goes at exit."""
     path = f"{checkpoint_dir(spark).rstrip('/')}/siltstone-{name}-{uuid.uuid4().hex}"
-    schema = df.schema
     _stored[path, ""] = (spark, path)
+    return path
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df as a table in the shared folder: lineage is cut, and what is read twice is made once.  It goes at exit."""
+    spark, schema = df.sparkSession, df.schema
+    path = scratch(spark, name)
     df.write.parquet(path)
     return spark.read.schema(schema).parquet(path)
 
