@@ -9,7 +9,7 @@ import unicodedata
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.functions import text
+from siltstone.functions import segment, text
 
 # fixed values: phrases of the query classes, in order of precedence, and the classes' settings
 EPISODIC = ("what did we decide", "recap of", "session summary", "last conversation", "meeting notes", "会议记录", "上次会话", "总结一下上次")
@@ -29,10 +29,11 @@ SETTINGS = {"episodic": (0.5, 1.5), "temporal": (0.7, 1.5), "preference": (0.4,
 _WIDE, _PLAIN = "".join(map(chr, range(0xFF01, 0xFF5F))) + "\u3000", "".join(map(chr, range(0x21, 0x7F))) + " "
 
 
-def classify(query: Column) -> Column:
+def classify(query: Column, spaced: Column | None = None) -> Column:
     """type, alpha, multiplier and days_back of a query, as a struct.
 
-    A query with CJK characters is a keyword if it has at most three words, which are taken to have two characters each.
+    A query with CJK characters is a keyword if it has at most three words: those of `spaced`, the query with spaces between
+    its words (`segment.spaced`), or else words are taken to have two characters each.
     """
     low = F.lower(F.translate(query, _WIDE, _PLAIN))
     words = F.filter(F.split(query, r"\s+"), lambda w: w != "")
@@ -51,6 +52,8 @@ def classify(query: Column) -> Column:
     temporal = any_of(TEMPORAL, phrase) | any_of(TEMPORAL_CJK) | text.has_date(low)
     cjk = query.rlike(f"[{text.CJK}]")
     cjk_words = F.ceil(F.length(F.regexp_replace(query, f"[^{text.CJK}]", "")) / 2)
+    if spaced is not None:
+        cjk_words = F.size(F.regexp_extract_all(spaced, F.lit(f"([{text.CJK}]+)"), F.lit(1)))
     short = (n <= 3) & (F.octet_length(query) < n * 15) & ~any_of(NOT_KEYWORDS, lambda p: F.startswith(low, F.lit(p)))
     code_words = F.size(F.filter(words, lambda w: F.contains(w, F.lit("_")) | ((F.octet_length(w) > 2) & w.rlike(r"\p{Lu}") & w.rlike(r"\p{Ll}"))))
     code = query.rlike(r"::|\.rs") | low.rlike("^(fn|struct) ") | ((n <= 4) & (code_words > 0) & (code_words >= F.floor(n / 2)))
@@ -114,11 +117,14 @@ PREDICATES_CJK = (("喜欢", "prefers"), ("使用", "uses"), ("用", "uses"), ("
 _PRONOUNS = ("i", "我")
 
 
-def triples(docs: DataFrame) -> DataFrame:
+def triples(docs: DataFrame, dictionary: segment.Dictionary | None = None) -> DataFrame:
     """id, subject, predicate, object of simple sentences; `I` and its CJK form are the user.
 
-    Without a word segmenter, the subject and object of a CJK verb are the runs of letters and digits beside it.
+    The subject and object of a CJK verb are the words beside it.  Without a dictionary, words are the runs of letters and
+    digits.
     """
+    if dictionary is not None:
+        docs = segment.spaced(docs.select("id", "content"), ["content"], dictionary)
     each = docs.select("id", F.explode(text.sentences(F.col("content"))).alias("s"))
 
     def matches(pattern: str, name: str) -> Column:
