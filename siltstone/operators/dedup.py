@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 from siltstone.functions import text
 
 
-def pairs(rows: DataFrame, block: list[str], bound: float) -> DataFrame:
-    """Pairs a < b of one block with max(Jaccard, containment) over the bound: a, b, jaccard, containment, sim.
+def pairs(rows: DataFrame, block: list[str], bound: float, asked: DataFrame | None = None) -> DataFrame:
+    """Pairs a < b of one block with max(Jaccard, containment) over the bound: a, b, jaccard, containment, sim; if `asked`
+    (id) is given, those that have one of it.
 
     rows: id, tokens (distinct) and the block's columns.  Containment, which is never less than Jaccard, is a share of the
     smaller set; so of its n tokens some one among the n - floor(bound * n) rarest of the block stands in the larger set
@@ -26,6 +27,10 @@ def pairs(rows: DataFrame, block: list[str], bound: float) -> DataFrame:
     post = rare.select(*block, F.col("id").alias("l"), F.col("n").alias("ln"), "t")
     met = probes.join(post, [*block, "t"]).filter("sn < ln or (sn = ln and s < l)")
     met = met.select(*block, F.least("s", "l").alias("a"), F.greatest("s", "l").alias("b")).distinct()
+    if asked is not None:
+        for x in "ab":
+            met = met.join(asked.select(F.col("id").alias(x), F.lit(True).alias(f"_{x}")).distinct(), x, "left")
+        met = met.filter("_a or _b").select(*block, "a", "b")
     for x in "ab":
         met = met.join(rows.select(*block, F.col("id").alias(x), F.col("tokens").alias(f"_{x}")), [*block, x])
     both, n, m = F.size(F.array_intersect("_a", "_b")), F.size("_a"), F.size("_b")

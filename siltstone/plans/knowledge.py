@@ -240,3 +240,59 @@ def query_variants(spark, d):
     return c.select("conv_id", "turn", F.size(text.kept_variants(F.coalesce("text", F.lit("")), F.col("v"), F.lit(2))).alias("n"))
 
 
+
+
+# leave-one-out
+
+
+def loo_parts(spark, d):
+    """memories, evidence, groups: superseded rows are evidence of their ends, asked with their summaries; rows of one
+    decade are an episode, rows of one remainder of 97 a concept."""
+    m = memories_at(spark, d)
+    evidence = m.filter("superseded_by is not null").select(F.col("id").alias("evidence_id"), F.col("id").alias("memory_id"), F.col("id").alias("original_id"), F.col("summary").alias("content"), F.col("lang").alias("source"))
+    one = lambda kind, c: m.select(F.lit(kind).alias("kind"), c.cast("long").alias("group_id"), F.col("id").alias("memory_id"))
+    return m, evidence, one("episode", F.floor(F.col("id") / 10)).unionByName(one("concept", F.col("id") % 97))
+
+
+_TOKENS = "list_distinct(list_filter(list_transform(regexp_split_to_array(lower({c}), '\\s+'), lambda w: regexp_replace(w, '[^\\p{{L}}\\p{{N}}]', '', 'g')), lambda w: w <> ''))"
+_SIM = "greatest(len(list_intersect(v.t, m.t)) * 1.0 / (len(v.t) + len(m.t) - len(list_intersect(v.t, m.t))), len(list_intersect(v.t, m.t)) * 1.0 / least(len(v.t), len(m.t)))"
+LOO_SQL = WITH.replace("with ", "with recursive ", 1) + f""", c(id, tip, n) as (select id, id, 0 from memories union all select c.id, m.superseded_by, n + 1 from c join memories m on c.tip = m.id where m.superseded_by is not null and m.superseded_by in (select id from memories) and n < 60000),
+ t as (select id, arg_max(tip, n) as tip from c group by id), r as (select tip, arg_min(id, {{'a': -age_hours, 'i': id}}) as family from t join memories using (id) group by tip),
+ h as (select tip, family, sha256('family:' || family) as h from r),
+ f as (select t.id, family, live.id as live_tip, list_sum(list_transform(range(1, 65), lambda i: strpos('0123456789abcdef', h.h[i:i]) - 1)) % 5 = 0 as holdout from t join h using (tip) left join (select id from memories where status in ('active', 'updated')) live on live.id = t.tip),
+ v as (select m.id as evidence_id, family, live_tip, holdout, summary as query, {_TOKENS.format(c="summary")} as t from memories m join f using (id) where superseded_by is not null),
+ mt as (select m.id, content, {_TOKENS.format(c="content")} as t, family as mf, live_tip as mtip from memories m join f using (id)),
+ held as (select evidence_id, f.id from v join f on f.family = v.family where v.live_tip is null or f.id <> v.live_tip or f.id = v.evidence_id),
+ met as (select evidence_id, m.id, case when mf <> family then mtip end as tip, case when content = query then 1 else 2 end as why from v join mt m on content = query or (len(v.t) > 0 and len(m.t) > 0 and {_SIM} > 0.7) where (evidence_id, m.id) not in (select evidence_id, id from held)),
+ o as (select evidence_id, id, min(why) as why from (select evidence_id, id, 0 as why from held union all select evidence_id, id, why from met union all select evidence_id, tip, why from met where tip is not null) group by all),
+ g as (select 'episode' as kind, id // 10 as group_id, family, live_tip, holdout from f union select 'concept', id % 97, family, live_tip, holdout from f),
+ a as (select distinct evidence_id from v join g x using (family) join g y on x.kind = y.kind and x.group_id = y.group_id and y.holdout = v.holdout and y.family <> v.family and y.live_tip is not null where (evidence_id, y.live_tip) not in (select evidence_id, id from o)),
+ k as (select distinct evidence_id from v join g x using (family) join g y on x.kind = y.kind and x.group_id = y.group_id and y.holdout <> v.holdout)
+"""
+
+
+@register("loo_cases", LOO_SQL + """, w as (select v.evidence_id, v.family, v.holdout, v.live_tip, o.why, v.live_tip is not null and o.why is null as canonical, v.live_tip is not null and v.evidence_id in (select evidence_id from a) as auxiliary from v left join o on o.evidence_id = v.evidence_id and o.id = v.live_tip)
+ select evidence_id, family, holdout, canonical, auxiliary, case when canonical or auxiliary then null when live_tip is null then 'no_live_tip' when why is not null then case why when 0 then 'held_out' when 1 then 'equal' else 'near' end when evidence_id in (select evidence_id from k) then 'cross_fold' else 'no_positive' end as reason from w""")
+def loo_cases(spark, d):
+    from siltstone.operators.leave_one_out import Cases
+
+    return Cases(*loo_parts(spark, d)).verdicts()
+
+
+@register("loo_excluded", LOO_SQL + " select evidence_id, id, case why when 0 then 'held_out' when 1 then 'equal' else 'near' end as reason from o")
+def loo_excluded(spark, d):
+    from siltstone.operators.leave_one_out import Cases
+
+    return Cases(*loo_parts(spark, d)).out
+
+
+@register("loo_replay")
+def loo_replay(spark, d):
+    """Paired outcomes of both folds: the lexical ranking, and the same with the support that is left of each row."""
+    from siltstone.operators import leave_one_out, lexical
+    from siltstone.plans.core import lexical_index
+
+    cases = leave_one_out.Cases(*loo_parts(spark, d))
+    found = lexical_index(spark, d).search(lexical.terms_of(cases.queries()), 10, without=cases.without())
+    blended = found.join(cases.support(found), ["query_id", "id"]).withColumn("score", F.col("score") * (1 + 0.1 * F.log1p("support")))
+    return leave_one_out.paired(cases.outcomes(found, retrieval.top_k(blended.drop("rank"), 10)))
