@@ -89,6 +89,67 @@ WHOLE = {"title": 3.0, "decisions": 2.6, "outcome": 2.2, "temporal": 2.0, "topic
 EACH = {"title": 0.9, "decisions": 0.8, "topics": 0.7, "temporal": 0.7, "outcome": 0.6, "paths": 0.5, "tags": 0.4, "agents": 0.3}
 
 
+#: Patterns that are looked for in one pass over the episodes.
+PATTERNS = 200_000
+
+
+def _found(episodes: DataFrame, fields: tuple[str, ...], patterns: list[str]) -> DataFrame:
+    """id, field, pattern: which patterns stand in which fields; all of them in one pass."""
+    import ahocorasick
+    import pyarrow as pa
+
+    shared = episodes.sparkSession.sparkContext.broadcast(patterns)
+
+    def run(batches):
+        found = ahocorasick.Automaton()
+        for p in shared.value:
+            found.add_word(p, p)
+        found.make_automaton()
+        for b in batches:
+            out = []
+            for f in fields:
+                for i, t in zip(b.column("id").to_pylist(), b.column(f).to_pylist(), strict=True):
+                    out += [(i, f, p) for p in sorted({p for _, p in found.iter(t)})]
+            if out:
+                yield pa.record_batch([pa.array(c) for c in zip(*out, strict=True)], ["id", "field", "pattern"])
+
+    low = episodes.select(F.col("id").cast("long").alias("id"), *[F.lower(F.coalesce(F.col(f).cast("string"), F.lit(""))).alias(f) for f in fields])
+    return low.mapInArrow(run, "id long, field string, pattern string")
+
+
+def episode_hits(queries: DataFrame, episodes: DataFrame, fields: tuple[str, ...]) -> DataFrame:
+    """query_id, id, score: `episode_scores` for a table of queries (query_id, query).  episodes: id, the fields, age_days,
+    n_memories, n_concepts.  The patterns of all queries are looked for together, in passes of PATTERNS."""
+    whole = F.trim(F.lower("query"))
+    q = queries.select("query_id", whole.alias("whole"), F.array_distinct(F.filter(F.split(whole, r"\s+"), lambda w: F.octet_length(w) >= 2)).alias("words")).filter("whole <> ''")
+    asked = q.select("query_id", F.col("whole").alias("pattern"), F.lit(True).alias("is_whole")).unionByName(q.select("query_id", F.explode("words").alias("pattern"), F.lit(False).alias("is_whole")))
+    distinct = asked.select("pattern").distinct()
+    passes = max(1, -(-distinct.count() // PATTERNS))
+    found = None
+    for i in range(passes):
+        some = [r["pattern"] for r in distinct.filter(F.pmod(F.xxhash64("pattern"), F.lit(passes)) == i).collect()]
+        if some:
+            part = _found(episodes, fields, some)
+            found = part if found is None else found.unionByName(part)
+    if found is None:
+        return episodes.select(F.lit(None).cast("long").alias("query_id"), "id", F.lit(0.0).alias("score")).limit(0)
+    from siltstone.schema import by_value
+
+    weight = F.when(F.col("is_whole"), by_value(F.col("field"), WHOLE, 0.0)).otherwise(by_value(F.col("field"), EACH, 0.0))
+    hits = found.join(asked, "pattern").groupBy("query_id", "id").agg(F.sum(weight).alias("h")).filter("h > 0")
+    extra = 0.3 / (1 + F.col("age_days") / 30) + 0.1 * F.least(F.col("n_memories"), F.lit(5)) + 0.08 * F.least(F.col("n_concepts"), F.lit(5))
+    return hits.join(episodes.select("id", extra.alias("extra")), "id").select("query_id", "id", (F.col("h") + F.col("extra")).alias("score"))
+
+
+def episode_channel(hits: DataFrame, episodes: DataFrame, concepts: DataFrame, memories: DataFrame) -> DataFrame:
+    """query_id, id, score: `episode_memories` for a table of queries' episodes (query_id, id, score)."""
+    at = hits.join(episodes.select("id", "memory_ids", "concept_ids"), "id")
+    own = at.select("query_id", "score", F.explode("memory_ids").alias("id"))
+    related = own.join(memories.select("id", "related_ids"), "id").select("query_id", (F.col("score") * 0.65).alias("score"), F.explode("related_ids").alias("id"))
+    via = at.select("query_id", "score", F.explode("concept_ids").alias("cid")).join(concepts.select(F.col("id").alias("cid"), "source_memory_ids"), "cid").select("query_id", (F.col("score") * 0.85).alias("score"), F.explode("source_memory_ids").alias("id"))
+    return own.unionByName(related).unionByName(via).groupBy("query_id", "id").agg(F.max("score").alias("score"))
+
+
 def episode_scores(episodes: DataFrame, query: str, age_days, fields: tuple[str, ...]) -> DataFrame:
     """Episodes that a query hits, with score: weighted substring hits, recency, and how much hangs on them."""
     q = query.lower().strip()

@@ -10,7 +10,7 @@ from siltstone.plans.core import COSINE_SQL, LISTS_SQL, _lists
 from siltstone.plans.model import AS_OF, WITH, memories, memories_at, table
 from siltstone.plans.registry import register
 
-# concepts: parts, with their neighbours as sources and every third one linked; queries: names of every twentieth part
+# concepts: parts, with their neighbours as sources, each linked with the third after it; queries: names of every twentieth part
 
 CONCEPTS_SQL = """with recursive c as (select p_partkey as id, p_name as name, p_type as definition, p_brand as labels from part), q as (select p_partkey as query_id, lower(p_name) as query from part where p_partkey % 20 = 0),
 t as (select distinct query_id, unnest(list_filter(regexp_split_to_array(trim(regexp_replace(query, '[-*:()"^‘’“”«»]', ' ', 'g')), '\\s+'), lambda w: w <> '')) as term from q),
@@ -30,7 +30,7 @@ def _asked(spark, d):
 
 
 def _links(spark, d):
-    return table(spark, d, "part").filter("p_partkey % 3 = 0").select(F.col("p_partkey").alias("source"), (F.col("p_partkey") + 3).alias("target"))
+    return table(spark, d, "part").select(F.col("p_partkey").alias("source"), (F.col("p_partkey") + 3).alias("target"))
 
 
 @register("concept_search", CONCEPTS_SQL + "select query_id, id, round(score, 6) as score, rank from hit")
@@ -38,13 +38,13 @@ def concept_search(spark, d):
     return concepts.search(_concepts(spark, d), _asked(spark, d)).withColumn("score", F.round("score", 6))
 
 
-@register("kg_channel", CONCEPTS_SQL + """, l as (select p_partkey as s, p_partkey + 3 as t from part where p_partkey % 3 = 0), r(query_id, id, depth) as (select query_id, id, 0 from hit union select query_id, t, depth + 1 from r join l on s = id where depth < 2),
+@register("kg_channel", CONCEPTS_SQL + """, l as (select p_partkey as s, p_partkey + 3 as t from part), r(query_id, id, depth) as (select query_id, id, 0 from hit union select query_id, t, depth + 1 from r join l on s = id where depth < 2),
  m as (select query_id, id, 1.0 / rank as score from hit union all select query_id, id, 1.0 / (1 + min(depth)) from r group by query_id, id), e as (select query_id, unnest([id, id + 1]) as id, score from m where id in (select p_partkey from part)) select query_id, id, round(max(score), 6) as score from e group by query_id, id""")
 def kg_channel(spark, d):
     return concepts.kg_channel(_asked(spark, d), _concepts(spark, d), _links(spark, d)).withColumn("score", F.round("score", 6))
 
 
-@register("links_around", "select p_partkey as source, p_partkey + 3 as target, case when p_partkey % 20 = 0 then 'from' else 'to' end as side from part where p_partkey % 3 = 0 and (p_partkey % 20 = 0 or (p_partkey + 3) % 20 = 0)")
+@register("links_around", "select p_partkey as source, p_partkey + 3 as target, case when p_partkey % 20 = 0 then 'from' else 'to' end as side from part where p_partkey % 20 = 0 or (p_partkey + 3) % 20 = 0")
 def links_around(spark, d):
     ids = _asked(spark, d).select(F.col("query_id").alias("id"))
     more = ids.select((F.floor(F.col("id") / 20) * 20).alias("id")).unionByName(table(spark, d, "part").select((F.col("p_partkey") + 3).alias("id")).filter("id % 20 = 0")).distinct()

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from siltstone.functions import scoring, text
 from siltstone.operators import cluster, dedup, extract, graph, learn, lifecycle, maintain, retrieval, weights
-from siltstone.plans.core import LISTS_SQL, _lists, asked
+from siltstone.plans.core import LISTS_SQL, QUERIES_SQL, _lists, asked
 from siltstone.plans.model import AS_OF, WITH, memories, memories_at, table
 from siltstone.plans.registry import register
 
@@ -347,18 +347,48 @@ def query_classes(spark, d):
     return q.groupBy("q").agg(F.count("*").alias("n")).select("q", "n", extract.classify(F.col("q")).alias("c")).select("q", "n", "c.type", "c.alpha", "c.days_back")
 
 
+def _episodes(spark, d):
+    """A conversation is an episode of the document that has its number, and of the concept after it."""
+    c = table(spark, d, "conversations")
+    join = lambda x: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", x))), lambda s: s[x]), " ")
+    e = c.groupBy(F.col("conv_id").alias("id")).agg(join("text").alias("title"), join("role").alias("tags"), F.count("*").alias("n_memories")).withColumn("n_concepts", F.lit(1))
+    return e.withColumn("age_days", F.col("id") % 90).withColumn("memory_ids", F.array("id")).withColumn("concept_ids", F.array(F.col("id") + 1))
+
+
+def _concepts(spark, d):
+    """Every document is a concept, named by its first words, of itself and the next one."""
+    words = F.filter(F.split(F.lower(F.coalesce("text", F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    return table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.array_join(F.slice(words, 1, 4), " ").alias("name"), F.lit("").alias("definition"), F.col("source").alias("labels"), F.array("doc_id", F.col("doc_id") + 1).alias("source_memory_ids"))
+
+
+def _related(spark, d):
+    return table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.array(F.col("doc_id") + 2).alias("related_ids"))
+
+
+@register("episode_channel", f"""with q as (select query_id, 'what happened in the session ' || query as q from ({QUERIES_SQL})), e as (select conv_id as id, lower(string_agg(text, ' ' order by turn)) as title, lower(string_agg(role, ' ' order by turn)) as tags, count(*) as n from conversations group by conv_id),
+ p as (select query_id, trim(q) as p, 3.0 as wt, 1.2 as wg from q union all select query_id, w, 0.9, 0.4 from (select distinct query_id, unnest(string_split(trim(q), ' ')) as w from q) where strlen(w) >= 2),
+ h as (select query_id, id, n, sum(case when contains(title, p) then wt else 0 end + case when contains(tags, p) then wg else 0 end) as h from p, e group by all having h > 0),
+ s as (select query_id, id, h + 0.3 / (1 + (id % 90) / 30.0) + 0.1 * least(n, 5) + 0.08 as score from h),
+ o as (select query_id, id, score from s union all select query_id, s.id + 2, 0.65 * score from s join documents on doc_id = s.id union all select query_id, unnest([s.id + 1, s.id + 2]), 0.85 * score from s join documents on doc_id = s.id + 1)
+ select query_id, id, round(max(score), 6) as score from o group by all""")
+def episode_channel(spark, d):
+    q = asked(spark, d).withColumn("query", F.concat(F.lit("what happened in the session "), "query"))
+    e = _episodes(spark, d)
+    out = graph.episode_channel(graph.episode_hits(q, e, ("title", "tags")), e, _concepts(spark, d), _related(spark, d))
+    return out.select("query_id", "id", F.round("score", 6).alias("score"))
+
+
 def _channels(spark, d):
-    """All four channels: every tenth document is a concept, named by its first words and linked with the next one; turns
-    of conversations are episodes of the documents that have their number."""
+    """All four channels: documents are concepts, each linked with the tenth after it; conversations are episodes."""
     from siltstone.operators import recall as r
 
     lists = _lists(spark, d)
     one = lambda name: lists.filter(F.col("channel") == name).select("query_id", "id", "score")
-    docs = table(spark, d, "documents").filter("doc_id % 10 = 0")
-    words = F.filter(F.split(F.lower(F.coalesce("text", F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "")
-    concepts = docs.select(F.col("doc_id").alias("id"), F.array_join(F.slice(words, 1, 4), " ").alias("name"), F.lit("").alias("definition"), F.col("source").alias("labels"), F.array("doc_id", F.col("doc_id") + 1).alias("source_memory_ids"))
-    links = docs.select(F.col("doc_id").alias("source"), (F.col("doc_id") + 10).alias("target"))
-    return r.channels(asked(spark, d).withColumn("query_id", F.col("query_id").cast("int")), one("fts"), one("vec"), concepts, links)
+    concepts, e = _concepts(spark, d), _episodes(spark, d)
+    links = concepts.select(F.col("id").alias("source"), (F.col("id") + 10).alias("target"))
+    q = asked(spark, d).withColumn("query_id", F.col("query_id").cast("int"))
+    episodes = graph.episode_channel(graph.episode_hits(q, e, ("title", "tags")), e, concepts, _related(spark, d))
+    return r.channels(q, one("fts"), one("vec"), concepts, links, episodes)
 
 
 @register("recall")
