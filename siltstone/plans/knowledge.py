@@ -296,3 +296,50 @@ def loo_replay(spark, d):
     found = lexical_index(spark, d).search(lexical.terms_of(cases.queries()), 10, without=cases.without())
     blended = found.join(cases.support(found), ["query_id", "id"]).withColumn("score", F.col("score") * (1 + 0.1 * F.log1p("support")))
     return leave_one_out.paired(cases.outcomes(found, retrieval.top_k(blended.drop("rank"), 10)))
+
+
+# replay of learning: a window is a week; types are event types, clusters four groups of users
+
+
+def _weeks(spark, d):
+    week = F.floor(F.datediff("ts", F.lit("2020-01-01").cast("date")) / 7).cast("long")
+    at = F.timestamp_add("DAY", ((week + 1) * 7).cast("int"), F.lit("2020-01-01 00:00:00").cast("timestamp"))
+    features = F.array(F.col("value"), F.col("user_id") % 10 * 1.0, F.col("event_id") % 5 * 1.0, F.lit(1.0), F.lit(0.0), F.col("event_id") % 3 * 1.0)
+    e = table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    return e.select(week.alias("window"), at.alias("at"), "ts", F.col("event_type").alias("type"), (F.col("user_id") % 4).cast("int").alias("cluster"), features.alias("weights"), (1.0 + F.col("user_id") % 3).alias("evidence"), (F.col("value") / 100).alias("alpha"))
+
+
+def _alpha_level(name: str, keys: list[str], parent: str | None) -> str:
+    by = "".join(f", {k}" for k in keys)
+    on = " and ".join(f"p.{k} = r.{k}" for k in ["wk", *keys[:-1]])
+    same = " and ".join(f"n.{k} = c.{k}" for k in keys) or "true"
+    size = "round(c.n * exp(-0.06 * (epoch(n.tm) - epoch(c.tm)) / 86400.0)) + n.n"
+    walked = "c.alpha + least(greatest(n.own - c.alpha, -0.15), 0.15)"
+    first = "parent + least(greatest(own - parent, -0.15), 0.15)"
+    rows = f"select wk{by}, max(tm) as tm, sum(n) as n, sum(s) / sum(w) as own from b group by wk{by}"
+    rows = f"select r.*, p.alpha as parent from ({rows}) r join {parent} p on {on}" if parent else f"select *, 0.5 as parent from ({rows})"
+    return f"""{name}r as (select *, row_number() over ({'partition by ' + ', '.join(keys) + ' ' if keys else ''}order by wk) as k from ({rows})),
+ {name}(wk{by}, tm, n, k, alpha) as (select wk{by}, tm, cast(n as double), k, (n * ({first}) + 5 * parent) / (n + 5) from {name}r where k = 1
+  union all select n.wk{"".join(f", n.{k}" for k in keys)}, n.tm, cast({size} as double), n.k, (({size}) * ({walked}) + 5 * n.parent) / (({size}) + 5) from {name} c join {name}r n on {same} and n.k = c.k + 1)"""
+
+
+ALPHA_REPLAY_SQL = f"""with recursive e as (select date_diff('day', timestamp '2020-01-01', ts) // 7 as wk, ts, event_type as type, cast(user_id % 4 as int) as cluster, 1.0 + user_id % 3 as evidence, value / 100 as alpha from events where value is not null),
+ d as (select *, timestamp '2020-01-01' + to_days(cast((wk + 1) * 7 as int)) as tm from e), x as (select *, evidence * exp(-0.06 * greatest(0.0, floor(epoch(tm)) - floor(epoch(ts))) / 86400.0) as wt from d),
+ b as (select wk, type, cluster, max(tm) as tm, count(*) as n, sum(wt) as w, sum(wt * alpha) as s from x group by all),
+ {_alpha_level("g", [], None)}, {_alpha_level("t", ["type"], "g")}, {_alpha_level("l", ["type", "cluster"], "t")}
+ select null as type, null as cluster, wk as "window", cast(n as bigint) as n, round(alpha, 6) as alpha from g union all select type, null, wk, cast(n as bigint), round(alpha, 6) from t union all select type, cluster, wk, cast(n as bigint), round(alpha, 6) from l"""
+
+
+@register("alpha_replay", ALPHA_REPLAY_SQL)
+def alpha_replay(spark, d):
+    from siltstone.operators import replay
+
+    return replay.committed_alphas(_weeks(spark, d)).select("type", "cluster", "window", "n", F.round("alpha", 6).alias("alpha"))
+
+
+@register("weight_replay")
+def weight_replay(spark, d):
+    from siltstone.operators import replay
+
+    out = replay.latest(replay.committed_weights(replay.window_weights(_weeks(spark, d))))
+    return out.select("type", "cluster", "n", F.array_join(F.transform("weights", lambda w: F.round(w, 6).cast("string")), " ").alias("weights"))
