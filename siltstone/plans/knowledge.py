@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from siltstone.functions import text
 from siltstone.operators import calibrate, concepts, retrieval, store
-from siltstone.plans.core import COSINE_SQL, LISTS_SQL, _lists
+from siltstone.plans.core import BM25_SQL, COSINE_SQL, LISTS_SQL, _lists
 from siltstone.plans.model import AS_OF, WITH, memories, memories_at, table
 from siltstone.plans.registry import register
 
@@ -343,3 +343,28 @@ def weight_replay(spark, d):
 
     out = replay.latest(replay.committed_weights(replay.window_weights(_weeks(spark, d))))
     return out.select("type", "cluster", "n", F.array_join(F.transform("weights", lambda w: F.round(w, 6).cast("string")), " ").alias("weights"))
+
+
+# gates
+
+
+@register("recall_gate", BM25_SQL + """, r as (select query_id, id, row_number() over (partition by query_id order by round(score, 9) desc, id) as rank from s), c as (select query_id, bool_or(id = query_id and rank <= 3) as passed from r group by query_id), g as (select q.query_id, coalesce(passed, false) as passed from q left join c using (query_id))
+ select 'recall' as gate, count(*) filter (passed) as passed, count(*) as total, round(count(*) filter (passed) / count(*), 6) as score from g""")
+def recall_gate(spark, d):
+    """Each stated query should find the document that its words come from."""
+    from siltstone.operators import gates
+    from siltstone.plans.core import asked, best_lexical
+
+    cases = asked(spark, d).select(F.col("query_id").alias("case_id"), F.array("query_id").alias("expected"))
+    card = gates.scorecard({"recall": gates.recall_gate(cases, best_lexical(spark, d, 10).withColumnRenamed("query_id", "case_id"))})
+    return card.withColumn("score", F.round("score", 6))
+
+
+@register("stem_hits")
+def stem_hits(spark, d):
+    """Whether a turn of a conversation answers with the words of the document that has the conversation's number."""
+    from siltstone.functions import stem
+
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("conv_id"), F.col("text").alias("canonical"))
+    cases = table(spark, d, "conversations").select("conv_id", "turn", F.col("text").alias("evidence")).join(docs, "conv_id")
+    return stem.hits(cases).select("conv_id", "turn", "hit")
