@@ -433,7 +433,7 @@ def _facts_sql() -> str:
     tokens = r"list_distinct(list_filter(list_transform(regexp_split_to_array(lower(fact), '\s+'), lambda w: regexp_replace(w, '[^\p{L}\p{N}]', '', 'g')), lambda w: w <> ''))"
     both = "len(list_intersect(a.t, b.t)) * 1.0"
     return rf"""with x as (select conv_id * 1000 + turn as id, coalesce(text, '') || case conv_id % 3 {said} else '' end as t from conversations),
- s as (select id, list_filter(list_transform(string_split(regexp_replace(regexp_replace(t, '([.!?])(\s|$)', '\1' || chr(1) || '\2', 'g'), '\n([ \t\n]*\n)', chr(10) || chr(1) || '\1', 'g'), chr(1)), lambda v: regexp_replace(v, '^\s+|\s+$', '', 'g')), lambda v: v <> '') as v from x),
+ s as (select id, list_filter(list_transform(string_split(regexp_replace(regexp_replace(t, '([.!?])(\s|$)', '\1' || chr(1) || '\2', 'g'), '\n([ \t\r]*\n)', chr(10) || chr(1) || '\1', 'g'), chr(1)), lambda v: regexp_replace(v, '^\s+|\s+$', '', 'g')), lambda v: v <> '') as v from x),
  f as (select id, unnest(v) as fact, cast(generate_subscripts(v, 1) - 1 as int) as position from s), c as (select *, cast({score} as int) as score, {tokens} as t from f), k as (select * from c where score >= 3 and strlen(fact) <= 10000)
  select id, position, fact, score from k b where not exists (select 1 from k a where a.id = b.id and a.position < b.position and len(a.t) > 0 and len(b.t) > 0 and greatest({both} / (len(a.t) + len(b.t) - len(list_intersect(a.t, b.t))), {both} / least(len(a.t), len(b.t))) > 0.6)"""
 
