@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from siltstone.functions import scoring, text
 from siltstone.operators import cluster, dedup, extract, graph, learn, lifecycle, maintain, retrieval, weights
 from siltstone.plans.core import LISTS_SQL, QUERIES_SQL, _lists, asked
-from siltstone.plans.model import AS_OF, WITH, memories, memories_at, table
+from siltstone.plans.model import AS_OF, MEMORIES, WITH, memories, memories_at, table
 from siltstone.plans.registry import register
+from siltstone.sources.shared import written
 
 TOKENS_SQL = "list_distinct(list_filter(list_transform(regexp_split_to_array(lower(coalesce(text, '')), '\\s+'), lambda w: regexp_replace(w, '[^\\p{L}\\p{N}]', '', 'g')), lambda w: w <> ''))"
 
@@ -58,6 +59,37 @@ def insert_decisions(spark, d):
     return out.withColumn("targets", F.array_join(F.transform("targets", lambda x: x.cast("string")), ","))
 
 
+STORE_SQL = PAIRS_SQL + f""", mem as ({MEMORIES}), c as (select case when b % 7 = 0 then b else a end as new_id, case when b % 7 = 0 then a else b end as old_id, greatest(jaccard, containment) as lex, jaccard as vec, (b - a) % 14 as age from p where greatest(jaccard, containment) > 0.3 and (a % 7 = 0) <> (b % 7 = 0)),
+ w as (select *, max(vec) over x as best_v, count(*) filter (lex > 0.7) over x as hits, max(lex) over x as best_l from c window x as (partition by new_id)), r as (select *, row_number() over (partition by new_id order by case when best_v > 0.85 and hits < 2 then vec else lex end desc, old_id) as r from w),
+ m as (select new_id, list(old_id order by r) filter (lex > 0.7) as many from r group by new_id), o as (select r.*, m.many from r join m using (new_id) where r = 1),
+ dec as (select *, case when best_v > 0.85 and hits < 2 then case when age >= 7 then 'supersede' else 'merge_into' end when best_v > 0.60 and best_l < 0.7 then 'gray_zone' when hits >= 2 then case when age >= 7 then 'supersede' else 'merge_into_many' end when hits = 1 then case when age >= 7 then 'supersede' else 'merge_into' end
+  when best_l >= case when best_l >= 0.35 and best_l < 0.5 then 0.35 else 0.5 end then case when best_v < 0.50 then 'create_new' else 'gray_zone' end else 'create_new' end as action from o),
+ dn as (select new_id, action, case action when 'create_new' then [] when 'merge_into_many' then many[1:5] else [old_id] end as targets from dec union all select id, 'create_new', [] from mem where id % 7 = 0 and id not in (select new_id from c)),
+ mg as (select new_id, targets[1] as w, targets[2:] as others from dn where action in ('merge_into', 'merge_into_many')), ls as (select w, new_id as loser, true as fresh from mg union select w, unnest(others), false from mg),
+ fd as (select w, sum(access_count + 1) as more from ls join mem on mem.id = loser group by w), gone as (select loser as id, w as win, 'updated' as st from ls where not fresh union all select targets[1], new_id, 'deprecated' from dn where action = 'supersede'), g as (select id, min(win) as win, arg_min(st, win) as st from gone group by id)
+ select 'row' as kind, mem.id, coalesce(g.win, superseded_by) as other, coalesce(g.st, status) as state, cast(access_count + coalesce(more, 0) as bigint) as n from mem left join fd on fd.w = mem.id left join g on g.id = mem.id where mem.id % 7 <> 0
+ union all select 'row', id, superseded_by, status, access_count from mem where id % 7 = 0 and id not in (select new_id from mg) union all select 'ledger', new_id, targets[1], action, len(targets) from dn union all select 'outbox', new_id, targets[1], 'pending', null from dn where action = 'gray_zone'"""
+
+
+@register("store_flow", STORE_SQL)
+def store_flow(spark, d):
+    """Rows whose id is divisible by 7 come in: their candidates among the stored rows, the decisions, and the store, its
+    ledger and its outbox afterwards."""
+    from siltstone.operators import store
+
+    m = memories_at(spark, d).withColumn("keywords", F.array("topic"))
+    fresh = lambda c: F.col(c) % 7 == 0
+    p = dedup.pairs(_tokens(spark, d), ["topic", "lang"], 0.3).filter(fresh("a") != fresh("b"))
+    new, old = F.when(fresh("b"), F.col("b")).otherwise(F.col("a")), F.when(fresh("b"), F.col("a")).otherwise(F.col("b"))
+    c = p.select(new.alias("new_id"), old.alias("old_id"), F.col("sim").alias("lexical"), F.col("jaccard").alias("vector"), ((F.col("b") - F.col("a")) % 14).cast("double").alias("age_days"), F.lit(False).alias("contains"))
+    none = m.filter("id % 7 = 0").select(F.col("id").alias("new_id")).join(c.select("new_id"), "new_id", "left_anti")
+    decisions = written(dedup.decide(c.unionByName(none, allowMissingColumns=True), 0.7), "decisions")
+    rows, ledger, outbox = store.store(m.filter("id % 7 <> 0"), m.filter("id % 7 = 0"), decisions, AS_OF)
+    out = rows.select(F.lit("row").alias("kind"), "id", F.col("superseded_by").alias("other"), F.col("status").alias("state"), F.col("access_count").cast("long").alias("n"))
+    out = out.unionByName(ledger.select(F.lit("ledger").alias("kind"), F.col("new_id").alias("id"), F.get("targets", 0).alias("other"), F.col("action").alias("state"), F.size("targets").cast("long").alias("n")))
+    return out.unionByName(outbox.select(F.lit("outbox").alias("kind"), F.col("new_id").alias("id"), F.col("old_id").alias("other"), F.col("status").alias("state"), F.lit(None).cast("long").alias("n")))
+
+
 @register("threshold_sweep", PAIRS_SQL + ", l as (select greatest(jaccard, containment) as sim, jaccard > 0.7 as dup from p where greatest(jaccard, containment) > 0.3), th as (select unnest(range(30, 100, 5)) / 100 as theta), c as (select theta, count(*) filter (sim > theta and dup) as tp, count(*) filter (sim > theta and not dup) as fp, count(*) filter (sim <= theta and not dup) as tn, count(*) filter (sim <= theta and dup) as fn from l, th group by theta) select theta, tp, fp, tn, fn, round(case when tp + fp = 0 then 0 else tp / (tp + fp) end, 6) as precision, round(case when tp + fn = 0 then 0 else tp / (tp + fn) end, 6) as recall from c")
 def threshold_sweep(spark, d):
     p = dedup.pairs(_tokens(spark, d), ["topic", "lang"], 0.3)
