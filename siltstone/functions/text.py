@@ -125,15 +125,20 @@ def glob_to_regex(pattern: str) -> str:
     return "(?i)^" + "".join(".*" if c == "*" else "." if c == "?" else re.escape(c) for c in pattern) + "$"
 
 
+def stripped(c: Column) -> Column:
+    """Without the Unicode spaces (no tabs or other controls) at both ends."""
+    return F.regexp_replace(c, r"^\p{Zs}+|\p{Zs}+$", "")
+
+
 def novel_lines(source: Column, target: Column) -> Column:
     """Lines of source that target lacks, compared trimmed and in lower case; merge markers are skipped."""
-    lines = F.filter(F.transform(F.split(source, "\n"), F.trim), lambda x: (x != "") & ~F.lower(x).startswith("[merged"))
-    have = F.transform(F.split(F.lower(target), "\n"), F.trim)
+    lines = F.filter(F.transform(F.split(source, "\n"), lambda x: stripped(x)), lambda x: (x != "") & ~F.lower(x).startswith("[merged"))
+    have = F.transform(F.split(F.lower(target), "\n"), lambda x: stripped(x))
     return F.filter(lines, lambda x: ~F.array_contains(have, F.lower(x)))
 
 
 def sentences(text: Column) -> Column:
-    return F.filter(F.transform(F.split(text, r"[.!?。！？\n]+"), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(text, r"[.!?。！？\n]+"), lambda x: F.trim(x)), lambda x: x != "")
 
 
 # fixed values: phrases by which a text states a preference, or that something has changed

@@ -21,7 +21,7 @@ def consolidated(df: DataFrame, as_of, least: int = 3, most_lines: int | None =
     """One row for each topic of at least `least` live rows: their distinct summaries and lines, joined; keywords together."""
     live = df.filter(F.col("status").isin(*LIVE))
     first = live.groupBy("topic").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct("created_at", "id", "summary", "content"))).alias("_r")).filter(F.col("n") >= least)
-    lines = F.array_distinct(F.filter(F.flatten(F.transform("_r", lambda r: F.transform(F.split(r["content"], "\n"), F.trim))), lambda x: (x != "") & ~F.lower(x).startswith("[merged")))
+    lines = F.array_distinct(F.filter(F.flatten(F.transform("_r", lambda r: F.transform(F.split(r["content"], "\n"), lambda x: F.trim(x)))), lambda x: (x != "") & ~F.lower(x).startswith("[merged")))
     body = F.concat_ws("\n", F.array_join(F.transform(F.array_distinct(F.transform("_r", lambda r: r["summary"])), lambda s: F.concat(F.lit("- "), s)), "\n"), F.array_join(lines if most_lines is None else F.slice(lines, 1, most_lines), "\n"))
     return first.select("topic", "n", F.transform("_r", lambda r: r["id"]).alias("ids"), body.alias("content"), F.lit(as_of).cast("timestamp").alias("created_at"))
 

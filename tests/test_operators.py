@@ -387,3 +387,10 @@ def test_replaced_rows_leave_evidence(spark):
     rows = spark.createDataFrame([(1, "t", "a"), (2, "t", "b"), (3, "u", "c")], "id long, topic string, summary string")
     out, evidence = store.replaced(rows, rows.filter("id < 3"), spark.createDataFrame([(9, "t", "ab")], "id long, topic string, summary string"))
     assert sorted(r["id"] for r in out.collect()) == [3, 9] and sorted(r["memory_id"] for r in evidence.collect()) == [1, 2]
+
+
+def test_novel_lines_end_in_digits_and_spaces(spark):
+    """The number of a line must not be taken for characters to trim; all Unicode spaces are trimmed, and no tabs."""
+    lines = one(spark, text.novel_lines(F.lit("0 zero 0\n 1 one 1　\n2\n\ttwo 2"), F.lit("x\nTWO 2\n2  ")))
+    assert lines == ["0 zero 0", "1 one 1", "\ttwo 2"]
+    assert one(spark, text.sentences(F.lit("a 0. b 1. c 2"))) == ["a 0", "b 1", "c 2"]
