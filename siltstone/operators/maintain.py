@@ -28,10 +28,9 @@ def consolidated(df: DataFrame, as_of, least: int = 3, most_lines: int | None =
 
 def auto_links(df: DataFrame, block: list[str], above: float = 0.2, cap: int = 5) -> DataFrame:
     """source, target, weight in both directions: the most similar rows (id, tokens) of a block, at most `cap` for each."""
-    from siltstone.operators.dedup import pairs
+    from siltstone.operators.dedup import candidates
 
-    p = pairs(df, block, above)
-    both = p.select(F.col("a").alias("source"), F.col("b").alias("target"), F.col("sim").alias("weight")).unionByName(p.select(F.col("b").alias("source"), F.col("a").alias("target"), F.col("sim").alias("weight")))
+    both = candidates(df, block, above, top=cap).select(F.col("id").alias("source"), F.col("other").alias("target"), F.col("sim").alias("weight"))
     return both.withColumn("_r", F.row_number().over(W.partitionBy("source").orderBy(F.desc(F.round("weight", 12)), "target"))).filter(F.col("_r") <= cap).drop("_r")
 
 

@@ -394,3 +394,41 @@ def test_novel_lines_end_in_digits_and_spaces(spark):
     lines = one(spark, text.novel_lines(F.lit("0 zero 0\n 1 one 1　\n2\n\ttwo 2"), F.lit("x\nTWO 2\n2  ")))
     assert lines == ["0 zero 0", "1 one 1", "\ttwo 2"]
     assert one(spark, text.sentences(F.lit("a 0. b 1. c 2"))) == ["a 0", "b 1", "c 2"]
+
+
+def test_tiles_of_any_size(spark):
+    """Pairs, asked pairs, candidates and counts are those of brute force, however a block is dealt into tiles."""
+    import random
+
+    rng = random.Random(5)
+    rows = [(i, None if i == 9 else i % 2, sorted({f"w{int(rng.paretovariate(0.6))}" for _ in range(rng.randint(0, 9))})) for i in range(70)]
+    df = spark.createDataFrame(rows, "id long, g int, tokens array<string>")
+    sims = {}
+    for i, g, x in rows:
+        for j, h, y in rows:
+            if i != j and g == h and None not in (g, h) and (k := len(set(x) & set(y))) and k / min(len(x), len(y)) > 0.3:
+                sims[i, j] = (k / min(len(x), len(y)), k / (len(x) + len(y) - k))
+    asked = [i for i in range(70) if i % 3 == 0]
+    for side in (10**6, 25):
+        got = [(r["a"], r["b"], r["sim"], r["jaccard"]) for r in dedup.pairs(df, ["g"], 0.3, side=side).collect()]
+        assert sorted(got) == sorted((i, j, *s) for (i, j), s in sims.items() if i < j)
+        some = dedup.pairs(df, ["g"], 0.3, spark.createDataFrame([(i,) for i in asked], "id long"), side=side)
+        assert sorted((r["a"], r["b"]) for r in some.collect()) == sorted((i, j) for i, j in sims if i < j and (i in asked or j in asked))
+        n = {}
+        for r in dedup.tallied(df, ["g"], 0.3, 0.7, [0.5, 0.9], side=side).collect():
+            key = sum(r["sim"] > t for t in (0.5, 0.9)), r["is_duplicate"]
+            n[key] = n.get(key, 0) + r["n"]
+        want = {}
+        for (i, j), (c, v) in sims.items():
+            key = sum(c > t for t in (0.5, 0.9)), v > 0.7
+            want[key] = want.get(key, 0) + (i < j)
+        assert n == {k: v for k, v in want.items() if v}
+        for smaller in (False, True):
+            best = {}
+            for r in dedup.candidates(df, ["g"], 0.3, F.col("id") % 2 < 5, None, 2, smaller, side).collect():
+                best.setdefault(r["id"], []).append((-r["sim"], r["other"], -r["jaccard"]))
+            for i in range(70):
+                mine = sorted((-c, j, -v) for (k, j), (c, v) in sims.items() if k == i and (j < i or not smaller))
+                found = sorted(best.get(i, []))
+                assert found[:2] == mine[:2] and set(found) <= set(mine)
+                assert min(((v, j) for _, j, v in mine), default=None) == min(((v, j) for _, j, v in found), default=None)
