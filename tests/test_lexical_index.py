@@ -91,3 +91,14 @@ def test_topics_and_empty_tables(spark, tmp_path):
     assert empty.reader().search(q, 5).count() == 0
     empty.extend(docs)
     assert empty.reader().rows().count() == 50
+
+
+def test_shares_and_passes_equal_plain_scores(spark, queries, tmp_path, monkeypatch):
+    """Many shares of rows and passes over queries give the k best, with ties by id."""
+    monkeypatch.setattr(lexical, "SHARE", 50)
+    monkeypatch.setattr(lexical, "ASKED", 2)
+    docs = spark.createDataFrame([*rows(3, range(300)), *((i, "c", "", "w1 w2", None) for i in range(300, 400))], SCHEMA)
+    index = lexical.LexicalIndex(spark, f"file://{tmp_path}/x", ("summary", "content"), rows=16, buckets=3)
+    index.build(docs)
+    got = index.reader().search(queries, 6)
+    assert close(sorted(map(tuple, got.collect())), plain(spark, docs, queries, ("summary", "content"), 6))
