@@ -102,3 +102,25 @@ def test_shares_and_passes_equal_plain_scores(spark, queries, tmp_path, monkeypa
     index.build(docs)
     got = index.reader().search(queries, 6)
     assert close(sorted(map(tuple, got.collect())), plain(spark, docs, queries, ("summary", "content"), 6))
+
+
+def test_rows_left_out_are_not_shuffled(spark, tmp_path):
+    """Rows that are out for a query go to the share that has their postings; all scored rows are not exchanged."""
+    from siltstone.operators import lexical
+
+    docs = spark.createDataFrame([(i, " ".join(f"w{i % m}" for m in (2, 3, 5, 7))) for i in range(300)], "id long, content string")
+    index = lexical.LexicalIndex(spark, f"file://{tmp_path}/out", rows=16)
+    index.build(docs)
+    queries = spark.createDataFrame([(q, [f"w{q % 2}", f"w{q % 3}"]) for q in range(20)], "query_id long, terms array<string>")
+    every = index.reader().search(queries, 300).collect()
+    without = [(r["query_id"], r["id"]) for r in every if (r["query_id"] * 7 + r["id"]) % 3 or r["query_id"] == 4]
+    found = index.reader().search(queries, 5, without=spark.createDataFrame(without, "query_id long, id long"))
+    want, out = {}, set(without)
+    for r in sorted(every, key=lambda r: r["rank"]):
+        if (r["query_id"], r["id"]) not in out and len(want.setdefault(r["query_id"], [])) < 5:
+            want[r["query_id"]].append((r["id"], round(r["score"], 9)))
+    got = {}
+    for r in sorted(found.collect(), key=lambda r: r["rank"]):
+        got.setdefault(r["query_id"], []).append((r["id"], round(r["score"], 9)))
+    assert got == {q: v for q, v in want.items() if v} and 4 not in got
+    assert "FlatMapCoGroupsInArrow" in found._jdf.queryExecution().executedPlan().toString()
