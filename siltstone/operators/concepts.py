@@ -3,19 +3,30 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from siltstone.functions import text
 from siltstone.operators import graph, retrieval
+from siltstone.sources.shared import written
 
 FIELDS = ("name", "definition", "labels")
 
 
 def search(concepts: DataFrame, queries: DataFrame, k: int = 5, fields: tuple[str, ...] = FIELDS) -> DataFrame:
     """query_id, id, score, rank: the k best concepts that have every word of a query (query_id, query) in some field."""
-    asked = queries.select("query_id", text.sanitize_query(F.lower("query")).alias("terms")).filter(F.size("terms") > 0)
-    found = retrieval.bm25(retrieval.postings(concepts, fields), retrieval.field_stats(concepts, fields), asked, all_terms=True)
-    return retrieval.top_k(found.withColumn("score", F.round("score", 9)), k)
+    asked = queries.select("query_id", F.array_sort(F.array_distinct(text.sanitize_query(F.lower("query")))).alias("terms")).filter(F.size("terms") > 0)
+    # concepts of equal fields are scored once, under their least id, and queries of equal words are asked once
+    texts = concepts.select("id", *[F.coalesce(f, F.lit("")).alias(f) for f in fields])
+    kinds = written(texts.groupBy(*fields).agg(F.min("id").alias("id"), F.count("*").alias("copies")), "kinds")
+    index = retrieval.postings(kinds, fields).join(kinds.select("id", "copies"), "id")
+    found = retrieval.bm25(index, retrieval.field_stats(concepts, fields), asked.select(F.col("terms").alias("query_id"), "terms").distinct(), all_terms=True)
+    best = retrieval.top_k(found.withColumn("score", F.round("score", 9)), k).select(F.col("query_id").alias("terms"), F.col("id").alias("kind"), "score")
+    # the k best rows are among the first k of each of the k best kinds
+    alike = W.partitionBy(*fields).orderBy("id").rowsBetween(W.unboundedPreceding, W.currentRow)
+    rows = texts.select("id", F.min("id").over(alike).alias("kind"), F.row_number().over(W.partitionBy(*fields).orderBy("id")).alias("_n")).filter(F.col("_n") <= k)
+    best = retrieval.top_k(best.join(rows, "kind").select("terms", "id", "score"), k, ("terms",))
+    return asked.join(best, "terms").select("query_id", "id", "score", "rank")
 
 
 def links_from(links: DataFrame, ids: DataFrame) -> DataFrame:

@@ -30,11 +30,11 @@ def bm25(index: DataFrame, n_docs: DataFrame, queries: DataFrame, all_terms: boo
     """(query_id, id, score) of every document with a term of the query (or all of them); fields add up.
 
     `queries` is (query_id, terms).  The queries' terms reach the index as a join, so only their postings are scored;
-    `n_docs` is (field, n, avg_length), a row for each field.
+    `n_docs` is (field, n, avg_length), a row for each field.  A document counts `copies` times, if the index has such a column.
     """
     terms = queries.select("query_id", F.size(F.array_distinct("terms")).alias("n_terms"), F.explode(F.array_distinct("terms")).alias("term"))
     hit = index.join(terms.select("term").distinct(), "term", "left_semi")
-    df = hit.groupBy("term", "field").agg(F.count("*").alias("df"))
+    df = hit.groupBy("term", "field").agg((F.sum("copies") if "copies" in index.columns else F.count("*")).alias("df"))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     norm = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("avg_length")))
     scored = hit.join(df, ["term", "field"]).join(n_docs, "field").withColumn("s", idf * norm).join(terms, "term")

@@ -432,3 +432,21 @@ def test_tiles_of_any_size(spark):
                 found = sorted(best.get(i, []))
                 assert found[:2] == mine[:2] and set(found) <= set(mine)
                 assert min(((v, j) for _, j, v in mine), default=None) == min(((v, j) for _, j, v in found), default=None)
+
+
+def test_concepts_of_equal_fields_are_scored_once(spark, monkeypatch):
+    """Copies of concepts and of queries change neither scores nor ranks, and don't reach the scoring."""
+    from siltstone.operators import concepts, retrieval
+
+    names = ["red ring", "red bolt", "blue ring", "red red ring", None]
+    rows = [(i, names[i % 5 if i < 40 else 0], ["x ring", "y", None][i % 3], "b") for i in range(60)]
+    table = spark.createDataFrame(rows, "id long, name string, definition string, labels string")
+    queries = spark.createDataFrame([(i, ["Red ring", "ring red", "blue", "absent ring", "  "][i % 5]) for i in range(20)], "query_id long, query string")
+    asked = queries.select("query_id", concepts.text.sanitize_query(F.lower("query")).alias("terms"))
+    each = retrieval.bm25(retrieval.postings(table, concepts.FIELDS), retrieval.field_stats(table, concepts.FIELDS), asked, all_terms=True)
+    want = retrieval.top_k(each.withColumn("score", F.round("score", 9)), 7).select("query_id", "id", "score", "rank")
+    sizes, plain = [], retrieval.bm25
+    monkeypatch.setattr(retrieval, "bm25", lambda *x, **y: sizes.append(plain(*x, **y).count()) or plain(*x, **y))
+    got = concepts.search(table, queries, 7)
+    assert {tuple(r) for r in got.collect()} == {tuple(r) for r in want.collect()} and got.count() == 3 * 4 * 7
+    assert sizes[0] <= 2 * 15
