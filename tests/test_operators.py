@@ -450,3 +450,26 @@ def test_concepts_of_equal_fields_are_scored_once(spark, monkeypatch):
     got = concepts.search(table, queries, 7)
     assert {tuple(r) for r in got.collect()} == {tuple(r) for r in want.collect()} and got.count() == 3 * 4 * 7
     assert sizes[0] <= 2 * 15
+
+
+def test_events_are_searched_together(spark):
+    """Many events at once have the results of each by itself: without a signal, with equal and with missing features."""
+    from siltstone.operators import weights
+
+    rng = np.random.default_rng(5)
+    rows, want = [], {}
+    for event in range(120):
+        n = 1 + event % 6
+        x, label = np.round(rng.random((n, 6)), event % 3 + 1), rng.choice([-1.0, 0.0, 1.0], n)
+        if event % 10 == 0:
+            x[:, 1:] = 0
+        if event % 10 == 1:
+            x[0, 2] = np.nan
+        if (found := weights.search(x, label)) is not None:
+            want[event] = found
+        rows += [(event, i, x[i].tolist(), float(label[i])) for i in range(n)]
+    got = {r["event"]: r for r in weights.best_weights(spark.createDataFrame(rows, "event long, id long, features array<double>, label double")).collect()}
+    assert got.keys() == want.keys() and len(want) > 40
+    for event, (w, reward) in want.items():
+        assert np.allclose(got[event]["weights"], w, atol=1e-9) and abs(got[event]["reward"] - reward) < 1e-9
+    assert [r is None for r in weights.search_many(np.stack([np.eye(6)[:3], np.ones((3, 6))]), np.array([[1.0, 0, 0]] * 2))] == [False, True]
