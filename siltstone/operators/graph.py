@@ -93,50 +93,67 @@ EACH = {"title": 0.9, "decisions": 0.8, "topics": 0.7, "temporal": 0.7, "outcome
 PATTERNS = 200_000
 
 
-def _found(episodes: DataFrame, fields: tuple[str, ...], patterns: list[str]) -> DataFrame:
-    """id, field, pattern: which patterns stand in which fields; all of them in one pass."""
+def _found(episodes: DataFrame, fields: tuple[str, ...], asked: DataFrame, kind: str) -> DataFrame:
+    """query_id, id, h: the weights of each query's patterns (query_id, pattern, is_whole) that stand in an episode's fields,
+    added up in the task that has the episode."""
     import ahocorasick
+    import numpy as np
     import pyarrow as pa
 
-    shared = episodes.sparkSession.sparkContext.broadcast(patterns)
+    shared = episodes.sparkSession.sparkContext.broadcast(asked.toArrow())
 
     def run(batches):
+        ask = shared.value
+        if not len(ask):
+            return
+        names = ask.column("query_id").combine_chunks().dictionary_encode()
+        patterns = ask.column("pattern").combine_chunks().dictionary_encode()
+        query, number, whole = names.indices.to_numpy(), patterns.indices.to_numpy(), np.asarray(ask.column("is_whole"))
+        by = np.argsort(number, kind="stable")
+        query, whole, start = query[by], whole[by], np.searchsorted(number[by], np.arange(len(patterns.dictionary) + 1))
+        weight = {f: np.where(whole, WHOLE.get(f, 0.0), EACH.get(f, 0.0)) for f in fields}
         found = ahocorasick.Automaton()
-        for p in shared.value:
-            found.add_word(p, p)
+        for i, p in enumerate(patterns.dictionary.to_pylist()):
+            found.add_word(p, i)
         found.make_automaton()
+
+        def given(held):
+            q = names.dictionary.take(pa.array(np.concatenate([x[1] for x in held])))
+            i = np.repeat([x[0] for x in held], [len(x[1]) for x in held])
+            return pa.record_batch([q, pa.array(i, pa.int64()), pa.array(np.concatenate([x[2] for x in held]))], ["query_id", "id", "h"])
+
         for b in batches:
-            out = []
-            for f in fields:
-                for i, t in zip(b.column("id").to_pylist(), b.column(f).to_pylist(), strict=True):
-                    out += [(i, f, p) for p in sorted({p for _, p in found.iter(t)})]
-            if out:
-                yield pa.record_batch([pa.array(c) for c in zip(*out, strict=True)], ["id", "field", "pattern"])
+            held, size = [], 0
+            for i, *texts in zip(b.column("id").to_pylist(), *[b.column(f).to_pylist() for f in fields], strict=True):
+                at = [(f, start[p], start[p + 1]) for f, t in zip(fields, texts, strict=True) for p in {p for _, p in found.iter(t)}]
+                if not at:
+                    continue
+                h = np.bincount(np.concatenate([query[x:y] for _, x, y in at]), np.concatenate([weight[f][x:y] for f, x, y in at]), len(names.dictionary))
+                hit = np.flatnonzero(h > 0)
+                if len(hit):
+                    held.append((i, hit, h[hit]))
+                    size += len(hit)
+                if size >= 1 << 18:
+                    yield given(held)
+                    held, size = [], 0
+            if held:
+                yield given(held)
 
     low = episodes.select(F.col("id").cast("long").alias("id"), *[F.lower(F.coalesce(F.col(f).cast("string"), F.lit(""))).alias(f) for f in fields])
-    return low.mapInArrow(run, "id long, field string, pattern string")
+    return low.mapInArrow(run, f"query_id {kind}, id long, h double")
 
 
 def episode_hits(queries: DataFrame, episodes: DataFrame, fields: tuple[str, ...]) -> DataFrame:
     """query_id, id, score: `episode_scores` for a table of queries (query_id, query).  episodes: id, the fields, age_days,
-    n_memories, n_concepts.  The patterns of all queries are looked for together, in passes of PATTERNS."""
+    n_memories, n_concepts.  The patterns of all queries are looked for together, in passes of PATTERNS, about."""
     whole = F.trim(F.lower("query"))
     q = queries.select("query_id", whole.alias("whole"), F.array_distinct(F.filter(F.split(whole, r"\s+"), lambda w: F.octet_length(w) >= 2)).alias("words")).filter("whole <> ''")
     asked = q.select("query_id", F.col("whole").alias("pattern"), F.lit(True).alias("is_whole")).unionByName(q.select("query_id", F.explode("words").alias("pattern"), F.lit(False).alias("is_whole")))
-    distinct = asked.select("pattern").distinct()
-    passes = max(1, -(-distinct.count() // PATTERNS))
-    found = None
+    passes = max(1, -(-asked.count() // PATTERNS))
+    kind, hits = dict(queries.dtypes)["query_id"], None
     for i in range(passes):
-        some = [r["pattern"] for r in distinct.filter(F.pmod(F.xxhash64("pattern"), F.lit(passes)) == i).collect()]
-        if some:
-            part = _found(episodes, fields, some)
-            found = part if found is None else found.unionByName(part)
-    if found is None:
-        return episodes.select(F.lit(None).cast("long").alias("query_id"), "id", F.lit(0.0).alias("score")).limit(0)
-    from siltstone.schema import by_value
-
-    weight = F.when(F.col("is_whole"), by_value(F.col("field"), WHOLE, 0.0)).otherwise(by_value(F.col("field"), EACH, 0.0))
-    hits = found.join(asked, "pattern").groupBy("query_id", "id").agg(F.sum(weight).alias("h")).filter("h > 0")
+        part = _found(episodes, fields, asked.filter(F.pmod(F.xxhash64("query_id"), F.lit(passes)) == i) if passes > 1 else asked, kind)
+        hits = part if hits is None else hits.unionByName(part)
     extra = 0.3 / (1 + F.col("age_days") / 30) + 0.1 * F.least(F.col("n_memories"), F.lit(5)) + 0.08 * F.least(F.col("n_concepts"), F.lit(5))
     return hits.join(episodes.select("id", extra.alias("extra")), "id").select("query_id", "id", (F.col("h") + F.col("extra")).alias("score"))
 

@@ -473,3 +473,20 @@ def test_events_are_searched_together(spark):
     for event, (w, reward) in want.items():
         assert np.allclose(got[event]["weights"], w, atol=1e-9) and abs(got[event]["reward"] - reward) < 1e-9
     assert [r is None for r in weights.search_many(np.stack([np.eye(6)[:3], np.ones((3, 6))]), np.array([[1.0, 0, 0]] * 2))] == [False, True]
+
+
+def test_hits_of_episodes_are_added_up_in_place(spark, monkeypatch):
+    """Hits for a table of queries are those of each query by itself, in one pass and in several, and no pattern's hits are
+    shuffled before they are added up."""
+    from siltstone.operators import graph
+
+    rows = [(i, ["The cache", "a session in the cache", "", None, "redis"][i % 5], ["user", "agent user"][i % 2], i, 3 + i % 4, 1) for i in range(40)]
+    e = spark.createDataFrame(rows, "id long, title string, tags string, age_days long, n_memories long, n_concepts int")
+    asked = ["the cache", "session user", "nothing", "  Redis  ", "", "in the session"]
+    q = spark.createDataFrame(list(enumerate(asked)), "query_id int, query string")
+    want = {(k, r["id"]): r["score"] for k, x in enumerate(asked) if x.strip() for r in graph.episode_scores(e, x, F.col("age_days"), ("title", "tags")).collect()}
+    for most in (200_000, 3):
+        monkeypatch.setattr(graph, "PATTERNS", most)
+        got = graph.episode_hits(q, e, ("title", "tags"))
+        assert {(r["query_id"], r["id"]): pytest.approx(r["score"]) for r in got.collect()} == want
+        assert "HashAggregate" not in got._jdf.queryExecution().executedPlan().toString()
