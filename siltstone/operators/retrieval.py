@@ -341,10 +341,14 @@ def evidence_preview(rows: DataFrame, evidence: DataFrame, most: int = 2) -> Dat
     return rows.join(others, "id", "left").select("id", n.alias("evidence_count"), preview.alias("preview"))
 
 
-def knn_pairs(vectors: DataFrame, k: int, least: float = -1.0) -> DataFrame:
-    """a, b, sim: each row with its k nearest others, every pair once."""
-    near = nearest(vectors, vectors.select(F.col("id").alias("query_id"), "embedding"), k + 1).filter("query_id <> id")
-    near = near.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "id"))).filter((F.col("rank") <= k) & (F.col("score") >= least))
+def knn_pairs(vectors: DataFrame, k: int, least: float = -1.0, digits: int = 9) -> DataFrame:
+    """a, b, sim: each row with its k nearest others by cosine to so many digits (ties by id), every pair once.  All rows meet
+    all others in blocks, and k rows of each are all that is shuffled.  Null vectors are left out."""
+    from siltstone.operators.tiles import near_lists
+
+    rows = vectors.filter("id is not null and embedding is not null").select(F.col("id").cast("long").alias("id"), F.col("embedding").alias("x"))
+    near = near_lists(rows, rows.count(), k, lambda s: -s.round(digits)).select(F.col("id").alias("query_id"), F.col("other").alias("id"), (-F.col("value")).alias("score"))
+    near = top_k(near, k).filter(F.col("score") >= least)
     return near.groupBy(F.least("query_id", "id").alias("a"), F.greatest("query_id", "id").alias("b")).agg(F.max("score").alias("sim"))
 
 
