@@ -3,10 +3,11 @@
 Results are those of `cluster.hdbscan`, which holds everything in one task: edges are ordered by (weight, smaller id, larger
 id), so there is one minimum spanning tree and one order of merges.
 
-Core distances and, for each vector, its `near` closest by mutual reachability come from passes over pairs of blocks.  In
-each round every component takes its least edge to another one.  A vector whose list has no other component any more bounds
-what it could still have by the list's end; only vectors whose bound isn't above what their component has found are looked
-up again among all others.  Components are joined by pointer jumping.
+One pass over all pairs of blocks (`tiles`) finds the `near` closest of each vector, and with them its core distance.  In each
+round every component takes its least edge to another one; edges within a component go for good.  A vector whose list has no
+other component any more bounds what it could still have by the list's end, since mutual reachability is no less than
+distance; only vectors whose bound isn't above what their component has found are looked up again among all others.
+Components are joined by pointer jumping.  Tables of a round are deleted when the next one has been written.
 
 The merges of the tree are followed in order, at most `batch` edges at once: the driver holds a batch with the sizes and
 clusters of what it merges, and the nodes of the condensed tree (three for each merge of two clusters, so at most
@@ -16,144 +17,62 @@ clusters of what it merges, and the nodes of the condensed tree (three for each
 from __future__ import annotations
 
 import math
+from functools import reduce
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from siltstone.operators.retrieval import tips
-from siltstone.sources.shared import written
+from siltstone.operators.tiles import distance, leaving, near_lists
+from siltstone.sources.shared import dropped, written
 
-BLOCK = 2_048
+BLOCK = 4_096
 BATCH = 200_000
-ROUNDED = 12
-_POINT = "id long, x array<double>, core double, comp long"
 
 
-def _rows(t: pa.Table) -> np.ndarray:
-    return t["x"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(t.num_rows, -1)
-
-
-def cosine_distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Of unit vectors (or zeros, which are at distance 1), rounded so that blocks of any shape give equal values."""
-    return np.round(1 - np.clip(a @ b.T, -1, 1), ROUNDED)
-
-
-def _met(asked: DataFrame, points: DataFrame, n_asked: int, n: int, each, schema: str) -> DataFrame:
-    """each(asked, points) of every pair of blocks."""
-    left_blocks, right_blocks = max(1, math.ceil(n_asked / BLOCK)), max(1, math.ceil(n / BLOCK))
-    block = lambda m: F.pmod(F.xxhash64("id"), F.lit(m)).cast("int")
-    every = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
-    left = asked.select("*", block(left_blocks).alias("i"), every(right_blocks).alias("j"))
-    right = points.select(*[F.col(c).alias(c) for c in points.columns]).select("*", block(right_blocks).alias("j"), every(left_blocks).alias("i"))
-    kinds = [(f.split()[0], {"long": pa.int64(), "double": pa.float64()}[f.split()[1]]) for f in schema.split(", ")]
-
-    def meet(a: pa.Table, b: pa.Table) -> pa.Table:
-        columns = each(a, b) if a.num_rows and b.num_rows else [[]] * len(kinds)
-        return pa.table({c: pa.array(v, t) for (c, t), v in zip(kinds, columns, strict=True)})
-
-    return left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInArrow(meet, schema)
-
-
-def _smallest(m: np.ndarray, k: int) -> np.ndarray:
-    k = min(k, m.shape[1])
-    return np.argpartition(m, k - 1, axis=1)[:, :k]
-
-
-def cores(points: DataFrame, n: int, min_samples: int) -> DataFrame:
-    """id, core: the distance to the vector's neighbour of that number, or to its last one."""
-    k = min(min_samples, n - 1) + 1  # itself is the first
-
-    def each(a: pa.Table, b: pa.Table):
-        d = cosine_distances(_rows(a), _rows(b))
-        ia, ib = a["id"].to_numpy(), b["id"].to_numpy()
-        d[ia[:, None] == ib] = -1.0
-        at = _smallest(d, k)
-        return np.repeat(ia, at.shape[1]), np.take_along_axis(d, at, 1).ravel()
-
-    near = _met(points.select("id", "x"), points.select("id", "x"), n, n, each, "id long, d double")
-    ranked = near.withColumn("rank", F.row_number().over(W.partitionBy("id").orderBy("d"))).filter(F.col("rank") <= k)
-    return ranked.groupBy("id").agg(F.greatest(F.max("d"), F.lit(0.0)).alias("core"))
-
-
-def _reach(a: pa.Table, b: pa.Table) -> np.ndarray:
-    """Mutual reachability of two blocks; infinite to itself."""
-    m = np.maximum(np.maximum(a["core"].to_numpy()[:, None], b["core"].to_numpy()), cosine_distances(_rows(a), _rows(b)))
-    m[a["id"].to_numpy()[:, None] == b["id"].to_numpy()] = np.inf
-    return m
-
-
-def lists(points: DataFrame, n: int, near: int) -> DataFrame:
-    """id, w, other: the closest by mutual reachability, `near` of each."""
-
-    def each(a: pa.Table, b: pa.Table):
-        m = _reach(a, b)
-        at = _smallest(m, near)
-        w = np.take_along_axis(m, at, 1).ravel()
-        ids = np.repeat(a["id"].to_numpy(), at.shape[1])
-        others = b["id"].to_numpy()[at].ravel()
-        there = np.isfinite(w)
-        return ids[there], w[there], others[there]
-
-    found = _met(points.select("id", "x", "core"), points.select("id", "x", "core"), n, n, each, "id long, w double, other long")
-    return found.withColumn("rank", F.row_number().over(W.partitionBy("id").orderBy("w", "other"))).filter(F.col("rank") <= near).drop("rank")
-
-
-def leaving(asked: DataFrame, points: DataFrame, n_asked: int, n: int) -> DataFrame:
-    """id, w, lo, hi: the least edge of each asked vector to another component."""
-
-    def each(a: pa.Table, b: pa.Table):
-        m = _reach(a, b)
-        m[a["comp"].to_numpy()[:, None] == b["comp"].to_numpy()] = np.inf
-        w = m.min(1)
-        ia, ib = a["id"].to_numpy()[:, None], b["id"].to_numpy()
-        far = np.iinfo(np.int64).max
-        least = m == w[:, None]
-        lo = np.where(least, np.minimum(ia, ib), far).min(1)
-        hi = np.where(least & (np.minimum(ia, ib) == lo[:, None]), np.maximum(ia, ib), far).min(1)
-        there = np.isfinite(w)
-        return ia[there, 0], w[there], lo[there], hi[there]
-
-    found = _met(asked, points, n_asked, n, each, "id long, w double, lo long, hi long")
-    return found.groupBy("id").agg(F.min(F.struct("w", "lo", "hi")).alias("e")).select("id", "e.*")
-
-
-def spanning_tree(points: DataFrame, n: int, near: int) -> DataFrame:
-    """w, lo, hi: the edges of the minimum spanning tree of (id, x, core)."""
-    known = written(lists(points, n, near), "near")
-    end = written(known.groupBy("id").agg(F.max("w").alias("end"), F.count("*").alias("n")).select("id", F.when(F.col("n") < min(near, n - 1), F.lit(math.inf)).otherwise(F.col("end")).alias("end")), "end")
-    comps = written(points.select("id", F.col("id").alias("comp")), "comps")
-    tree, left = None, n
+def spanning_tree(points: DataFrame, known: DataFrame, n: int, near: int) -> DataFrame:
+    """w, lo, hi: the edges of the minimum spanning tree of (id, x, core); `known` has the lists (id, other, d) of each one's
+    closest, and is deleted."""
+    end = known.groupBy("id").agg(F.max("d").alias("end"), F.count("*").alias("n")).select("id", F.when(F.col("n") < min(near, n - 1), F.lit(math.inf)).when(F.lit(near >= n - 1), F.lit(math.inf)).otherwise(F.col("end")).alias("end"))
+    comps = written(points.select("id", "core", F.col("id").alias("comp")).join(end, "id", "left").withColumn("end", F.coalesce("end", F.lit(math.inf))), "comps")
+    # weights once, and each edge from the side that has it in its list
+    of = comps.select(F.col("id").alias("other"), F.col("core").alias("other_core"))
+    edges = written(known.join(comps.select("id", "core"), "id").join(of, "other").select("id", "other", F.greatest("d", "core", "other_core").alias("w")), "edges")
+    dropped(known)
+    chosen_edges, left = [], n
     while left > 1:
-        other = comps.select(F.col("id").alias("other"), F.col("comp").alias("other_comp"))
-        own = known.join(comps, "id").join(other, "other").filter("comp <> other_comp")
-        edge = F.struct("w", F.least("id", "other").alias("lo"), F.greatest("id", "other").alias("hi")).alias("e")
-        mine = own.select("id", edge).groupBy("id").agg(F.min("e").alias("e"))
-        each = written(comps.join(end, "id").join(mine, "id", "left").select("id", "comp", "end", "e"), "each")
+        if chosen_edges:
+            across = comps.select(F.col("id").alias("other"), F.col("comp").alias("other_comp"))
+            old, edges = edges, written(edges.join(comps.select("id", "comp"), "id").join(across, "other").filter("comp <> other_comp").select("id", "other", "w"), "edges")
+            dropped(old)
+        edge = F.struct("w", F.least("id", "other").alias("lo"), F.greatest("id", "other").alias("hi"))
+        mine = edges.groupBy("id").agg(F.min(edge).alias("e"))
+        each = written(comps.join(mine, "id", "left").select("id", "comp", "end", "e"), "each")
         best = each.groupBy("comp").agg(F.min("e").alias("best"))
         # what isn't in a vector's list is at its end or beyond; a tie there may come first by ids
-        unsure = (F.col("e").isNull() | (F.col("e.w") >= F.col("end"))) & (F.col("best").isNull() | (F.col("end") <= F.col("best.w")))
+        unsure = (F.col("e").isNull() | (F.col("e.w") >= F.col("end"))) & (F.col("best").isNull() | (F.col("end") <= F.col("best.w"))) & (F.col("end") < math.inf)
         again = written(each.join(best, "comp").filter(unsure).select("id", "comp"), "again")
         n_again = again.count()
-        found = each.select("comp", "e")
+        found, more = each.select("comp", "e").filter("e is not null"), None
         if n_again:
-            placed = written(points.join(comps, "id"), "placed")
-            more = leaving(placed.join(again.select("id"), "id", "left_semi"), placed, n_again, n)
+            placed = points.join(comps.select("id", "comp"), "id")
+            more = leaving(points.join(again, "id"), placed, n_again, n, BLOCK)
             found = found.unionByName(more.join(again, "id").select("comp", F.struct("w", "lo", "hi").alias("e")))
         chosen = written(found.groupBy("comp").agg(F.min("e").alias("e")).select("comp", "e.w", "e.lo", "e.hi"), "chosen")
-        edges = chosen.select("w", "lo", "hi").distinct()
-        tree = edges if tree is None else tree.unionByName(edges)
+        chosen_edges.append(chosen)
         # each component points at the one across its edge; of two that point at each other, the smaller is the end
         of_ends = chosen.select("comp", F.explode(F.array("lo", "hi")).alias("id"))
         ends = of_ends.join(comps.select("id", F.col("comp").alias("to")), "id").filter("to <> comp").select("comp", "to")
         back = ends.select(F.col("comp").alias("to"), F.col("to").alias("comp"), F.lit(True).alias("back"))
         step = written(ends.join(back, ["comp", "to"], "left").select(F.col("comp").alias("id"), F.when(F.coalesce("back", F.lit(False)) & (F.col("comp") < F.col("to")), None).otherwise(F.col("to")).alias("superseded_by")), "step")
         to = tips(step).select(F.col("id").alias("comp"), "tip")
-        comps = written(comps.join(to, "comp").select("id", F.col("tip").alias("comp")), "comps")
+        old, comps = comps, written(comps.join(to, "comp").select("id", "core", F.col("tip").alias("comp"), "end"), "comps")
+        dropped(old, each, again, step, *([more] if more is not None else []))
         left = comps.select("comp").distinct().count()
-    return written(tree, "tree")
+    # both ends of an edge may have taken it, in one round
+    tree = written(reduce(DataFrame.unionByName, [c.select("w", "lo", "hi") for c in chosen_edges]).distinct(), "tree")
+    dropped(comps, edges, *chosen_edges)
+    return tree
 
 
 class Condensed:
@@ -272,16 +191,22 @@ def clusters(vectors: DataFrame, min_cluster_size: int, min_samples: int, near:
     """id, label (-1: noise) of (id, embedding); ids are unique, and null or empty vectors left out."""
     spark = vectors.sparkSession
     least = max(2, min_cluster_size)
-    norm = F.sqrt(F.aggregate("x", F.lit(0.0), lambda s, v: s + v * v))
-    points = vectors.filter("id is not null and size(embedding) > 0").select(F.col("id").cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("x"))
-    points = written(points.withColumn("norm", norm).select("id", F.when(F.col("norm") > 0, F.transform("x", lambda v: v / F.col("norm"))).otherwise(F.col("x")).alias("x")), "points")
+    points = vectors.filter("id is not null and size(embedding) > 0").select(F.col("id").cast("long").alias("id"), F.col("embedding").alias("x"))
     n = points.count()
     if n < least:
         return points.select("id", F.lit(-1).alias("label"))
-    points = written(points.join(cores(points, n, min_samples), "id"), "points")
-    tree = spanning_tree(points, n, near or 2 * min_samples + 6)
+    samples = min(min_samples, n - 1)
+    near = min(max(near or 2 * min_samples + 6, samples, 1), n - 1)
+    lists = near_lists(points, n, near, distance, BLOCK)
+    core = lists.filter(F.col("place") == samples).select("id", F.greatest("value", F.lit(0.0)).alias("core")) if samples else points.select("id", F.lit(0.0).alias("core"))
+    points = written(points.join(core, "id"), "points")
+    known = written(lists.select("id", "other", F.col("value").alias("d")), "known")
+    dropped(lists)
+    tree = spanning_tree(points, known, n, near)
+    dropped(points)
     condensed, last = Condensed(least), None
-    state = points.select("id", F.col("id").alias("group"), F.lit(1).cast("long").alias("size"), F.lit(None).cast("int").alias("cluster"), F.lit(None).cast("int").alias("node"))
+    state, held = vectors.filter("id is not null and size(embedding) > 0").select(F.col("id").cast("long").alias("id")), None
+    state = state.select("id", F.col("id").alias("group"), F.lit(1).cast("long").alias("size"), F.lit(None).cast("int").alias("cluster"), F.lit(None).cast("int").alias("node"))
     for _ in range(math.ceil((n - 1) / batch)):
         rest = tree if last is None else tree.filter(F.struct("w", "lo", "hi") > F.struct(*[F.lit(v).cast(t).alias(c) for v, t, c in zip(last, ("double", "long", "long"), ("w", "lo", "hi"), strict=True)]))
         part = rest.orderBy("w", "lo", "hi").limit(batch)
@@ -291,7 +216,11 @@ def clusters(vectors: DataFrame, min_cluster_size: int, min_samples: int, near:
         last = (edges[-1]["w"], edges[-1]["lo"], edges[-1]["hi"])
         met = spark.createDataFrame(condensed.follow(edges), "group long, new_group long, new_size long, new_cluster int, new_node int").withColumn("met", F.lit(True))
         new = lambda c: F.when(F.col("met"), F.col(f"new_{c}")).otherwise(F.col(c)).alias(c)
-        state = written(state.join(met, "group", "left").select("id", new("group"), new("size"), new("cluster"), F.coalesce("node", "new_node").alias("node")), "groups")
+        old, held = held, written(state.join(met, "group", "left").select("id", new("group"), new("size"), new("cluster"), F.coalesce("node", "new_node").alias("node")), "groups")
+        state = held
+        if old is not None:
+            dropped(old)
+    dropped(tree)
     if not condensed.kids:
         return state.select("id", F.lit(0).alias("label"))
     labels = spark.createDataFrame(list(condensed.labels().items()) or [], "node int, label int")

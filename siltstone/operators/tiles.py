@@ -39,7 +39,7 @@ def _small_batches(spark: SparkSession, parts: int):
 
 
 def _files(spark: SparkSession, n: int) -> int:
-    return max(1, -(-n // FILE), min(-(-n // 256), 6 * spark.sparkContext.defaultParallelism))
+    return max(1, -(-n // FILE), min(-(-n // 512), 3 * spark.sparkContext.defaultParallelism))
 
 
 def packed(rows: DataFrame, n: int, name: str, by: str | None = None, most: int = ROWS) -> DataFrame:

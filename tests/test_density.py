@@ -56,3 +56,16 @@ def test_few_rows(spark):
     vectors = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0]), (None, [1.0, 1.0]), (3, None)], SCHEMA)
     assert sorted(map(tuple, density.clusters(vectors, 5, 5).collect())) == [(1, -1), (2, -1)]
     assert density.clusters(vectors.limit(0), 5, 5).count() == 0
+
+
+def test_tables_of_rounds_go(spark):
+    """Only the groups that the result reads are left in the shared folder."""
+    from pathlib import Path
+
+    from siltstone.sources.shared import checkpoint_dir
+
+    there = lambda: {p.name for p in Path(checkpoint_dir(spark).removeprefix("file://")).glob("siltstone-*")}
+    before = there()
+    ids, x = sample(3, 60)
+    density.clusters(spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, x, strict=True)], SCHEMA), 4, 3).count()
+    assert [n.split("-")[1] for n in there() - before] == ["groups"]
