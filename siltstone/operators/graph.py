@@ -93,69 +93,161 @@ EACH = {"title": 0.9, "decisions": 0.8, "topics": 0.7, "temporal": 0.7, "outcome
 PATTERNS = 200_000
 
 
-def _found(episodes: DataFrame, fields: tuple[str, ...], asked: DataFrame, kind: str) -> DataFrame:
-    """query_id, id, h: the weights of each query's patterns (query_id, pattern, is_whole) that stand in an episode's fields,
-    added up in the task that has the episode."""
+def _matcher(ask, fields: tuple[str, ...]):
+    """Names of the queries of patterns (query_id, pattern, is_whole), and a function of the fields' texts that gives places of
+    queries that hit any, and the weights of their patterns that do."""
     import ahocorasick
     import numpy as np
+
+    names = ask.column("query_id").combine_chunks().dictionary_encode()
+    patterns = ask.column("pattern").combine_chunks().dictionary_encode()
+    query, number, whole = names.indices.to_numpy(), patterns.indices.to_numpy(), np.asarray(ask.column("is_whole"))
+    by = np.argsort(number, kind="stable")
+    query, whole, start = query[by], whole[by], np.searchsorted(number[by], np.arange(len(patterns.dictionary) + 1))
+    weight = {f: np.where(whole, WHOLE.get(f, 0.0), EACH.get(f, 0.0)) for f in fields}
+    found = ahocorasick.Automaton()
+    for i, p in enumerate(patterns.dictionary.to_pylist()):
+        found.add_word(p, i)
+    found.make_automaton()
+
+    def hits(texts):
+        at = [(f, start[p], start[p + 1]) for f, t in zip(fields, texts, strict=True) for p in {p for _, p in found.iter(t)}]
+        if not at:
+            return np.empty(0, np.int64), np.empty(0)
+        h = np.bincount(np.concatenate([query[x:y] for _, x, y in at]), np.concatenate([weight[f][x:y] for f, x, y in at]), len(names.dictionary))
+        hit = np.flatnonzero(h > 0)
+        return hit, h[hit]
+
+    return names.dictionary, hits
+
+
+def _given(names, held, value: str):
+    """query_id, id and the value of held (id, places of queries, values); a value that isn't a number is null."""
+    import numpy as np
     import pyarrow as pa
 
+    q = names.take(pa.array(np.concatenate([x[1] for x in held])))
+    i = pa.array([x[0] for x in held], pa.int64()).take(pa.array(np.repeat(np.arange(len(held)), [len(x[1]) for x in held])))
+    return pa.record_batch([q, i, pa.array(np.concatenate([x[2] for x in held]), from_pandas=True)], ["query_id", "id", value])
+
+
+#: Rows that a task gives out at a time, about; episodes whose hits it remembers.
+GIVEN, REMEMBERED = 1 << 18, 64
+
+
+def _lower(episodes: DataFrame, fields: tuple[str, ...], *more) -> DataFrame:
+    return episodes.select(F.col("id").cast("long").alias("id"), *[F.lower(F.coalesce(F.col(f).cast("string"), F.lit(""))).alias(f) for f in fields], *more)
+
+
+def _found(episodes: DataFrame, fields: tuple[str, ...], asked: DataFrame, kind: str) -> DataFrame:
+    """query_id, id, h: the weights of each query's patterns (query_id, pattern, is_whole) that stand in an episode's fields,
+    added up in the task that has the episode."""
     shared = episodes.sparkSession.sparkContext.broadcast(asked.toArrow())
 
     def run(batches):
-        ask = shared.value
-        if not len(ask):
+        if not len(shared.value):
             return
-        names = ask.column("query_id").combine_chunks().dictionary_encode()
-        patterns = ask.column("pattern").combine_chunks().dictionary_encode()
-        query, number, whole = names.indices.to_numpy(), patterns.indices.to_numpy(), np.asarray(ask.column("is_whole"))
-        by = np.argsort(number, kind="stable")
-        query, whole, start = query[by], whole[by], np.searchsorted(number[by], np.arange(len(patterns.dictionary) + 1))
-        weight = {f: np.where(whole, WHOLE.get(f, 0.0), EACH.get(f, 0.0)) for f in fields}
-        found = ahocorasick.Automaton()
-        for i, p in enumerate(patterns.dictionary.to_pylist()):
-            found.add_word(p, i)
-        found.make_automaton()
-
-        def given(held):
-            q = names.dictionary.take(pa.array(np.concatenate([x[1] for x in held])))
-            i = np.repeat([x[0] for x in held], [len(x[1]) for x in held])
-            return pa.record_batch([q, pa.array(i, pa.int64()), pa.array(np.concatenate([x[2] for x in held]))], ["query_id", "id", "h"])
-
+        names, hits = _matcher(shared.value, fields)
         for b in batches:
             held, size = [], 0
             for i, *texts in zip(b.column("id").to_pylist(), *[b.column(f).to_pylist() for f in fields], strict=True):
-                at = [(f, start[p], start[p + 1]) for f, t in zip(fields, texts, strict=True) for p in {p for _, p in found.iter(t)}]
-                if not at:
-                    continue
-                h = np.bincount(np.concatenate([query[x:y] for _, x, y in at]), np.concatenate([weight[f][x:y] for f, x, y in at]), len(names.dictionary))
-                hit = np.flatnonzero(h > 0)
+                hit, h = hits(texts)
                 if len(hit):
-                    held.append((i, hit, h[hit]))
+                    held.append((i, hit, h))
                     size += len(hit)
-                if size >= 1 << 18:
-                    yield given(held)
+                if size >= GIVEN:
+                    yield _given(names, held, "h")
                     held, size = [], 0
             if held:
-                yield given(held)
+                yield _given(names, held, "h")
 
-    low = episodes.select(F.col("id").cast("long").alias("id"), *[F.lower(F.coalesce(F.col(f).cast("string"), F.lit(""))).alias(f) for f in fields])
-    return low.mapInArrow(run, f"query_id {kind}, id long, h double")
+    return _lower(episodes, fields).mapInArrow(run, f"query_id {kind}, id long, h double")
 
 
-def episode_hits(queries: DataFrame, episodes: DataFrame, fields: tuple[str, ...]) -> DataFrame:
-    """query_id, id, score: `episode_scores` for a table of queries (query_id, query).  episodes: id, the fields, age_days,
-    n_memories, n_concepts.  The patterns of all queries are looked for together, in passes of PATTERNS, about."""
+def _patterns(queries: DataFrame) -> list[DataFrame]:
+    """query_id, pattern, is_whole of the queries (query_id, query), in passes of PATTERNS, about; a query is in one of them."""
     whole = F.trim(F.lower("query"))
     q = queries.select("query_id", whole.alias("whole"), F.array_distinct(F.filter(F.split(whole, r"\s+"), lambda w: F.octet_length(w) >= 2)).alias("words")).filter("whole <> ''")
     asked = q.select("query_id", F.col("whole").alias("pattern"), F.lit(True).alias("is_whole")).unionByName(q.select("query_id", F.explode("words").alias("pattern"), F.lit(False).alias("is_whole")))
     passes = max(1, -(-asked.count() // PATTERNS))
+    return [asked.filter(F.pmod(F.xxhash64("query_id"), F.lit(passes)) == i) if passes > 1 else asked for i in range(passes)]
+
+
+def _extra():
+    return 0.3 / (1 + F.col("age_days") / 30) + 0.1 * F.least(F.col("n_memories"), F.lit(5)) + 0.08 * F.least(F.col("n_concepts"), F.lit(5))
+
+
+def episode_hits(queries: DataFrame, episodes: DataFrame, fields: tuple[str, ...]) -> DataFrame:
+    """query_id, id, score: `episode_scores` for a table of queries (query_id, query).  episodes: id, the fields, age_days,
+    n_memories, n_concepts.  The patterns of all queries are looked for together, in passes of PATTERNS, about."""
     kind, hits = dict(queries.dtypes)["query_id"], None
-    for i in range(passes):
-        part = _found(episodes, fields, asked.filter(F.pmod(F.xxhash64("query_id"), F.lit(passes)) == i) if passes > 1 else asked, kind)
+    for asked in _patterns(queries):
+        part = _found(episodes, fields, asked, kind)
         hits = part if hits is None else hits.unionByName(part)
-    extra = 0.3 / (1 + F.col("age_days") / 30) + 0.1 * F.least(F.col("n_memories"), F.lit(5)) + 0.08 * F.least(F.col("n_concepts"), F.lit(5))
-    return hits.join(episodes.select("id", extra.alias("extra")), "id").select("query_id", "id", (F.col("h") + F.col("extra")).alias("score"))
+    return hits.join(episodes.select("id", _extra().alias("extra")), "id").select("query_id", "id", (F.col("h") + F.col("extra")).alias("score"))
+
+
+def _led(episodes: DataFrame, concepts: DataFrame, memories: DataFrame) -> DataFrame:
+    """id, memory, weights: what an episode's score counts for a memory."""
+    own = episodes.select(F.col("id").alias("episode"), F.explode("memory_ids").alias("memory"))
+    related = own.join(memories.select(F.col("id").alias("memory"), "related_ids"), "memory").select("episode", F.explode("related_ids").alias("memory"), F.lit(0.65).alias("weight"))
+    via = episodes.select(F.col("id").alias("episode"), F.explode("concept_ids").alias("cid")).join(concepts.select(F.col("id").alias("cid"), "source_memory_ids"), "cid").select("episode", F.explode("source_memory_ids").alias("memory"), F.lit(0.85).alias("weight"))
+    led = own.withColumn("weight", F.lit(1.0)).unionByName(related).unionByName(via)
+    return led.groupBy(F.col("episode").cast("long").alias("id"), F.col("memory").cast("long").alias("memory")).agg(F.array_sort(F.collect_set("weight")).alias("weights"))
+
+
+def episode_lists(queries: DataFrame, episodes: DataFrame, fields: tuple[str, ...], concepts: DataFrame, memories: DataFrame) -> DataFrame:
+    """query_id, id, score: `episode_channel` of `episode_hits`, but memories are sent the texts of the episodes that lead to
+    them, and a memory's task asks all queries: nearly every query hits nearly every episode, and none of that is shuffled."""
+    import numpy as np
+
+    kind, out = dict(queries.dtypes)["query_id"], None
+    texts = _led(episodes, concepts, memories).join(_lower(episodes, fields, _extra().cast("double").alias("extra")), "id")
+    parts = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # near memories are often led to by the same episodes, whose hits a task then finds once
+    texts = texts.repartitionByRange(parts, "memory").sortWithinPartitions("memory", "id")
+    for asked in _patterns(queries):
+        shared = queries.sparkSession.sparkContext.broadcast(asked.toArrow())
+
+        def run(batches, shared=shared):
+            if not len(shared.value):
+                return
+            names, hits = _matcher(shared.value, fields)
+            known, held, size = {}, [], 0
+            best, hit_any, now, begun = np.full(len(names), np.nan), np.zeros(len(names), bool), None, False
+
+            def done():
+                at = np.flatnonzero(hit_any)
+                if len(at):
+                    held.append((now, at, best[at]))
+                best[:], hit_any[:] = np.nan, False
+                return len(at)
+
+            for b in batches:
+                columns = [b.column(c).to_pylist() for c in ("memory", "id", "extra", "weights", *fields)]
+                for memory, i, extra, weights, *low in zip(*columns, strict=True):
+                    if begun and memory != now:
+                        size += done()
+                        if size >= GIVEN:
+                            yield _given(names, held, "score")
+                            held, size = [], 0
+                    now, begun = memory, True
+                    if i not in known:
+                        if len(known) >= REMEMBERED:
+                            del known[next(iter(known))]
+                        known[i] = hits(low)
+                    hit, h = known[i]
+                    hit_any[hit] = True
+                    score = h + (np.nan if extra is None else extra)
+                    for w in weights:
+                        best[hit] = np.fmax(best[hit], score * w)
+            done()
+            if held:
+                yield _given(names, held, "score")
+
+        part = texts.mapInArrow(run, f"query_id {kind}, id long, score double")
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def episode_channel(hits: DataFrame, episodes: DataFrame, concepts: DataFrame, memories: DataFrame) -> DataFrame:

@@ -41,6 +41,11 @@ def routed(queries: DataFrame) -> DataFrame:
     return q.select("*", "_c.*", text.sanitize_query(F.lower("query")).alias("terms")).drop("_c")
 
 
+def asking_episodes(queries: DataFrame) -> DataFrame:
+    """The queries that the episode channel counts for (`channels`); no other need be asked of it."""
+    return routed(queries).filter((F.col("type") == "episodic") | F.col("days_back").isNotNull()).select(*queries.columns)
+
+
 def fused(lists: DataFrame, routed_queries: DataFrame, p: Recall) -> DataFrame:
     """(query_id, id, score, channels): reciprocal ranks under each query's own weights, or a convex combination."""
     q = routed_queries.select("query_id", "type", "alpha")

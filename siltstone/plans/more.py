@@ -404,7 +404,7 @@ def _related(spark, d):
 def episode_channel(spark, d):
     q = asked(spark, d).withColumn("query", F.concat(F.lit("what happened in the session "), "query"))
     e = _episodes(spark, d)
-    out = graph.episode_channel(graph.episode_hits(q, e, ("title", "tags")), e, _concepts(spark, d), _related(spark, d))
+    out = graph.episode_lists(q, e, ("title", "tags"), _concepts(spark, d), _related(spark, d))
     return out.select("query_id", "id", F.round("score", 6).alias("score"))
 
 
@@ -417,7 +417,7 @@ def _channels(spark, d):
     concepts, e = _concepts(spark, d), _episodes(spark, d)
     links = concepts.select(F.col("id").alias("source"), (F.col("id") + 10).alias("target"))
     q = asked(spark, d).withColumn("query_id", F.col("query_id").cast("int"))
-    episodes = graph.episode_channel(graph.episode_hits(q, e, ("title", "tags")), e, concepts, _related(spark, d))
+    episodes = graph.episode_lists(r.asking_episodes(q), e, ("title", "tags"), concepts, _related(spark, d))
     return r.channels(q, one("fts"), one("vec"), concepts, links, episodes)
 
 
