@@ -19,9 +19,10 @@ def search(concepts: DataFrame, queries: DataFrame, k: int = 5, fields: tuple[st
     # concepts of equal fields are scored once, under their least id, and queries of equal words are asked once
     texts = concepts.select("id", *[F.coalesce(f, F.lit("")).alias(f) for f in fields])
     kinds = written(texts.groupBy(*fields).agg(F.min("id").alias("id"), F.count("*").alias("copies")), "kinds")
-    index = retrieval.postings(kinds, fields).join(kinds.select("id", "copies"), "id")
-    found = retrieval.bm25(index, retrieval.field_stats(concepts, fields), asked.select(F.col("terms").alias("query_id"), "terms").distinct(), all_terms=True)
-    best = retrieval.top_k(found.withColumn("score", F.round("score", 9)), k).select(F.col("query_id").alias("terms"), F.col("id").alias("kind"), "score")
+    named = written(asked.select("terms").distinct().withColumn("query_id", F.monotonically_increasing_id()), "asked")
+    index = retrieval.postings(kinds, fields).join(kinds.select("id", "copies"), "id").join(named.select(F.explode("terms").alias("term")).distinct(), "term", "left_semi")
+    found = retrieval.bm25(index, retrieval.field_stats(concepts, fields), named, all_terms=True).withColumn("score", F.round("score", 9))
+    best = retrieval.top_k(found, k).join(named, "query_id").select("terms", F.col("id").alias("kind"), "score")
     # the k best rows are among the first k of each of the k best kinds
     alike = W.partitionBy(*fields).orderBy("id").rowsBetween(W.unboundedPreceding, W.currentRow)
     rows = texts.select("id", F.min("id").over(alike).alias("kind"), F.row_number().over(W.partitionBy(*fields).orderBy("id")).alias("_n")).filter(F.col("_n") <= k)
@@ -51,7 +52,7 @@ def reached(links: DataFrame, seeds: DataFrame, hops: int) -> DataFrame:
 def kg_channel(queries: DataFrame, concepts: DataFrame, links: DataFrame, k: int = 5, hops: int = 2) -> DataFrame:
     """query_id, id, score: memories behind the k best concepts of a query, by rank, and behind what these reach, by
     1 / (1 + depth); the greater score counts.  concepts: id, source_memory_ids and the searched fields."""
-    seeds = search(concepts, queries, k)
+    seeds = written(search(concepts, queries, k), "seeds")
     sources = concepts.select("id", "source_memory_ids")
     own = graph.concept_scores(seeds.select("query_id", "id", "rank"), sources)
     far = reached(links, seeds, hops).join(sources, "id").select("query_id", F.explode("source_memory_ids").alias("id"), (1 / (1 + F.col("depth"))).alias("score"))

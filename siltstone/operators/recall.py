@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from siltstone.functions import scoring, text
 from siltstone.operators import extract, retrieval
+from siltstone.sources.shared import written
 
 #: Weight of the episode channel by query class; others have the least.
 EPISODE_WEIGHT = {"episodic": 0.45, "temporal": 0.30}
@@ -78,6 +79,7 @@ def recall(queries: DataFrame, memories: DataFrame, lists: DataFrame, as_of: str
     last_accessed, support, diversity.  Cold rows come for exploratory queries only; a query's relative time bounds rows.
     """
     q = routed(queries)
+    lists = written(lists, "lists")  # they are read three times or four
     if p.bypass:
         lists = retrieval.bypassed(lists, retrieval.strong_signal(lists.filter("channel = 'fts'").select("query_id", "id", "score")))
     found = fused(lists, q, p)

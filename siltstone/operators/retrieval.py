@@ -31,11 +31,20 @@ def bm25(index: DataFrame, n_docs: DataFrame, queries: DataFrame, all_terms: boo
 
     `queries` is (query_id, terms).  The queries' terms reach the index as a join, so only their postings are scored;
     `n_docs` is (field, n, avg_length), a row for each field.  A document counts `copies` times, if the index has such a column.
+    With all_terms, queries meet the postings of a share of the documents in one task, and no hit is shuffled.
     """
     terms = queries.select("query_id", F.size(F.array_distinct("terms")).alias("n_terms"), F.explode(F.array_distinct("terms")).alias("term"))
     hit = index.join(terms.select("term").distinct(), "term", "left_semi")
     df = hit.groupBy("term", "field").agg((F.sum("copies") if "copies" in index.columns else F.count("*")).alias("df"))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    if all_terms and dict(index.dtypes)["id"] == "bigint":
+        from siltstone.operators import lexical
+        from siltstone.sources.shared import written
+
+        weights = df.join(n_docs, "field").select("term", "field", idf.alias("idf"), F.greatest("avg_length", F.lit(1e-300)).alias("mean"))
+        posts = written(hit.join(weights, ["term", "field"]).select("term", "id", "tf", "length", "idf", "mean"), "posts")
+        asked = queries.groupBy("query_id").agg(F.array_distinct(F.flatten(F.collect_list("terms"))).alias("terms")).filter(F.size("terms") > 0)
+        return lexical.best_with_all_terms(posts, asked, None, k1, b)
     norm = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("avg_length")))
     scored = hit.join(df, ["term", "field"]).join(n_docs, "field").withColumn("s", idf * norm).join(terms, "term")
     out = scored.groupBy("query_id", "id").agg(F.sum("s").alias("score"), F.countDistinct("term").alias("found"), F.first("n_terms").alias("n_terms"))
